@@ -9,12 +9,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import bpe_count, decontaminate, fingerprint, mixing, parity_join, ring_shards, url_filter
+from loomspark.llm import bpe_count, decontaminate, fingerprint, mixing, parity_join, ring_shards, toxicity, url_filter
 from loomspark.llm.tables import table
 
 #: Production parameters.
 ALLOW, BLOCK = ["com/", "www.example.com/en/"], ["example.com/en/", "net/es/", "net/fr/"]
 WINDOW = 10
+LABELLED_ROWS = 20_000
 TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
 SHINGLE_WORDS, PERCENT = 4, 85
 SHARDS, VNODES = 40, 64
@@ -40,6 +41,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), LABELLED_ROWS)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
 
@@ -52,7 +57,7 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards.assign_shards(table(spark, sf_dir, "documents"), SHARDS, VNODES)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_source_mixing, op4_fingerprints, op6_token_counts, op7_jaccard_join, op8_ring_shards)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_source_mixing, op4_fingerprints, op5_toxicity, op6_token_counts, op7_jaccard_join, op8_ring_shards)}
 
 #: The rules of op1 as (host, path, rule, verdict).
 RULE_ROWS = ", ".join(
