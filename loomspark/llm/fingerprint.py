@@ -132,12 +132,12 @@ class Edited:
         return self.doc_id, len(self.text), digest, self.written, edited, likeness(self.written, edited), likeness(self.written, after.written)
 
 
-def edited_fingerprints(docs: DataFrame, blocks: int = 800) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited version, and their likeness.
 
     The edited text has its last third of code points replaced by the first as many of the
     next document's, in descending ``doc_id``; after the last comes the first.
-    ``blocks``: into how many the ids are cut; each should fit a task.
+    ``blocks``: into how many the ids are cut; by default some for each shuffle partition.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = F.bitwise_not(F.coalesce("doc_id", F.lit(-(1 << 63))))

@@ -25,13 +25,14 @@ def block_bounds(keys: DataFrame, blocks: int) -> np.ndarray:
     return np.array(sorted(set(sample[SAMPLES::SAMPLES])), object if sample and isinstance(sample[0], str) else np.int64)
 
 
-def beside(df: DataFrame, key: Column, blocks: int, cyclic: bool = False) -> DataFrame:
+def beside(df: DataFrame, key: Column, blocks: int | None = None, cyclic: bool = False) -> DataFrame:
     """``df`` with ``_block``, ``_halo`` and ``_key``, each block in one partition and in order.
 
     ``_halo`` is 0 for a block's own rows, -1 for the last row before and 1 for the first row
     after the block; if ``cyclic``, the first row of all comes after the last. ``key`` must
-    not be null; rows with equal keys stay together, and all of them are sent as neighbours.
+    not be null; by default there are eight blocks a shuffle partition. Rows with equal keys stay together, and all of them are sent as neighbours.
     """
+    blocks = blocks or max(64, 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.withColumn("_key", key)
     bounds = block_bounds(keyed.select(F.col("_key").alias("key")), blocks)
 

@@ -1,13 +1,14 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set is its distinct word shingles. A sketch of ``P`` 64-bit parts is made by
-XOR: each shingle flips one bit. A shingle that two sets share flips the same bit in both,
-so the Hamming distance of two sketches is at most the size of the sets' symmetric
+A document's set is its distinct word shingles. A sketch of ``P`` parts of 2^64 bits is made
+by XOR: each shingle flips one bit, and only the odd bits are held, as the XOR of their
+hashes and their number for each part. A shingle that two sets share flips the same bit in
+both, so the Hamming distance of two sketches is at most the size of the sets' symmetric
 difference, which a Jaccard similarity of p % bounds by (100-p)/(100+p) of the summed sizes.
 
 Size bands share one layout: for sets up to ``top`` at most ``d`` bits differ, so of
-``P = d + 1 + spare`` parts at least ``spare + 1`` are equal. Parts are ordered by their
-ones (then by place), an order that depends on the part alone, and each set leaves out its
+``P = d + 1 + spare`` parts at least ``spare + 1`` are equal. Parts are ordered by how
+many shingles they hold (then by place), an order that equal parts have in common, and each set leaves out its
 ``spare`` first ones: the strongest of the equal parts is left out by neither set. So two
 linked sets meet in at least one key, and nearly empty parts, which any two sets may have
 in common, make no keys. A set also makes the keys of larger bands that it could reach.
@@ -111,9 +112,10 @@ def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         if not band.differ:
             continue  # only equal sets are linked there
         part = ((shingles >> np.uint64(32)) * np.uint64(band.parts) >> np.uint64(32)).astype(np.int64)
+        bits = mix64(shingles)
         sketch = np.zeros(band.parts, np.uint64)
-        np.bitwise_xor.at(sketch, part, np.uint64(1) << (shingles & np.uint64(63)))
-        strength = np.bitwise_count(sketch).astype(np.int64) * band.parts + np.arange(band.parts)
+        np.bitwise_xor.at(sketch, part, bits)
+        strength = np.bincount(part, minlength=band.parts) * band.parts + np.arange(band.parts)
         chosen = np.argsort(strength)[band.spare :]
         place = (chosen + (band.number << 32)).astype(np.uint64)
         out.append(mix64(mix64(sketch[chosen]) + mix64(place)))
@@ -227,3 +229,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     return base.join(found, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest id.
+
+    Rows alike in id and text count once; documents without shingles and with null ids stay.
+    """
+    found = jaccard_components(docs, size, percent)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    same = F.xxhash64("text")
+    return docs.join(gone, "doc_id", "left_anti").withColumn("_same", same).dropDuplicates(["doc_id", "_same"]).select(docs.columns)

@@ -9,7 +9,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import bpe_count, decontaminate, fingerprint, mixing, parity_join, ring_shards, toxicity, url_filter
+from loomspark.llm import (
+    bpe_count,
+    class_lm,
+    decontaminate,
+    fingerprint,
+    mixing,
+    page_diff,
+    parity_join,
+    ring_shards,
+    toxicity,
+    url_filter,
+)
 from loomspark.llm.tables import table
 
 #: Production parameters.
@@ -57,7 +68,15 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards.assign_shards(table(spark, sf_dir, "documents"), SHARDS, VNODES)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_source_mixing, op4_fingerprints, op5_toxicity, op6_token_counts, op7_jaccard_join, op8_ring_shards)}
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_source_mixing, op4_fingerprints, op5_toxicity, op6_token_counts, op7_jaccard_join, op8_ring_shards, op9_page_text, op10_class_lm)}
 
 #: The rules of op1 as (host, path, rule, verdict).
 RULE_ROWS = ", ".join(
@@ -134,8 +153,14 @@ FROM copies
 }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

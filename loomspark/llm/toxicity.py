@@ -195,3 +195,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000,
     return scored.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """``docs`` without those whose score is 0.5 or more."""
+    return with_scores(docs, fit(docs, labels, max_rows), "_toxic").where("_toxic < 0.5").select(docs.columns)
