@@ -166,10 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
                     names=["toxic", "x", "other"],
                 )
 
-        got = rows.mapInArrow(numbered, "toxic int, x array<int>, other array<int>").orderBy("x", "toxic", "other").toArrow()
+        got = rows.mapInArrow(numbered, "toxic int, x array<int>, other array<int>").toArrow()
     finally:
         rows.unpersist()
-    toxic, x, other = (got.column(c).to_pylist() for c in ("toxic", "x", "other"))
+    fixed = sorted(zip(*(got.column(c).to_pylist() for c in ("x", "toxic", "other")), strict=True), key=lambda r: (r[0], r[1], r[2] or []))
+    x, toxic, other = map(list, zip(*fixed, strict=True))
     sparse = lambda lists: (np.repeat(np.arange(len(lists)), [len(a) for a in lists]), np.array([i for a in lists for i in a], np.int64))
     paired = [(a, b) for a, b in zip(x, other, strict=True) if b is not None]
     pairs = (sparse([a for a, _ in paired]), sparse([b for _, b in paired]), len(paired))
