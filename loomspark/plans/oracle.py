@@ -46,7 +46,7 @@ TIER = "CASE WHEN NOT compiled OR NOT tests THEN 'REJECTED' WHEN characterizatio
 TIERED = f"tiered AS (SELECT *, {TIER} AS tier, CASE WHEN NOT compiled THEN 'compile' WHEN NOT tests THEN 'tests' WHEN characterization = 'mismatch' THEN 'characterization' END AS failed FROM ({ARTIFACTS}))"
 OUTCOMES = f"""{TIERED}, files AS ({FILES}),
 outcomes AS (
-  SELECT f.path, coalesce(CASE min(CASE t.tier WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END) WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' WHEN 3 THEN 'REJECTED' END,
+  SELECT f.path, coalesce(CASE min(CASE t.tier WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 WHEN 'REJECTED' THEN 3 END) WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' WHEN 3 THEN 'REJECTED' END,
          CASE WHEN any_value(f.matched) THEN 'NOT_EMITTED' ELSE 'NO_MATCH' END) AS outcome
   FROM files f LEFT JOIN (SELECT source_file AS path, tier FROM tiered UNION ALL SELECT template_source, tier FROM tiered) t ON t.path = f.path
   GROUP BY f.path)"""
