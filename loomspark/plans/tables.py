@@ -67,7 +67,7 @@ FROM (
 
 #: Artifacts from order lines: type, source, template and the evidence that a tier follows from.
 ARTIFACTS = """
-SELECT concat(cast(l_orderkey AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(l_linenumber AS string)) AS artifact_id,
+SELECT concat(cast(l_orderkey AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(l_linenumber AS string), '-', cast(cast(l_quantity AS int) AS string)) AS artifact_id,
        CASE l_linenumber % 4 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' WHEN 2 THEN 'filter' ELSE 'directive' END AS artifact_type,
        concat('f', cast(l_orderkey AS string), '.js') AS source_file,
        CASE WHEN l_quantity > 25 THEN concat('f', cast(l_partkey AS string), '.js') END AS template_source,
