@@ -7,14 +7,20 @@ both, so the Hamming distance of two sketches is at most the size of the sets' s
 difference, which a Jaccard similarity of p % bounds by (100-p)/(100+p) of the summed sizes.
 
 Size bands share one layout: for sets up to ``top`` at most ``d`` bits differ, so of
-``P = d + 1 + spare`` parts at least ``spare + 1`` are equal. Parts are ordered by how
-many shingles they hold (then by place), an order that equal parts have in common, and each set leaves out its
-``spare`` first ones: the strongest of the equal parts is left out by neither set. So two
-linked sets meet in at least one key, and nearly empty parts, which any two sets may have
-in common, make no keys. A set also makes the keys of larger bands that it could reach.
+``P = d + 1 + spare`` parts at least ``spare + 1`` are equal. Parts are put in an order that
+equal parts have in common: first those that are not hot, then those with more shingles, then
+by place. Each set makes keys of its first ``d + 1`` parts: the first of the equal parts is
+among them in either set. So two linked sets meet in at least one key, and nearly empty
+parts, which any two sets may have in common, seldom make keys. A set also makes the keys of
+larger bands that it could reach.
+
+Hot parts are those that many sets of a hashed sample have. Any choice of them gives the
+same result; what they are chosen for is that an edited copy of a text of which there are
+thousands meets its like by what is its own, not by what all of them share.
 
 Sets that meet are verified exactly. Only components are asked for, so a bucket is not
-expanded to all pairs: its members are first compared with the bucket's smallest member,
+expanded to all pairs: its members are first compared with one member (in a hot bucket the
+one with most hot parts),
 then with a member of the bucket's largest component; what is still in another component
 is at last compared with all members of other components. Equal sets are one node.
 
@@ -42,6 +48,8 @@ from loomspark.llm.words import blank_words, mix64, slices, text_bytes
 
 #: Rows of ids or keys up to which a table is broadcast; larger ones are joined by a shuffle.
 SMALL = 1_000_000
+#: One in how many sets is in the sample for hot keys, and how many of the sample make a key hot.
+SAMPLED, HOT = 8, 4
 #: Words whose hashes a Python worker keeps.
 MEMO = 1 << 20
 
@@ -105,21 +113,32 @@ class Shingler:
         return np.unique(out)
 
 
-def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys under which a set meets its partners: strong parts of its sketch in each band."""
+def sketch_keys(shingles: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]:
+    """For each band that can have a link: how many keys to keep, and a key for each part, strong parts first."""
     out = []
     for band in bands.reached(len(shingles)):
         if not band.differ:
             continue  # only equal sets are linked there
         part = ((shingles >> np.uint64(32)) * np.uint64(band.parts) >> np.uint64(32)).astype(np.int64)
-        bits = mix64(shingles)
         sketch = np.zeros(band.parts, np.uint64)
-        np.bitwise_xor.at(sketch, part, bits)
+        np.bitwise_xor.at(sketch, part, mix64(shingles))
         strength = np.bincount(part, minlength=band.parts) * band.parts + np.arange(band.parts)
-        chosen = np.argsort(strength)[band.spare :]
-        place = (chosen + (band.number << 32)).astype(np.uint64)
-        out.append(mix64(mix64(sketch[chosen]) + mix64(place)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        order = np.argsort(-strength)
+        place = (order + (band.number << 32)).astype(np.uint64)
+        out.append((band.differ + 1, mix64(mix64(sketch[order]) + mix64(place))))
+    return out
+
+
+def chosen_keys(keys: list[tuple[int, np.ndarray]], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The keys to meet under, cold and hot ones, and how many hot parts there are. ``hot`` is sorted."""
+    cold_out, hot_out, n_hot = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+    for keep, all_keys in keys:
+        is_hot = hot[np.searchsorted(hot, all_keys) % len(hot)] == all_keys if len(hot) else np.zeros(len(all_keys), bool)
+        cold = all_keys[~is_hot][:keep]
+        cold_out.append(cold)
+        hot_out.append(all_keys[is_hot][: keep - len(cold)])
+        n_hot += int(is_hot.sum())
+    return np.concatenate(cold_out), np.concatenate(hot_out), n_hot
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -128,36 +147,46 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, keys`` for every row."""
+def set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bands = Shingler(size), Bands(percent)
+
+def set_keys(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, n_shingles, set_key`` for every row."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
         for batch in slices(batches):
             sets = [shingler(t) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    lists([sketch_keys(s, bands) for s in sets]),
-                ],
-                names=["doc_id", "n_shingles", "set_key", "keys"],
-            )
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key"])
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, keys array<long>")
+    return docs.mapInArrow(keyed, "doc_id long, n_shingles long, set_key binary")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``node, shingles`` for every row."""
+def of_nodes(docs: DataFrame, nodes: DataFrame, size: int, schema: str, columns) -> DataFrame:
+    """``node`` and the columns that ``columns`` makes of the sets of ``nodes`` (``node``, ``set_key``)."""
+    rows = docs.join(small(nodes.withColumnRenamed("node", "doc_id")), "doc_id").select("doc_id", "text", "set_key")
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in slices(batches):
             sets = [shingler(t) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(sets)], names=["node", "shingles"])
+            own = np.array([set_key(s) == k for s, k in zip(sets, batch.column("set_key").to_pylist(), strict=True)], bool)  # else another row of the id
+            kept = batch.filter(pa.array(own))
+            arrays = columns([s for s, ok in zip(sets, own, strict=True) if ok])
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), *arrays], names=[c.split()[0] for c in f"node long, {schema}".split(", ")])
 
-    return docs.mapInArrow(shingled, "node long, shingles array<long>")
+    return rows.mapInArrow(made, f"node long, {schema}")
+
+
+def hot_keys(sample: DataFrame) -> np.ndarray:
+    """The keys that at least ``HOT`` sets of the sample make, at most ``SMALL`` of them; sorted."""
+    counts = cut(sample.select("node", F.explode("keys").alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT))
+    least = HOT
+    while counts.where(F.col("n") >= least).count() > SMALL:
+        least *= 2
+    return np.sort(np.array([r.key for r in counts.where(F.col("n") >= least).collect()], np.int64).view(np.uint64))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -194,19 +223,37 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     the smallest id in it.
     """
     docs = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "cast(text AS string) AS text")
-    base = stored(sketched(docs, size, percent), "sketches")
-    classes = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
-    keyed = classes.where("node IS NOT NULL").select(F.explode("keys").alias("key"), "node")
+    base = stored(set_keys(docs, size), "sets")
+    classes = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    nodes = cut(classes.where("node IS NOT NULL").groupBy("node").agg(F.min("set_key").alias("set_key")))
+
+    def all_keys(sets: list[np.ndarray]) -> list[pa.Array]:
+        bands = Bands(percent)
+        return [lists([np.concatenate([np.zeros(0, np.uint64), *(k for _, k in sketch_keys(s, bands))]) for s in sets])]
+
+    sampled = nodes.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_keys(of_nodes(docs, sampled, size, "keys array<long>", all_keys)))
+
+    def chosen(sets: list[np.ndarray]) -> list[pa.Array]:
+        bands = Bands(percent)
+        cold, warm, n = zip(*(chosen_keys(sketch_keys(s, bands), hot.value) for s in sets), strict=True) if sets else ((), (), ())
+        return [lists(list(cold)), lists(list(warm)), pa.array(n, pa.int32())]
 
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+    keyed = stored(of_nodes(docs, nodes, size, "cold array<long>, hot array<long>, n_hot int", chosen), "sketches")
+    cold = keyed.select(F.explode("cold").alias("key"), "node")
+    buckets = cold.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
     buckets = stored(buckets.where("low < high"), "buckets")
-    large = small(buckets.where("n > 2").select("key", "low"))
-    members = stored(keyed.join(large, "key").select("key", "node", "low"), "members")
+    large = small(buckets.where("n > 2").select("key", F.col("low").alias("pivot")))
+    warm = cut(keyed.where("size(hot) > 0").select(F.explode("hot").alias("key"), "node", "n_hot"))
+    central = warm.groupBy("key").agg(F.min_by("node", F.struct(-F.col("n_hot"), "node")).alias("pivot"))
+    members = stored(cold.join(large, "key").union(warm.select("key", "node").join(central, "key")), "members")
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    pairs = cut(pairs.union(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct())
+    with_pivot = members.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    pairs = cut(pairs.union(with_pivot).distinct())
 
     met = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = stored(shingle_sets(docs.join(small(met), "doc_id", "left_semi"), size).dropDuplicates(["node"]), "sets")
+    to_verify = cut(nodes.join(met.withColumnRenamed("doc_id", "node"), "node", "left_semi"))
+    sets = stored(of_nodes(docs, to_verify, size, "shingles array<long>", lambda sets: [lists(sets)]).dropDuplicates(["node"]), "shingles")
     labels = met.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
     labels = relabelled(labels, verified(pairs, sets, percent))
 

@@ -37,8 +37,11 @@ def family(rng, base, copies, edits):
         yield " ".join(words)
 
 
-@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
-def test_components_against_all_pairs(spark, size, percent):
+@pytest.mark.parametrize(("size", "percent", "hot"), [(4, 85, None), (5, 80, None), (4, 85, 2)])
+def test_components_against_all_pairs(spark, monkeypatch, size, percent, hot):
+    if hot:
+        monkeypatch.setattr(pj, "SAMPLED", 1)
+        monkeypatch.setattr(pj, "HOT", hot)
     rng = random.Random(size)
     texts = []
     for length in (6, 9, 14, 25, 60, 61, 150, 400):
@@ -60,6 +63,15 @@ def test_components_against_all_pairs(spark, size, percent):
 
 def test_similar_sets_always_meet():
     rng, bands = np.random.default_rng(1), pj.Bands(85)
+
+    def meet(a, b):
+        """Whatever keys are hot: some of one, of both or of neither set."""
+        keys = [pj.sketch_keys(s, bands) for s in (a, b)]
+        every = np.concatenate([k for x in keys for _, k in x])
+        hot = np.sort(rng.choice(every, rng.integers(0, len(every) + 1), replace=False))
+        (cold_a, warm_a, _), (cold_b, warm_b, _) = (pj.chosen_keys(k, hot) for k in keys)
+        return len(np.intersect1d(cold_a, cold_b)) + len(np.intersect1d(warm_a, warm_b))
+
     for n in (7, 8, 13, 40, 41, 100, 333, 1000):
         for _ in range(30):
             pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
@@ -69,7 +81,7 @@ def test_similar_sets_always_meet():
             b = np.unique(np.concatenate((a[drop:], pool[n : n + rng.integers(0, differ - drop + 1)])))
             common = len(np.intersect1d(a, b))
             if 100 * common >= 85 * (len(a) + len(b) - common) and len(a) != common:
-                assert len(np.intersect1d(pj.sketch_keys(a, bands), pj.sketch_keys(b, bands)))
+                assert meet(a, b)
 
 
 def test_chain_through_a_large_family_is_found(spark):
