@@ -6,23 +6,23 @@ hashes and their number for each part. A shingle that two sets share flips the s
 both, so the Hamming distance of two sketches is at most the size of the sets' symmetric
 difference, which a Jaccard similarity of p % bounds by (100-p)/(100+p) of the summed sizes.
 
-Size bands share one layout: for sets up to ``top`` at most ``d`` bits differ, so of
-``P = d + 1 + spare`` parts at least ``spare + 1`` are equal. Parts are put in an order that
-equal parts have in common: first those that are not hot, then those with more shingles, then
-by place. Each set makes keys of its first ``d + 1`` parts: the first of the equal parts is
-among them in either set. So two linked sets meet in at least one key, and nearly empty
-parts, which any two sets may have in common, seldom make keys. A set also makes the keys of
-larger bands that it could reach.
-
-Hot parts are those that many sets of a hashed sample have. Any choice of them gives the
-same result; what they are chosen for is that an edited copy of a text of which there are
-thousands meets its like by what is its own, not by what all of them share.
+Size bands share one layout of ``P`` parts. If a set differs from a linked one in at most
+``d`` bits, at least ``P - d`` parts are equal. Parts are put in an order that equal parts have
+in common: first those that are not hot, then those with more shingles, then by place. Each
+set makes keys of its first ``d + 1`` parts: the first of the equal parts is among them in
+either set. So two linked sets meet in at least one key, and nearly empty parts, which any
+two sets may have in common, seldom make keys. ``d`` follows from a set's own size and the
+largest that a partner can have; a set also makes the keys of larger bands it can reach.
+
+Hot parts are those that the sample has several times. Whatever the order, the result is the
+same; the sample is there so that an edited copy of a text of which there are thousands meets
+its like by what is its own, not by what all of them share.
 
 Sets that meet are verified exactly. Only components are asked for, so a bucket is not
 expanded to all pairs: its members are first compared with one member (in a hot bucket the
-one with most hot parts),
-then with a member of the bucket's largest component; what is still in another component
-is at last compared with all members of other components. Equal sets are one node.
+one with the most frequent parts), then with a member of the bucket's largest component; what
+is still in another component is at last compared with all members of other components whose
+bit sketches are near enough in Hamming distance. Equal sets are one node.
 
 Defined results: null or empty texts have no shingles and are linked with nothing, so their
 component is their own id; ids are taken to be keys (classes with the same smallest id
@@ -35,11 +35,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.components import components
@@ -50,43 +52,42 @@ from loomspark.llm.words import blank_words, mix64, slices, text_bytes
 SMALL = 1_000_000
 #: One in how many sets is in the sample for hot keys, and how many of the sample make a key hot.
 SAMPLED, HOT = 8, 4
+#: Parts of a sketch for each bit in which linked sets may differ.
+FINE = 2
+#: Words of the bit sketches by which pairs are sifted before their sets are compared.
+WORDS = 16
 #: Words whose hashes a Python worker keeps.
 MEMO = 1 << 20
 
 
 @dataclass(frozen=True)
 class Band:
-    """The sketch layout for sets of ``low`` to ``top`` shingles."""
+    """The sketch layout for pairs whose larger set has ``low`` to ``top`` shingles."""
 
     number: int
     low: int
     top: int
-    differ: int
-
-    @property
-    def spare(self) -> int:
-        return max(1, (self.differ + 1) // 2)
-
-    @property
-    def parts(self) -> int:
-        return self.differ + 1 + self.spare
+    parts: int
 
 
 class Bands:
     """Bands of growing sizes, made as they are needed."""
 
     def __init__(self, percent: int):
-        self.percent = percent
-        self.made = [self._band(0, 1, 1)]
+        self.percent, self.made = percent, [Band(0, 1, 1, FINE)]
 
-    def _band(self, number: int, low: int, top: int) -> Band:
-        return Band(number, low, top, 2 * top * (100 - self.percent) // (100 + self.percent))
+    def most_differ(self, n: int, band: Band) -> int:
+        """In how many parts at most a set of ``n`` shingles differs from a linked one in the band."""
+        larger = min(band.top, 100 * n // self.percent)
+        return (n + larger) * (100 - self.percent) // (100 + self.percent)
 
     def reached(self, n: int) -> list[Band]:
         """The bands in which a set of ``n`` shingles can have a partner at least as large."""
         while self.percent * self.made[-1].low <= 100 * n or self.made[-1].top < n:
             low = self.made[-1].top + 1
-            self.made.append(self._band(len(self.made), low, max(low, low * 3 // 2)))
+            top = max(low, low * 3 // 2)
+            most = 2 * top * (100 - self.percent) // (100 + self.percent)
+            self.made.append(Band(len(self.made), low, top, FINE * (most + 1)))
         return [b for b in self.made if b.top >= n and self.percent * b.low <= 100 * n]
 
 
@@ -117,7 +118,8 @@ def sketch_keys(shingles: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarra
     """For each band that can have a link: how many keys to keep, and a key for each part, strong parts first."""
     out = []
     for band in bands.reached(len(shingles)):
-        if not band.differ:
+        differ = bands.most_differ(len(shingles), band)
+        if not differ:
             continue  # only equal sets are linked there
         part = ((shingles >> np.uint64(32)) * np.uint64(band.parts) >> np.uint64(32)).astype(np.int64)
         sketch = np.zeros(band.parts, np.uint64)
@@ -125,20 +127,39 @@ def sketch_keys(shingles: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarra
         strength = np.bincount(part, minlength=band.parts) * band.parts + np.arange(band.parts)
         order = np.argsort(-strength)
         place = (order + (band.number << 32)).astype(np.uint64)
-        out.append((band.differ + 1, mix64(mix64(sketch[order]) + mix64(place))))
+        out.append((differ + 1, mix64(mix64(sketch[order]) + mix64(place))))
     return out
 
 
-def chosen_keys(keys: list[tuple[int, np.ndarray]], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The keys to meet under, cold and hot ones, and how many hot parts there are. ``hot`` is sorted."""
-    cold_out, hot_out, n_hot = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+def chosen_keys(keys: list[tuple[int, np.ndarray]], hot: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The keys to meet under, cold and hot ones, and how often the sample has the parts in all.
+
+    ``hot``: the hot keys, sorted, and ``seen``: how often the sample has each.
+    """
+    cold_out, hot_out, total = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
     for keep, all_keys in keys:
-        is_hot = hot[np.searchsorted(hot, all_keys) % len(hot)] == all_keys if len(hot) else np.zeros(len(all_keys), bool)
-        cold = all_keys[~is_hot][:keep]
-        cold_out.append(cold)
-        hot_out.append(all_keys[is_hot][: keep - len(cold)])
-        n_hot += int(is_hot.sum())
-    return np.concatenate(cold_out), np.concatenate(hot_out), n_hot
+        times = np.zeros(len(all_keys), np.int64)
+        if len(hot):
+            at = np.searchsorted(hot, all_keys) % len(hot)
+            times = np.where(hot[at] == all_keys, seen[at], 0)
+        chosen = np.argsort(times, kind="stable")[:keep]
+        cold_out.append(all_keys[chosen[times[chosen] == 0]])
+        hot_out.append(all_keys[chosen[times[chosen] > 0]])
+        total += int(times.sum())
+    return np.concatenate(cold_out), np.concatenate(hot_out), total
+
+
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """``WORDS`` words of which each shingle flips one bit."""
+    out = np.zeros(WORDS, np.uint64)
+    bits = mix64(shingles + np.uint64(1))
+    np.bitwise_xor.at(out, (bits >> np.uint64(32)) % np.uint64(WORDS), np.uint64(1) << (bits & np.uint64(63)))
+    return out
+
+
+def hamming(a: str, b: str) -> Column:
+    """The distance of two sketch columns: at most the size of the sets' symmetric difference."""
+    return reduce(add, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WORDS)))
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -180,13 +201,16 @@ def of_nodes(docs: DataFrame, nodes: DataFrame, size: int, schema: str, columns)
     return rows.mapInArrow(made, f"node long, {schema}")
 
 
-def hot_keys(sample: DataFrame) -> np.ndarray:
-    """The keys that at least ``HOT`` sets of the sample make, at most ``SMALL`` of them; sorted."""
+def hot_keys(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that at least ``HOT`` sets of the sample make, sorted, and how many; at most ``SMALL`` keys."""
     counts = cut(sample.select("node", F.explode("keys").alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT))
     least = HOT
     while counts.where(F.col("n") >= least).count() > SMALL:
         least *= 2
-    return np.sort(np.array([r.key for r in counts.where(F.col("n") >= least).collect()], np.int64).view(np.uint64))
+    found = np.array([(r.key, r.n) for r in counts.where(F.col("n") >= least).collect()], np.int64).reshape(-1, 2)
+    keys = found[:, 0].copy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found[order, 1]
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -236,10 +260,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     def chosen(sets: list[np.ndarray]) -> list[pa.Array]:
         bands = Bands(percent)
-        cold, warm, n = zip(*(chosen_keys(sketch_keys(s, bands), hot.value) for s in sets), strict=True) if sets else ((), (), ())
-        return [lists(list(cold)), lists(list(warm)), pa.array(n, pa.int32())]
+        cold, warm, n = zip(*(chosen_keys(sketch_keys(s, bands), *hot.value) for s in sets), strict=True) if sets else ((), (), ())
+        return [lists(list(cold)), lists(list(warm)), pa.array(n, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists([bit_sketch(s) for s in sets])]
 
-    keyed = stored(of_nodes(docs, nodes, size, "cold array<long>, hot array<long>, n_hot int", chosen), "sketches")
+    keyed = stored(of_nodes(docs, nodes, size, "cold array<long>, hot array<long>, n_hot long, n long, sketch array<long>", chosen), "sketches")
     cold = keyed.select(F.explode("cold").alias("key"), "node")
     buckets = cold.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
     buckets = stored(buckets.where("low < high"), "buckets")
@@ -263,12 +287,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         placed = stored(placed.join(split, "key", "left_semi"), "split")
         counts = placed.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("pivot"))
         main = cut(counts.groupBy("key").agg(F.max_by(F.struct("label", "pivot"), F.struct("n", "label")).alias("m")).select("key", F.col("m.label").alias("main"), F.col("m.pivot").alias("pivot")))
-        strays = placed.join(main, "key").where("label <> main")
         if exhaustive:
-            others = placed.select("key", F.col("node").alias("other"), F.col("label").alias("label_other"))
-            met_again = strays.join(others, "key").where("label <> label_other").select("node", "other")
+            placed = stored(placed.join(keyed.select("node", "n", "sketch").dropDuplicates(["node"]), "node"), "placed")
+            strays = placed.join(main, "key").where("label <> main").select("key", "node", "label", "n", "sketch")
+            others = placed.select(F.col("key").alias("key_2"), F.col("node").alias("other"), F.col("label").alias("label_2"), F.col("n").alias("m"), F.col("sketch").alias("sketch_2"))
+            size_fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+            near = (100 + percent) * hamming("sketch", "sketch_2") <= (100 - percent) * (F.col("n") + F.col("m"))
+            met_again = strays.join(others, (F.col("key") == F.col("key_2")) & (F.col("label") != F.col("label_2")) & size_fits & near)
         else:
-            met_again = strays.select("node", F.col("pivot").alias("other"))
+            met_again = placed.join(main, "key").where("label <> main").withColumnRenamed("pivot", "other")
         pairs = cut(met_again.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
         labels = relabelled(labels, verified(pairs, sets, percent))
 

@@ -68,8 +68,9 @@ def test_similar_sets_always_meet():
         """Whatever keys are hot: some of one, of both or of neither set."""
         keys = [pj.sketch_keys(s, bands) for s in (a, b)]
         every = np.concatenate([k for x in keys for _, k in x])
-        hot = np.sort(rng.choice(every, rng.integers(0, len(every) + 1), replace=False))
-        (cold_a, warm_a, _), (cold_b, warm_b, _) = (pj.chosen_keys(k, hot) for k in keys)
+        hot = np.unique(rng.choice(every, rng.integers(0, len(every) + 1), replace=False))
+        seen = rng.integers(1, 9, len(hot))
+        (cold_a, warm_a, _), (cold_b, warm_b, _) = (pj.chosen_keys(k, hot, seen) for k in keys)
         return len(np.intersect1d(cold_a, cold_b)) + len(np.intersect1d(warm_a, warm_b))
 
     for n in (7, 8, 13, 40, 41, 100, 333, 1000):
