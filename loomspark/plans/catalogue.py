@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as fx
-from loomspark.operators import facts, listing, report, secrets, templates, verify
+from loomspark.operators import facts, listing, report, rewrite, secrets, templates, verify
 from loomspark.plans import oracle
 from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FACT_CORPUS, FILES, LISTING, SCOPE_CORPUS, SECRET_CORPUS, read, sql
 from loomspark.sources import corpus
@@ -238,13 +238,45 @@ def event_windows(spark, sf_dir):
     return found.withColumn("total", F.round("total", 4))
 
 
+REWRITE_CORPUS = """
+SELECT concat('r', cast(s_suppkey AS string), '.js') AS path,
+       concat('m.component(''box', cast(s_suppkey AS string), ''', { bindings: { a: ''<'', b: ''', CASE s_suppkey % 3 WHEN 0 THEN '<?other' WHEN 1 THEN '=' ELSE '<' END, ''' } });', chr(10),
+              'm.component(''box', cast(s_suppkey AS string), ''', { bindings: { c: ''<'' } });', chr(10),
+              '$http.', CASE s_suppkey % 4 WHEN 0 THEN 'get' WHEN 1 THEN 'post' WHEN 2 THEN 'jsonp' ELSE 'put' END, '(', CASE s_suppkey % 2 WHEN 0 THEN concat('"/u/', cast(s_suppkey AS string), '"') ELSE 'base + id' END, ');', chr(10),
+              'fmt(''', s_name, ''', 3); fmt(x, 4);') AS content
+FROM supplier"""
+
+
+def input_classes(spark, sf_dir):
+    return rewrite.input_classes(sql(spark, sf_dir, REWRITE_CORPUS))
+
+
+def http_calls(spark, sf_dir):
+    return rewrite.http_calls(sql(spark, sf_dir, REWRITE_CORPUS))
+
+
+def literal_calls(spark, sf_dir):
+    return rewrite.literal_calls(sql(spark, sf_dir, REWRITE_CORPUS)).where("callee = 'fmt'").select("path", "callee", "arguments")
+
+
+def event_buses(spark, sf_dir):
+    named = event_pairs(spark, sf_dir).withColumn("event", F.concat(F.lit("user:ev-"), F.col("event")))
+    return rewrite.event_buses(named)
+
+
+def router_tables(spark, sf_dir):
+    found = sql(spark, sf_dir, "SELECT concat('app', cast(c_custkey % 40 AS string)) AS path, c_custkey AS ordinal, CASE c_custkey % 7 WHEN 0 THEN '//' ELSE concat('/list/item-', cast(c_custkey AS string)) END AS path_or_state, c_custkey % 11 = 3 AS otherwise FROM customer")
+    modules = sql(spark, sf_dir, "SELECT concat('app', cast(n_nationkey AS string)) AS path, 1 AS ordinal, concat('shop.mod', cast(n_nationkey AS string)) AS name FROM nation")
+    return rewrite.router_tables(found, modules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         secret_findings, secret_findings_by_rule, secret_redacted, document_tokens, document_scope, scope_counts, modules, module_edges, registrations,
         routes, watches, inventory_counts, event_pairs, repository_facts, remediated_configs, tiers_by_type, failed_checks, file_outcomes, honest_rates,
         template_resolution, orphan_templates, unique_paths, first_claims, fallback_routes, first_place_last_value, names, page_attributes, page_tags,
-        rewritten_templates, diagnostics, compile_rounds, boundary_rows, characterized, parameter_types, event_windows,
+        rewritten_templates, diagnostics, compile_rounds, boundary_rows, characterized, parameter_types, event_windows, input_classes, http_calls, literal_calls, event_buses, router_tables,
     )
 }
 

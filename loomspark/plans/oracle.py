@@ -189,6 +189,31 @@ SELECT l_orderkey AS target_id, l_linenumber AS parameter,
             WHEN count(*) FILTER (l_returnflag <> 'R') = 0 THEN 'boolean' END AS type
 FROM lineitem GROUP BY 1, 2""",
         "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+        "input_classes": """
+WITH k AS (SELECT s_suppkey AS k, 'r' || s_suppkey || '.js' AS path, 'box' || s_suppkey AS name FROM supplier)
+SELECT path, name, k % 3 <> 1 AS matched, CASE k % 3 WHEN 0 THEN 'export class Box' || k || 'Component {' || chr(10) || '  @Input() a: any;' || chr(10) || '  @Input(''other'') b: any;' || chr(10) || '}'
+  WHEN 2 THEN 'export class Box' || k || 'Component {' || chr(10) || '  @Input() a: any;' || chr(10) || '  @Input() b: any;' || chr(10) || '}' END AS output,
+  CASE WHEN k % 3 = 1 THEN 'a binding is not one-way' END AS reason FROM k
+UNION ALL SELECT path, name, k % 3 = 1, CASE WHEN k % 3 = 1 THEN 'export class Box' || k || 'Component {' || chr(10) || '  @Input() c: any;' || chr(10) || '}' END, CASE WHEN k % 3 <> 1 THEN 'duplicate name' END FROM k""",
+        "http_calls": """
+SELECT 'r' || s_suppkey || '.js' AS path, 3 AS line, CASE s_suppkey % 4 WHEN 0 THEN 'get' WHEN 1 THEN 'post' WHEN 2 THEN 'jsonp' ELSE 'put' END AS verb,
+       CASE WHEN s_suppkey % 2 = 0 THEN '/u/' || s_suppkey END AS url, s_suppkey % 4 IN (1, 3) AS has_body,
+       CASE WHEN s_suppkey % 4 = 2 THEN 'jsonp' WHEN s_suppkey % 2 = 1 THEN 'the url is not a literal' END AS reason FROM supplier""",
+        "literal_calls": "SELECT 'r' || s_suppkey || '.js' AS path, 'fmt' AS callee, '''' || s_name || ''',3' AS arguments FROM supplier",
+        "event_buses": """
+WITH p AS (
+  SELECT cast(user_id AS VARCHAR) AS path, json_extract_string(props, '$.k') AS event, min(event_id) AS first_at FROM events WHERE event_type <> 'signup'
+  GROUP BY 1, 2 HAVING count(*) FILTER (event_type IN ('click', 'view')) > 0 AND count(*) FILTER (event_type IN ('purchase', 'error')) > 0)
+SELECT path, true AS matched, '@Injectable({ providedIn: ''root'' })' || chr(10) || 'export class EventBusService {' || chr(10) ||
+       string_agg('  readonly userEv' || event || '$ = new Subject<any>();', chr(10) ORDER BY first_at) || chr(10) || '}' AS output, NULL::VARCHAR AS reason
+FROM p GROUP BY path""",
+        "router_tables": """
+WITH r AS (SELECT c_custkey % 40 AS f, c_custkey AS k, c_custkey % 7 = 0 AS nameless, c_custkey % 11 = 3 AS otherwise FROM customer),
+g AS (SELECT f, string_agg('  { path: ''list/item-' || k || ''', component: ListItem' || k || 'Component },', chr(10) ORDER BY k) FILTER (NOT otherwise AND NOT nameless) AS entries,
+        count(*) FILTER (NOT otherwise AND nameless) AS skipped, arg_max(CASE WHEN nameless THEN '/' ELSE 'list/item-' || k END, k) FILTER (otherwise) AS fallback FROM r GROUP BY f)
+SELECT 'app' || f AS path, CASE WHEN f < 25 THEN 'Mod' || f || 'Routes' ELSE 'AppRoutes' END AS constant,
+       'export const ' || CASE WHEN f < 25 THEN 'Mod' || f || 'Routes' ELSE 'AppRoutes' END || ': Routes = [' || chr(10) || entries || coalesce(chr(10) || '  { path: ''**'', redirectTo: ''' || fallback || ''' },', '') || chr(10) || '];' AS output,
+       skipped FROM g WHERE entries IS NOT NULL""",
         "compile_rounds": """
 WITH RECURSIVE pending AS (SELECT c_custkey AS item, 'e' || c_custkey AS a, CASE WHEN c_custkey % 3 = 0 THEN 'h' || (c_custkey % 50) END AS b FROM customer),
 logs AS (SELECT DISTINCT 1 + c_custkey % 4 AS round, CASE WHEN c_custkey % 2 = 0 THEN 'e' || c_custkey ELSE 'h' || (c_custkey % 50) END AS file FROM customer WHERE c_custkey % 10 IN (2, 5, 7) AND c_custkey % 4 <> 3),
