@@ -57,7 +57,7 @@ FINE = 2
 #: Words of the bit sketches by which pairs are sifted before their sets are compared.
 WORDS = 16
 #: Words whose hashes a Python worker keeps.
-MEMO = 1 << 20
+MEMO = 1 << 17
 
 
 @dataclass(frozen=True)

@@ -101,7 +101,7 @@ def chosen_features(rows: DataFrame, max_features: int, least: int, z: float) ->
                 seen.update(found)
                 if label:
                     toxic.update(found)
-            if len(seen) > 1 << 18:
+            if len(seen) > 1 << 16:
                 yield flushed(seen, toxic)
                 seen, toxic = Counter(), Counter()
         yield flushed(seen, toxic)
