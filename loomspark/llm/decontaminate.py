@@ -188,19 +188,19 @@ def cut_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes
 
     A cut text is searched again until nothing is found, since a cut brings words together.
     A document of which no word is left goes; one that never had a hit stays as it is, even
-    if it is empty. Blocks of items are cut one after another.
+    if it is empty. Every search is for the items of all blocks, and what they find is cut at once.
     """
     columns, sc = docs.columns, docs.sparkSession.sparkContext
     typed = docs.withColumns({"text": F.col("text").cast("string")} | ({"n_chars": F.col("n_chars").cast("long")} if "n_chars" in columns else {}))
 
-    def cutting(block):
+    def cutting(blocks):
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 texts, dirty, keep = text_bytes(batch.column("text")), list(range(batch.num_rows)), np.ones(batch.num_rows, bool)
                 changed: set[int] = set()
                 while dirty:
-                    hits = search_shard([texts[k] for k in dirty], block.value)
-                    hit = [(k, spans) for k, spans in zip(dirty, hits.spans, strict=True) if spans]
+                    found = [search_shard([texts[k] for k in dirty], block.value).spans for block in blocks]
+                    hit = [(k, merged([s for x in spans for s in x])) for k, *spans in zip(dirty, *found, strict=True) if any(spans)]
                     for k, spans in hit:
                         texts[k] = cut_spans(texts[k], spans)
                         changed.add(k)
@@ -219,6 +219,4 @@ def cut_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes
 
         return cut
 
-    for block in [sc.broadcast(b) for b in item_blocks(benchmark, size, block_bytes)]:
-        typed = typed.mapInArrow(cutting(block), typed.schema)
-    return typed
+    return typed.mapInArrow(cutting([sc.broadcast(b) for b in item_blocks(benchmark, size, block_bytes)]), typed.schema)

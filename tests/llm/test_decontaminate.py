@@ -71,3 +71,12 @@ def test_empty_tables(spark):
     assert dc.leak_report(docs, items).count() == 0
     assert [(r.n_words, r.n_hit, r.contaminated) for r in dc.leak_report(some, items).collect()] == [(3, 0, False)]
     assert dc.cut_leaks(some, items).count() == 1
+
+
+def test_cut_does_not_depend_on_the_blocks_of_items(spark):
+    passages = [[f"p{k}w{n}" for n in range(24)] for k in range(8)]
+    docs = spark.createDataFrame([(k, " ".join(["before", *p[:20], "after"])) for k, p in enumerate(passages)], "doc_id long, text string")
+    items = [(2 * k + side, " ".join(p[:12] if side == 0 else p[7:20])) for k, p in enumerate(passages) for side in (0, 1)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({r.doc_id: r.text for r in dc.cut_leaks(docs, benchmark, 10, b).collect()} for b in (1 << 20, 300))
+    assert one == many == {k: "before \n after" for k in range(8)}
