@@ -1,22 +1,24 @@
 """LM scoring by Brown class-based n-grams.
 
 Words (cut at white space, A-Z folded) and one end token a text make the training counts.
-The ``M`` most frequent words are items of their own, all others share ``BUCKETS`` items by
-their last four bytes. Exchange clustering puts each item into one of ``classes`` classes:
-in every round Spark sums, for each item, its followers and predecessors by class, and each
-item of one half of the vocabulary goes to the class that raises the class-bigram
-likelihood most, the other classes being as the round began. The end token has a class of
-its own and is also what comes before the first word.
+Every word is an item of its own. Exchange clustering puts each item into one of ``classes``
+classes: in every round Spark sums, for each item, its followers and predecessors by class,
+and each item of one half of the vocabulary goes to the class that raises the class-bigram
+likelihood most, the other classes being as the round began. Rounds end when neither half
+moves. The end token has a class of its own and is also what comes before the first word.
 
-    P(word | before) = P(class | class before) * P(item | class) * P(word | item)
+    P(word | before) = P(class | class before) * P(word | class)
 
-Transitions are smoothed with class frequencies, items by adding one, and a bucket's words
-by adding one with room for one unknown word, so the probabilities sum to one.
+Transitions are smoothed with class frequencies, words by adding one; a class of its own has
+the one word that training has not seen. So the probabilities sum to one.
 
-At scale: counts are combined in the tasks before they are shuffled. What is broadcast is
-bounded by parameters: the counts of at most ``head`` words, the classes of the items, the
-class bigrams. Counts of rarer words grow with the corpus, so they are not broadcast: each
-text's rare words are joined to them by a shuffle, and only sums return to the texts.
+At scale: counts are combined in the tasks before they are shuffled. Words, their classes and
+their bigrams are tables, joined by shuffles in every round. What is broadcast is bounded by
+parameters: counts and classes of at most ``head`` words, the class bigrams. Pairs with a
+rarer word are joined to its class by a shuffle, and only sums return to the texts.
+
+With ``singles`` given, only so many words are items of their own, and all others share
+``BUCKETS`` items by their last four bytes; ``op10_class_lm`` does not use that.
 
 Defined results: null and empty texts have the end token alone; a text with a null id is
 trained on; without training texts all counts are 0; repeated rows are trained on and
@@ -44,6 +46,8 @@ from loomspark.llm.words import blank_words, slices, text_bytes
 BUCKETS = 1024
 #: Weight of the class frequencies in the smoothed transitions.
 PRIOR = 5.0
+#: The end token among words, none of which is empty.
+END = b""
 
 
 def left_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -155,79 +159,160 @@ def item_bigrams(docs: DataFrame, vocab) -> DataFrame:
     return docs.select("text").mapInArrow(counted, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
+def word_bigrams(docs: DataFrame) -> DataFrame:
+    """``u, v, n``: how often word ``v`` follows word ``u``; ``END`` stands before and after a text."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def written() -> pa.RecordBatch:
+            u, v = zip(*seen, strict=True) if seen else ((), ())
+            batch = pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["u", "v", "n"])
+            seen.clear()
+            return batch
+
+        for batch in slices(batches, 256):
+            for text in text_bytes(batch.column("text")):
+                words = blank_words(text)
+                seen.update(zip([END, *words], [*words, END], strict=True))
+                if len(seen) > 1 << 17:
+                    yield written()
+        yield written()
+
+    return docs.select("text").mapInArrow(counted, "u binary, v binary, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+
+
 def x_log_x(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def best_class(own: int, after: np.ndarray, before: np.ndarray, itself: float, table: np.ndarray, choices: int) -> tuple[int, float]:
-    """Where an item raises the class-bigram likelihood most, and by how much over staying.
+def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np.ndarray, table: np.ndarray, choices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each item raises the class-bigram likelihood most, and by how much over staying.
 
-    ``after`` and ``before``: its followers and predecessors by class; ``table``: class bigrams.
+    ``after`` and ``before``: a row of followers and predecessors by class for each item;
+    ``table``: class bigrams. Only classes that an item has beside it are looked at.
     """
-    t, r, c = table.copy(), after.copy(), before.copy()
-    t[own] -= after
-    t[:, own] -= before
-    t[own, own] += itself
-    r[own] -= itself
-    c[own] -= itself
-    gain = (x_log_x(t + r) - x_log_x(t)).sum(axis=1) + (x_log_x(t.T + c) - x_log_x(t.T)).sum(axis=1)
-    d = np.diag(t)
-    gain += x_log_x(d + r + c + itself) - x_log_x(d + r) - x_log_x(d + c) + x_log_x(d)
-    rows, columns = t.sum(axis=1) + c, t.sum(axis=0) + r
-    gain -= x_log_x(rows + after.sum()) - x_log_x(rows) + x_log_x(columns + before.sum()) - x_log_x(columns)
-    to = int(np.argmax(gain[:choices]))
-    return to, float(gain[to] - gain[own])
-
-
-def class_table(bigrams: DataFrame, classes: np.ndarray) -> np.ndarray:
+    rows, size = np.arange(len(own)), len(table)
+    r, c = after.copy(), before.copy()
+    r[rows, own] -= itself
+    c[rows, own] -= itself
+
+    def grown(adds: np.ndarray, taken: np.ndarray, other: np.ndarray, t: np.ndarray) -> np.ndarray:
+        of, beside = np.nonzero(adds)
+        base = t[:, beside].T.copy()
+        base[np.arange(len(of)), own[of]] -= taken[of, beside]
+        mine = np.flatnonzero(beside == own[of])
+        base[mine] -= other[of[mine]]
+        base[mine, own[of[mine]]] += itself[of[mine]]
+        out = np.zeros((len(own), size))
+        if len(of):
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            out[of[starts]] = np.add.reduceat(x_log_x(base + adds[of, beside][:, None]) - x_log_x(base), starts)
+        return out
+
+    gain = grown(r, after, before, table) + grown(c, before, after, table.T)
+    d = np.tile(np.diag(table), (len(own), 1))
+    d[rows, own] += itself - after[rows, own] - before[rows, own]
+    s = itself[:, None]
+    gain += x_log_x(d + r + c + s) - x_log_x(d + r) - x_log_x(d + c) + x_log_x(d)
+    for sums, x in ((table.sum(axis=1), after.sum(axis=1)), (table.sum(axis=0), before.sum(axis=1))):
+        without = np.tile(sums, (len(own), 1))
+        without[rows, own] -= x
+        gain -= x_log_x(without + x[:, None]) - x_log_x(without)
+    to = np.argmax(gain[:, :choices], axis=1)
+    return to, gain[rows, to] - gain[rows, own]
+
+
+def best_class(own: int, after: np.ndarray, before: np.ndarray, itself: float, table: np.ndarray, choices: int) -> tuple[int, float]:
+    """``best_classes`` of one item."""
+    to, gain = best_classes(np.array([own]), *(np.array([x], float) for x in (after, before)), np.array([itself], float), table, choices)
+    return int(to[0]), float(gain[0])
+
+
+def item_sums(bigrams: DataFrame, classes: DataFrame) -> DataFrame:
+    """``item, own, sums, itself``: of every item its class, and its followers and predecessors by class."""
+    of = lambda name: classes.select(F.col("item").alias(name), F.col("class").alias("c"))
+    nothing = F.lit(0).cast("long")
+    after = bigrams.join(of("v"), "v").groupBy(F.col("u").alias("item"), "c").agg(F.sum("n").alias("after"), nothing.alias("before"), F.sum(F.when(F.col("u") == F.col("v"), F.col("n")).otherwise(0)).alias("itself"))
+    before = bigrams.join(of("u"), "u").groupBy(F.col("v").alias("item"), "c").agg(nothing.alias("after"), F.sum("n").alias("before"), nothing.alias("itself"))
+    # At most one row a class and side meets in an item's list, whatever the corpus.
+    sums = after.union(before).groupBy("item").agg(F.collect_list(F.struct("c", "after", "before")).alias("sums"), F.sum("itself").alias("itself"))
+    none = F.array().cast("array<struct<c:int,after:bigint,before:bigint>>")
+    return classes.join(sums, "item", "left").select("item", F.col("class").alias("own"), F.coalesce("sums", none).alias("sums"), F.coalesce("itself", F.lit(0)).alias("itself"))
+
+
+def class_table(sums: DataFrame, size: int) -> np.ndarray:
     """Class bigrams; at most the square of the number of classes comes to the driver."""
-    size = int(classes.max()) + 1
-    of = F.lit(classes.tolist())
-    sums = bigrams.groupBy(F.get(of, F.col("u")).alias("a"), F.get(of, F.col("v")).alias("b")).agg(F.sum("n").alias("n"))
     out = np.zeros((size, size))
-    for r in sums.collect():
-        out[r.a, r.b] = r.n
+    pairs = sums.select("own", F.explode("sums").alias("s")).groupBy("own", F.col("s.c").alias("c")).agg(F.sum("s.after").alias("n"))
+    for r in pairs.collect():
+        out[r.own, r.c] = r.n
     return out
 
 
-def exchanged(bigrams: DataFrame, classes: np.ndarray, table: np.ndarray, half: int, choices: int) -> dict[int, int]:
-    """The moves of the items of one half; every item's sums meet in one small group."""
-    of = F.lit(classes.tolist())
-    after = bigrams.groupBy(F.col("u").alias("item"), F.get(of, F.col("v")).alias("c")).agg(F.sum("n").alias("after"), F.lit(0).cast("long").alias("before"), F.sum(F.when(F.col("u") == F.col("v"), F.col("n")).otherwise(0)).alias("itself"))
-    before = bigrams.groupBy(F.col("v").alias("item"), F.get(of, F.col("u")).alias("c")).agg(F.lit(0).cast("long").alias("after"), F.sum("n").alias("before"), F.lit(0).cast("long").alias("itself"))
-    sums = after.union(before).where((F.col("item") < len(classes) - 1) & (F.pmod(F.xxhash64("item"), F.lit(2)) == half))
+def likelihood(table: np.ndarray) -> float:
+    return float(x_log_x(table).sum() - x_log_x(table.sum(axis=0)).sum() - x_log_x(table.sum(axis=1)).sum())
+
+
+def exchanged(sums: DataFrame, table: np.ndarray, half: int, choices: int) -> DataFrame:
+    """``item, own, to``: every item, and where those of one half would go (the others stay)."""
     size = len(table)
 
-    def moves(pdf):
-        pdf, out = pdf.sort_values("item"), []
-        items, classes_of, after, before, itself = (pdf[c].to_numpy() for c in ("item", "c", "after", "before", "itself"))
-        for part in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1):
-            own = int(classes[items[part[0]]])
-            r, c = (np.bincount(classes_of[part], x[part], size) for x in (after, before))
-            to, gain = best_class(own, r, c, float(itself[part].sum()), table, choices)
-            if to != own and gain > 1e-6:
-                out.append((items[part[0]], to))
-        return pd.DataFrame(out, columns=["item", "to"], dtype="int32")
-
-    # A group is a few dozen items of at most one row a class and side, whatever the corpus.
-    found = sums.groupBy((F.col("item") % 64).alias("group")).applyInPandas(moves, "item int, to int")
-    return {r.item: r.to for r in found.collect()}
-
-
-def cluster(bigrams: DataFrame, item_tokens: np.ndarray, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the items (the end token's is ``classes``), and the class bigrams."""
-    of = np.empty(len(item_tokens), np.int64)
-    of[np.argsort(-item_tokens, kind="stable")] = np.arange(len(item_tokens)) % classes
-    of[-1] = classes
-    table = class_table(bigrams, of)
-    for k in range(rounds):
-        moved = exchanged(bigrams, of, table, k % 2, classes)
-        for item, to in moved.items():
-            of[item] = to
-        table = class_table(bigrams, of)
-        if not moved and k:
-            break
-    return of, table
+    def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            own, trying = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("own", "trying"))
+            to, at = own.copy(), np.flatnonzero(trying)
+            if len(at):
+                lists = batch.column("sums").take(pa.array(at))
+                of, parts = np.repeat(np.arange(len(at)), lists.value_lengths().to_numpy()), lists.flatten()
+                spot = of * size + parts.field("c").to_numpy()
+                after, before = (np.bincount(spot, parts.field(k).to_numpy(), len(at) * size).reshape(len(at), size).astype(float) for k in ("after", "before"))
+                best, gain = best_classes(own[at], after, before, batch.column("itself").to_numpy()[at].astype(float), table, choices)
+                to[at] = np.where(gain > 1e-6, best, own[at])
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("own"), pa.array(to, pa.int32())], names=["item", "own", "to"])
+
+    kind = sums.schema["item"].dataType.simpleString()
+    trying = (F.col("own") < choices) & (F.pmod(F.xxhash64("item"), F.lit(2)) == half)
+    return sums.withColumn("trying", trying).mapInArrow(moves, f"item {kind}, own int, to int")
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes what ``stored`` has written."""
+    session = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = session._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cluster(bigrams: DataFrame, start: DataFrame, classes: int, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """``item, class`` of the items, and the class bigrams; ``start`` has the classes to begin with.
+
+    The halves of the items are tried in turn until neither moves (or ``rounds`` times). The
+    moves of a half are weighed apart but made together; where that doesn't raise the
+    likelihood, half of them are made, or a quarter, down to a single one. So the likelihood
+    rises with every exchange, and the rounds come to an end.
+    """
+    sums = stored(item_sums(bigrams, stored(start, "classes")), "sums")
+    table, tried, still = class_table(sums, classes + 1), 0, 0
+    while still < 2 and (rounds is None or tried < rounds):
+        moves = stored(exchanged(sums, table, tried % 2, classes), "moves")
+        tried, still, part, single = tried + 1, still + 1, 1, False
+        moved = F.col("to") != F.col("own")
+        first = moves.where(moved).agg(F.min("item").alias("item")).first().item
+        while first is not None and not single:
+            chosen = moved & (F.pmod(F.xxhash64(F.lit(tried), "item"), F.lit(part)) == 0)
+            if moves.where(chosen).isEmpty():
+                chosen, single = F.col("item") == F.lit(first), True
+            next_sums = stored(item_sums(bigrams, moves.select("item", F.when(chosen, F.col("to")).otherwise(F.col("own")).alias("class"))), "sums")
+            next_table = class_table(next_sums, classes + 1)
+            if likelihood(next_table) > likelihood(table):
+                removed(sums)
+                sums, table, still = next_sums, next_table, 0
+                break
+            removed(next_sums)
+            part *= 2
+        removed(moves)
+    return sums.select("item", F.col("own").alias("class")), table
 
 
 @dataclass
@@ -263,12 +348,90 @@ class ClassModel:
         return float(score), float(base), int((known >= 0).sum()) + bool(v.texts), rare
 
 
-def train(docs: DataFrame, head: int = 200_000, singles: int = 4096, classes: int = 64, rounds: int = 10) -> tuple[ClassModel, DataFrame]:
-    """The model of ``docs`` (``text``), and the counts (``word``, ``n``) of the words outside its head."""
+@dataclass
+class WordModel:
+    """Log10 probabilities of a model in which every word has a class of its own."""
+
+    vocab: Vocabulary
+    classes: np.ndarray
+    step: np.ndarray
+    inside: np.ndarray
+
+    @classmethod
+    def of(cls, vocab: Vocabulary, head: dict[bytes, int], members: np.ndarray, mass: np.ndarray, table: np.ndarray) -> WordModel:
+        """``head``: classes of the head's words; ``members``, ``mass``: words and tokens of each class, the end token's too."""
+        table = np.pad(table, (0, 1))
+        members, mass = np.append(members, 1), np.append(mass, 0)
+        share = np.where(members > 0, table.sum(axis=0) + 1, 0)
+        share /= share.sum()
+        with np.errstate(divide="ignore"):  # a class without words is never come to
+            step = np.log10((table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR))
+        inside = -np.log10(np.maximum(mass + members, 1))
+        return cls(vocab, np.array([head[w] for w in vocab.words], np.int64), np.where(members > 0, step, 0), inside)
+
+    @property
+    def end(self) -> int:
+        return len(self.step) - 2
+
+    @property
+    def unknown(self) -> int:
+        """The class of the word that training has not seen."""
+        return len(self.step) - 1
+
+    def score(self, words: list[bytes]) -> tuple[float, float, int, list[tuple]]:
+        """Of a text: the score and the base score without what pairs with a rare word add; known tokens; those pairs."""
+        v = self.vocab
+        known = np.fromiter(map(v.words.get, words, repeat(-1)), np.int64, len(words))
+        found = known[known >= 0]
+        counts = np.log10(v.counts[found] + 1).sum() if len(found) else 0.0
+        base = counts + np.log10(v.texts + 1) - (len(words) + 1) * np.log10(v.tokens + v.types + 1)
+        classes = np.full(len(words) + 2, self.end)
+        classes[1:-1] = np.where(known >= 0, self.classes[known], -1) if len(self.classes) else -1
+        before, after = classes[:-1], classes[1:]
+        sure = (before >= 0) & (after >= 0)
+        score = counts + np.log10(v.texts + 1) + self.step[before[sure], after[sure]].sum() + self.inside[after[after >= 0]].sum()
+        word = lambda k: None if classes[k] >= 0 else words[k - 1]
+        rare = Counter((word(k), int(classes[k]), word(k + 1), int(classes[k + 1])) for k in np.flatnonzero(~sure).tolist())
+        return float(score), float(base), len(found) + bool(v.texts), [(*pair, n) for pair, n in rare.items()]
+
+
+def train_words(docs: DataFrame, head: int = 200_000, classes: int = 64, rounds: int | None = None) -> tuple[WordModel, DataFrame]:
+    """The model of ``docs`` (``text``) with a class for every word, and the words outside its head (``word, n, class``)."""
+    counts, texts = stored(word_counts(docs), "words"), docs.count()
+    vocab, least = vocabulary(counts, texts, head, 0)
+    bigrams = stored(word_bigrams(docs), "bigrams")
+    spark = docs.sparkSession
+    ranked = spark.createDataFrame(pa.table({"word": pa.array(list(vocab.words), pa.binary()), "rank": pa.array(range(len(vocab.words)), pa.int64())}))
+    order = F.coalesce(F.col("rank"), F.xxhash64("word"))
+    start = counts.join(ranked, "word", "left").select(F.col("word").alias("item"), F.pmod(order, F.lit(classes)).cast("int").alias("class"))
+    if texts:
+        start = start.union(spark.range(1).select(F.lit(END).alias("item"), F.lit(classes).alias("class")))
+    of, table = cluster(bigrams, start, classes, rounds)
+    placed = stored(counts.join(of.withColumnRenamed("item", "word"), "word"), "placed")
+    members, mass = np.zeros(classes + 1), np.zeros(classes + 1)
+    for r in placed.groupBy("class").agg(F.count("*").alias("members"), F.sum("n").alias("mass")).collect():
+        members[r["class"]], mass[r["class"]] = r.members, r.mass
+    members[classes], mass[classes] = 1, texts
+    found = {bytes(r.word): r["class"] for r in placed.where(F.col("n") >= least).collect()}  # head rows at most
+    return WordModel.of(vocab, found, members, mass, table), placed.where(F.col("n") < least)
+
+
+def train(docs: DataFrame, head: int = 200_000, singles: int = 4096, classes: int = 64, rounds: int | None = None) -> tuple[ClassModel, DataFrame]:
+    """A smaller model, in which words beyond the ``singles`` most frequent share ``BUCKETS`` items.
+
+    Returns it and the counts (``word``, ``n``) of the words outside its head.
+    """
     counts = stored(word_counts(docs), "words")
     vocab, least = vocabulary(counts, docs.count(), head, singles)
     bigrams = stored(item_bigrams(docs, docs.sparkSession.sparkContext.broadcast(vocab)), "bigrams")
-    return ClassModel.of(vocab, *cluster(bigrams, vocab.item_tokens, classes, rounds)), counts.where(F.col("n") < least)
+    of = np.empty(len(vocab.item_tokens), np.int64)
+    of[np.argsort(-vocab.item_tokens, kind="stable")] = np.arange(len(of)) % classes
+    of[-1] = classes
+    start = docs.sparkSession.createDataFrame(pa.table({"item": pa.array(np.arange(len(of)), pa.int32()), "class": pa.array(of, pa.int32())}))
+    found, table = cluster(bigrams, start, classes, rounds)
+    for r in found.collect():  # items are at most singles + BUCKETS + 1
+        of[r["item"]] = r["class"]
+    return ClassModel.of(vocab, of, table), counts.where(F.col("n") < least)
 
 
 def class_lm_scores(docs: DataFrame, held_out: Column | None = None, **options) -> DataFrame:
@@ -277,36 +440,73 @@ def class_lm_scores(docs: DataFrame, held_out: Column | None = None, **options)
     Rows where ``held_out`` (by default the third of seven folds by id) are not learnt from.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (left_out(F.col("doc_id")) if held_out is None else held_out).alias("held_out"))
+    if "singles" in options:
+        return small_scores(texts, **options)
+    model, rare_words = train_words(texts.where(~F.col("held_out")), **options)
+    partial = stored(scored_rows(texts, model, "array<struct<u:binary,uc:int,v:binary,vc:int,n:int>>"), "scores")
+    # No word has a blank, so a pair's frequent side is sent to join under a key of its own.
+    pairs = partial.select("row", F.explode("rare").alias("r")).select("row", "r.*").withColumns(
+        {"uk": F.coalesce("u", F.concat(F.lit(b" "), "v")), "vk": F.coalesce("v", F.concat(F.lit(b" "), "u"))}
+    )
+    of = lambda k: rare_words.select(F.col("word").alias(f"{k}k"), F.col("class").alias(f"{k}f"), F.col("n").alias(f"{k}n"))
+    size = len(model.step)
+    placed = pairs.join(of("u"), "uk", "left").join(of("v"), "vk", "left").select(
+        "row",
+        "n",
+        *[F.when(F.col(f"{k}c") >= 0, F.col(f"{k}c")).otherwise(F.coalesce(f"{k}f", F.lit(model.unknown))).alias(k) for k in "uv"],
+        F.coalesce((F.col("vn") > 0).cast("long"), F.lit(0)).alias("known"),
+        (F.col("vc") < 0).alias("rare"),
+        F.log10(F.coalesce("vn", F.lit(0)) + 1).alias("count"),
+    )
+    step, inside = F.lit(model.step.ravel().tolist()), F.lit(model.inside.tolist())
+    gain = F.get(step, F.col("u") * size + F.col("v")) + F.when(F.col("rare"), F.col("count") + F.get(inside, F.col("v"))).otherwise(0.0)
+    seen = placed.groupBy("row").agg(F.sum(F.col("n") * F.col("known")).alias("more"), F.sum(F.when(F.col("rare"), F.col("n") * F.col("count")).otherwise(0.0)).alias("logs"), F.sum(F.col("n") * gain).alias("gain"))
+    return result(partial.join(seen, "row", "left"), model, F.coalesce("gain", F.lit(0.0)))
+
+
+def small_scores(texts: DataFrame, **options) -> DataFrame:
+    """The same from a model whose items ``singles`` bounds."""
     model, rare_counts = train(texts.where(~F.col("held_out")), **options)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+    partial = stored(scored_rows(texts, model, "array<struct<word:binary,n:int>>"), "scores")
+    rare = partial.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
+    seen = rare.join(rare_counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+    return result(partial.join(seen, "row", "left"), model, F.coalesce("logs", F.lit(0.0)))
+
+
+def scored_rows(texts: DataFrame, model: ClassModel | WordModel, kind: str) -> DataFrame:
+    """What the model says of every row, and in ``rare`` what is to be joined for it."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]
+    whole = isinstance(model, WordModel)
+    fields = [("u", pa.binary()), ("uc", pa.int32()), ("v", pa.binary()), ("vc", pa.int32()), ("n", pa.int32())] if whole else [("word", pa.binary()), ("n", pa.int32())]
+    listed = pa.list_(pa.struct(fields))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, model = TaskContext.get().partitionId() << 40, sent.value
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             out = []
             for text in text_bytes(batch.column("text")):
                 words = blank_words(text)
                 score, base, known, rare = model.score(words)
-                out.append((row, len(words) + 1, known, base, score, [{"word": w, "n": n} for w, n in Counter(rare).items()]))
+                rare = rare if whole else list(Counter(rare).items())
+                out.append((row, len(words) + 1, known, base, score, [dict(zip((k for k, _ in fields), x, strict=True)) for x in rare]))
                 row += 1
             rows, sizes, known, bases, scores, rare = zip(*out, strict=True) if out else [()] * 6
             long, double = pa.int64(), pa.float64()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, long), batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, long), pa.array(known, long), pa.array(bases, double), pa.array(scores, double), pa.array(rare, kind)], names=names
+                [pa.array(rows, long), batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, long), pa.array(known, long), pa.array(bases, double), pa.array(scores, double), pa.array(rare, listed)], names=names
             )
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word:binary,n:int>>"
-    partial = stored(texts.mapInArrow(scored, schema), "scores")
-    rare = partial.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
-    seen = rare.join(rare_counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
-    return partial.join(seen, "row", "left").select(
+    return texts.mapInArrow(scored, f"row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare {kind}")
+
+
+def result(rows: DataFrame, model: ClassModel | WordModel, gain: Column) -> DataFrame:
+    return rows.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.vocab.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("logs", F.lit(0.0))).alias("score"),
+        (F.col("score") + gain).alias("score"),
     )

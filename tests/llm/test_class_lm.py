@@ -86,3 +86,64 @@ def test_an_exchange_never_lowers_the_likelihood():
 
 def test_empty_table(spark):
     assert lm.class_lm_scores(spark.createDataFrame([], "doc_id long, text string"), **SMALL).count() == 0
+
+
+def likelihood_of(texts, classes):
+    pairs = Counter()
+    for t in texts:
+        w = [b"", *words(t), b""]
+        pairs.update((classes[a], classes[b]) for a, b in zip(w, w[1:]))
+    table = np.zeros((7, 7))
+    for (a, b), n in pairs.items():
+        table[a, b] = n
+    return table
+
+
+def test_every_word_has_a_class_and_no_single_move_helps(spark, rows):
+    texts = [t for _, t, _ in rows]
+    model, rare = lm.train_words(spark.createDataFrame([(t,) for t in texts], "text string"), head=40, classes=6)
+    of = {w: int(c) for w, c in zip(model.vocab.words, model.classes)} | {bytes(r.word): r["class"] for r in rare.collect()}
+    assert set(of) == {w for t in texts for w in words(t)}
+    of[b""] = 6
+    table = likelihood_of(texts, of)
+    seen = Counter(p for t in texts for p in zip([b"", *words(t)], [*words(t), b""]))
+    for word in of.keys() - {b""}:
+        after, before = np.zeros(7), np.zeros(7)
+        for (a, b), n in seen.items():
+            after[of[b]] += n * (a == word)
+            before[of[a]] += n * (b == word)
+        assert lm.best_class(of[word], after, before, seen[word, word], table, 6)[1] < 1e-5
+
+
+def test_scores_of_a_whole_model(spark, rows, scored):
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    few, many = (lm.class_lm_scores(df, head=h, classes=6, rounds=1).collect() for h in (10, 1000))
+    key = lambda rs: Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rs)
+    assert key(few) == key(many) == key(scored)
+    model, _ = lm.train_words(df.where(~lm.left_out(lm.F.col("doc_id")) | df.doc_id.isNull()), head=1000, classes=6, rounds=1)
+    got = {r.doc_id: r.score for r in many}
+    for d, t, _ in rows[:50]:
+        c = [model.end, *(model.classes[model.vocab.words[w]] if w in model.vocab.words else model.unknown for w in words(t)), model.end]
+        counts = [*(model.vocab.counts[model.vocab.words[w]] if w in model.vocab.words else 0 for w in words(t)), model.vocab.texts]
+        assert got[d] == pytest.approx(sum(model.step[a, b] + math.log10(n + 1) + model.inside[b] for a, b, n in zip(c, c[1:], counts)))
+
+
+def test_probabilities_of_a_whole_model_sum_to_one(spark, rows):
+    model, rare = lm.train_words(spark.createDataFrame([(t,) for _, t, _ in rows], "text string"), head=40, classes=6, rounds=1)
+    members = [(int(c), int(n)) for c, n in zip(model.classes, model.vocab.counts)] + [(r["class"], r.n) for r in rare.collect()]
+    members += [(model.end, model.vocab.texts), (model.unknown, 0)]
+    for before in range(8):
+        assert sum(10 ** (model.step[before, c] + model.inside[c]) * (n + 1) for c, n in members) == pytest.approx(1)
+
+
+def test_many_items_as_one_by_one():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 3, (40, 40)).astype(float)
+    classes = rng.integers(0, 5, 40)
+    of = np.eye(5)[classes]
+    table, after, before, own = of.T @ counts @ of, counts @ of, counts.T @ of, np.diag(counts).copy()
+    to, gain = lm.best_classes(classes, after, before, own, table, 5)
+    like = lambda c: lm.likelihood(np.eye(5)[c].T @ counts @ np.eye(5)[c])
+    for k in range(40):
+        moved = [like(np.where(np.arange(40) == k, c, classes)) - like(classes) for c in range(5)]
+        assert gain[k] == pytest.approx(max(moved)) and moved[to[k]] == pytest.approx(max(moved))
