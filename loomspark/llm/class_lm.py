@@ -1,24 +1,33 @@
 """LM scoring by Brown class-based n-grams.
 
 Words (cut at white space, A-Z folded) and one end token a text make the training counts.
-Every word is an item of its own. Exchange clustering puts each item into one of ``classes``
-classes: in every round Spark sums, for each item, its followers and predecessors by class,
-and each item of one half of the vocabulary goes to the class that raises the class-bigram
-likelihood most, the other classes being as the round began. Rounds end when neither half
-moves. The end token has a class of its own and is also what comes before the first word.
+Exchange clustering gives every training word one of ``classes`` classes; the end token has a
+class of its own and is also what comes before the first word.
 
     P(word | before) = P(class | class before) * P(word | class)
 
-Transitions are smoothed with class frequencies, words by adding one; a class of its own has
-the one word that training has not seen. So the probabilities sum to one.
+Transitions are smoothed with class frequencies, words by adding one. A class of its own has
+the one word that training has not seen; its share is that of the words seen once. So the
+probabilities sum to one.
 
-At scale: counts are combined in the tasks before they are shuffled. Words, their classes and
-their bigrams are tables, joined by shuffles in every round. What is broadcast is bounded by
-parameters: counts and classes of at most ``head`` words, the class bigrams. Pairs with a
-rarer word are joined to its class by a shuffle, and only sums return to the texts.
+Words are clustered in three steps, the frequent ones first, as they are what the others
+stand beside:
 
-With ``singles`` given, only so many words are items of their own, and all others share
-``BUCKETS`` items by their last four bytes; ``op10_class_lm`` does not use that.
+1. the ``seeds`` most frequent words, one by one, in turns: each goes to the class that
+   raises the class-bigram likelihood most;
+2. the other words of the ``head``, by the classes of the seeds beside them;
+3. all further words, by the classes of the head's words beside them.
+
+In 2 and 3 all words are tried at once against the class sums of the round before; what they
+stand beside keeps its class, so a round changes class sums only. A round counts only if the
+likelihood rises: else part of its moves is made, or none. Turns and rounds end when none
+moves or when the likelihood rises by less than ``least_rise`` of itself.
+
+At scale: counts are combined in the tasks before they are shuffled. What is broadcast or
+comes to the driver is bounded by parameters: counts and classes of at most ``head`` words,
+bigrams of ``seeds`` words, class sums. All other words, with what stands beside them summed
+by class, are a table hashed by word; scoring joins them by a shuffle. Words outside the head
+are known by a 64-bit hash of theirs.
 
 Defined results: null and empty texts have the end token alone; a text with a null id is
 trained on; without training texts all counts are 0; repeated rows are trained on and
@@ -27,27 +36,26 @@ scored each; extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from loomspark.llm.tables import stored
+from loomspark.llm.tables import removed, stored
 from loomspark.llm.words import blank_words, slices, text_bytes
 
-BUCKETS = 1024
 #: Weight of the class frequencies in the smoothed transitions.
 PRIOR = 5.0
-#: The end token among words, none of which is empty.
-END = b""
+#: Pairs that a task gathers before it counts them.
+GATHERED = 1 << 20
+CELLS = "array<struct<cell:int,n:bigint>>"
 
 
 def left_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -55,65 +63,48 @@ def left_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def bucket_of(word: bytes) -> int:
-    return zlib.crc32(word[-4:]) % BUCKETS
-
-
-def bucket_column(word: Column) -> Column:
-    """``bucket_of`` for a binary column."""
-    return (F.crc32(F.when(F.length(word) > 4, F.substring(word, -4, 4)).otherwise(word)) % BUCKETS).cast("int")
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` over all texts; tasks add up what they have before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def written() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return batch
+
         for batch in slices(batches):
             for text in text_bytes(batch.column("text")):
                 seen.update(blank_words(text))
             if len(seen) > 1 << 19:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-                seen = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                yield written()
+        yield written()
 
     return docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Vocabulary:
-    """The counts of the frequent words, and what is known of the items."""
+    """The head's words, most frequent first, with their counts, and the corpus' totals."""
 
     words: dict[bytes, int]
     counts: np.ndarray
-    singles: int
     texts: int
     tokens: int
     types: int
-    bucket_tokens: np.ndarray
-    bucket_types: np.ndarray
-    items: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        named = np.array([bucket_of(w) for w in self.words], np.int64) + self.singles
-        self.items = np.where(np.arange(len(self.words)) < self.singles, np.arange(len(self.words)), named)
+    once: int
 
     @property
     def end(self) -> int:
-        """The item of the end token; before it come single words and buckets."""
-        return self.singles + BUCKETS
-
-    @property
-    def item_tokens(self) -> np.ndarray:
-        return np.concatenate((self.counts[: self.singles], self.bucket_tokens, [self.texts]))
+        """The end token's number."""
+        return len(self.words)
 
-    def numbered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Head numbers (-1: not in the head), items, and the words that are not in the head."""
-        known = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        rare = [words[k] for k in np.flatnonzero(known < 0).tolist()]
-        items = self.items[known] if len(self.items) else np.zeros(len(words), np.int64)
-        items[known < 0] = np.fromiter(map(bucket_of, rare), np.int64, len(rare)) + self.singles
-        return known, items, rare
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of a text with the end token before and after it; -1: not in the head."""
+        out = np.full(len(words) + 2, self.end)
+        out[1:-1] = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        return out
 
 
 def threshold(sizes: list[tuple[int, int]], most: int) -> int:
@@ -127,247 +118,309 @@ def threshold(sizes: list[tuple[int, int]], most: int) -> int:
     return least
 
 
-def vocabulary(counts: DataFrame, texts: int, head: int, singles: int) -> tuple[Vocabulary, int]:
-    """The vocabulary, and the least count of a word in its head."""
+def vocabulary(docs: DataFrame, head: int) -> Vocabulary:
+    counts, texts = stored(word_counts(docs), "words"), docs.count()
     sizes = [(r.n, r["count"]) for r in counts.groupBy("n").count().collect()]  # distinct counts: at most the root of twice the tokens
-    of_head, of_singles = threshold(sizes, head), threshold(sizes, singles)
-    found = counts.where(F.col("n") >= of_head).orderBy(F.desc("n"), "word").collect()  # head rows at most
-    single = sum(r.n >= of_singles for r in found)
-    tokens, types = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    sums = counts.where(F.col("n") < of_singles).groupBy(bucket_column(F.col("word")).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
-    for r in sums.collect():
-        tokens[r.bucket], types[r.bucket] = r.n, r.types
-    total, distinct = sum(n * k for n, k in sizes) + texts, sum(k for _, k in sizes) + bool(texts)
-    words = {bytes(r.word): k for k, r in enumerate(found)}
-    return Vocabulary(words, np.array([r.n for r in found], np.int64), single, texts, total, distinct, tokens, types), of_head
+    found = counts.where(F.col("n") >= threshold(sizes, head)).orderBy(F.desc("n"), "word").toArrow()  # head rows at most
+    removed(counts)
+    words = {w: k for k, w in enumerate(found.column("word").to_pylist())}
+    return Vocabulary(
+        words, found.column("n").to_numpy().astype(np.int64), texts, sum(n * k for n, k in sizes) + texts, sum(k for _, k in sizes) + bool(texts), dict(sizes).get(1, 0)
+    )
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def x_log_x(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
 
 
-def item_bigrams(docs: DataFrame, vocab) -> DataFrame:
-    """``u, v, n``: how often item ``v`` follows item ``u``."""
+def likelihood(after: np.ndarray, before: np.ndarray) -> float:
+    """Of classes (rows) by what follows them and what comes before them (columns), up to what no exchange changes."""
+    return float(x_log_x(after).sum() + x_log_x(before).sum() - x_log_x(after.sum(axis=1)).sum() - x_log_x(before.sum(axis=1)).sum())
+
+
+def bigram_likelihood(table: np.ndarray) -> float:
+    return float(x_log_x(table).sum() - x_log_x(table.sum(axis=0)).sum() - x_log_x(table.sum(axis=1)).sum())
+
+
+def exchanged_seeds(pairs: np.ndarray, classes: int, least_rise: float, rises: list[float] | None = None) -> np.ndarray:
+    """Classes of the words of a bigram table, whose last two rows (the end token, all other words) keep a class each.
+
+    The first words get a class each, the others the best one in turn; then words are exchanged
+    one by one, in turns, until none moves or a turn brings too little. ``rises`` gets the
+    likelihood after each turn.
+    """
+    words, size = len(pairs) - 2, classes + 2
+    of = np.append(np.where(np.arange(words) < classes, np.arange(words), classes + 1), [classes, classes + 1])
+    one = np.eye(size)[of]
+    table = one.T @ pairs @ one
+    moved, now, before = True, -np.inf, -np.inf
+    while moved and (not np.isfinite(before) or now - before >= least_rise * abs(now)):
+        moved, before = False, now
+        for w in range(words):
+            own, itself = of[w], pairs[w, w]
+            after, ahead = np.bincount(of, pairs[w], size), np.bincount(of, pairs[:, w], size)
+            table[own] -= after
+            table[:, own] -= ahead
+            table[own, own] += itself  # taken twice
+            after[own] -= itself
+            ahead[own] -= itself
+            gain = placed_gain(table, after, ahead, itself)[:classes]
+            to = int(np.argmax(gain))
+            if own >= classes or gain[to] > gain[own] + 1e-6:
+                moved, of[w] = True, to
+            own = of[w]
+            table[own] += after
+            table[:, own] += ahead
+            table[own, own] += itself
+        now = bigram_likelihood(table)
+        if rises is not None:
+            rises.append(now)
+    return of[:words]
+
+
+def placed_gain(table: np.ndarray, after: np.ndarray, before: np.ndarray, itself: float) -> np.ndarray:
+    """By how much the bigram likelihood grows when a word that is in no class goes to each one."""
+    a, b = np.flatnonzero(after), np.flatnonzero(before)
+    rows, columns, diagonal = table.sum(axis=1), table.sum(axis=0), np.diag(table)
+    gain = (x_log_x(table[:, a] + after[a]) - x_log_x(table[:, a])).sum(axis=1) + (x_log_x(table[b].T + before[b]) - x_log_x(table[b].T)).sum(axis=1)
+    # In its own class a word's followers and predecessors meet in one cell.
+    gain += x_log_x(diagonal + after + before + itself) - x_log_x(diagonal + after) - x_log_x(diagonal + before) + x_log_x(diagonal)
+    # Classes beside the word also get its tokens: in the column sums its predecessors' pairs, in the row sums its followers'.
+    full, full_b = after.sum() + itself, before.sum() + itself
+    rows, columns = rows + before, columns + after
+    return gain - (x_log_x(rows + full) - x_log_x(rows)) - (x_log_x(columns + full_b) - x_log_x(columns))
+
+
+def seed_pairs(docs: DataFrame, vocab, seeds: int) -> np.ndarray:
+    """Bigrams of the seeds, the end token and, as one, all other words."""
+    size = seeds + 2
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocab.value
-        width = v.end + 1
+        v, total = vocab.value, np.zeros(size * size, np.int64)
+        item = np.append(np.minimum(np.arange(v.end), size - 1), [seeds, size - 1])
+        item[seeds : v.end] = size - 1
         for batch in slices(batches):
-            ends, pairs = np.array([v.end]), [np.zeros(0, np.int64)]
-            for text in text_bytes(batch.column("text")):
-                items = np.concatenate((ends, v.numbered(blank_words(text))[1], ends))
-                pairs.append(items[:-1] * width + items[1:])
-            keys, n = np.unique(np.concatenate(pairs), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((keys // width).astype(np.int32)), pa.array((keys % width).astype(np.int32)), pa.array(n.astype(np.int64))], names=["u", "v", "n"])
+            found = [item[v.numbered(blank_words(t))] for t in text_bytes(batch.column("text"))]
+            if found:
+                total += np.bincount(np.concatenate([x[:-1] * size + x[1:] for x in found]), minlength=size * size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    return docs.select("text").mapInArrow(counted, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    got = docs.select("text").mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # size^2 rows at most
+    out = np.zeros(size * size)
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(size, size)
 
 
-def word_bigrams(docs: DataFrame) -> DataFrame:
-    """``u, v, n``: how often word ``v`` follows word ``u``; ``END`` stands before and after a text."""
+def head_cells(docs: DataFrame, vocab, beside: np.ndarray, first: int, width: int) -> DataFrame:
+    """``item, cell, n``: how often a word of the head from number ``first`` on has a class before (cell) or after it (``width`` + cell)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        v, keys, gathered = vocab.value, [], 0
 
         def written() -> pa.RecordBatch:
-            u, v = zip(*seen, strict=True) if seen else ((), ())
-            batch = pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["u", "v", "n"])
-            seen.clear()
-            return batch
+            at, n = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_counts=True)
+            keys.clear()
+            return pa.RecordBatch.from_arrays([pa.array(at // (2 * width)), pa.array((at % (2 * width)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["item", "cell", "n"])
 
-        for batch in slices(batches, 256):
+        for batch in slices(batches):
             for text in text_bytes(batch.column("text")):
-                words = blank_words(text)
-                seen.update(zip([END, *words], [*words, END], strict=True))
-                if len(seen) > 1 << 17:
+                numbers = v.numbered(blank_words(text))
+                near, at = beside[numbers], np.flatnonzero((numbers[1:-1] >= first)) + 1
+                base = numbers[at] * (2 * width)
+                keys += [base + near[at - 1], base + width + near[at + 1]]
+                gathered += 2 * len(at)
+                if gathered > GATHERED:
                     yield written()
+                    gathered = 0
         yield written()
 
-    return docs.select("text").mapInArrow(counted, "u binary, v binary, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(counted, "item long, cell int, n long")
 
 
-def x_log_x(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1))
+def rest_pairs(docs: DataFrame, vocab, beside: np.ndarray, width: int) -> DataFrame:
+    """``kind, a, b, n`` once the head has its classes.
 
+    Kind 0: bigrams of the head's classes ``a, b``; 1: as ``head_cells``, for the other words,
+    by hash; 2: bigrams of two such words.
+    """
 
-def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np.ndarray, table: np.ndarray, choices: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each item raises the class-bigram likelihood most, and by how much over staying.
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, words, before, after, pairs, gathered = vocab.value, [], [], [], [], 0
+        table, none = np.zeros(width * width, np.int64), np.zeros(0, np.int64)
+
+        def rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], names=["kind", "a", "b", "n"])
+
+        def written() -> Iterator[pa.RecordBatch]:
+            known, of = np.unique(np.concatenate([*words, none]), return_inverse=True)
+            cells = np.concatenate([of, of]) * (2 * width) + np.concatenate([*before, *after, none])
+            at, n = np.unique(cells, return_counts=True)
+            yield rows(1, known[at // (2 * width)], at % (2 * width), n)
+            both = np.concatenate([*pairs, np.zeros((0, 2), np.int64)])
+            yield rows(2, both[:, 0].copy(), both[:, 1].copy(), np.ones(len(both), np.int64))
+            for gone in (words, before, after, pairs):
+                gone.clear()
 
-    ``after`` and ``before``: a row of followers and predecessors by class for each item;
-    ``table``: class bigrams. Only classes that an item has beside it are looked at.
+        for batch in slices(batches):
+            for text in text_bytes(batch.column("text")):
+                found = blank_words(text)
+                numbers = v.numbered(found)
+                near = beside[numbers]
+                table += np.bincount(near[:-1] * width + near[1:], minlength=width * width)
+                at = np.flatnonzero(numbers < 0)
+                if len(at):
+                    hashes = hashed([found[k - 1] for k in at.tolist()])
+                    words.append(hashes)
+                    before.append(near[at - 1])
+                    after.append(width + near[at + 1])
+                    adjacent = np.flatnonzero(np.diff(at) == 1)
+                    pairs.append(np.stack([hashes[adjacent], hashes[adjacent + 1]], axis=1))
+                    gathered += len(at)
+                    if gathered > GATHERED // 2:
+                        yield from written()
+                        gathered = 0
+        yield from written()
+        kept = np.flatnonzero(table)
+        yield rows(0, kept // width, kept % width, table[kept])
+
+    return docs.select("text").mapInArrow(counted, "kind int, a long, b long, n long")
+
+
+def gathered_items(cells: DataFrame) -> DataFrame:
+    """``item, own, cells, sums``: a row an item (its cells number twice the classes at most), as yet in no class."""
+    items = cells.groupBy("item", "cell").agg(F.sum("n").alias("n")).groupBy("item").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    return items.select("item", F.lit(-1).alias("own"), F.col("cells").cast(CELLS).alias("cells"), F.lit(None).cast("array<bigint>").alias("sums"))
+
+
+def best_classes(own: np.ndarray, at: np.ndarray, cell: np.ndarray, n: np.ndarray, sums: np.ndarray, choices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class in which each item raises the likelihood most, and by how much over its own.
+
+    ``at``, ``cell``, ``n``: the items' cells, by item; ``sums``: of every class the sums of
+    its items' cells, first those before, then those after. ``own`` is -1 for an item in none.
+    """
+    width = sums.shape[1] // 2
+    gain, items = np.zeros((len(own), choices)), len(own)
+    placed = np.flatnonzero(own >= 0)
+    if len(at):
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        base, of_base = sums[:choices, cell].T.copy(), x_log_x(sums)[:choices, cell].T.copy()
+        mine = np.flatnonzero(own[at] >= 0)
+        spot = (mine, own[at[mine]])
+        base[spot] -= n[mine]
+        of_base[spot] = x_log_x(base[spot])
+        gain[at[starts]] = np.add.reduceat(x_log_x(base + n[:, None]) - of_base, starts)
+    for side in (0, 1):
+        of_side = (cell >= width) == side
+        size = np.bincount(at[of_side], n[of_side], items)
+        total = np.tile(sums[:choices, side * width : (side + 1) * width].sum(axis=1), (items, 1))
+        total[placed, own[placed]] -= size[placed]
+        gain -= x_log_x(total + size[:, None]) - x_log_x(total)
+    to = np.argmax(gain, axis=1)
+    over = gain[np.arange(items), to].copy()
+    over[placed] -= gain[placed, own[placed]]
+    return to, over
+
+
+def exchange_round(state: DataFrame, sums: np.ndarray, choices: int, part: int, turn: int) -> DataFrame:
+    """The items after each has gone where the likelihood rises most; rows without an item have the class sums of a task.
+
+    Items in no class all go to one; of the others one in ``part``.
     """
-    rows, size = np.arange(len(own)), len(table)
-    r, c = after.copy(), before.copy()
-    r[rows, own] -= itself
-    c[rows, own] -= itself
-
-    def grown(adds: np.ndarray, taken: np.ndarray, other: np.ndarray, t: np.ndarray) -> np.ndarray:
-        of, beside = np.nonzero(adds)
-        base = t[:, beside].T.copy()
-        base[np.arange(len(of)), own[of]] -= taken[of, beside]
-        mine = np.flatnonzero(beside == own[of])
-        base[mine] -= other[of[mine]]
-        base[mine, own[of[mine]]] += itself[of[mine]]
-        out = np.zeros((len(own), size))
-        if len(of):
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            out[of[starts]] = np.add.reduceat(x_log_x(base + adds[of, beside][:, None]) - x_log_x(base), starts)
-        return out
 
-    gain = grown(r, after, before, table) + grown(c, before, after, table.T)
-    d = np.tile(np.diag(table), (len(own), 1))
-    d[rows, own] += itself - after[rows, own] - before[rows, own]
-    s = itself[:, None]
-    gain += x_log_x(d + r + c + s) - x_log_x(d + r) - x_log_x(d + c) + x_log_x(d)
-    for sums, x in ((table.sum(axis=1), after.sum(axis=1)), (table.sum(axis=0), before.sum(axis=1))):
-        without = np.tile(sums, (len(own), 1))
-        without[rows, own] -= x
-        gain -= x_log_x(without + x[:, None]) - x_log_x(without)
-    to = np.argmax(gain[:, :choices], axis=1)
-    return to, gain[rows, to] - gain[rows, own]
-
-
-def best_class(own: int, after: np.ndarray, before: np.ndarray, itself: float, table: np.ndarray, choices: int) -> tuple[int, float]:
-    """``best_classes`` of one item."""
-    to, gain = best_classes(np.array([own]), *(np.array([x], float) for x in (after, before)), np.array([itself], float), table, choices)
-    return int(to[0]), float(gain[0])
-
-
-def item_sums(bigrams: DataFrame, classes: DataFrame) -> DataFrame:
-    """``item, own, sums, itself``: of every item its class, and its followers and predecessors by class."""
-    of = lambda name: classes.select(F.col("item").alias(name), F.col("class").alias("c"))
-    nothing = F.lit(0).cast("long")
-    after = bigrams.join(of("v"), "v").groupBy(F.col("u").alias("item"), "c").agg(F.sum("n").alias("after"), nothing.alias("before"), F.sum(F.when(F.col("u") == F.col("v"), F.col("n")).otherwise(0)).alias("itself"))
-    before = bigrams.join(of("u"), "u").groupBy(F.col("v").alias("item"), "c").agg(nothing.alias("after"), F.sum("n").alias("before"), nothing.alias("itself"))
-    # At most one row a class and side meets in an item's list, whatever the corpus.
-    sums = after.union(before).groupBy("item").agg(F.collect_list(F.struct("c", "after", "before")).alias("sums"), F.sum("itself").alias("itself"))
-    none = F.array().cast("array<struct<c:int,after:bigint,before:bigint>>")
-    return classes.join(sums, "item", "left").select("item", F.col("class").alias("own"), F.coalesce("sums", none).alias("sums"), F.coalesce("itself", F.lit(0)).alias("itself"))
-
-
-def class_table(sums: DataFrame, size: int) -> np.ndarray:
-    """Class bigrams; at most the square of the number of classes comes to the driver."""
-    out = np.zeros((size, size))
-    pairs = sums.select("own", F.explode("sums").alias("s")).groupBy("own", F.col("s.c").alias("c")).agg(F.sum("s.after").alias("n"))
-    for r in pairs.collect():
-        out[r.own, r.c] = r.n
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, width = np.zeros(sums.shape), sums.shape[1]
+        kind = (pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())])), pa.list_(pa.int64()))
+        names = ["item", "own", "cells", "sums"]
+        for batch in slices(batches, 256):
+            lists = batch.column("cells")
+            own, parts = batch.column("own").to_numpy().astype(np.int64), lists.flatten()
+            at = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            cell, n = parts.field("cell").to_numpy().astype(np.int64), parts.field("n").to_numpy().astype(float)
+            to, gain = best_classes(own, at, cell, n, sums, choices)
+            with np.errstate(over="ignore"):
+                draw = (batch.column("item").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) + np.uint64(turn)
+            stays = (own >= 0) & ((gain <= 1e-6) | (draw % np.uint64(part) != 0))
+            to = np.where(stays, own, to)
+            total += np.bincount(to[at] * width + cell, n, total.size).reshape(total.shape)
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(to, pa.int32()), lists.cast(kind[0]), pa.nulls(batch.num_rows, kind[1])], names=names)
+        at = np.flatnonzero(total.any(axis=1))
+        rows = [pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(at), kind[0]), pa.array([r.astype(np.int64) for r in total[at]], kind[1])]
+        yield pa.RecordBatch.from_arrays(rows, names=names)
+
+    return state.where("item IS NOT NULL").mapInArrow(moved, f"item long, own int, cells {CELLS}, sums array<bigint>")
+
+
+def class_sums(state: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The class sums of a round: a row a class and cell comes to the driver."""
+    out = np.zeros(shape)
+    rows = state.where("item IS NULL").select("own", F.posexplode("sums").alias("cell", "n")).groupBy("own", "cell").agg(F.sum("n").alias("n"))
+    for r in rows.collect():
+        out[r.own, r.cell] = r.n
     return out
 
 
-def likelihood(table: np.ndarray) -> float:
-    return float(x_log_x(table).sum() - x_log_x(table.sum(axis=0)).sum() - x_log_x(table.sum(axis=1)).sum())
+def exchange(items: DataFrame, fixed: np.ndarray, choices: int, least_rise: float, name: str, rises: list[float] | None = None) -> tuple[DataFrame, np.ndarray]:
+    """``item, own, cells`` of the items after exchange, and their class sums.
 
-
-def exchanged(sums: DataFrame, table: np.ndarray, half: int, choices: int) -> DataFrame:
-    """``item, own, to``: every item, and where those of one half would go (the others stay)."""
-    size = len(table)
-
-    def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            own, trying = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("own", "trying"))
-            to, at = own.copy(), np.flatnonzero(trying)
-            if len(at):
-                lists = batch.column("sums").take(pa.array(at))
-                of, parts = np.repeat(np.arange(len(at)), lists.value_lengths().to_numpy()), lists.flatten()
-                spot = of * size + parts.field("c").to_numpy()
-                after, before = (np.bincount(spot, parts.field(k).to_numpy(), len(at) * size).reshape(len(at), size).astype(float) for k in ("after", "before"))
-                best, gain = best_classes(own[at], after, before, batch.column("itself").to_numpy()[at].astype(float), table, choices)
-                to[at] = np.where(gain > 1e-6, best, own[at])
-            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("own"), pa.array(to, pa.int32())], names=["item", "own", "to"])
-
-    kind = sums.schema["item"].dataType.simpleString()
-    trying = (F.col("own") < choices) & (F.pmod(F.xxhash64("item"), F.lit(2)) == half)
-    return sums.withColumn("trying", trying).mapInArrow(moves, f"item {kind}, own int, to int")
-
-
-def removed(df: DataFrame) -> None:
-    """Deletes what ``stored`` has written."""
-    session = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        folder = session._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def cluster(bigrams: DataFrame, start: DataFrame, classes: int, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """``item, class`` of the items, and the class bigrams; ``start`` has the classes to begin with.
-
-    The halves of the items are tried in turn until neither moves (or ``rounds`` times). The
-    moves of a half are weighed apart but made together; where that doesn't raise the
-    likelihood, half of them are made, or a quarter, down to a single one. So the likelihood
-    rises with every exchange, and the rounds come to an end.
+    ``fixed``: the class sums of what keeps its class. ``rises`` gets the likelihood after each round.
     """
-    sums = stored(item_sums(bigrams, stored(start, "classes")), "sums")
-    table, tried, still = class_table(sums, classes + 1), 0, 0
-    while still < 2 and (rounds is None or tried < rounds):
-        moves = stored(exchanged(sums, table, tried % 2, classes), "moves")
-        tried, still, part, single = tried + 1, still + 1, 1, False
-        moved = F.col("to") != F.col("own")
-        first = moves.where(moved).agg(F.min("item").alias("item")).first().item
-        while first is not None and not single:
-            chosen = moved & (F.pmod(F.xxhash64(F.lit(tried), "item"), F.lit(part)) == 0)
-            if moves.where(chosen).isEmpty():
-                chosen, single = F.col("item") == F.lit(first), True
-            next_sums = stored(item_sums(bigrams, moves.select("item", F.when(chosen, F.col("to")).otherwise(F.col("own")).alias("class"))), "sums")
-            next_table = class_table(next_sums, classes + 1)
-            if likelihood(next_table) > likelihood(table):
-                removed(sums)
-                sums, table, still = next_sums, next_table, 0
-                break
-            removed(next_sums)
-            part *= 2
-        removed(moves)
-    return sums.select("item", F.col("own").alias("class")), table
+    width = fixed.shape[1] // 2
+    like = lambda own: likelihood((fixed + own)[:, width:], (fixed + own)[:, :width])
+    start = stored(items, name)
+    state = stored(exchange_round(start, fixed, choices, 1, 0), name)
+    removed(start)
+    sums = class_sums(state, fixed.shape)
+    now, part, turn = like(sums), 1, 0
+    if rises is not None:
+        rises.append(now)
+    while part <= 8:
+        turn += 1
+        tried = stored(exchange_round(state, fixed + sums, choices, part, turn), name)
+        new = class_sums(tried, fixed.shape)
+        if (new == sums).all():
+            removed(tried)
+            break
+        if like(new) <= now:
+            removed(tried)
+            part *= 2  # fewer at once
+            continue
+        removed(state)
+        state, sums, before, now = tried, new, now, like(new)
+        if rises is not None:
+            rises.append(now)
+        if now - before < least_rise * abs(now):
+            break
+    return state.where("item IS NOT NULL").select("item", "own", "cells"), sums
 
 
 @dataclass
 class ClassModel:
     """Log10 probabilities ready for look-up."""
 
-    vocab: Vocabulary
-    classes: np.ndarray
-    step: np.ndarray
-    item: np.ndarray
-    bucket: np.ndarray
-
-    @classmethod
-    def of(cls, vocab: Vocabulary, classes: np.ndarray, table: np.ndarray) -> ClassModel:
-        size, tokens = len(table), vocab.item_tokens
-        share = (table.sum(axis=0) + 1) / (table.sum() + size)
-        step = np.log10((table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR))
-        members, mass = np.bincount(classes, minlength=size), np.bincount(classes, tokens, size)
-        item = np.log10((tokens + 1) / (mass + members)[classes])
-        return cls(vocab, classes, step, item, np.log10(vocab.bucket_tokens + vocab.bucket_types + 1))
-
-    def score(self, words: list[bytes]) -> tuple[float, float, int, list[bytes]]:
-        """Of a text: the score and the base score without what rare words' counts add; known tokens; rare words."""
-        v = self.vocab
-        known, items, rare = v.numbered(words)
-        items = np.append(items, v.end)
-        classes = self.classes[items]
-        counts = np.log10(v.counts[known[known >= 0]] + 1) if len(known) else np.zeros(0)
-        base = counts.sum() + np.log10(v.texts + 1) - len(items) * np.log10(v.tokens + v.types + 1)
-        score = self.step[np.append(self.classes[v.end], classes[:-1]), classes].sum() + self.item[items].sum()
-        shared = (items >= v.singles) & (items < v.end)
-        score += counts[shared[:-1][known >= 0]].sum() - self.bucket[items[shared] - v.singles].sum()
-        return float(score), float(base), int((known >= 0).sum()) + bool(v.texts), rare
-
-
-@dataclass
-class WordModel:
-    """Log10 probabilities of a model in which every word has a class of its own."""
-
     vocab: Vocabulary
     classes: np.ndarray
     step: np.ndarray
     inside: np.ndarray
 
     @classmethod
-    def of(cls, vocab: Vocabulary, head: dict[bytes, int], members: np.ndarray, mass: np.ndarray, table: np.ndarray) -> WordModel:
-        """``head``: classes of the head's words; ``members``, ``mass``: words and tokens of each class, the end token's too."""
-        table = np.pad(table, (0, 1))
-        members, mass = np.append(members, 1), np.append(mass, 0)
-        share = np.where(members > 0, table.sum(axis=0) + 1, 0)
-        share /= share.sum()
-        with np.errstate(divide="ignore"):  # a class without words is never come to
-            step = np.log10((table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR))
-        inside = -np.log10(np.maximum(mass + members, 1))
-        return cls(vocab, np.array([head[w] for w in vocab.words], np.int64), np.where(members > 0, step, 0), inside)
+    def of(cls, vocab: Vocabulary, classes: np.ndarray, members: np.ndarray, mass: np.ndarray, table: np.ndarray) -> ClassModel:
+        """``classes``: of the head's words; ``members``, ``mass``, ``table``: words, tokens and bigrams of each class, the end token's the last."""
+        size = len(table)
+        new = (vocab.once + 1) / (vocab.tokens + 2)
+        share = np.where(members > 0, mass + 1.0, 0.0)
+        share /= max(share.sum(), 1.0)
+        table = np.pad(table, ((0, 1), (0, 0)))
+        step = np.zeros((size + 1, size + 1))
+        with np.errstate(divide="ignore"):
+            step[:, :size] = np.log10((1 - new) * (table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR))
+        step[:, size] = np.log10(new)
+        step[:, :size][:, members == 0] = 0  # a class without words is never come to
+        return cls(vocab, classes, step, np.append(-np.log10(np.maximum(mass + members, 1)), 0.0))
 
     @property
     def end(self) -> int:
@@ -378,60 +431,72 @@ class WordModel:
         """The class of the word that training has not seen."""
         return len(self.step) - 1
 
-    def score(self, words: list[bytes]) -> tuple[float, float, int, list[tuple]]:
-        """Of a text: the score and the base score without what pairs with a rare word add; known tokens; those pairs."""
+    def score(self, words: list[bytes]) -> tuple[float, float, int, np.ndarray, np.ndarray]:
+        """Of a text: score and base score without what words outside the head add, known tokens, those words' hashes and surroundings.
+
+        Surroundings are place, class before and class after in one number; a class of 0 is
+        that of another such word, else classes count from 1.
+        """
         v = self.vocab
-        known = np.fromiter(map(v.words.get, words, repeat(-1)), np.int64, len(words))
-        found = known[known >= 0]
-        counts = np.log10(v.counts[found] + 1).sum() if len(found) else 0.0
-        base = counts + np.log10(v.texts + 1) - (len(words) + 1) * np.log10(v.tokens + v.types + 1)
-        classes = np.full(len(words) + 2, self.end)
-        classes[1:-1] = np.where(known >= 0, self.classes[known], -1) if len(self.classes) else -1
+        numbers = v.numbered(words)
+        found = numbers[numbers >= 0][1:-1]
+        counts = np.log10(v.counts[found] + 1).sum() + np.log10(v.texts + 1)
+        base = counts - (len(words) + 1) * np.log10(v.tokens + v.types + 1)
+        classes = np.append(self.classes, [self.end, -1])[numbers]
         before, after = classes[:-1], classes[1:]
         sure = (before >= 0) & (after >= 0)
-        score = counts + np.log10(v.texts + 1) + self.step[before[sure], after[sure]].sum() + self.inside[after[after >= 0]].sum()
-        word = lambda k: None if classes[k] >= 0 else words[k - 1]
-        rare = Counter((word(k), int(classes[k]), word(k + 1), int(classes[k + 1])) for k in np.flatnonzero(~sure).tolist())
-        return float(score), float(base), len(found) + bool(v.texts), [(*pair, n) for pair, n in rare.items()]
-
-
-def train_words(docs: DataFrame, head: int = 200_000, classes: int = 64, rounds: int | None = None) -> tuple[WordModel, DataFrame]:
-    """The model of ``docs`` (``text``) with a class for every word, and the words outside its head (``word, n, class``)."""
-    counts, texts = stored(word_counts(docs), "words"), docs.count()
-    vocab, least = vocabulary(counts, texts, head, 0)
-    bigrams = stored(word_bigrams(docs), "bigrams")
-    spark = docs.sparkSession
-    ranked = spark.createDataFrame(pa.table({"word": pa.array(list(vocab.words), pa.binary()), "rank": pa.array(range(len(vocab.words)), pa.int64())}))
-    order = F.coalesce(F.col("rank"), F.xxhash64("word"))
-    start = counts.join(ranked, "word", "left").select(F.col("word").alias("item"), F.pmod(order, F.lit(classes)).cast("int").alias("class"))
-    if texts:
-        start = start.union(spark.range(1).select(F.lit(END).alias("item"), F.lit(classes).alias("class")))
-    of, table = cluster(bigrams, start, classes, rounds)
-    placed = stored(counts.join(of.withColumnRenamed("item", "word"), "word"), "placed")
-    members, mass = np.zeros(classes + 1), np.zeros(classes + 1)
-    for r in placed.groupBy("class").agg(F.count("*").alias("members"), F.sum("n").alias("mass")).collect():
-        members[r["class"]], mass[r["class"]] = r.members, r.mass
-    members[classes], mass[classes] = 1, texts
-    found = {bytes(r.word): r["class"] for r in placed.where(F.col("n") >= least).collect()}  # head rows at most
-    return WordModel.of(vocab, found, members, mass, table), placed.where(F.col("n") < least)
-
-
-def train(docs: DataFrame, head: int = 200_000, singles: int = 4096, classes: int = 64, rounds: int | None = None) -> tuple[ClassModel, DataFrame]:
-    """A smaller model, in which words beyond the ``singles`` most frequent share ``BUCKETS`` items.
-
-    Returns it and the counts (``word``, ``n``) of the words outside its head.
-    """
-    counts = stored(word_counts(docs), "words")
-    vocab, least = vocabulary(counts, docs.count(), head, singles)
-    bigrams = stored(item_bigrams(docs, docs.sparkSession.sparkContext.broadcast(vocab)), "bigrams")
-    of = np.empty(len(vocab.item_tokens), np.int64)
-    of[np.argsort(-vocab.item_tokens, kind="stable")] = np.arange(len(of)) % classes
-    of[-1] = classes
-    start = docs.sparkSession.createDataFrame(pa.table({"item": pa.array(np.arange(len(of)), pa.int32()), "class": pa.array(of, pa.int32())}))
-    found, table = cluster(bigrams, start, classes, rounds)
-    for r in found.collect():  # items are at most singles + BUCKETS + 1
-        of[r["item"]] = r["class"]
-    return ClassModel.of(vocab, of, table), counts.where(F.col("n") < least)
+        score = counts + self.step[before[sure], after[sure]].sum() + self.inside[after[after >= 0]].sum()
+        at = np.flatnonzero(numbers < 0)
+        around = (at << 20) | ((classes[at - 1] + 1) << 10) | (classes[at + 1] + 1)
+        return float(score), float(base), len(found) + bool(v.texts), hashed([words[k - 1] for k in at.tolist()]), around
+
+
+def train(docs: DataFrame, head: int = 200_000, seeds: int = 1024, classes: int = 64, least_rise: float = 5e-4, rises: dict | None = None) -> tuple[ClassModel, DataFrame]:
+    """The model of ``docs`` (``text``), and the words outside its head: ``hash, n, class``."""
+    vocab = vocabulary(docs, head)
+    sent, seeds = docs.sparkSession.sparkContext.broadcast(vocab), min(seeds, len(vocab.words))
+    end, rest, width = classes, classes + 1, classes + 2
+    log = lambda step: None if rises is None else rises.setdefault(step, [])
+
+    pairs = seed_pairs(docs, sent, seeds)
+    of_seeds = exchanged_seeds(pairs, classes, least_rise, log("seeds"))
+    beside = np.full(len(vocab.words) + 2, rest)
+    beside[:seeds], beside[-2] = of_seeds, end
+    one = np.eye(width)[np.append(of_seeds, [end, rest])]
+    table = one.T @ pairs @ one
+    fixed = np.concatenate([table.T, table], axis=1)
+    fixed[rest] = 0  # what is to be placed
+    placed, _ = exchange(gathered_items(head_cells(docs, sent, beside, seeds, width)), fixed, classes, least_rise, "head", log("head"))
+    found = placed.select("item", "own").toArrow()  # head rows at most
+    removed(placed)
+    beside[found.column("item").to_numpy()] = found.column("own").to_numpy()
+    of_head = beside[:-2].copy()
+
+    raw = stored(rest_pairs(docs, sent, beside, width), "pairs")
+    table = np.zeros((width, width))
+    for r in raw.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # class bigrams
+        table[r.a, r.b] = r.n
+    fixed = np.concatenate([table.T, table], axis=1)
+    fixed[rest] = 0
+    cells = raw.where("kind = 1").select(F.col("a").alias("item"), F.col("b").cast("int").alias("cell"), "n")
+    others, sums = exchange(gathered_items(cells), fixed, classes, least_rise, "others", log("others"))
+    tokens = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.when(c["cell"] >= width, c["n"]).otherwise(0))
+    rare = stored(others.select(F.col("item").alias("hash"), tokens.alias("n"), F.col("own").alias("class")), "rare")
+    removed(others)
+    of = lambda k: rare.select(F.col("hash").alias(k), F.col("class").alias(f"{k}c"))
+    both = raw.where("kind = 2").select("a", "b", "n").join(of("a"), "a").join(of("b"), "b").groupBy("ac", "bc").agg(F.sum("n").alias("n"))
+    table[rest] = table[:, rest] = 0
+    table += sums[:, width:] + sums[:, :width].T
+    table[rest] = table[:, rest] = 0  # both ends outside the head
+    for r in both.collect():
+        table[r.ac, r.bc] += r.n
+    removed(raw)
+    members = np.append(np.bincount(of_head, minlength=classes)[:classes], bool(vocab.texts)).astype(float)
+    mass = np.append(np.bincount(of_head, vocab.counts, classes)[:classes], vocab.texts)
+    for r in rare.groupBy("class").agg(F.count("*").alias("members"), F.sum("n").alias("mass")).collect():
+        members[r["class"]] += r.members
+        mass[r["class"]] += r.mass
+    return ClassModel.of(vocab, of_head, members, mass, table[:rest, :rest]), rare
 
 
 def class_lm_scores(docs: DataFrame, held_out: Column | None = None, **options) -> DataFrame:
@@ -440,46 +505,41 @@ def class_lm_scores(docs: DataFrame, held_out: Column | None = None, **options)
     Rows where ``held_out`` (by default the third of seven folds by id) are not learnt from.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (left_out(F.col("doc_id")) if held_out is None else held_out).alias("held_out"))
-    if "singles" in options:
-        return small_scores(texts, **options)
-    model, rare_words = train_words(texts.where(~F.col("held_out")), **options)
-    partial = stored(scored_rows(texts, model, "array<struct<u:binary,uc:int,v:binary,vc:int,n:int>>"), "scores")
-    # No word has a blank, so a pair's frequent side is sent to join under a key of its own.
-    pairs = partial.select("row", F.explode("rare").alias("r")).select("row", "r.*").withColumns(
-        {"uk": F.coalesce("u", F.concat(F.lit(b" "), "v")), "vk": F.coalesce("v", F.concat(F.lit(b" "), "u"))}
-    )
-    of = lambda k: rare_words.select(F.col("word").alias(f"{k}k"), F.col("class").alias(f"{k}f"), F.col("n").alias(f"{k}n"))
+    model, rare = train(texts.where(~F.col("held_out")), **options)
     size = len(model.step)
-    placed = pairs.join(of("u"), "uk", "left").join(of("v"), "vk", "left").select(
-        "row",
-        "n",
-        *[F.when(F.col(f"{k}c") >= 0, F.col(f"{k}c")).otherwise(F.coalesce(f"{k}f", F.lit(model.unknown))).alias(k) for k in "uv"],
-        F.coalesce((F.col("vn") > 0).cast("long"), F.lit(0)).alias("known"),
-        (F.col("vc") < 0).alias("rare"),
-        F.log10(F.coalesce("vn", F.lit(0)) + 1).alias("count"),
-    )
+    partial = stored(scored_rows(texts, model), "scores")
+    tokens = partial.select("row", F.explode(F.arrays_zip("hashes", "around")).alias("r")).select("row", F.col("r.hashes").alias("hash"), F.col("r.around").alias("around"))
+    own = tokens.join(rare, "hash", "left").select(
+        "row", "around", F.coalesce("class", F.lit(model.unknown)).alias("c"), F.coalesce("n", F.lit(0)).alias("n"),
+        (F.shiftright("around", 10).bitwiseAND(1023) - 1).cast("int").alias("before"), (F.col("around").bitwiseAND(1023) - 1).cast("int").alias("after"),
+    )
     step, inside = F.lit(model.step.ravel().tolist()), F.lit(model.inside.tolist())
-    gain = F.get(step, F.col("u") * size + F.col("v")) + F.when(F.col("rare"), F.col("count") + F.get(inside, F.col("v"))).otherwise(0.0)
-    seen = placed.groupBy("row").agg(F.sum(F.col("n") * F.col("known")).alias("more"), F.sum(F.when(F.col("rare"), F.col("n") * F.col("count")).otherwise(0.0)).alias("logs"), F.sum(F.col("n") * gain).alias("gain"))
-    return result(partial.join(seen, "row", "left"), model, F.coalesce("gain", F.lit(0.0)))
-
-
-def small_scores(texts: DataFrame, **options) -> DataFrame:
-    """The same from a model whose items ``singles`` bounds."""
-    model, rare_counts = train(texts.where(~F.col("held_out")), **options)
-    partial = stored(scored_rows(texts, model, "array<struct<word:binary,n:int>>"), "scores")
-    rare = partial.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
-    seen = rare.join(rare_counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
-    return result(partial.join(seen, "row", "left"), model, F.coalesce("logs", F.lit(0.0)))
+    pair = lambda a, b: F.get(step, a * size + b)
+    gain = F.get(inside, F.col("c")) + F.when(F.col("before") >= 0, pair(F.col("before"), F.col("c"))).otherwise(0.0) + F.when(F.col("after") >= 0, pair(F.col("c"), F.col("after"))).otherwise(0.0)
+    # Neighbours that are both outside the head: their classes meet in the list of their text.
+    touching = F.when((F.col("before") < 0) | (F.col("after") < 0), F.struct(F.shiftright("around", 20).alias("at"), "c"))
+    seen = own.groupBy("row").agg(
+        F.sum((F.col("n") > 0).cast("long")).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("logs"), F.sum(gain).alias("gain"), F.sort_array(F.collect_list(touching)).alias("runs")
+    )
+    follows = F.aggregate(
+        F.transform("runs", lambda x, k: F.when((k > 0) & (F.get("runs", k - 1)["at"] + 1 == x["at"]), pair(F.get("runs", k - 1)["c"], x["c"])).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x
+    )
+    seen = seen.select("row", "more", "logs", (F.col("gain") + F.col("logs") + follows).alias("gain"))
+    return partial.join(seen, "row", "left").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        F.lit(model.vocab.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
+    )
 
 
-def scored_rows(texts: DataFrame, model: ClassModel | WordModel, kind: str) -> DataFrame:
-    """What the model says of every row, and in ``rare`` what is to be joined for it."""
+def scored_rows(texts: DataFrame, model: ClassModel) -> DataFrame:
+    """What the model says of every row, and in ``hashes`` and ``around`` what is to be joined for it."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]
-    whole = isinstance(model, WordModel)
-    fields = [("u", pa.binary()), ("uc", pa.int32()), ("v", pa.binary()), ("vc", pa.int32()), ("n", pa.int32())] if whole else [("word", pa.binary()), ("n", pa.int32())]
-    listed = pa.list_(pa.struct(fields))
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "hashes": pa.list_(pa.int64()), "around": pa.list_(pa.int64())}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, model = TaskContext.get().partitionId() << 40, sent.value
@@ -487,26 +547,11 @@ def scored_rows(texts: DataFrame, model: ClassModel | WordModel, kind: str) -> D
             out = []
             for text in text_bytes(batch.column("text")):
                 words = blank_words(text)
-                score, base, known, rare = model.score(words)
-                rare = rare if whole else list(Counter(rare).items())
-                out.append((row, len(words) + 1, known, base, score, [dict(zip((k for k, _ in fields), x, strict=True)) for x in rare]))
+                score, base, known, hashes, around = model.score(words)
+                out.append((row, len(words) + 1, known, base, score, hashes, around))
                 row += 1
-            rows, sizes, known, bases, scores, rare = zip(*out, strict=True) if out else [()] * 6
-            long, double = pa.int64(), pa.float64()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, long), batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, long), pa.array(known, long), pa.array(bases, double), pa.array(scores, double), pa.array(rare, listed)], names=names
-            )
-
-    return texts.mapInArrow(scored, f"row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare {kind}")
+            rows, sizes, known, bases, scores, hashes, around = zip(*out, strict=True) if out else [()] * 7
+            columns = (rows, batch.column("doc_id"), batch.column("held_out"), sizes, known, bases, scores, hashes, around)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-
-def result(rows: DataFrame, model: ClassModel | WordModel, gain: Column) -> DataFrame:
-    return rows.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.vocab.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + gain).alias("score"),
-    )
+    return texts.mapInArrow(scored, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, hashes array<long>, around array<long>")

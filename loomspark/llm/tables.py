@@ -26,6 +26,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the table that ``stored`` wrote and ``df`` reads."""
+    session = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = session._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder, for small tables in loops."""
     shared_dir(df.sparkSession)

@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from loomspark.llm import class_lm as lm
 
-SMALL = {"head": 40, "singles": 20, "classes": 6, "rounds": 6}
+SMALL = {"head": 60, "seeds": 20, "classes": 6, "least_rise": 1e-9}
 
 
 @pytest.fixture(scope="module")
@@ -29,8 +30,29 @@ def words(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
 
 
+def held(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
+
+
+@pytest.fixture(scope="module")
+def trained(spark, rows):
+    rises = {}
+    kept = [(t,) for d, t, _ in rows if not held(d)]
+    model, rare = lm.train(spark.createDataFrame(kept, "text string"), rises=rises, **SMALL)
+    return model, {r.hash: (r.n, r["class"]) for r in rare.collect()}, rises
+
+
+def hashed(word):
+    return int(np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64))
+
+
+def class_of(model, rare, word):
+    if word in model.vocab.words:
+        return int(model.classes[model.vocab.words[word]])
+    return rare[hashed(word)][1] if hashed(word) in rare else model.unknown
+
+
 def test_counts_and_base_scores(rows, scored):
-    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     seen = Counter()
     for d, t, _ in rows:
         if not held(d):
@@ -43,107 +65,122 @@ def test_counts_and_base_scores(rows, scored):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in scored) == want
 
 
-def test_classes_tell_more_than_single_words(scored):
-    own = [r for r in scored if r.held_out and r.doc_id < 400]
+def brute_model(rows, classes, model):
+    """Transitions and emissions from all bigrams of the training texts, word by word."""
+    end, size = model.end, model.end + 1
+    counts, table = Counter(), np.zeros((size, size))
+    for d, t, _ in rows:
+        if not held(d):
+            w = words(t)
+            counts.update([*w, None])
+            c = [end, *(classes[x] for x in w), end]
+            for a, b in zip(c, c[1:]):
+                table[a, b] += 1
+    mass, members = np.zeros(size), np.zeros(size)
+    for w, n in counts.items():
+        mass[end if w is None else classes[w]] += n
+        members[end if w is None else classes[w]] += 1
+    once = sum(n == 1 for n in counts.values())
+    return counts, table, mass, members, (once + 1) / (sum(counts.values()) + 2)
+
+
+def brute_score(text, classes, parts, end):
+    counts, table, mass, members, new = parts
+    share = np.where(members > 0, mass + 1, 0) / np.where(members > 0, mass + 1, 0).sum()
+    total, at = 0.0, end
+    for w in [*words(text), None]:
+        c = end if w is None else classes.get(w)
+        row = np.zeros(len(mass)) if at is None else table[at]
+        if c is None:
+            total += math.log10(new)
+        else:
+            total += math.log10((1 - new) * (row[c] + lm.PRIOR * share[c]) / (row.sum() + lm.PRIOR) * (counts[w] + 1) / (mass[c] + members[c]))
+        at = c
+    return total
+
+
+def test_scores_are_those_of_the_classes_word_by_word(rows, scored, trained):
+    model, rare, _ = trained
+    seen = {w for d, t, _ in rows if not held(d) for w in words(t)}
+    assert len(model.vocab.words) <= 60 < len(seen)
+    classes = {w: class_of(model, rare, w) for w in seen}
+    assert set(classes.values()) <= set(range(6))
+    parts = brute_model(rows, classes, model)
+    want = Counter((d, round(brute_score(t, classes, parts, model.end), 4)) for d, t, _ in rows)
+    assert Counter((r.doc_id, round(r.score, 4)) for r in scored) == want
+    # Exchange does better than classes dealt round by rank and than single words.
+    dealt = {w: k % 6 for k, (w, _) in enumerate(parts[0].most_common()) if w is not None}
+    other = brute_model(rows, dealt, model)
+    texts = {d: t for d, t, _ in rows}
+    own = [(r.score, r.base_score, brute_score(texts[r.doc_id], dealt, other, model.end)) for r in scored if r.held_out and r.doc_id < 400]
     assert len(own) > 20
-    assert sum(r.score for r in own) > 1.05 * sum(r.base_score for r in own)
-
-
-def test_probabilities_sum_to_one(spark, rows):
-    model, rare = lm.train(spark.createDataFrame([(t,) for _, t, _ in rows], "text string"), **SMALL)
-    v, rare = model.vocab, {bytes(r.word): r.n for r in rare.collect()}
-    assert len(v.words) <= 40 and rare
-    base = np.log10(v.bucket_tokens + v.bucket_types + 1)
-    for before in (v.end, 0, v.singles + 3):
-        total = 0.0
-        step = model.step[model.classes[before]][model.classes] + model.item
-        for item in range(v.end + 1):
-            inside = 1.0
-            if v.singles <= item < v.end:
-                b = item - v.singles
-                members = [n for w, n in [*zip(v.words, v.counts.tolist()), *rare.items()] if lm.bucket_of(w) == b and v.words.get(w, v.singles) >= v.singles]
-                inside = (sum(n + 1 for n in members) + 1) / 10 ** base[b]
-            total += 10 ** step[item] * inside
-        assert total == pytest.approx(1)
-
-
-def test_an_exchange_never_lowers_the_likelihood():
-    rng = np.random.default_rng(0)
-    counts = rng.integers(0, 9, (12, 12)).astype(float)
-    classes = np.arange(12) % 4
-    table = lambda c: np.array([[counts[np.ix_(c == a, c == b)].sum() for b in range(4)] for a in range(4)])
-    like = lambda t: lm.x_log_x(t).sum() - lm.x_log_x(t.sum(0)).sum() - lm.x_log_x(t.sum(1)).sum()
-    for item in range(12):
-        t = table(classes)
-        after = np.bincount(classes, counts[item], 4)
-        before = np.bincount(classes, counts[:, item], 4)
-        to, gain = lm.best_class(int(classes[item]), after, before, counts[item, item], t, 4)
-        tried = [like(table(np.where(np.arange(12) == item, c, classes))) for c in range(4)]
-        assert gain == pytest.approx(max(tried) - like(t))
-        assert tried[to] == pytest.approx(max(tried))
-        classes = np.where(np.arange(12) == item, to, classes)
+    score, base, round_robin = map(sum, zip(*own, strict=True))
+    assert score > base and score > round_robin
 
 
-def test_empty_table(spark):
-    assert lm.class_lm_scores(spark.createDataFrame([], "doc_id long, text string"), **SMALL).count() == 0
+def test_the_likelihood_never_falls(trained):
+    _, _, rises = trained
+    assert set(rises) == {"seeds", "head", "others"} and len(rises["seeds"]) > 1
+    for values in rises.values():
+        assert values == sorted(values)
 
 
-def likelihood_of(texts, classes):
-    pairs = Counter()
-    for t in texts:
-        w = [b"", *words(t), b""]
-        pairs.update((classes[a], classes[b]) for a, b in zip(w, w[1:]))
-    table = np.zeros((7, 7))
-    for (a, b), n in pairs.items():
-        table[a, b] = n
-    return table
-
-
-def test_every_word_has_a_class_and_no_single_move_helps(spark, rows):
-    texts = [t for _, t, _ in rows]
-    model, rare = lm.train_words(spark.createDataFrame([(t,) for t in texts], "text string"), head=40, classes=6)
-    of = {w: int(c) for w, c in zip(model.vocab.words, model.classes)} | {bytes(r.word): r["class"] for r in rare.collect()}
-    assert set(of) == {w for t in texts for w in words(t)}
-    of[b""] = 6
-    table = likelihood_of(texts, of)
-    seen = Counter(p for t in texts for p in zip([b"", *words(t)], [*words(t), b""]))
-    for word in of.keys() - {b""}:
-        after, before = np.zeros(7), np.zeros(7)
-        for (a, b), n in seen.items():
-            after[of[b]] += n * (a == word)
-            before[of[a]] += n * (b == word)
-        assert lm.best_class(of[word], after, before, seen[word, word], table, 6)[1] < 1e-5
-
-
-def test_scores_of_a_whole_model(spark, rows, scored):
-    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    few, many = (lm.class_lm_scores(df, head=h, classes=6, rounds=1).collect() for h in (10, 1000))
-    key = lambda rs: Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rs)
-    assert key(few) == key(many) == key(scored)
-    model, _ = lm.train_words(df.where(~lm.left_out(lm.F.col("doc_id")) | df.doc_id.isNull()), head=1000, classes=6, rounds=1)
-    got = {r.doc_id: r.score for r in many}
-    for d, t, _ in rows[:50]:
-        c = [model.end, *(model.classes[model.vocab.words[w]] if w in model.vocab.words else model.unknown for w in words(t)), model.end]
-        counts = [*(model.vocab.counts[model.vocab.words[w]] if w in model.vocab.words else 0 for w in words(t)), model.vocab.texts]
-        assert got[d] == pytest.approx(sum(model.step[a, b] + math.log10(n + 1) + model.inside[b] for a, b, n in zip(c, c[1:], counts)))
-
-
-def test_probabilities_of_a_whole_model_sum_to_one(spark, rows):
-    model, rare = lm.train_words(spark.createDataFrame([(t,) for _, t, _ in rows], "text string"), head=40, classes=6, rounds=1)
-    members = [(int(c), int(n)) for c, n in zip(model.classes, model.vocab.counts)] + [(r["class"], r.n) for r in rare.collect()]
+def test_probabilities_sum_to_one(trained):
+    model, rare, _ = trained
+    members = [(int(c), int(n)) for c, n in zip(model.classes, model.vocab.counts)] + [(c, n) for n, c in rare.values()]
     members += [(model.end, model.vocab.texts), (model.unknown, 0)]
-    for before in range(8):
+    for before in range(model.unknown + 1):
         assert sum(10 ** (model.step[before, c] + model.inside[c]) * (n + 1) for c, n in members) == pytest.approx(1)
 
 
-def test_many_items_as_one_by_one():
+def test_the_gain_of_a_seed_is_the_rise_of_the_likelihood():
+    rng = np.random.default_rng(0)
+    pairs = rng.integers(0, 9, (12, 12)).astype(float)
+    of = np.arange(12) % 4
+    table = lambda c, p: np.array([[p[np.ix_(c == a, c == b)].sum() for b in range(4)] for a in range(4)])
+    for w in range(12):
+        without = np.where(np.arange(12) == w, 9, of)
+        after, before = (np.array([x[without == c].sum() for c in range(4)]) for x in (pairs[w], pairs[:, w]))
+        gain = lm.placed_gain(table(without, pairs), after, before, pairs[w, w])
+        tried = [lm.bigram_likelihood(table(np.where(np.arange(12) == w, c, of), pairs)) for c in range(4)]
+        assert gain - gain[0] == pytest.approx(np.array(tried) - tried[0])
+
+
+def test_seeds_come_to_rest():
+    rng = np.random.default_rng(2)
+    pairs = rng.integers(0, 4, (32, 32)).astype(float)
+    pairs[:15, :15] *= 20
+    rises = []
+    of = np.append(lm.exchanged_seeds(pairs, 5, 0.0, rises), [5, 6])
+    assert rises == sorted(rises) and set(of[:30]) <= set(range(5))
+    like = lambda c: lm.bigram_likelihood(np.eye(7)[c].T @ pairs @ np.eye(7)[c])
+    for w in range(30):
+        assert max(like(np.where(np.arange(32) == w, c, of)) for c in range(5)) <= like(of) + 1e-6
+
+
+def test_the_gain_of_an_item_is_the_rise_of_the_likelihood():
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 3, (40, 40)).astype(float)
-    classes = rng.integers(0, 5, 40)
-    of = np.eye(5)[classes]
-    table, after, before, own = of.T @ counts @ of, counts @ of, counts.T @ of, np.diag(counts).copy()
-    to, gain = lm.best_classes(classes, after, before, own, table, 5)
-    like = lambda c: lm.likelihood(np.eye(5)[c].T @ counts @ np.eye(5)[c])
-    for k in range(40):
-        moved = [like(np.where(np.arange(40) == k, c, classes)) - like(classes) for c in range(5)]
-        assert gain[k] == pytest.approx(max(moved)) and moved[to[k]] == pytest.approx(max(moved))
+    items, width = 30, 4
+    cells = rng.integers(0, 3, (items, 2 * width)).astype(float)
+    own = rng.integers(-1, 3, items)
+    sums = np.array([cells[own == c].sum(axis=0) for c in range(width)])
+    at, cell = np.nonzero(cells)
+    to, gain = lm.best_classes(own, at, cell, cells[at, cell], sums, 3)
+    like = lambda s: lm.likelihood(s[:, width:], s[:, :width])
+    for k in range(items):
+        base = sums.copy()
+        if own[k] >= 0:
+            base[own[k]] -= cells[k]
+        moved = [like(base + np.outer(np.arange(width) == c, cells[k])) for c in range(3)]
+        assert moved[to[k]] == pytest.approx(max(moved))
+        assert gain[k] == pytest.approx(max(moved) - (like(base + np.outer(np.arange(width) == own[k], cells[k])) if own[k] >= 0 else like(base)))
+
+
+def test_empty_table(spark):
+    assert lm.class_lm_scores(spark.createDataFrame([], "doc_id long, text string"), **SMALL).count() == 0
+
+
+def test_nothing_to_train_on(spark):
+    held_out = next(k for k in range(100) if held(k))
+    got = lm.class_lm_scores(spark.createDataFrame([(held_out, "some words")], "doc_id long, text string"), **SMALL).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0)]
