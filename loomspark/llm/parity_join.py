@@ -22,17 +22,24 @@ Sets that meet are verified exactly. Only components are asked for, so a bucket
 expanded to all pairs: its members are first compared with one member (in a hot bucket the
 one with the most frequent parts), then with a member of the bucket's largest component; what
 is still in another component is at last compared with all members of other components whose
-bit sketches are near enough in Hamming distance. Equal sets are one node.
+bit sketches are near enough in Hamming distance. Equal sets are one node, known by a 64-bit
+hash of the set; that two sets have the same one is as unlikely as that two shingles have.
+
+At scale: every text is cut into shingles once (a sample of them twice, and those that meet
+another set again); only keys and ids move between tasks, not texts. The one join of texts,
+for the sets to verify, is behind a bit table of fixed size that leaves out those that meet
+none. The plan is the same at every size. What grows faster than the input is the last
+comparison, in buckets of many unlinked sets that have nearly all of their parts in common.
 
 Defined results: null or empty texts have no shingles and are linked with nothing, so their
-component is their own id; ids are taken to be keys (classes with the same smallest id
-count as linked); a row with a null id belongs to the class of its text but links nothing,
-and its component is null if the class has no other id. Extra columns are ignored.
+component is their own id; rows with the same id and different texts are nodes of their own,
+and an id counts in the component of each; a row with a null id belongs to the class of its
+text but links nothing, and its component is null if the class has no other id. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -41,22 +48,21 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.components import components
-from loomspark.llm.tables import cut, stored
+from loomspark.llm.sieve import sieve
+from loomspark.llm.tables import cut, removed, stored
 from loomspark.llm.words import blank_words, mix64, slices, text_bytes
 
-#: Rows of ids or keys up to which a table is broadcast; larger ones are joined by a shuffle.
-SMALL = 1_000_000
-#: One in how many sets is in the sample for hot keys, and how many of the sample make a key hot.
-SAMPLED, HOT = 8, 4
+#: One in how many ids is in the sample for hot keys, how many sets of the sample make a key hot, and for how many keys that is told.
+SAMPLED, HOT, MOST_HOT = 8, 4, 1_000_000
 #: Parts of a sketch for each bit in which linked sets may differ.
 FINE = 2
 #: Words of the bit sketches by which pairs are sifted before their sets are compared.
 WORDS = 16
-#: Words whose hashes a Python worker keeps.
+#: Words, and sets already met, that a Python worker keeps.
 MEMO = 1 << 17
 
 
@@ -168,54 +174,79 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def set_key(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def node_of(shingles: np.ndarray) -> int:
+    """The 64-bit name of a set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+
+
+def all_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(k for _, k in sketch_keys(shingles, bands))])
 
 
-def set_keys(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key`` for every row."""
+def hot_keys(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that at least ``HOT`` sets of a sample by id make, sorted, and how many; at most ``MOST_HOT`` keys."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler, bands = Shingler(size), Bands(percent)
         for batch in slices(batches):
             sets = [shingler(t) for t in text_bytes(batch.column("text"))]
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), lists([all_keys(s, bands) for s in sets])], names=["node", "keys"])
 
-    return docs.mapInArrow(keyed, "doc_id long, n_shingles long, set_key binary")
+    sample = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)).select("text")
+    keys = sample.mapInArrow(keyed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    counts = cut(keys.distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT))
+    least = HOT
+    while counts.where(F.col("n") >= least).count() > MOST_HOT:
+        least *= 2
+    found = counts.where(F.col("n") >= least).toArrow()
+    keys, seen = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], seen[order]
 
 
-def of_nodes(docs: DataFrame, nodes: DataFrame, size: int, schema: str, columns) -> DataFrame:
-    """``node`` and the columns that ``columns`` makes of the sets of ``nodes`` (``node``, ``set_key``)."""
-    rows = docs.join(small(nodes.withColumnRenamed("node", "doc_id")), "doc_id").select("doc_id", "text", "set_key")
+def keyed_rows(docs: DataFrame, hot, size: int, percent: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, node`` for every row; the first rows of a set in a task also have its keys and bit sketch.
+
+    Those are ``cold`` and ``hot`` keys, ``n_hot`` (how often the sample has its parts in all) and ``sketch``.
+    """
+    many = pa.list_(pa.int64())
+    kinds = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "node": pa.int64(), "cold": many, "hot": many, "n_hot": pa.int64(), "sketch": many}
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, bands, met = Shingler(size), Bands(percent), set()
+        for batch in slices(batches):
+            sizes, nodes, keys = [], [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                shingles = shingler(text)
+                node = node_of(shingles)
+                sizes.append(len(shingles))
+                nodes.append(node)
+                if doc_id is None or not len(shingles) or node in met:
+                    keys.append((None,) * 4)
+                    continue
+                met.add(node)
+                cold, warm, n = chosen_keys(sketch_keys(shingles, bands), *hot.value)
+                keys.append((cold.view(np.int64), warm.view(np.int64), n, bit_sketch(shingles).view(np.int64)))
+            if len(met) > MEMO:
+                met.clear()
+            columns = [batch.column("doc_id"), batch.column("text_hash"), sizes, nodes, *(list(zip(*keys, strict=True)) or [()] * 4)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    return docs.mapInArrow(keyed, "doc_id long, text_hash long, n_shingles long, node long, cold array<long>, hot array<long>, n_hot long, sketch array<long>")
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``node, shingles`` of ``nodes``, each from the row of its smallest id."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in slices(batches):
             sets = [shingler(t) for t in text_bytes(batch.column("text"))]
-            own = np.array([set_key(s) == k for s, k in zip(sets, batch.column("set_key").to_pylist(), strict=True)], bool)  # else another row of the id
-            kept = batch.filter(pa.array(own))
-            arrays = columns([s for s, ok in zip(sets, own, strict=True) if ok])
-            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), *arrays], names=[c.split()[0] for c in f"node long, {schema}".split(", ")])
-
-    return rows.mapInArrow(made, f"node long, {schema}")
+            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), lists(sets)], names=["node", "shingles"])
 
-
-def hot_keys(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The keys that at least ``HOT`` sets of the sample make, sorted, and how many; at most ``SMALL`` keys."""
-    counts = cut(sample.select("node", F.explode("keys").alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT))
-    least = HOT
-    while counts.where(F.col("n") >= least).count() > SMALL:
-        least *= 2
-    found = np.array([(r.key, r.n) for r in counts.where(F.col("n") >= least).collect()], np.int64).reshape(-1, 2)
-    keys = found[:, 0].copy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], found[order, 1]
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it has few rows; ``df`` must be cheap to count."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    ids = rows.select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    found = docs.where(sieve(ids.select("doc_id"))(F.coalesce("doc_id", F.lit(0).cast("long")))).select("text").mapInArrow(made, "node long, shingles array<long>")
+    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,55 +271,33 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
+def found_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``)."""
+    docs = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "cast(text AS string) AS text", "xxhash64(text) AS text_hash")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_keys(docs, size, percent))
+    rows = stored(keyed_rows(docs, hot, size, percent), "rows")
 
-    Two sets are linked when 100 * intersection >= ``percent`` * union; a component's id is
-    the smallest id in it.
-    """
-    docs = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "cast(text AS string) AS text")
-    base = stored(set_keys(docs, size), "sets")
-    classes = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    nodes = cut(classes.where("node IS NOT NULL").groupBy("node").agg(F.min("set_key").alias("set_key")))
-
-    def all_keys(sets: list[np.ndarray]) -> list[pa.Array]:
-        bands = Bands(percent)
-        return [lists([np.concatenate([np.zeros(0, np.uint64), *(k for _, k in sketch_keys(s, bands))]) for s in sets])]
-
-    sampled = nodes.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)
-    hot = docs.sparkSession.sparkContext.broadcast(hot_keys(of_nodes(docs, sampled, size, "keys array<long>", all_keys)))
-
-    def chosen(sets: list[np.ndarray]) -> list[pa.Array]:
-        bands = Bands(percent)
-        cold, warm, n = zip(*(chosen_keys(sketch_keys(s, bands), *hot.value) for s in sets), strict=True) if sets else ((), (), ())
-        return [lists(list(cold)), lists(list(warm)), pa.array(n, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists([bit_sketch(s) for s in sets])]
-
-    keyed = stored(of_nodes(docs, nodes, size, "cold array<long>, hot array<long>, n_hot long, n long, sketch array<long>", chosen), "sketches")
-    cold = keyed.select(F.explode("cold").alias("key"), "node")
-    buckets = cold.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
-    buckets = stored(buckets.where("low < high"), "buckets")
-    large = small(buckets.where("n > 2").select("key", F.col("low").alias("pivot")))
-    warm = cut(keyed.where("size(hot) > 0").select(F.explode("hot").alias("key"), "node", "n_hot"))
+    # Members of buckets with two sets at least; copies of a set may be there several times.
+    bucket = Window.partitionBy("key")
+    cold = rows.select(F.explode("cold").alias("key"), "node").select("key", "node", F.min("node").over(bucket).alias("pivot"), F.max("node").over(bucket).alias("high"))
+    warm = cut(rows.where("size(hot) > 0").select(F.explode("hot").alias("key"), "node", "n_hot"))
     central = warm.groupBy("key").agg(F.min_by("node", F.struct(-F.col("n_hot"), "node")).alias("pivot"))
-    members = stored(cold.join(large, "key").union(warm.select("key", "node").join(central, "key")), "members")
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    with_pivot = members.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    pairs = cut(pairs.union(with_pivot).distinct())
+    members = stored(cold.where("pivot < high").select("key", "node", "pivot").union(warm.select("key", "node").join(central, "key")), "members")
+    pairs = cut(members.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
 
-    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    to_verify = cut(nodes.join(met.withColumnRenamed("doc_id", "node"), "node", "left_semi"))
-    sets = stored(of_nodes(docs, to_verify, size, "shingles array<long>", lambda sets: [lists(sets)]).dropDuplicates(["node"]), "shingles")
-    labels = met.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
-    labels = relabelled(labels, verified(pairs, sets, percent))
+    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = stored(shingle_sets(docs, rows, met, size), "shingles")
+    labels = relabelled(met.select("node", F.col("node").alias("label")), verified(pairs, sets, percent))
 
     for exhaustive in (False, True):
         placed = members.select("key", "node").join(labels, "node")
         split = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-        placed = stored(placed.join(split, "key", "left_semi"), "split")
+        placed = stored(placed.join(split, "key", "left_semi").distinct(), "split")
         counts = placed.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("pivot"))
         main = cut(counts.groupBy("key").agg(F.max_by(F.struct("label", "pivot"), F.struct("n", "label")).alias("m")).select("key", F.col("m.label").alias("main"), F.col("m.pivot").alias("pivot")))
         if exhaustive:
-            placed = stored(placed.join(keyed.select("node", "n", "sketch").dropDuplicates(["node"]), "node"), "placed")
+            sketched = rows.where("sketch IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sketch")
+            placed = stored(placed.join(sketched.join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node"), "placed")
             strays = placed.join(main, "key").where("label <> main").select("key", "node", "label", "n", "sketch")
             others = placed.select(F.col("key").alias("key_2"), F.col("node").alias("other"), F.col("label").alias("label_2"), F.col("n").alias("m"), F.col("sketch").alias("sketch_2"))
             size_fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
@@ -298,19 +307,42 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
             met_again = placed.join(main, "key").where("label <> main").withColumnRenamed("pivot", "other")
         pairs = cut(met_again.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
         labels = relabelled(labels, verified(pairs, sets, percent))
-
-    found = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component"))
-    return base.join(found, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+        removed(placed)
+    removed(sets)
+    removed(members)
+
+    base = rows.select("doc_id", "text_hash", "n_shingles", "node")
+    smallest = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left")
+    linked = smallest.where("label IS NOT NULL").groupBy("label").agg(F.min("low").alias("component"))
+    found = smallest.join(linked, "label", "left").select("node", F.coalesce("component", "low").alias("component"))
+    return base.join(found, "node", "left").select(
+        "doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
+
+    Two sets are linked when 100 * intersection >= ``percent`` * union; a component's id is
+    the smallest id in it.
+    """
+    return found_components(docs, size, percent).drop("text_hash")
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one of the smallest id.
 
     Rows alike in id and text count once; documents without shingles and with null ids stay.
+    Only rows whose id a bit table holds as one of those to go or to count once are shuffled.
     """
-    found = jaccard_components(docs, size, percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    same = F.xxhash64("text")
-    return docs.join(gone, "doc_id", "left_anti").withColumn("_same", same).dropDuplicates(["doc_id", "_same"]).select(docs.columns)
+    found = found_components(docs, size, percent)
+    known = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_1"), F.col("text_hash").alias("_2")).agg(F.count("*").alias("_3"), F.min("component_id").alias("_4"))
+    changed = stored(known.where("_1 <> _4 OR _3 > 1").select("_1", "_2", (F.col("_1") != F.col("_4")).alias("_5")), "changed")
+    # The columns of ``docs`` travel as one, so that none can clash.
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_0"))
+    doc_id, text = F.col("_0.doc_id").cast("long"), F.col("_0.text").cast("string")
+    suspect = sieve(changed.select("_1"))(F.coalesce(doc_id, F.lit(0).cast("long"))) & doc_id.isNotNull()
+    marked = packed.withColumns({"_1": doc_id, "_2": F.xxhash64(text), "_6": suspect})
+    checked = marked.where("_6").join(changed, ["_1", "_2"], "left")
+    parts = (marked.where("NOT _6"), checked.where("_5 IS NULL"), checked.where("NOT _5").dropDuplicates(["_1", "_2"]))
+    return reduce(DataFrame.union, (part.select("_0.*") for part in parts))

@@ -95,6 +95,32 @@ def test_chain_through_a_large_family_is_found(spark):
     assert got == {d: c for d, (_, c) in plain(rows, 4, 85).items()}
 
 
+def test_an_id_with_different_texts_keeps_its_links(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(1, texts[0]), (9, texts[0] + " more"), (9, texts[1]), (4, texts[1] + " else"), (9, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in pj.jaccard_components(df, 4, 85).collect())
+    assert got == [(1, 1, 27), (4, 4, 28), (9, 1, 28), (9, 4, 27), (9, 9, 27)]
+    assert sorted((r.doc_id, r.text) for r in pj.keep_one(df, 4, 85).collect()) == sorted([rows[0], rows[3], rows[4]])
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    schema = "_same int, doc_id int, text string, _0 int, _1 int, _5 boolean, node string, `a.b` int"
+    rows = [(1, 7, "one two three", 2, 3, None, "x", 4), (1, 7, "one two three", 2, 3, None, "x", 4), (5, 8, "one two three", 2, 3, None, "x", 4), (6, None, "one two three", 2, 3, True, "x", 4)]
+    df = spark.createDataFrame(rows, schema)
+    kept = pj.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == sorted([rows[0], rows[3]])
+    assert pj.jaccard_components(df).columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{pow(k, 3, 9973)}" for k in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["changed", *words[1:]])), (3, " ".join(words[::-1]))]
+    got = {r.doc_id: r.component_id for r in pj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_null_ids_repeats_and_empty_tables(spark):
     schema = "doc_id long, text string"
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, "alone here with words"), (None, None), (7, "")]
