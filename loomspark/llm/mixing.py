@@ -13,7 +13,8 @@ adds no skew, as rows are dealt by the hash.
 
 Defined results: a null source is a source of its own; a source without characters has rate
 0; null texts have no characters; a null ``doc_id`` hashes its text; rows that repeat a
-``doc_id`` get the same number of copies each; columns named ``mix_...`` are replaced.
+``doc_id`` get the same number of copies each; columns named ``mix_copies``, ``mix_copy`` and
+``mix_key`` are replaced, others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,22 +61,21 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
 
 def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, seed: str = "mix") -> DataFrame:
     """``docs`` replicated and shuffled, with ``mix_copies``, ``mix_copy`` (from 1) and ``mix_key``."""
-    docs = docs.drop("mix_source", "mix_size", "mix_rate", "mix_copies", "mix_copy", "mix_key")
+    docs = docs.drop("mix_copies", "mix_copy", "mix_key")
     rates = source_rates(docs, weights, default_weight)
     parts = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / PART)).cast("int")
     rates = rates.withColumn("_parts", parts).withColumn("_sums", cumulative(F.col("mix_rate") / F.col("_parts")))
     rates = rates.select("mix_source", "_parts", "_sums")
     rates = F.broadcast(rates) if rates.count() <= SMALL else rates
+    # A row's own columns travel as one, so that none can clash.
     name = F.coalesce(F.col("source").cast("string"), F.lit("(null)"))
     document = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    counted = docs.withColumn("mix_source", name).join(rates, "mix_source")
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_parts")),
-        F.lit(0),
-        lambda n, part: n + F.size(F.filter("_sums", lambda c: c <= fraction(F.lit(seed), part.cast("string"), document))),
-    )
-    copies = counted.withColumn("mix_copies", drawn).where("mix_copies > 0")
-    copies = copies.select(*docs.columns, "mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
-    digits = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), document, F.col("mix_copy").cast("string")))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), name.alias("mix_source"), document.alias("_document"))
+    # Hashed once a part; the terms are then compared with the number.
+    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda part: fraction(F.lit(seed), part.cast("string"), F.col("_document")))
+    drawn = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("_sums", lambda c: c <= u)))
+    copies = packed.join(rates, "mix_source").select("_row", "_document", drawn.alias("mix_copies")).where("mix_copies > 0")
+    copies = copies.select("_row", "_document", "mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
+    digits = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "_document", F.col("mix_copy").cast("string")))
     key = F.conv(F.substring(digits, 1, 15), 16, 10).cast("long")
-    return copies.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    return copies.select("_row.*", "mix_copies", "mix_copy", key.alias("mix_key")).repartition("mix_key").sortWithinPartitions("mix_key")

@@ -37,3 +37,10 @@ def test_nulls_ties_and_empty_tables(spark):
     assert all(c[0] * (2 if k[0] == 3 else 1) == len(c) for k, c in copies.items())
     assert not [r for r in got if r.source == "e"]  # no characters, no rate
     assert mixing.mix_sources(table(spark, []), {"a": 2.0}).count() == 0
+
+
+def test_clashing_columns_pass_through(spark):
+    df = spark.createDataFrame([(k, "text", "s", k, k, k, k) for k in range(50)], "doc_id long, text string, source string, _parts int, _sums int, mix_source int, `a.b` int")
+    got = mixing.mix_sources(df, {})
+    assert got.columns == [*df.columns, "mix_copies", "mix_copy", "mix_key"]
+    assert all(r._parts == r._sums == r.mix_source == r["a.b"] == r.doc_id for r in got.collect())
