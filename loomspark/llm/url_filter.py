@@ -86,7 +86,9 @@ class BloomCascade:
             return cls(())
         size = universe.agg(F.approx_count_distinct("key")).first()[0]
         first = BloomLevel.sized(1, n, min(rate, max(n, 1) / max(size, 2 * n))).filled(listed)
-        wrong = universe.where(first.accepts(F.col("key"))).distinct().join(listed, "key", "left_anti")
+        accepted = universe.where(first.accepts(F.col("key"))).select("key", F.lit(False).alias("listed"))
+        marked = accepted.union(listed.select("key", F.lit(True))).groupBy("key").agg(F.max("listed").alias("listed"))
+        wrong = marked.where("NOT listed").select("key")
         levels, inside, outside = [first], listed, cut(wrong)
         while wrong_keys := outside.count():
             level = BloomLevel.sized(len(levels) + 1, wrong_keys, rate).filled(outside)
