@@ -7,10 +7,11 @@ then found by backward search, occurrences are located by sampled suffix positio
 their spans are merged. Documents are never shuffled or collected.
 
 Test items travel to the tasks in blocks of at most ``block_bytes`` of text; a larger test
-set is searched block by block over the same rows, in one pass.
+set is searched block by block over the same rows, in one pass. All blocks stay with the
+driver and the workers meanwhile: some 40 bytes of memory for each byte of the items.
 
 Defined results: null and empty texts have no words and no hits; an item without words has
-no window; a null item id counts under the name ``null``; equal windows of several items
+no window; a null item id counts under the name ``null``, an empty one as it is; equal windows of several items
 count for each; repeated rows are judged each; other columns are ignored or, when cutting,
 passed through unchanged.
 """
@@ -49,7 +50,7 @@ class Phrases:
             words = [numbers.setdefault(w, len(numbers) + 1) for w in alnum_words((text or "").encode())]
             length = min(size, len(words))
             for at in range(len(words) - length + 1 if words else 0):
-                found.setdefault(length, {}).setdefault(tuple(words[at : at + length]), set()).add(item or "null")
+                found.setdefault(length, {}).setdefault(tuple(words[at : at + length]), set()).add("null" if item is None else item)
         return cls(
             numbers,
             {n: np.array(list(windows), np.int64) for n, windows in found.items()},
@@ -93,9 +94,14 @@ def search_shard(texts: list[bytes], phrases: Phrases) -> Hits:
     index = FMIndex(symbols[origin])
     firsts = np.concatenate(([0], np.cumsum(np.array(sizes) + 1)))
     change = np.zeros(len(symbols) + 1, np.int64)
+    there = np.zeros(len(phrases.numbers) + 1, bool)
+    there[symbols] = True
     for length, windows in phrases.by_length.items():
-        low, high = index.search(windows)
-        which = np.repeat(np.arange(len(windows)), high - low)
+        possible = np.flatnonzero(there[windows].all(axis=1))  # windows of which the shard has every word
+        if not len(possible):
+            continue
+        low, high = index.search(windows[possible])
+        which = np.repeat(possible, high - low)
         rows = np.arange(len(which)) + np.repeat(low - np.concatenate(([0], np.cumsum(high - low)[:-1])), high - low)
         at = origin[index.locate(rows)]
         np.add.at(change, at, 1)
@@ -140,7 +146,7 @@ def item_blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[P
         yield Phrases.of([(r.item_id, r.text) for r in part.collect()], size)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
     """``doc_id, n_words, spans, items`` for every row of ``docs`` (``doc_id``, ``text``).
 
     ``spans``: merged word ranges of occurring windows; ``items``: ids that have such windows.
@@ -183,7 +189,7 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFr
     )
 
 
-def cut_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def cut_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with every occurring window cut out of ``text``, and ``n_chars``, if there, counted anew.
 
     A cut text is searched again until nothing is found, since a cut brings words together.
