@@ -1,20 +1,26 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic regression over the words of a text and their first four bytes. For every
-labelled text that names a group, a counterfactual text has its identity terms swapped for
-others of their kind; the squared change of the score (before the sigmoid) is part of the
-loss. Naming a group then moves the score less, and neutral mentions are not taken for
-toxic ones just because toxic texts name groups more often.
+labelled text with identity terms, a counterfactual text has them swapped for others of
+their kind; the squared change of the score (before the sigmoid) is part of the loss. Naming
+a group then moves the score less, and neutral mentions are not taken for toxic ones just
+because toxic texts name groups more often.
+
+Identity terms are those of a list, and those that the corpus itself shows without labels:
+words by which communities of texts (tongues, dialects, boards) are known. They are the
+frequent words of the sampled texts that go together, as against those that keep apart; the
+first of one community is swapped for the first of the next, the second for the second.
 
 The classifier is fitted on a sample of the labelled rows, about ``max_rows`` of them chosen
-by a hash of their id. Features are counted and chosen in Spark; what comes to the driver is
+by a hash of their id, one text an id. Features are counted and chosen in Spark; what comes to the driver is
 the numbers of the chosen features, at most ``max_features``, in the sampled rows. Scoring
 covers every row and whole texts.
 
 Defined results: null and empty texts have no features and get the score of the intercept;
 a repeated label counts as its largest value, a null one not at all; without usable labels
 every score is 0.5 less a trifle, so nothing is rejected; null ids are never held out and
-have no label; extra columns are ignored.
+have no label; of the texts of a repeated id the least in order is learnt from; extra columns
+are ignored or pass through.
 """
 
 from __future__ import annotations
@@ -74,11 +80,21 @@ class Model:
 
     bias: float = -1e-9
     weights: dict[bytes, float] = field(default_factory=dict)
+    swap: dict[bytes, bytes] = field(default_factory=dict)
 
-    def logit(self, text: bytes) -> float:
-        found = features(set(alnum_words(text))).intersection(self.weights)
+    def of_words(self, words: set[bytes]) -> float:
+        found = features(words).intersection(self.weights)
         return self.bias + sum(map(self.weights.__getitem__, sorted(found)))
 
+    def logit(self, text: bytes) -> float:
+        return self.of_words(set(alnum_words(text)))
+
+    def change(self, text: bytes) -> float | None:
+        """How far the logit moves when the identity terms are swapped; None if there are none."""
+        words = set(alnum_words(text))
+        other = counterfactual(words, self.swap)
+        return None if other is None else abs(self.of_words(words) - self.of_words(other))
+
 
 def sampled(docs: DataFrame, labels: DataFrame, max_rows: int, folds: int) -> DataFrame:
     """``text, toxic`` of about ``max_rows`` labelled rows outside the held-out fold."""
@@ -87,11 +103,64 @@ def sampled(docs: DataFrame, labels: DataFrame, max_rows: int, folds: int) -> Da
     share = max_rows / max(max_rows, usable.count())
     chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = texts.join(F.broadcast(chosen), "doc_id")  # about max_rows ids
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+
 
+def together(rows: DataFrame, share: float, most: int) -> tuple[list[bytes], np.ndarray, int]:
+    """The at most ``most`` words that at least ``share`` of the texts have, in how many texts each two are, and the number of texts."""
 
-def chosen_features(rows: DataFrame, max_features: int, least: int, z: float) -> list[bytes]:
-    """The features of ``rows`` that at least ``least`` texts have and that go with the label."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            seen: Counter = Counter()
+            for text in text_bytes(batch.column("text")):
+                seen.update(set(alnum_words(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    size = rows.count()
+    frequent = rows.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, share * size))
+    words = [bytes(r.word) for r in frequent.orderBy(F.desc("n"), "word").limit(most).collect()]
+    numbers = {w: k for k, w in enumerate(words)}
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(words), len(words)), np.int64)
+        for batch in slices(batches):
+            for text in text_bytes(batch.column("text")):
+                has = [numbers[w] for w in set(alnum_words(text)).intersection(numbers)]
+                total[np.ix_(has, has)] += 1
+        a, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], names=["a", "b", "n"])
+
+    both = np.zeros((len(words), len(words)))
+    for r in rows.mapInArrow(paired, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # most^2 rows at most
+        both[r.a, r.b] = r.n
+    return words, both, size
+
+
+def communities(words: list[bytes], both: np.ndarray, size: int) -> list[list[bytes]]:
+    """Words that go together more often than chance has it with all that a community has so far, most frequent first."""
+    lift = both * size / np.maximum(np.outer(np.diag(both), np.diag(both)), 1)
+    found: list[list[int]] = []
+    for k in range(len(words)):
+        near = [(lift[k, c].min(), -i) for i, c in enumerate(found)]
+        best = max(near, default=(0.0, 0))
+        if best[0] > 1:
+            found[-best[1]].append(k)
+        else:
+            found.append([k])
+    return [[words[k] for k in c] for c in found if len(c) > 1]
+
+
+def community_terms(rows: DataFrame, share: float = 0.1, most: int = 64) -> tuple[tuple[str, ...], ...]:
+    """Kinds of interchangeable terms: the k-th word of every community that ``rows`` show. Labels are not looked at."""
+    found = communities(*together(rows, share, most))
+    ranks = range(max(map(len, found), default=0))
+    kinds = (tuple(c[k].decode("utf-8", "replace") for c in found if len(c) > k) for k in ranks)
+    return tuple(kind for kind in kinds if len(kind) > 1)
+
+
+def chosen_features(rows: DataFrame, max_features: int, least: int, z: float, terms: list[bytes]) -> list[bytes]:
+    """The features of ``rows`` that at least ``least`` texts have and that go with the label, and the ``terms`` that any text has."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, toxic = Counter(), Counter()
@@ -119,8 +188,10 @@ def chosen_features(rows: DataFrame, max_features: int, least: int, z: float) ->
     p = toxic / size
     counts = rows.mapInArrow(counted, "feature binary, n long, k long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     score = F.abs(F.col("k") - p * F.col("n")) / F.sqrt(F.col("n") * (p * (1 - p)))
-    strong = counts.where(F.col("n") >= least).withColumn("z", score).where(F.col("z") >= z)
-    return [bytes(r.feature) for r in strong.orderBy(F.desc("z"), "feature").limit(max_features).collect()]
+    # Identity terms stay, so that their weights are what the counterfactual part holds down.
+    term = F.col("feature").isin([bytearray(t) for t in terms]) if terms else F.lit(False)
+    strong = counts.withColumn("z", score).withColumn("term", term).where(F.col("term") | ((F.col("n") >= least) & (F.col("z") >= z)))
+    return [bytes(r.feature) for r in strong.orderBy(F.desc("term"), F.desc("z"), "feature").limit(max_features).collect()]
 
 
 def descend(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pairs, size: int, ridge: float, fair: float, steps: int = 300) -> np.ndarray:
@@ -144,15 +215,19 @@ def descend(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pairs, size: int, r
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 20_000, fair: float = 1.0, ridge: float = 1e-4, folds: int = 5, kinds=IDENTITY) -> Model:
-    """The classifier of ``docs`` (``doc_id``, ``text``) with ``labels`` (``doc_id``, ``toxic``)."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 20_000, fair: float = 1.0, ridge: float = 1e-4, folds: int = 5, kinds=IDENTITY, share: float = 0.1) -> Model:
+    """The classifier of ``docs`` (``doc_id``, ``text``) with ``labels`` (``doc_id``, ``toxic``).
+
+    ``fair`` weighs score changes under swaps; ``kinds`` are the listed identity terms, to which
+    come those of communities whose words ``share`` of the texts have.
+    """
     rows = sampled(docs, labels, max_rows, folds).cache()
     try:
-        names = chosen_features(rows, max_features, least=5, z=4.0)
+        swap = swaps(community_terms(rows, share)) | swaps(kinds)
+        names = chosen_features(rows, max_features, 5, 4.0, sorted(swap))
         if not names:
             return Model()
-        # Identity terms stay, so that their weights are what the counterfactual part holds down.
-        numbers, swap = {f: k for k, f in enumerate(names)}, swaps(kinds)
+        numbers = {f: k for k, f in enumerate(names)}
 
         def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = set(numbers)
@@ -175,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
     paired = [(a, b) for a, b in zip(x, other, strict=True) if b is not None]
     pairs = (sparse([a for a, _ in paired]), sparse([b for _, b in paired]), len(paired))
     w = descend(sparse(x), np.array(toxic, float), pairs, len(names), ridge, fair)
-    return Model(float(w[-1]), {f: float(a) for f, a in zip(names, w, strict=False)})
+    return Model(float(w[-1]), {f: float(a) for f, a in zip(names, w, strict=False)}, swap)
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -198,6 +273,21 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000,
     )
 
 
+def swap_changes(docs: DataFrame, model: Model) -> DataFrame:
+    """``texts`` with identity terms, and ``mean_change`` of their logits when these are swapped."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def change(texts):
+        return texts.map(lambda t: sent.value.change((t or "").encode())).astype(float)
+
+    moved = docs.select(change(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("change")).where(F.col("change").isNotNull() & ~F.isnan("change"))
+    return moved.agg(F.count("*").alias("texts"), F.avg("change").alias("mean_change"))
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """``docs`` without those whose score is 0.5 or more."""
-    return with_scores(docs, fit(docs, labels, max_rows), "_toxic").where("_toxic < 0.5").select(docs.columns)
+    model = fit(docs, labels, max_rows)
+    # A row's own columns travel as one, so that none can clash.
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
+    return with_scores(packed, model, "_score").where("_score < 0.5").select("_row.*")
