@@ -36,7 +36,7 @@ def names_of(parameters: Column) -> Column:
 def at_line(corpus: DataFrame, found: Column) -> DataFrame:
     """One row a hit ``h``, with its ``line`` and its place ``ordinal`` in the file."""
     rows = corpus.select("path", "content", F.posexplode(found).alias("ordinal", "h"))
-    skipped = F.length(F.regexp_extract(F.substring(F.col("content"), F.col("h.start") + 1, F.lit(500)), r"^[.\s]*", 0))
+    skipped = F.length(F.regexp_extract(F.substr(F.col("content"), F.col("h.start") + 1), r"^[.\s]*", 0))
     return rows.withColumn("line", line_of(F.col("content"), F.col("h.start") + skipped))
 
 
@@ -58,15 +58,17 @@ def registrations(corpus: DataFrame) -> DataFrame:
     return rows.select("path", "line", "ordinal", F.col("h.kind").alias("kind"), F.col("h.name").alias("name"), dependencies.alias("dependencies"))
 
 
+def provider(content: Column, h: Column) -> Column:
+    """Whose route a hit is, by the statement it stands in; null if it is none."""
+    statement = F.substring_index(F.substring(content, F.lit(1), h["start"]), ";", -1)
+    return F.when((h["method"] == "when") & F.contains(statement, F.lit("$routeProvider")), "ngRoute").when((h["method"] == "state") & F.contains(statement, F.lit("$stateProvider")), "ui-router")
+
+
 def routes(corpus: DataFrame) -> DataFrame:
     """``path, line, provider, path_or_state``: calls whose statement names the provider."""
     rows = at_line(corpus, hits(F.col("content"), ROUTE, method=1, quoted=2, raw=3))
-    statement = F.substring_index(F.substring(F.col("content"), F.lit(1), F.col("h.start")), ";", -1)
-    provider = F.when((F.col("h.method") == "when") & F.contains(statement, F.lit("$routeProvider")), "ngRoute").when(
-        (F.col("h.method") == "state") & F.contains(statement, F.lit("$stateProvider")), "ui-router"
-    )
     named = F.when(F.coalesce("h.quoted", F.lit("")) != "", F.col("h.quoted")).otherwise(F.trim(F.coalesce("h.raw", F.lit(""))))
-    return rows.select("path", "line", "ordinal", provider.alias("provider"), named.alias("path_or_state")).where("provider IS NOT NULL")
+    return rows.select("path", "line", "ordinal", provider(F.col("content"), F.col("h")).alias("provider"), named.alias("path_or_state")).where("provider IS NOT NULL")
 
 
 def watches(corpus: DataFrame) -> DataFrame:
@@ -77,12 +79,42 @@ def watches(corpus: DataFrame) -> DataFrame:
 
 def inventory(corpus: DataFrame) -> DataFrame:
     """``path, modules, registrations, routes, watches``: how many of each a file has."""
-    counts = [F.size(hits(F.col("content"), MODULE)), F.size(hits(F.col("content"), REGISTRATION))]
-    other = [d.groupBy("path").agg(F.count("*").alias(n)) for n, d in (("routes", routes(corpus)), ("watches", watches(corpus)))]
-    out = corpus.select("path", counts[0].alias("modules"), counts[1].alias("registrations"))
-    for d in other:
-        out = out.join(d, "path", "left")
-    return out.na.fill(0, ["routes", "watches"])
+    text = F.col("content")
+    found = {"modules": hits(text, MODULE), "registrations": hits(text, REGISTRATION), "routes": F.filter(hits(text, ROUTE, method=1), lambda h: provider(text, h).isNotNull()), "watches": hits(text, WATCH)}
+    return corpus.select("path", *[F.when(text.isNull(), 0).otherwise(F.size(h)).cast("long" if n in ("routes", "watches") else "int").alias(n) for n, h in found.items()])
+
+
+ARRAY_STYLE = rf"""\.\s*({"|".join(KINDS)})\s*\(\s*{STRING}\s*,\s*\[((?:\s*(?:'[^']*'|"[^"]*")\s*,)+)\s*(?:async\s+)?function\b[^(]*\(([^)]*)\)"""
+#: Receivers that are taken for a scope, and what a call of each method does.
+EVENT = r"""(?<![\w$.])(\$scope|\$rootScope|scope|rootScope)\s*\.\s*\$(emit|broadcast|on)\s*\(\s*(?:'([^'\\]*)'|"([^"\\]*)")"""
+ARITY = "dependency array has {} names but the function declares {} parameter(s) — ambiguous binding, not safely transformable"
+
+
+def array_injections(corpus: DataFrame) -> DataFrame:
+    """``path, ordinal, line, kind, name, dependencies, parameters, reason`` of array-style registrations.
+
+    Names are bound to parameters by place; ``reason`` says why that is not possible.
+    """
+    rows = at_line(corpus, hits(F.col("content"), ARRAY_STYLE, kind=1, name=2, listed=3, parameters=4))
+    found = rows.select("path", "ordinal", "line", F.col("h.kind").alias("kind"), F.col("h.name").alias("name"), strings_of(F.col("h.listed")).alias("dependencies"), names_of(F.col("h.parameters")).alias("parameters"))
+    n, m = F.size("dependencies"), F.size("parameters")
+    before, between, after = ARITY.split("{}")
+    reason = F.concat(F.lit(before), n.cast("string"), F.lit(between), m.cast("string"), F.lit(after))
+    return found.withColumn("reason", F.when(n != m, reason))
+
+
+def bound_parameters(injections: DataFrame) -> DataFrame:
+    """``path, name, place, dependency, parameter`` of registrations without a ``reason`` against it."""
+    pairs = F.arrays_zip(F.col("dependencies").alias("dependency"), F.col("parameters").alias("parameter"))
+    return injections.where("reason IS NULL").select("path", "name", F.posexplode(pairs).alias("place", "p")).select("path", "name", "place", "p.dependency", "p.parameter")
+
+
+def event_usages(corpus: DataFrame) -> DataFrame:
+    """``path, ordinal, start, line, receiver, event, kind`` (emit or on) of event calls of a scope with a literal name."""
+    rows = corpus.select("path", "content", F.posexplode(hits(F.col("content"), EVENT, receiver=1, method=2, single=3, double=4)).alias("ordinal", "h"))
+    event = F.concat(F.coalesce("h.single", F.lit("")), F.coalesce("h.double", F.lit("")))
+    kind = F.when(F.col("h.method") == "on", "on").otherwise("emit")
+    return rows.select("path", "ordinal", F.col("h.start").alias("start"), line_of(F.col("content"), F.col("h.start")).alias("line"), F.col("h.receiver").alias("receiver"), event.alias("event"), kind.alias("kind"))
 
 
 def paired_events(usages: DataFrame) -> DataFrame:

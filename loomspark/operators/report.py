@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,11 +33,11 @@ def orphan_templates(templates: DataFrame, resolved: DataFrame) -> DataFrame:
 def artifacts_of_files(artifacts: DataFrame, files: DataFrame) -> DataFrame:
     """``path, artifact_id, tier`` where a file is an artifact's source or its template.
 
-    An OR in a join condition would need a nested loop; two equi-joins are united instead.
+    An OR in a join condition would need a nested loop; an artifact's paths become rows instead.
     """
     paths = files.select("path").distinct()
-    sides = [artifacts.select(F.col(c).alias("path"), "artifact_id", "tier").join(paths, "path") for c in ("source_file", "template_source")]
-    return sides[0].unionByName(sides[1]).dropDuplicates(["path", "artifact_id"])
+    named = F.array_distinct(F.array_compact(F.array("source_file", "template_source")))
+    return artifacts.select(F.explode(named).alias("path"), "artifact_id", "tier").join(paths, "path")
 
 
 def tier_rank(tier: Column) -> Column:
@@ -114,14 +112,3 @@ def apply_edits(text: Column, edits: Column) -> Column:
         return F.concat(F.left(acc, e["start"]), e["replacement"], F.substring(acc, e["stop"] + 1, F.length(acc)))
 
     return F.aggregate(last_first, text, step)
-
-
-def dense(rows: DataFrame, key: str, domain: tuple[str, ...], counts: dict[str, Column]) -> DataFrame:
-    """Counts by key with a row for every member of ``domain``."""
-    found = rows.groupBy(key).agg(*[c.alias(n) for n, c in counts.items()])
-    members = rows.sparkSession.range(1, numPartitions=1).select(F.explode(F.lit(list(domain))).alias(key))
-    return members.join(found, key, "left").na.fill(0)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

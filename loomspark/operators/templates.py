@@ -28,6 +28,31 @@ def attributes(pages: DataFrame, key: str, text: str = "html") -> DataFrame:
     return rows.select(key, F.lower("h.name").alias("name"), F.nullif(F.trim(F.col("h.value")), F.lit("")).alias("value"), line.alias("line"))
 
 
+#: Fixed value: why a file with an attribute twice in an element is left as it is.
+DUPLICATE = "input HTML has a duplicate attribute somewhere in the file — ambiguous which occurrence is real, not safely transformable"
+NAMED = r"""\s([^\s"'<>/=]+)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
+OPENED = r"""<[a-zA-Z][^\s/>]*((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+
+
+def masked_interpolations(template: Column) -> Column:
+    """``<`` and ``>`` between ``{{`` and ``}}`` as blanks, so that comparisons are not taken for tags; same length."""
+
+    def part(text: Column, k: Column) -> Column:
+        close = F.instr(text, F.lit("}}"))
+        inside = F.when(close > 0, F.left(text, close - 1)).otherwise(text)
+        rest = F.when(close > 0, F.substr(text, close)).otherwise("")
+        return F.when(k == 0, text).otherwise(F.concat(F.translate(inside, "<>", "  "), rest))
+
+    return F.array_join(F.transform(F.split(template, r"\{\{"), part), "{{")
+
+
+def has_duplicate_attribute(template: Column) -> Column:
+    """Whether an element names an attribute twice, capitals or not; the first one would win unseen."""
+    tags = F.regexp_extract_all(masked_interpolations(template), F.lit(OPENED), F.lit(1))
+    names = F.transform(tags, lambda t: F.transform(F.regexp_extract_all(F.concat(F.lit(" "), t), F.lit(NAMED), F.lit(1)), F.lower))
+    return F.exists(names, lambda n: F.size(n) > F.size(F.array_distinct(n)))
+
+
 def rewritten(template: Column) -> Column:
     """Conditions and repeats on elements that hold text alone become blocks, ``ng-show`` becomes ``hidden``.
 
@@ -41,11 +66,11 @@ def rewritten(template: Column) -> Column:
 
 def rewrite_templates(corpus: DataFrame) -> DataFrame:
     """``path, matched, output, reason`` of every template."""
-    output = rewritten(F.col("content"))
-    matched = output != F.col("content")
+    output, twice = rewritten(F.col("content")), has_duplicate_attribute(F.col("content"))
+    matched = (output != F.col("content")) & ~twice
     return corpus.select(
         "path",
         matched.alias("matched"),
         F.when(matched, output).alias("output"),
-        F.when(~matched, "no element with a simple control-flow attribute").alias("reason"),
+        F.when(twice, DUPLICATE).when(~matched, "no element with a simple control-flow attribute").alias("reason"),
     )

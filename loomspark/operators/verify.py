@@ -15,13 +15,13 @@ MAX_ROUNDS = 25
 
 #: Boundary inputs by parameter type as JSON, and the default of each type.
 BOUNDARY = {
-    "string": ('""', '"a"', '"Mixed <b>Tags</b> 123, and more!"'),
+    "string": ('""', '"x"', '" <b>Hello</b>, World 42! "'),
     "number": ("0", "1", "-1"),
     "boolean": ("true", "false"),
     "array": ("[]", "[1]", "null"),
-    "object": ("{}", '{"key":1}', "null"),
+    "object": ("{}", '{"k":"v"}', "null"),
 }
-DEFAULTS = {"string": '"a"', "number": "1", "boolean": "true", "array": "[1]", "object": '{"key":1}'}
+DEFAULTS = {"string": '"x"', "number": "1", "boolean": "true", "array": "[1]", "object": '{"k":"v"}'}
 
 
 def diagnostics(logs: DataFrame) -> DataFrame:
@@ -82,21 +82,23 @@ def same_outcome(kind_a: Column, key_a: Column, kind_b: Column, key_b: Column) -
     return F.coalesce(ran & (kind_a == kind_b) & key_a.eqNullSafe(key_b), F.lit(False))
 
 
-def characterized(cases: DataFrame) -> DataFrame:
+def characterized(cases: DataFrame, reason: Column | None = None) -> DataFrame:
     """``target_id, verdict, cases`` from ``ordinal`` and outcomes of the original, its rerun and the migrated function.
 
-    The earliest offending input decides: an original that does not repeat itself makes the
-    target ineligible, one that the migrated function does not repeat is a mismatch. If no
-    input returned, the target is ineligible.
+    The earliest offending input decides: an original that does not repeat itself, or a migrated
+    function that could not run, makes the target ineligible; another outcome of the migrated
+    function is a mismatch. If no input returned, the target is ineligible. With ``reason``, a
+    column of the cases, ``why`` is the earliest one.
     """
     out = lambda n: (F.col(f"{n}_kind"), F.col(f"{n}_key"))
-    verdict = F.when(~same_outcome(*out("original"), *out("rerun")), "ineligible").when(~same_outcome(*out("original"), *out("migrated")), "mismatch")
+    verdict = F.when(~same_outcome(*out("original"), *out("rerun")), "ineligible").when(F.coalesce(F.col("migrated_kind"), F.lit("unrunnable")) == "unrunnable", "ineligible").when(~same_outcome(*out("original"), *out("migrated")), "mismatch")
     bad = F.when(verdict.isNotNull(), F.col("ordinal"))
     sums = cases.groupBy("target_id").agg(
-        F.min_by(verdict, bad).alias("first_bad"), F.count_if(F.col("original_kind") == "return").alias("returned"), F.count("*").alias("cases")
+        F.min_by(verdict, bad).alias("first_bad"), F.count_if(F.col("original_kind") == "return").alias("returned"), F.count("*").alias("cases"),
+        *([] if reason is None else [F.min_by(reason, F.when(reason.isNotNull(), F.col("ordinal"))).alias("why")]),
     )
     decided = F.coalesce("first_bad", F.when(F.col("returned") == 0, "ineligible").otherwise("matched"))
-    return sums.select("target_id", decided.alias("verdict"), "cases")
+    return sums.select("target_id", decided.alias("verdict"), "cases", *([] if reason is None else ["why"]))
 
 
 def parameter_types(usages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as fx
 from loomspark.operators import facts, listing, report, rewrite, secrets, templates, verify
-from loomspark.plans import oracle
+from loomspark.plans import assembly, oracle
 from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FACT_CORPUS, FILES, LISTING, SCOPE_CORPUS, SECRET_CORPUS, read, sql
 from loomspark.sources import corpus
 from loomspark.streaming import live
@@ -123,7 +123,8 @@ def honest_rates(spark, sf_dir):
 def template_resolution(spark, sf_dir):
     keys = sql(spark, sf_dir, DECLARATIONS)
     files = sql(spark, sf_dir, "SELECT concat('t/', cast(p_partkey AS string), '.html') AS path FROM part WHERE p_size > 40")
-    candidates = [F.concat(F.lit("t/"), c.cast("string"), F.lit(".html")) for c in (F.col("l_suppkey"), F.col("l_partkey"), F.col("l_suppkey") + F.col("l_partkey"))]
+    # Declarations only name files of even numbers, so that some templates have no owner.
+    candidates = [F.concat(F.lit("t/"), (2 * c).cast("string"), F.lit(".html")) for c in (F.col("l_suppkey"), F.col("l_partkey"), F.col("l_suppkey") + F.col("l_partkey"))]
     return report.resolve_templates(keys, files, candidates)
 
 
@@ -282,8 +283,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | assembly.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return oracle.statements() | assembly.SQL

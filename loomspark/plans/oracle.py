@@ -60,7 +60,7 @@ d AS (SELECT declaration_id, l_partkey AS p, l_suppkey AS s FROM ({DECLARATIONS}
 f AS (SELECT 't/' || p_partkey || '.html' AS path FROM part WHERE p_size > 40),
 resolved AS (
   SELECT d.declaration_id, coalesce(a.path, b.path, c.path) AS template
-  FROM d LEFT JOIN f a ON a.path = 't/' || s || '.html' LEFT JOIN f b ON b.path = 't/' || p || '.html' LEFT JOIN f c ON c.path = 't/' || (s + p) || '.html')"""
+  FROM d LEFT JOIN f a ON a.path = 't/' || 2 * s || '.html' LEFT JOIN f b ON b.path = 't/' || 2 * p || '.html' LEFT JOIN f c ON c.path = 't/' || 2 * (s + p) || '.html')"""
 
 NAME = "upper(substr(p_name, 1, 1)) || replace(substr(p_name, 2), ' ', 'X') || ':' || p_brand"
 
@@ -170,9 +170,9 @@ SELECT o_orderkey AS log_id, 1 AS ordinal, CASE o_orderkey % 4 WHEN 0 THEN 'src/
 FROM orders WHERE o_orderkey % 4 < 3""",
         "boundary_rows": """
 WITH kinds AS (SELECT p_partkey AS target_id, [['string', 'number', 'boolean', 'array', 'object', NULL][(1 + (p_partkey + k * p_size) % 6)::INTEGER] for k in [0, 1, 2]] AS types FROM part),
-b(type, ordinal, value, usual) AS (VALUES ('string', 0, '""', '"a"'), ('string', 1, '"a"', '"a"'), ('string', 2, '"Mixed <b>Tags</b> 123, and more!"', '"a"'),
+b(type, ordinal, value, usual) AS (VALUES ('string', 0, '""', '"x"'), ('string', 1, '"x"', '"x"'), ('string', 2, '" <b>Hello</b>, World 42! "', '"x"'),
   ('number', 0, '0', '1'), ('number', 1, '1', '1'), ('number', 2, '-1', '1'), ('boolean', 0, 'true', 'true'), ('boolean', 1, 'false', 'true'),
-  ('array', 0, '[]', '[1]'), ('array', 1, '[1]', '[1]'), ('array', 2, 'null', '[1]'), ('object', 0, '{}', '{"key":1}'), ('object', 1, '{"key":1}', '{"key":1}'), ('object', 2, 'null', '{"key":1}')),
+  ('array', 0, '[]', '[1]'), ('array', 1, '[1]', '[1]'), ('array', 2, 'null', '[1]'), ('object', 0, '{}', '{"k":"v"}'), ('object', 1, '{"k":"v"}', '{"k":"v"}'), ('object', 2, 'null', '{"k":"v"}')),
 d AS (SELECT DISTINCT type, usual FROM b),
 flat AS (SELECT target_id, types, unnest([0, 1, 2]) AS i FROM kinds)
 SELECT v.target_id, v.i AS parameter, b.ordinal,

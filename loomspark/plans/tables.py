@@ -95,4 +95,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 DECLARATIONS = """
 SELECT concat(cast(l_orderkey AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(l_linenumber AS string)) AS declaration_id, l_partkey, l_suppkey
-FROM lineitem WHERE l_quantity > 48"""
+FROM lineitem"""

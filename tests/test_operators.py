@@ -142,10 +142,10 @@ def test_templates(spark):
 
 def test_streams_equal_batches(spark, tmp_path):
     corpus_of(spark, f"x {KEY}", "none", "MY_TOKEN=1").write.parquet(str(tmp_path / "c"))
-    streamed = live.replay(spark, str(tmp_path / "c"), "path string, content string", live.stream_findings, "found")
+    streamed = live.replay(spark, str(tmp_path / "c"), "path string, content string", live.stream_findings)
     batch = secrets.findings(spark.read.parquet(str(tmp_path / "c")))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect())) != []
     events = spark.sql("SELECT timestamp'2024-01-01' + make_interval(0,0,0,0,0,id) AS ts, 'k' || id % 2 AS event_type, 1.0D AS value FROM range(40)")
     events.write.parquet(str(tmp_path / "e"))
-    counted = live.replay(spark, str(tmp_path / "e"), events.schema, live.event_counts, "counted", "complete")
+    counted = live.replay(spark, str(tmp_path / "e"), events.schema, live.event_counts, "complete")
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, live.event_counts(events).collect())) and counted.count() == 8
