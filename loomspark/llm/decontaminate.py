@@ -6,9 +6,9 @@ index covers exactly the text where an occurrence can be. Every window of every
 then found by backward search, occurrences are located by sampled suffix positions, and
 their spans are merged. Documents are never shuffled or collected.
 
-Test items travel to the tasks in blocks of at most ``block_bytes`` of text; a larger test
-set is searched block by block over the same rows, in one pass. All blocks stay with the
-driver and the workers meanwhile: some 40 bytes of memory for each byte of the items.
+Test items travel to the tasks in blocks of about ``block_bytes`` of text, at most ``AT_ONCE``
+blocks in one pass over the rows: those are what driver and workers hold (some 40 bytes for
+each byte of the items). A larger test set takes more passes, with the rows written between.
 
 Defined results: null and empty texts have no words and no hits; an item without words has
 no window; a null item id counts under the name ``null``, an empty one as it is; equal windows of several items
@@ -29,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.fm_index import FMIndex
+from loomspark.llm.tables import removed, stored
 from loomspark.llm.words import ALNUM, alnum_words, slices, text_bytes
 
 SPANS = "array<struct<start:int,stop:int>>"
+#: Blocks of items that are searched in one pass.
+AT_ONCE = 4
 
 
 @dataclass
@@ -136,14 +139,18 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"\n".join([*out, text[at:]])
 
 
-def item_blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[Phrases]:
-    """The items in blocks of about ``block_bytes``, each collected by itself."""
+def block_groups(benchmark: DataFrame, size: int, block_bytes: int) -> tuple[int, Iterator[list]]:
+    """How many groups of blocks of items there are, and the groups; each block is collected by itself, when its group is asked for."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    for k in range(blocks):
+
+    def block(k: int):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield Phrases.of([(r.item_id, r.text) for r in part.collect()], size)
+        return benchmark.sparkSession.sparkContext.broadcast(Phrases.of([(r.item_id, r.text) for r in part.collect()], size))
+
+    firsts = range(0, blocks, AT_ONCE)
+    return len(firsts), ([block(k) for k in range(first, min(first + AT_ONCE, blocks))] for first in firsts)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
@@ -152,26 +159,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_byte
     ``spans``: merged word ranges of occurring windows; ``items``: ids that have such windows.
     """
     found = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "cast(text AS string) AS text", "0L AS n_words", f"cast(array() AS {SPANS}) AS spans", "cast(array() AS array<string>) AS items")
-    schema, sc = found.schema, docs.sparkSession.sparkContext
+    schema = found.schema
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
-    def searched(block, last: bool):
+    def searched(blocks, last: bool):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                hits = search_shard(text_bytes(batch.column("text")), block.value)
-                spans = [merged([*((s["start"], s["stop"]) for s in old), *new]) for old, new in zip(batch.column("spans").to_pylist(), hits.spans, strict=True)]
-                items = [sorted({*old, *new}) for old, new in zip(batch.column("items").to_pylist(), hits.items, strict=True)]
+                texts = text_bytes(batch.column("text"))
+                spans = [[(s["start"], s["stop"]) for s in old] for old in batch.column("spans").to_pylist()]
+                items = [set(old) for old in batch.column("items").to_pylist()]
+                for block in blocks:
+                    hits = search_shard(texts, block.value)
+                    for k, (more, names) in enumerate(zip(hits.spans, hits.items, strict=True)):
+                        spans[k] += more
+                        items[k] |= names
                 text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text").cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), text, pa.array(hits.words, pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in x] for x in spans], out.field("spans").type), pa.array(items, out.field("items").type)], schema=out
-                )
+                places = [[{"start": a, "stop": b} for a, b in merged(x)] for x in spans]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, pa.array(hits.words, pa.int64()), pa.array(places, out.field("spans").type), pa.array([sorted(x) for x in items], out.field("items").type)], schema=out)
 
         return search
 
-    blocks = [sc.broadcast(b) for b in item_blocks(benchmark, size, block_bytes)]
-    for k, block in enumerate(blocks):
-        found = found.mapInArrow(searched(block, k == len(blocks) - 1), schema)
-    return found.drop("text")
+    return in_passes(found, schema, searched, *block_groups(benchmark, size, block_bytes)).drop("text")
+
+
+def in_passes(rows: DataFrame, schema, searched, n: int, groups: Iterator[list]) -> DataFrame:
+    """``rows`` after a pass for each group of blocks, written between two passes so that a group's blocks can go."""
+    for k, blocks in enumerate(groups):
+        rows = rows.mapInArrow(searched(blocks, k == n - 1), schema)
+        if k < n - 1:
+            rows = stored(rows, "pass")
+            for block in blocks:
+                block.unpersist()
+    return rows
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -194,10 +213,14 @@ def cut_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes
 
     A cut text is searched again until nothing is found, since a cut brings words together.
     A document of which no word is left goes; one that never had a hit stays as it is, even
-    if it is empty. Every search is for the items of all blocks, and what they find is cut at once.
+    if it is empty. Every search is for the items of all blocks, and what they find is cut at
+    once: within a task if one pass can hold the blocks, else in rounds over the whole table.
     """
-    columns, sc = docs.columns, docs.sparkSession.sparkContext
+    columns = docs.columns
     typed = docs.withColumns({"text": F.col("text").cast("string")} | ({"n_chars": F.col("n_chars").cast("long")} if "n_chars" in columns else {}))
+    n, groups = block_groups(benchmark, size, block_bytes)
+    if n > 1:
+        return cut_in_rounds(typed, benchmark, size, block_bytes)
 
     def cutting(blocks):
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,4 +248,44 @@ def cut_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes
 
         return cut
 
-    return typed.mapInArrow(cutting([sc.broadcast(b) for b in item_blocks(benchmark, size, block_bytes)]), typed.schema)
+    return typed.mapInArrow(cutting(next(groups)), typed.schema)
+
+
+def cut_in_rounds(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int) -> DataFrame:
+    """``cut_leaks`` for more blocks than one pass can hold: search in passes, cut, and again until no row has a hit."""
+    plain = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = stored(docs.select(plain.alias("_row"), F.col("text").alias("_text"), F.lit(False).alias("_cut")), "rows")
+    searching = rows.withColumn("_spans", F.array().cast(SPANS)).schema
+
+    def searched(blocks, last: bool):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                texts = text_bytes(batch.column("_text"))
+                spans = [[(s["start"], s["stop"]) for s in old] for old in batch.column("_spans").to_pylist()]
+                for block in blocks:
+                    for old, new in zip(spans, search_shard(texts, block.value).spans, strict=True):
+                        old += new
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+                places = pa.array([[{"start": a, "stop": b} for a, b in merged(x)] for x in spans], kind)
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), batch.column("_cut"), places], names=["_row", "_text", "_cut", "_spans"])
+
+        return search
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, spans = batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()
+            new = [cut_spans(t.encode(), [(s["start"], s["stop"]) for s in x]).decode() if x else t for t, x in zip(texts, spans, strict=True)]
+            was = batch.column("_cut").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string()), pa.array([a or bool(x) for a, x in zip(was, spans, strict=True)])], names=["_row", "_text", "_cut"])
+
+    while True:
+        found = stored(in_passes(rows.withColumn("_spans", F.array().cast(SPANS)), searching, searched, *block_groups(benchmark, size, block_bytes)), "found")
+        if found.where("size(_spans) > 0").isEmpty():
+            break
+        removed(rows)
+        rows = stored(found.mapInArrow(cut, rows.schema), "rows")
+        removed(found)
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    kept = rows.where(~F.col("_cut") | F.col("_text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
+    old = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    return kept.select([(F.when(F.col("_cut"), new[c]).otherwise(old[c]) if c in new else old[c]).alias(c) for c in docs.columns])

@@ -80,3 +80,18 @@ def test_cut_does_not_depend_on_the_blocks_of_items(spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     one, many = ({r.doc_id: r.text for r in dc.cut_leaks(docs, benchmark, 10, b).collect()} for b in (1 << 20, 300))
     assert one == many == {k: "before \n after" for k in range(8)}
+
+
+def test_an_empty_item_id_is_its_own(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    items = spark.createDataFrame([("", "one two"), (None, "two three"), ("a", "three four")], "item_id string, text string")
+    row = dc.leak_report(docs, items, 2).first()
+    assert (row.n_items, row.items_sha256) == (2, hashlib.sha256(b",null").hexdigest())
+
+
+def test_cutting_in_rounds_keeps_columns_and_counts(spark):
+    rows = [(1, "Before it: one two three four! After.", 37, "x"), (2, "one two three four", 18, "y"), (3, None, None, None), (4, "", 0, "z"), (5, "é alone", 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _row string")
+    items = spark.createDataFrame([(k, f"w{k} x y z") for k in range(40)] + [(99, "ONE two, three four")], "item_id long, text string")
+    one, many = (sorted(map(tuple, dc.cut_leaks(docs, items, 10, b).collect())) for b in (1 << 20, 60))
+    assert one == many == [(1, "Before it: \n! After.", 20, "x"), *rows[2:]]
