@@ -55,7 +55,6 @@ from loomspark.llm.words import blank_words, slices, text_bytes
 PRIOR = 5.0
 #: Pairs that a task gathers before it counts them.
 GATHERED = 1 << 20
-CELLS = "array<struct<cell:int,n:bigint>>"
 
 
 def left_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -291,10 +290,16 @@ def rest_pairs(docs: DataFrame, vocab, beside: np.ndarray, width: int) -> DataFr
     return docs.select("text").mapInArrow(counted, "kind int, a long, b long, n long")
 
 
-def gathered_items(cells: DataFrame) -> DataFrame:
-    """``item, own, cells, sums``: a row an item (its cells number twice the classes at most), as yet in no class."""
-    items = cells.groupBy("item", "cell").agg(F.sum("n").alias("n")).groupBy("item").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-    return items.select("item", F.lit(-1).alias("own"), F.col("cells").cast(CELLS).alias("cells"), F.lit(None).cast("array<bigint>").alias("sums"))
+def gathered_items(cells: DataFrame, width: int, few: bool) -> DataFrame:
+    """``item, own, cells, sums``: a row an item, as yet in no class.
+
+    A cell is ``n * 2 * width + cell``, and an item has ``2 * width`` of them at most. If every
+    item has ``few`` rows, they are sent to their item's task at once, else summed before.
+    """
+    cells = cells.repartition("item") if few else cells
+    packed = (F.col("n") * (2 * width) + F.col("cell")).cast("bigint")
+    items = cells.groupBy("item", "cell").agg(F.sum("n").alias("n")).groupBy("item").agg(F.collect_list(packed).alias("cells"))
+    return items.select("item", F.lit(-1).alias("own"), "cells", F.lit(None).cast("array<bigint>").alias("sums"))
 
 
 def best_classes(own: np.ndarray, at: np.ndarray, cell: np.ndarray, n: np.ndarray, sums: np.ndarray, choices: int) -> tuple[np.ndarray, np.ndarray]:
@@ -333,26 +338,25 @@ def exchange_round(state: DataFrame, sums: np.ndarray, choices: int, part: int,
     """
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, width = np.zeros(sums.shape), sums.shape[1]
-        kind = (pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())])), pa.list_(pa.int64()))
+        total, width, many = np.zeros(sums.shape), sums.shape[1], pa.list_(pa.int64())
         names = ["item", "own", "cells", "sums"]
         for batch in slices(batches, 256):
             lists = batch.column("cells")
-            own, parts = batch.column("own").to_numpy().astype(np.int64), lists.flatten()
+            own, packed = batch.column("own").to_numpy().astype(np.int64), lists.flatten().to_numpy()
             at = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            cell, n = parts.field("cell").to_numpy().astype(np.int64), parts.field("n").to_numpy().astype(float)
+            cell, n = packed % width, (packed // width).astype(float)
             to, gain = best_classes(own, at, cell, n, sums, choices)
             with np.errstate(over="ignore"):
                 draw = (batch.column("item").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) + np.uint64(turn)
             stays = (own >= 0) & ((gain <= 1e-6) | (draw % np.uint64(part) != 0))
             to = np.where(stays, own, to)
             total += np.bincount(to[at] * width + cell, n, total.size).reshape(total.shape)
-            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(to, pa.int32()), lists.cast(kind[0]), pa.nulls(batch.num_rows, kind[1])], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(to, pa.int32()), lists, pa.nulls(batch.num_rows, many)], names=names)
         at = np.flatnonzero(total.any(axis=1))
-        rows = [pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(at), kind[0]), pa.array([r.astype(np.int64) for r in total[at]], kind[1])]
+        rows = [pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(at), many), pa.array([r.astype(np.int64) for r in total[at]], many)]
         yield pa.RecordBatch.from_arrays(rows, names=names)
 
-    return state.where("item IS NOT NULL").mapInArrow(moved, f"item long, own int, cells {CELLS}, sums array<bigint>")
+    return state.where("item IS NOT NULL").mapInArrow(moved, "item long, own int, cells array<bigint>, sums array<bigint>")
 
 
 def class_sums(state: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -466,7 +470,7 @@ def train(docs: DataFrame, head: int = 200_000, seeds: int = 1024, classes: int
     table = one.T @ pairs @ one
     fixed = np.concatenate([table.T, table], axis=1)
     fixed[rest] = 0  # what is to be placed
-    placed, _ = exchange(gathered_items(head_cells(docs, sent, beside, seeds, width)), fixed, classes, least_rise, "head", log("head"))
+    placed, _ = exchange(gathered_items(head_cells(docs, sent, beside, seeds, width), width, False), fixed, classes, least_rise, "head", log("head"))
     found = placed.select("item", "own").toArrow()  # head rows at most
     removed(placed)
     beside[found.column("item").to_numpy()] = found.column("own").to_numpy()
@@ -479,8 +483,8 @@ def train(docs: DataFrame, head: int = 200_000, seeds: int = 1024, classes: int
     fixed = np.concatenate([table.T, table], axis=1)
     fixed[rest] = 0
     cells = raw.where("kind = 1").select(F.col("a").alias("item"), F.col("b").cast("int").alias("cell"), "n")
-    others, sums = exchange(gathered_items(cells), fixed, classes, least_rise, "others", log("others"))
-    tokens = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.when(c["cell"] >= width, c["n"]).otherwise(0))
+    others, sums = exchange(gathered_items(cells, width, True), fixed, classes, least_rise, "others", log("others"))
+    tokens = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.when(c % (2 * width) >= width, F.floor(c / (2 * width))).otherwise(0))
     rare = stored(others.select(F.col("item").alias("hash"), tokens.alias("n"), F.col("own").alias("class")), "rare")
     removed(others)
     of = lambda k: rare.select(F.col("hash").alias(k), F.col("class").alias(f"{k}c"))
