@@ -123,6 +123,21 @@ ids AS (
 SELECT d.doc_id, cast(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(x.n_items, 0) AS n_items,
        sha256(coalesce(x.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit h USING (n) LEFT JOIN ids x USING (n)
+""",
+    "op7_jaccard_join": rf"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT n, array_to_string(list_slice(w, k, k + {SHINGLE_WORDS} - 1), ' ') AS shingle
+  FROM (SELECT n, w, unnest(range(1, greatest(len(w) - {SHINGLE_WORDS} + 1, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+sizes AS (SELECT n, count(*) AS size FROM s GROUP BY n),
+common AS (SELECT a.n AS a, b.n AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.n < b.n GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.n = a JOIN sizes y ON y.n = b WHERE 100 * c >= {PERCENT} * (x.size + y.size - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT DISTINCT a AS n, a AS m FROM both_ways UNION SELECT r.n, l.b FROM reached r JOIN both_ways l ON l.a = r.m),
+smallest AS (SELECT r.n, min(d.doc_id) AS component_id FROM reached r JOIN d ON d.n = r.m GROUP BY r.n)
+SELECT d.doc_id, coalesce(sizes.size, 0) AS n_shingles, coalesce(smallest.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN sizes USING (n) LEFT JOIN smallest USING (n)
 """,
     "op3_source_mixing": f"""
 WITH sized AS (
