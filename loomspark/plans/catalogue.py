@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import text as fx
 from loomspark.operators import facts, listing, report, rewrite, secrets, templates, verify
 from loomspark.plans import assembly, oracle
-from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FACT_CORPUS, FILES, LISTING, SCOPE_CORPUS, SECRET_CORPUS, read, sql
+from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FACT_CORPUS, FILES, LISTING, SCAN, SCOPE_CORPUS, SECRET_CORPUS, fresh_dir, read, sql
 from loomspark.sources import corpus
 from loomspark.streaming import live
 
@@ -120,6 +120,42 @@ def honest_rates(spark, sf_dir):
     return report.honest_rates(file_outcomes(spark, sf_dir))
 
 
+def gate_results(spark, sf_dir):
+    """A JSON report and an exit code for each artifact."""
+    result = F.to_json(F.struct("artifact_type", "tier", "compiled", "tests"))
+    return artifacts(spark, sf_dir).select("artifact_id", result.alias("result"), (F.col("tier") == "REJECTED").cast("int").alias("exit_code"))
+
+
+def written_report(spark, sf_dir):
+    """The file report, written as JSON lines over an older one and read again."""
+    root = fresh_dir(spark, "report")
+    report_rows = file_outcomes(spark, sf_dir)
+    corpus.write_report(report_rows.limit(1), root)
+    corpus.write_report(report_rows, root)
+    return spark.read.schema(report_rows.schema).json(root)
+
+
+def written_texts(spark, sf_dir):
+    """Redacted texts, written by directory and read again."""
+    root = fresh_dir(spark, "texts")
+    corpus.write_texts(secret_redacted(spark, sf_dir).select("path", F.col("redacted").alias("content")), root)
+    return spark.read.parquet(root).groupBy("directory").agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("chars"))
+
+
+def scanned_corpus(spark, sf_dir):
+    """Text files in folders of their own, scanned: ignored folders and names are not read."""
+    root = fresh_dir(spark, "scan")
+    rows = sql(spark, sf_dir, SCAN)
+    for folder in ("app", "node_modules", "sub/dist"):
+        rows.where(F.col("folder") == folder).select("name", "content").repartition("name").write.partitionBy("name").text(f"{root}/{folder}")
+    found = corpus.read_corpus(spark, root, ("txt",))
+    name = F.regexp_extract("path", "name=([^/]*)/", 1)
+    one = found.where(name == "f1")  # a single file
+    return found.select(name.alias("name"), F.regexp_extract("path", "^([^/]*)/", 1).alias("folder"), F.rtrim(F.replace("content", F.lit("\n"), F.lit(" "))).alias("content")).unionByName(
+        one.select(F.lit("single").alias("name"), F.lit("one").alias("folder"), F.length("content").cast("string").alias("content"))
+    )
+
+
 def template_resolution(spark, sf_dir):
     keys = sql(spark, sf_dir, DECLARATIONS)
     files = sql(spark, sf_dir, "SELECT concat('t/', cast(p_partkey AS string), '.html') AS path FROM part WHERE p_size > 40")
@@ -276,7 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         secret_findings, secret_findings_by_rule, secret_redacted, document_tokens, document_scope, scope_counts, modules, module_edges, registrations,
         routes, watches, inventory_counts, event_pairs, repository_facts, remediated_configs, tiers_by_type, failed_checks, file_outcomes, honest_rates,
-        template_resolution, orphan_templates, unique_paths, first_claims, fallback_routes, first_place_last_value, names, page_attributes, page_tags,
+        gate_results, written_report, written_texts, scanned_corpus, template_resolution, orphan_templates, unique_paths, first_claims, fallback_routes, first_place_last_value, names, page_attributes, page_tags,
         rewritten_templates, diagnostics, compile_rounds, boundary_rows, characterized, parameter_types, event_windows, input_classes, http_calls, literal_calls, event_buses, router_tables,
     )
 }

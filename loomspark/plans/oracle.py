@@ -6,7 +6,7 @@ Facts that the built corpora hold by formula are stated from the keys, not found
 from __future__ import annotations
 
 from loomspark.operators.secrets import RULES
-from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FILES, LISTING, SCOPE_CORPUS, SECRET_CORPUS
+from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FILES, LISTING, SCAN, SCOPE_CORPUS, SECRET_CORPUS
 
 
 def quoted(text: str) -> str:
@@ -127,6 +127,14 @@ FROM (VALUES ('controller'), ('service'), ('filter'), ('directive'), ('route'))
         "honest_rates": f"""WITH {OUTCOMES},
 n AS (SELECT count(*) AS in_scope, count(*) FILTER (outcome <> 'NO_MATCH') AS matched, count(*) FILTER (outcome IN ('MEDIUM', 'LOW')) AS compiled FROM outcomes)
 SELECT *, {RATE.format("matched", "in_scope")} AS match_rate, {RATE.format("compiled", "in_scope")} AS compile_rate FROM n""",
+        "gate_results": f"""WITH {TIERED}
+SELECT artifact_id, '{{"artifact_type":"' || artifact_type || '","tier":"' || tier || '","compiled":' || compiled || ',"tests":' || tests || '}}' AS result, (tier = 'REJECTED')::INTEGER AS exit_code FROM tiered""",
+        "written_report": f"WITH {OUTCOMES} SELECT path, outcome FROM outcomes",
+        "written_texts": f"""WITH {SPANS},
+gone AS (SELECT path, sum(stop - start - length('[REDACTED:' || id || ']')) AS chars FROM found GROUP BY path)
+SELECT 'src' AS directory, count(*) AS files, cast(sum(length(content) - coalesce(gone.chars, 0)) AS BIGINT) AS chars FROM corpus LEFT JOIN gone USING (path)""",
+        "scanned_corpus": f"""WITH s AS ({SCAN})
+SELECT name, folder, replace(content, chr(10), ' ') AS content FROM s WHERE folder = 'app' UNION ALL SELECT 'single', 'one', cast(length(content) + 1 AS VARCHAR) FROM s WHERE folder = 'app' AND name = 'f1'""",
         "template_resolution": f"WITH {RESOLVED} SELECT declaration_id, template FROM resolved",
         "orphan_templates": f"WITH {RESOLVED} SELECT path FROM f WHERE path NOT IN (SELECT template FROM resolved WHERE template IS NOT NULL)",
         "unique_paths": """

@@ -7,8 +7,12 @@ same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspark.sources.shared import shared_dir
+
 #: A third of the texts hold a secret of some rule; shapes 8 and 9 are cases of overlap.
 SECRET_CONTENT = """
 concat('// file ', cast(p_partkey AS string), chr(10), 'var name = "', p_name, '";', chr(10),
@@ -78,6 +82,17 @@ FROM lineitem"""
 
 FILES = "SELECT concat('f', cast(o_orderkey AS string), '.js') AS path, o_orderstatus <> 'P' AS matched FROM orders"
 
+#: What a template is declared by: every line of an order.
+DECLARATIONS = """
+SELECT concat(cast(l_orderkey AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(l_linenumber AS string)) AS declaration_id, l_partkey, l_suppkey
+FROM lineitem"""
+
+#: Small files of three folders, two of which are never read.
+SCAN = """
+SELECT CASE s_suppkey % 4 WHEN 0 THEN 'node_modules' WHEN 1 THEN 'sub/dist' ELSE 'app' END AS folder, concat('f', cast(s_suppkey AS string)) AS name,
+       concat('line of ', s_name, chr(10), 'end') AS content
+FROM supplier"""
+
 NAMES = "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split()
 
 
@@ -93,6 +108,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-DECLARATIONS = """
-SELECT concat(cast(l_orderkey AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(l_linenumber AS string)) AS declaration_id, l_partkey, l_suppkey
-FROM lineitem"""
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
