@@ -25,6 +25,19 @@ ROUTE = rf"""\.\s*(when|state)\s*\(\s*(?:{STRING}|([^,)]*))"""
 WATCH = r"""([\w$.]*\$(?:rootScope|scope)[\w$.]*?)\s*\.\s*(\$watch(?:Collection|Group)?)\s*\(\s*('[^']*'|"[^"]*"|\[[^\]]*\]|[^,)]*)"""
 
 
+#: A component's controller within its definition: as a method, a function, a list that ends in one, or an arrow.
+CONTROLLER = (
+    r"""^[.\s]*component\s*\(\s*['"][^'"]*['"]\s*,\s*\{(?:[^{}]|\{[^{}]*\})*?(?<![\w$.])controller\s*"""
+    r"""(?:\(([^()]*)\)\s*\{|:\s*(?:async\s+)?function\b[^(]*\(([^)]*)\)|:\s*\[((?:\s*(?:'[^']*'|"[^"]*")\s*,)*)|:\s*\(([^()]*)\)\s*=>)"""
+)
+
+
+def controller_dependencies(definition: Column) -> Column:
+    """What a component's controller asks for; nothing if it is named by a string or not there."""
+    part = lambda k: F.regexp_extract(definition, CONTROLLER, k)
+    return F.when(part(3) != "", strings_of(part(3))).otherwise(names_of(F.concat(part(1), part(2), part(4))))
+
+
 def strings_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(STRING), F.lit(1))
 
@@ -51,11 +64,12 @@ def module_edges(corpus: DataFrame) -> DataFrame:
 
 
 def registrations(corpus: DataFrame) -> DataFrame:
-    """``path, line, kind, name, dependencies``; any receiver counts."""
+    """``path, line, kind, name, dependencies``; any receiver counts. A component's are those of its controller."""
     rows = at_line(corpus, hits(F.col("content"), REGISTRATION, kind=1, name=2, listed=3, named=4, arrow=5))
     text = lambda c: F.coalesce(F.col(f"h.{c}"), F.lit(""))
     dependencies = F.when(text("listed") != "", strings_of(text("listed"))).otherwise(names_of(F.concat(text("named"), text("arrow"))))
-    return rows.select("path", "line", "ordinal", F.col("h.kind").alias("kind"), F.col("h.name").alias("name"), dependencies.alias("dependencies"))
+    own = F.when(F.col("h.kind") == "component", controller_dependencies(F.substr(F.col("content"), F.col("h.start") + 1))).otherwise(dependencies)
+    return rows.select("path", "line", "ordinal", F.col("h.kind").alias("kind"), F.col("h.name").alias("name"), own.alias("dependencies"))
 
 
 def provider(content: Column, h: Column) -> Column:

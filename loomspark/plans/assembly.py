@@ -40,6 +40,14 @@ SELECT concat('t', cast(s_suppkey AS string), '.html') AS path,
          WHEN 3 THEN concat('<p ng-if="k', cast(s_suppkey AS string), '" data-ng-if2="k">z</p>') WHEN 4 THEN '<p title="ng-if ng-if" ng-if="a">x</p>{{ b > c' ELSE '<p>none</p>' END AS content
 FROM supplier"""
 
+#: Components with controllers of every form, some behind other objects or under names that only look alike.
+COMPONENTS = """
+SELECT concat('k', cast(s_suppkey AS string), '.js') AS path,
+       concat('m', chr(10), ' .component("x', cast(s_suppkey AS string), '", { controllerAs: "c", bindings: { controller: "<" }, ',
+       CASE s_suppkey % 6 WHEN 0 THEN 'controller: function ($scope, a) { f(1); }' WHEN 1 THEN 'controller: ["$q", ''b'', function (q, c) {}]' WHEN 2 THEN 'controller($http) { g({}); }'
+         WHEN 3 THEN 'controller: "NamedCtrl"' WHEN 4 THEN 'controller: (d) => 1' ELSE 'template: "t"' END, ' });') AS content
+FROM supplier"""
+
 EDITS = """
 SELECT l_suppkey % 50 AS path, l_partkey % 40 AS start, CASE WHEN l_linenumber < 5 THEN l_partkey % 40 ELSE l_partkey % 40 + 2 END AS stop,
        l_orderkey * 10 + l_linenumber AS ordinal, CASE WHEN l_linenumber = 4 THEN '' ELSE concat('<', cast(l_orderkey AS string), '>') END AS replacement
@@ -108,6 +116,11 @@ def filter_pipes(spark, sf_dir):
     return assemble.filters_with_pipes(facts.registrations(sql(spark, sf_dir, INJECTED)), sql(spark, sf_dir, EMITTED)).select("path", "name", "emitted_path")
 
 
+def component_registrations(spark, sf_dir):
+    found = facts.registrations(sql(spark, sf_dir, COMPONENTS))
+    return found.select("path", "line", "kind", "name", F.array_join("dependencies", ",").alias("dependencies"))
+
+
 def injections(spark, sf_dir):
     return facts.array_injections(sql(spark, sf_dir, INJECTED)).select("path", "name", F.size("dependencies").alias("n_names"), F.size("parameters").alias("n_parameters"), "reason")
 
@@ -203,7 +216,7 @@ def streamed_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        artifact_classes, emitted_imports, import_symbols, emitted_paths, filter_pipes, injections, bound_parameters, scope_events, scope_event_buses, markup_checks, combined_inserts,
+        artifact_classes, emitted_imports, import_symbols, emitted_paths, filter_pipes, component_registrations, injections, bound_parameters, scope_events, scope_event_buses, markup_checks, combined_inserts,
         nesting_conflicts, pattern_notes, name_claims, spliced_texts, tier_reasons, call_inputs, characterization, canonical_values, locale_order, request_budgets, streamed_counts,
     )
 }
@@ -245,6 +258,9 @@ FROM (SELECT *, regexp_replace(kebab, '-?' || suffix || '$', '') AS short FROM (
   SELECT p_partkey, suffix, lower(regexp_replace(replace(upper(left(p_brand, 1)) || substr(p_brand, 2) || CASE WHEN p_size % 2 = 0 THEN upper(left(suffix, 1)) || substr(suffix, 2) ELSE 'Item' END, '#', ''), '([a-z0-9])([A-Z])', '\\1-\\2', 'g')) AS kebab
   FROM (SELECT *, ['pipe', 'component', 'service'][(p_partkey % 3 + 1)::INTEGER] AS suffix FROM part)))""",
     "filter_pipes": f"SELECT {PATH} AS path, 'flt' || c_custkey AS name, 'out/p' || p_partkey || '.ts' AS emitted_path FROM customer JOIN part ON p_partkey % 500 = c_custkey AND p_partkey % 5 = 0",
+    "component_registrations": """
+SELECT 'k' || s_suppkey || '.js' AS path, 2 AS line, 'component' AS kind, 'x' || s_suppkey AS name,
+       CASE s_suppkey % 6 WHEN 0 THEN '$scope,a' WHEN 1 THEN '$q,b' WHEN 2 THEN '$http' WHEN 4 THEN 'd' ELSE '' END AS dependencies FROM supplier""",
     "injections": f"SELECT {PATH} AS path, 'A' || c_custkey AS name, 2 AS n_names, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS n_parameters, CASE WHEN c_custkey % 3 = 0 THEN {ARITY} END AS reason FROM customer",
     "bound_parameters": "SELECT d AS dependency, d AS parameter, count(*) AS n FROM customer, (VALUES ('$scope'), ('svc')) AS v(d) WHERE c_custkey % 3 <> 0 GROUP BY d",
     "scope_events": f"""
