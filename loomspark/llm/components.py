@@ -12,8 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """``node, label`` (the smallest node reachable) for every node of ``links`` (``a``, ``b``).
 
     Each round a node takes the smallest label around it, then its label's own label, so
-    chains halve. Labels are aggregated before they move, and links stay where they are
-    in the joins, so a node with very many links is no bottleneck. Null ends link nothing.
+    chains halve. Labels are aggregated before they move; the links of a node with very many
+    are one key of the join, which adaptive execution splits. Null ends link nothing.
     """
     ends = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = cut(ends.union(ends.select("b", "a")).distinct())

@@ -14,7 +14,8 @@ few, which bounds the broadcast.
 
 Defined results: a null text has no bytes; a null ``doc_id`` hashes its text instead;
 rows alike in every column are interchangeable; no rows give no rows. ``doc_id`` is taken
-to be a key: rows that repeat one id share a place on the ring.
+to be a key: rows that repeat one id share a place on the ring, and a place is ranked in one
+task.
 """
 
 from __future__ import annotations
