@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.components import components
-from loomspark.llm.sieve import sieve
+from loomspark.llm.sieve import held, may_have, places, sieve
 from loomspark.llm.tables import cut, removed, stored
 from loomspark.llm.words import blank_words, mix64, slices, text_bytes
 
@@ -241,11 +241,14 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int)
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in slices(batches):
-            sets = [shingler(t) for t in text_bytes(batch.column("text"))]
+            wanted = held(table.value, *(batch.column(c).to_numpy() for c in ("first", "second")))
+            sets = [shingler(t) for t in text_bytes(batch.column("text").filter(pa.array(wanted)))]
             yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), lists(sets)], names=["node", "shingles"])
 
     ids = rows.select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    found = docs.where(sieve(ids.select("doc_id"))(F.coalesce("doc_id", F.lit(0).cast("long")))).select("text").mapInArrow(made, "node long, shingles array<long>")
+    table = sieve(ids.select("doc_id"))
+    first, second = places(F.col("doc_id"))
+    found = docs.where("doc_id IS NOT NULL").select("text", first.alias("first"), second.alias("second")).mapInArrow(made, "node long, shingles array<long>")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -341,7 +344,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # The columns of ``docs`` travel as one, so that none can clash.
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_0"))
     doc_id, text = F.col("_0.doc_id").cast("long"), F.col("_0.text").cast("string")
-    suspect = sieve(changed.select("_1"))(F.coalesce(doc_id, F.lit(0).cast("long"))) & doc_id.isNotNull()
+    suspect = may_have(sieve(changed.select("_1")), F.coalesce(doc_id, F.lit(0).cast("long"))) & doc_id.isNotNull()
     marked = packed.withColumns({"_1": doc_id, "_2": F.xxhash64(text), "_6": suspect})
     checked = marked.where("_6").join(changed, ["_1", "_2"], "left")
     parts = (marked.where("NOT _6"), checked.where("_5 IS NULL"), checked.where("NOT _5").dropDuplicates(["_1", "_2"]))

@@ -15,25 +15,32 @@ from pyspark.sql import functions as F
 BITS = 1 << 26
 
 
+def places(key: Column) -> list[Column]:
+    """The two places of a key in the table."""
+    return [F.pmod(F.xxhash64(F.lit(k), key), F.lit(BITS)) for k in range(2)]
+
+
+def held(table: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether the table has both places."""
+    return (table[first >> 6] >> (first & 63) & table[second >> 6] >> (second & 63) & 1).astype(bool)
+
+
 def sieve(keys: DataFrame):
-    """The function that tells of a long column whether a value may be among ``keys`` (its one column)."""
+    """The table of ``keys`` (one long column), broadcast."""
     (name,) = keys.columns
-    places = [F.pmod(F.xxhash64(F.lit(k), name), F.lit(BITS)) for k in range(2)]
-    bits = keys.select(F.explode(F.array(*places)).alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+    bits = keys.select(F.explode(F.array(*places(F.col(name)))).alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
     one = F.expr("shiftleft(1L, cast(place % 64 AS int))")
     got = bits.agg(F.bit_or(one).alias("bits")).toArrow()  # at most BITS / 64 rows, 16 MB
     table = np.zeros(BITS // 64, np.int64)
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    sent = keys.sparkSession.sparkContext.broadcast(table)
+    return keys.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def found(first, second):
-        out = True
-        for place in (first.to_numpy(), second.to_numpy()):
-            out = out & (sent.value[place >> 6] >> (place & 63) & 1).astype(bool)
-        return pd.Series(out)
 
-    def may_have(key: Column) -> Column:
-        return found(*(F.pmod(F.xxhash64(F.lit(k), key), F.lit(BITS)) for k in range(2)))
+def may_have(table, key: Column) -> Column:
+    """Whether ``key`` may be among those of a broadcast table."""
+
+    @F.pandas_udf("boolean")
+    def found(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series(held(table.value, first.to_numpy(), second.to_numpy()))
 
-    return may_have
+    return found(*places(key))

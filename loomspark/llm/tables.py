@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspark.sources.shared import shared_dir
 
 
+#: Rows of whole texts that an Arrow batch holds.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends Python workers at most ``BATCH_ROWS`` texts at once, unless the session asks for fewer.
+
+    A batch is held by the executor and its worker; Spark's 10,000 rows of long texts are
+    tens of MB, in each of them, for each running task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, and safe from lost executors."""
     spark = df.sparkSession
@@ -32,4 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table, its texts to be sent to Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
