@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm import decontaminate, mixing, parity_join, ring_shards, toxicity
 from loomspark.llm.queries import DEFAULT_WEIGHT, LABELLED_ROWS, SHARDS, VNODES, WEIGHTS, WINDOW
-from loomspark.llm.tables import stored, table
+from loomspark.llm.tables import small_batches, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.8 or more."""
+    small_batches(spark)
     return parity_join.keep_one(docs, size=5, percent=80)
 
 
