@@ -23,7 +23,8 @@ stand beside keeps its class, so a round changes class sums only. A round counts
 likelihood rises: else part of its moves is made, or none. Turns and rounds end when none
 moves or when the likelihood rises by less than ``least_rise`` of itself.
 
-At scale: counts are combined in the tasks before they are shuffled. What is broadcast or
+At scale: texts are read twice, to count words and to turn them into numbers; all else works
+on these. Counts are combined in the tasks before they are shuffled. What is broadcast or
 comes to the driver is bounded by parameters: counts and classes of at most ``head`` words,
 bigrams of ``seeds`` words, class sums. All other words, with what stands beside them summed
 by class, are a table hashed by word; scoring joins them by a shuffle. Words outside the head
@@ -100,10 +101,8 @@ class Vocabulary:
         return len(self.words)
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
-        """The numbers of a text with the end token before and after it; -1: not in the head."""
-        out = np.full(len(words) + 2, self.end)
-        out[1:-1] = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        return out
+        """The numbers of words; -1: not in the head."""
+        return np.fromiter(map(self.words.get, words, repeat(-1)), np.int32, len(words))
 
 
 def threshold(sizes: list[tuple[int, int]], most: int) -> int:
@@ -194,62 +193,102 @@ def placed_gain(table: np.ndarray, after: np.ndarray, before: np.ndarray, itself
     return gain - (x_log_x(rows + full) - x_log_x(rows)) - (x_log_x(columns + full_b) - x_log_x(columns))
 
 
-def seed_pairs(docs: DataFrame, vocab, seeds: int) -> np.ndarray:
+def packed(rows: list[np.ndarray], kind: type) -> pa.Array:
+    """A binary column of number arrays."""
+    ends = np.cumsum([0, *(x.nbytes for x in rows)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([*rows, np.zeros(0, kind)]).astype(kind))])
+
+
+def unpacked(column: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column, and how many each row has."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    size = np.dtype(kind).itemsize
+    numbers = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if ends[-1] > ends[0] else np.zeros(0, kind)
+    return numbers, np.diff(ends) // size
+
+
+def encoded(texts: DataFrame, vocab) -> DataFrame:
+    """``row, doc_id, held_out, numbers, hashes``: each text as its words' numbers, and the hashes of those outside the head."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, row = vocab.value, TaskContext.get().partitionId() << 40
+        for batch in slices(batches, 512):
+            numbers, hashes = [], []
+            for text in text_bytes(batch.column("text")):
+                words = blank_words(text)
+                numbers.append(v.numbered(words))
+                hashes.append(hashed([words[k] for k in np.flatnonzero(numbers[-1] < 0).tolist()]))
+            rows = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), batch.column("held_out"), packed(numbers, np.int32), packed(hashes, np.int64)], names=["row", "doc_id", "held_out", "numbers", "hashes"])
+
+    return texts.mapInArrow(coded, "row long, doc_id long, held_out boolean, numbers binary, hashes binary")
+
+
+def sequence(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts of a batch, one end token between them, before the first and after the last; each text's size."""
+    numbers, sizes = unpacked(batch.column("numbers"), np.int32)
+    out = np.full(len(numbers) + len(sizes) + 1, end, np.int64)
+    out[np.arange(len(numbers)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = numbers
+    return out, sizes
+
+
+def seed_pairs(texts: DataFrame, end: int, seeds: int) -> np.ndarray:
     """Bigrams of the seeds, the end token and, as one, all other words."""
     size = seeds + 2
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, total = vocab.value, np.zeros(size * size, np.int64)
-        item = np.append(np.minimum(np.arange(v.end), size - 1), [seeds, size - 1])
-        item[seeds : v.end] = size - 1
-        for batch in slices(batches):
-            found = [item[v.numbered(blank_words(t))] for t in text_bytes(batch.column("text"))]
-            if found:
-                total += np.bincount(np.concatenate([x[:-1] * size + x[1:] for x in found]), minlength=size * size)
+        item, total = np.full(end + 2, size - 1), np.zeros(size * size, np.int64)
+        item[:seeds], item[end] = np.arange(seeds), seeds
+        for batch in slices(batches, 512):
+            found = item[sequence(batch, end)[0]]
+            total += np.bincount(found[:-1] * size + found[1:], minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    got = docs.select("text").mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # size^2 rows at most
+    got = texts.select("numbers").mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # size^2 rows at most
     out = np.zeros(size * size)
     out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(size, size)
 
 
-def head_cells(docs: DataFrame, vocab, beside: np.ndarray, first: int, width: int) -> DataFrame:
+def head_cells(texts: DataFrame, beside: np.ndarray, first: int, width: int) -> DataFrame:
     """``item, cell, n``: how often a word of the head from number ``first`` on has a class before (cell) or after it (``width`` + cell)."""
+    end = len(beside) - 2
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, keys, gathered = vocab.value, [], 0
+        keys, gathered = [], 0
 
         def written() -> pa.RecordBatch:
             at, n = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_counts=True)
             keys.clear()
             return pa.RecordBatch.from_arrays([pa.array(at // (2 * width)), pa.array((at % (2 * width)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["item", "cell", "n"])
 
-        for batch in slices(batches):
-            for text in text_bytes(batch.column("text")):
-                numbers = v.numbered(blank_words(text))
-                near, at = beside[numbers], np.flatnonzero((numbers[1:-1] >= first)) + 1
-                base = numbers[at] * (2 * width)
-                keys += [base + near[at - 1], base + width + near[at + 1]]
-                gathered += 2 * len(at)
-                if gathered > GATHERED:
-                    yield written()
-                    gathered = 0
+        for batch in slices(batches, 512):
+            numbers = sequence(batch, end)[0]
+            near, at = beside[numbers], np.flatnonzero((numbers >= first) & (numbers < end))
+            base = numbers[at] * (2 * width)
+            keys += [base + near[at - 1], base + width + near[at + 1]]
+            gathered += 2 * len(at)
+            if gathered > GATHERED:
+                yield written()
+                gathered = 0
         yield written()
 
-    return docs.select("text").mapInArrow(counted, "item long, cell int, n long")
+    return texts.select("numbers").mapInArrow(counted, "item long, cell int, n long")
 
 
-def rest_pairs(docs: DataFrame, vocab, beside: np.ndarray, width: int) -> DataFrame:
+def rest_pairs(texts: DataFrame, beside: np.ndarray, width: int) -> DataFrame:
     """``kind, a, b, n`` once the head has its classes.
 
     Kind 0: bigrams of the head's classes ``a, b``; 1: as ``head_cells``, for the other words,
     by hash; 2: bigrams of two such words.
     """
+    end = len(beside) - 2
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, words, before, after, pairs, gathered = vocab.value, [], [], [], [], 0
+        words, before, after, pairs, gathered = [], [], [], [], 0
         table, none = np.zeros(width * width, np.int64), np.zeros(0, np.int64)
 
         def rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -265,41 +304,86 @@ def rest_pairs(docs: DataFrame, vocab, beside: np.ndarray, width: int) -> DataFr
             for gone in (words, before, after, pairs):
                 gone.clear()
 
-        for batch in slices(batches):
-            for text in text_bytes(batch.column("text")):
-                found = blank_words(text)
-                numbers = v.numbered(found)
-                near = beside[numbers]
-                table += np.bincount(near[:-1] * width + near[1:], minlength=width * width)
-                at = np.flatnonzero(numbers < 0)
-                if len(at):
-                    hashes = hashed([found[k - 1] for k in at.tolist()])
-                    words.append(hashes)
-                    before.append(near[at - 1])
-                    after.append(width + near[at + 1])
-                    adjacent = np.flatnonzero(np.diff(at) == 1)
-                    pairs.append(np.stack([hashes[adjacent], hashes[adjacent + 1]], axis=1))
-                    gathered += len(at)
-                    if gathered > GATHERED // 2:
-                        yield from written()
-                        gathered = 0
+        for batch in slices(batches, 512):
+            numbers, hashes = sequence(batch, end)[0], unpacked(batch.column("hashes"), np.int64)[0]
+            near, at = beside[numbers], np.flatnonzero(numbers < 0)
+            table += np.bincount(near[:-1] * width + near[1:], minlength=width * width)
+            words.append(hashes)
+            before.append(near[at - 1])
+            after.append(width + near[at + 1])
+            adjacent = np.flatnonzero(np.diff(at) == 1)
+            pairs.append(np.stack([hashes[adjacent], hashes[adjacent + 1]], axis=1))
+            gathered += len(at)
+            if gathered > GATHERED // 2:
+                yield from written()
+                gathered = 0
         yield from written()
         kept = np.flatnonzero(table)
         yield rows(0, kept // width, kept % width, table[kept])
 
-    return docs.select("text").mapInArrow(counted, "kind int, a long, b long, n long")
+    return texts.select("numbers", "hashes").mapInArrow(counted, "kind int, a long, b long, n long")
 
 
-def gathered_items(cells: DataFrame, width: int, few: bool) -> DataFrame:
-    """``item, own, cells, sums``: a row an item, as yet in no class.
+STATE = "item long, own int, n long, cells binary, sums array<bigint>"
 
-    A cell is ``n * 2 * width + cell``, and an item has ``2 * width`` of them at most. If every
-    item has ``few`` rows, they are sent to their item's task at once, else summed before.
+
+class Round:
+    """A task's share of a round: where its items go, and what the classes then sum up to."""
+
+    def __init__(self, sums: np.ndarray, choices: int):
+        self.sums, self.choices, self.total = sums, choices, np.zeros(sums.shape)
+
+    def placed(self, items: np.ndarray, own: np.ndarray, at: np.ndarray, cell: np.ndarray, n: np.ndarray, stays=None) -> pa.RecordBatch:
+        """The items' rows after they have moved; ``stays`` tells from their gains which don't."""
+        width = self.sums.shape[1]
+        to, gain = best_classes(own, at, cell, n.astype(float), self.sums, self.choices)
+        to = to if stays is None else np.where(stays(gain), own, to)
+        self.total += np.bincount(to[at] * width + cell, n, self.total.size).reshape(self.total.shape)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(items))))).astype(np.int32) * 8
+        cells = pa.BinaryArray.from_buffers(pa.binary(), len(items), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(n * width + cell))])
+        tokens = np.bincount(at, n * (2 * cell >= width), len(items)).astype(np.int64)
+        return self.batch(pa.array(items), pa.array(to, pa.int32()), pa.array(tokens), cells, pa.nulls(len(items), pa.list_(pa.int64())))
+
+    def summed(self) -> pa.RecordBatch:
+        """The class sums, in rows without an item."""
+        at = np.flatnonzero(self.total.any(axis=1))
+        sums = pa.array([r.astype(np.int64) for r in self.total[at]], pa.list_(pa.int64()))
+        return self.batch(pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), sums)
+
+    @staticmethod
+    def batch(*columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(columns), names=["item", "own", "n", "cells", "sums"])
+
+
+def placed_items(cells: DataFrame, sums: np.ndarray, choices: int, few: bool) -> DataFrame:
+    """Every item in its best class by the class sums of what is placed already, with its cells packed.
+
+    A cell is ``n * width + cell``, an item has at most ``width`` of them. If every item has
+    ``few`` rows, they are sent to their item's task at once, else summed before.
     """
-    cells = cells.repartition("item") if few else cells
-    packed = (F.col("n") * (2 * width) + F.col("cell")).cast("bigint")
-    items = cells.groupBy("item", "cell").agg(F.sum("n").alias("n")).groupBy("item").agg(F.collect_list(packed).alias("cells"))
-    return items.select("item", F.lit(-1).alias("own"), "cells", F.lit(None).cast("array<bigint>").alias("sums"))
+    rows = cells if few else cells.groupBy("item", "cell").agg(F.sum("n").alias("n"))
+    width = sums.shape[1]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = Round(sums, choices), [np.zeros(0, np.int64)] * 3
+
+        def done(items: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            names, of = np.unique(items, return_inverse=True)
+            spots, spot = np.unique(of * width + cell, return_inverse=True)
+            return here.placed(names, np.full(len(names), -1), spots // width, spots % width, np.bincount(spot, n).astype(np.int64))
+
+        for batch in slices(batches, 1 << 14):
+            new = [batch.column(c).to_numpy().astype(np.int64) for c in ("item", "cell", "n")]
+            every = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            whole = every[0] != every[0][-1]  # rows are in order; the last item may go on
+            held = [x[~whole] for x in every]
+            if whole.any():
+                yield done(*(x[whole] for x in every))
+        if len(held[0]):
+            yield done(*held)
+        yield here.summed()
+
+    return rows.repartition("item").sortWithinPartitions("item").mapInArrow(placed, STATE)
 
 
 def best_classes(own: np.ndarray, at: np.ndarray, cell: np.ndarray, n: np.ndarray, sums: np.ndarray, choices: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,31 +416,21 @@ def best_classes(own: np.ndarray, at: np.ndarray, cell: np.ndarray, n: np.ndarra
 
 
 def exchange_round(state: DataFrame, sums: np.ndarray, choices: int, part: int, turn: int) -> DataFrame:
-    """The items after each has gone where the likelihood rises most; rows without an item have the class sums of a task.
-
-    Items in no class all go to one; of the others one in ``part``.
-    """
+    """The items after one in ``part`` of them has gone where the likelihood rises most."""
+    width = sums.shape[1]
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, width, many = np.zeros(sums.shape), sums.shape[1], pa.list_(pa.int64())
-        names = ["item", "own", "cells", "sums"]
-        for batch in slices(batches, 256):
-            lists = batch.column("cells")
-            own, packed = batch.column("own").to_numpy().astype(np.int64), lists.flatten().to_numpy()
-            at = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            cell, n = packed % width, (packed // width).astype(float)
-            to, gain = best_classes(own, at, cell, n, sums, choices)
+        here = Round(sums, choices)
+        for batch in slices(batches, 512):
+            cells, sizes = unpacked(batch.column("cells"), np.int64)
+            items, at = batch.column("item").to_numpy(), np.repeat(np.arange(batch.num_rows), sizes)
             with np.errstate(over="ignore"):
-                draw = (batch.column("item").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) + np.uint64(turn)
-            stays = (own >= 0) & ((gain <= 1e-6) | (draw % np.uint64(part) != 0))
-            to = np.where(stays, own, to)
-            total += np.bincount(to[at] * width + cell, n, total.size).reshape(total.shape)
-            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(to, pa.int32()), lists, pa.nulls(batch.num_rows, many)], names=names)
-        at = np.flatnonzero(total.any(axis=1))
-        rows = [pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(at), many), pa.array([r.astype(np.int64) for r in total[at]], many)]
-        yield pa.RecordBatch.from_arrays(rows, names=names)
+                draw = (items.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) + np.uint64(turn)
+            stays = lambda gain, draw=draw: (gain <= 1e-6) | (draw % np.uint64(part) != 0)
+            yield here.placed(items, batch.column("own").to_numpy().astype(np.int64), at, cells % width, cells // width, stays)
+        yield here.summed()
 
-    return state.where("item IS NOT NULL").mapInArrow(moved, "item long, own int, cells array<bigint>, sums array<bigint>")
+    return state.where("item IS NOT NULL").mapInArrow(moved, STATE)
 
 
 def class_sums(state: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -368,16 +442,14 @@ def class_sums(state: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def exchange(items: DataFrame, fixed: np.ndarray, choices: int, least_rise: float, name: str, rises: list[float] | None = None) -> tuple[DataFrame, np.ndarray]:
-    """``item, own, cells`` of the items after exchange, and their class sums.
+def exchange(cells: DataFrame, fixed: np.ndarray, choices: int, few: bool, least_rise: float, name: str, rises: list[float] | None = None) -> tuple[DataFrame, np.ndarray]:
+    """``item, own, n`` of the items after exchange, and their class sums.
 
     ``fixed``: the class sums of what keeps its class. ``rises`` gets the likelihood after each round.
     """
     width = fixed.shape[1] // 2
     like = lambda own: likelihood((fixed + own)[:, width:], (fixed + own)[:, :width])
-    start = stored(items, name)
-    state = stored(exchange_round(start, fixed, choices, 1, 0), name)
-    removed(start)
+    state = stored(placed_items(cells, fixed, choices, few), name)
     sums = class_sums(state, fixed.shape)
     now, part, turn = like(sums), 1, 0
     if rises is not None:
@@ -399,7 +471,7 @@ def exchange(items: DataFrame, fixed: np.ndarray, choices: int, least_rise: floa
             rises.append(now)
         if now - before < least_rise * abs(now):
             break
-    return state.where("item IS NOT NULL").select("item", "own", "cells"), sums
+    return state.where("item IS NOT NULL").select("item", "own", "n"), sums
 
 
 @dataclass
@@ -435,34 +507,49 @@ class ClassModel:
         """The class of the word that training has not seen."""
         return len(self.step) - 1
 
-    def score(self, words: list[bytes]) -> tuple[float, float, int, np.ndarray, np.ndarray]:
-        """Of a text: score and base score without what words outside the head add, known tokens, those words' hashes and surroundings.
+    def scores(self, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        """Of encoded texts: score and base score without what words outside the head add, known tokens, those words' hashes and surroundings.
 
         Surroundings are place, class before and class after in one number; a class of 0 is
         that of another such word, else classes count from 1.
         """
         v = self.vocab
-        numbers = v.numbered(words)
-        found = numbers[numbers >= 0][1:-1]
-        counts = np.log10(v.counts[found] + 1).sum() + np.log10(v.texts + 1)
-        base = counts - (len(words) + 1) * np.log10(v.tokens + v.types + 1)
+        (numbers, sizes), (hashes, rare) = sequence(batch, v.end), unpacked(batch.column("hashes"), np.int64)
+        if not len(sizes):
+            return {}
+        starts = np.cumsum(sizes + 1) - sizes - 1  # of each text's pairs
+        logs = np.append(np.log10(v.counts + 1), [np.log10(v.texts + 1), 0.0])[numbers[1:]]
         classes = np.append(self.classes, [self.end, -1])[numbers]
         before, after = classes[:-1], classes[1:]
         sure = (before >= 0) & (after >= 0)
-        score = counts + self.step[before[sure], after[sure]].sum() + self.inside[after[after >= 0]].sum()
+        gain = logs + np.where(sure, self.step[before, after], 0.0) + np.where(after >= 0, self.inside[after], 0.0)
+        known = np.add.reduceat((numbers[1:] >= 0).astype(np.int64), starts) - (not v.texts)
         at = np.flatnonzero(numbers < 0)
         around = (at << 20) | ((classes[at - 1] + 1) << 10) | (classes[at + 1] + 1)
-        return float(score), float(base), len(found) + bool(v.texts), hashed([words[k - 1] for k in at.tolist()]), around
-
-
-def train(docs: DataFrame, head: int = 200_000, seeds: int = 1024, classes: int = 64, least_rise: float = 5e-4, rises: dict | None = None) -> tuple[ClassModel, DataFrame]:
-    """The model of ``docs`` (``text``), and the words outside its head: ``hash, n, class``."""
-    vocab = vocabulary(docs, head)
-    sent, seeds = docs.sparkSession.sparkContext.broadcast(vocab), min(seeds, len(vocab.words))
+        ends = pa.array(np.concatenate(([0], np.cumsum(rare))).astype(np.int32))
+        counts = np.add.reduceat(logs, starts)
+        return {
+            "n_tokens": pa.array((sizes + 1).astype(np.int64)),
+            "known": pa.array(known),
+            "base": pa.array(counts - (sizes + 1) * np.log10(v.tokens + v.types + 1)),
+            "score": pa.array(np.add.reduceat(gain, starts)),
+            "hashes": pa.ListArray.from_arrays(ends, pa.array(hashes)),
+            "around": pa.ListArray.from_arrays(ends, pa.array(around.astype(np.int64))),
+        }
+
+
+def train(docs: DataFrame, head: int = 200_000, seeds: int = 1024, classes: int = 64, least_rise: float = 5e-4, rises: dict | None = None) -> tuple[ClassModel, DataFrame, DataFrame]:
+    """The model of those ``docs`` (``doc_id``, ``text``, ``held_out``) that are not held out.
+
+    Returns it, the words outside its head (``hash, n, class``), and all of ``docs`` encoded.
+    """
+    vocab = vocabulary(docs.where(~F.col("held_out")), head)
+    code = stored(encoded(docs, docs.sparkSession.sparkContext.broadcast(vocab)), "encoded", "zstd")
+    texts, seeds = code.where(~F.col("held_out")), min(seeds, len(vocab.words))
     end, rest, width = classes, classes + 1, classes + 2
     log = lambda step: None if rises is None else rises.setdefault(step, [])
 
-    pairs = seed_pairs(docs, sent, seeds)
+    pairs = seed_pairs(texts, vocab.end, seeds)
     of_seeds = exchanged_seeds(pairs, classes, least_rise, log("seeds"))
     beside = np.full(len(vocab.words) + 2, rest)
     beside[:seeds], beside[-2] = of_seeds, end
@@ -470,22 +557,21 @@ def train(docs: DataFrame, head: int = 200_000, seeds: int = 1024, classes: int
     table = one.T @ pairs @ one
     fixed = np.concatenate([table.T, table], axis=1)
     fixed[rest] = 0  # what is to be placed
-    placed, _ = exchange(gathered_items(head_cells(docs, sent, beside, seeds, width), width, False), fixed, classes, least_rise, "head", log("head"))
+    placed, _ = exchange(head_cells(texts, beside, seeds, width), fixed, classes, False, least_rise, "head", log("head"))
     found = placed.select("item", "own").toArrow()  # head rows at most
     removed(placed)
     beside[found.column("item").to_numpy()] = found.column("own").to_numpy()
     of_head = beside[:-2].copy()
 
-    raw = stored(rest_pairs(docs, sent, beside, width), "pairs")
+    raw = stored(rest_pairs(texts, beside, width), "pairs")
     table = np.zeros((width, width))
     for r in raw.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # class bigrams
         table[r.a, r.b] = r.n
     fixed = np.concatenate([table.T, table], axis=1)
     fixed[rest] = 0
     cells = raw.where("kind = 1").select(F.col("a").alias("item"), F.col("b").cast("int").alias("cell"), "n")
-    others, sums = exchange(gathered_items(cells, width, True), fixed, classes, least_rise, "others", log("others"))
-    tokens = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.when(c % (2 * width) >= width, F.floor(c / (2 * width))).otherwise(0))
-    rare = stored(others.select(F.col("item").alias("hash"), tokens.alias("n"), F.col("own").alias("class")), "rare")
+    others, sums = exchange(cells, fixed, classes, True, least_rise, "others", log("others"))
+    rare = stored(others.select(F.col("item").alias("hash"), "n", F.col("own").alias("class")), "rare")
     removed(others)
     of = lambda k: rare.select(F.col("hash").alias(k), F.col("class").alias(f"{k}c"))
     both = raw.where("kind = 2").select("a", "b", "n").join(of("a"), "a").join(of("b"), "b").groupBy("ac", "bc").agg(F.sum("n").alias("n"))
@@ -500,7 +586,7 @@ def train(docs: DataFrame, head: int = 200_000, seeds: int = 1024, classes: int
     for r in rare.groupBy("class").agg(F.count("*").alias("members"), F.sum("n").alias("mass")).collect():
         members[r["class"]] += r.members
         mass[r["class"]] += r.mass
-    return ClassModel.of(vocab, of_head, members, mass, table[:rest, :rest]), rare
+    return ClassModel.of(vocab, of_head, members, mass, table[:rest, :rest]), rare, code
 
 
 def class_lm_scores(docs: DataFrame, held_out: Column | None = None, **options) -> DataFrame:
@@ -509,9 +595,10 @@ def class_lm_scores(docs: DataFrame, held_out: Column | None = None, **options)
     Rows where ``held_out`` (by default the third of seven folds by id) are not learnt from.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (left_out(F.col("doc_id")) if held_out is None else held_out).alias("held_out"))
-    model, rare = train(texts.where(~F.col("held_out")), **options)
+    model, rare, code = train(texts, **options)
     size = len(model.step)
-    partial = stored(scored_rows(texts, model), "scores")
+    partial = stored(scored_rows(code, model), "scores")
+    removed(code)
     tokens = partial.select("row", F.explode(F.arrays_zip("hashes", "around")).alias("r")).select("row", F.col("r.hashes").alias("hash"), F.col("r.around").alias("around"))
     own = tokens.join(rare, "hash", "left").select(
         "row", "around", F.coalesce("class", F.lit(model.unknown)).alias("c"), F.coalesce("n", F.lit(0)).alias("n"),
@@ -540,22 +627,15 @@ def class_lm_scores(docs: DataFrame, held_out: Column | None = None, **options)
     )
 
 
-def scored_rows(texts: DataFrame, model: ClassModel) -> DataFrame:
-    """What the model says of every row, and in ``hashes`` and ``around`` what is to be joined for it."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
-    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "hashes": pa.list_(pa.int64()), "around": pa.list_(pa.int64())}
+def scored_rows(code: DataFrame, model: ClassModel) -> DataFrame:
+    """What the model says of every encoded row, and in ``hashes`` and ``around`` what is to be joined for it."""
+    sent = code.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, model = TaskContext.get().partitionId() << 40, sent.value
+        model = sent.value
         for batch in slices(batches, 512):
-            out = []
-            for text in text_bytes(batch.column("text")):
-                words = blank_words(text)
-                score, base, known, hashes, around = model.score(words)
-                out.append((row, len(words) + 1, known, base, score, hashes, around))
-                row += 1
-            rows, sizes, known, bases, scores, hashes, around = zip(*out, strict=True) if out else [()] * 7
-            columns = (rows, batch.column("doc_id"), batch.column("held_out"), sizes, known, bases, scores, hashes, around)
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
-
-    return texts.mapInArrow(scored, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, hashes array<long>, around array<long>")
+            if found := model.scores(batch):
+                own = ["row", "doc_id", "held_out"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *found.values()], names=[*own, *found])
+
+    return code.mapInArrow(scored, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, hashes array<long>, around array<long>")

@@ -37,8 +37,9 @@ def held(doc_id):
 @pytest.fixture(scope="module")
 def trained(spark, rows):
     rises = {}
-    kept = [(t,) for d, t, _ in rows if not held(d)]
-    model, rare = lm.train(spark.createDataFrame(kept, "text string"), rises=rises, **SMALL)
+    docs = spark.createDataFrame([(d, t, held(d)) for d, t, _ in rows], "doc_id long, text string, held_out boolean")
+    model, rare, code = lm.train(docs, rises=rises, **SMALL)
+    assert code.count() == len(rows)
     return model, {r.hash: (r.n, r["class"]) for r in rare.collect()}, rises
 
 
