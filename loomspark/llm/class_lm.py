@@ -374,11 +374,13 @@ def placed_items(cells: DataFrame, sums: np.ndarray, choices: int, few: bool) ->
 
         for batch in slices(batches, 1 << 14):
             new = [batch.column(c).to_numpy().astype(np.int64) for c in ("item", "cell", "n")]
-            every = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            whole = every[0] != every[0][-1]  # rows are in order; the last item may go on
-            held = [x[~whole] for x in every]
-            if whole.any():
-                yield done(*(x[whole] for x in every))
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if len(held[0]) < 1 << 14:
+                continue
+            last = np.searchsorted(held[0], held[0][-1])  # rows are in order; the last item may go on
+            if last:
+                yield done(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
         if len(held[0]):
             yield done(*held)
         yield here.summed()
