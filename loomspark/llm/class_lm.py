@@ -436,11 +436,11 @@ def exchange_round(state: DataFrame, sums: np.ndarray, choices: int, part: int,
 
 
 def class_sums(state: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """The class sums of a round: a row a class and cell comes to the driver."""
+    """The class sums of a round: a row a class comes to the driver."""
     out = np.zeros(shape)
-    rows = state.where("item IS NULL").select("own", F.posexplode("sums").alias("cell", "n")).groupBy("own", "cell").agg(F.sum("n").alias("n"))
+    rows = state.where("item IS NULL").groupBy("own").agg(*[F.sum(F.get("sums", F.lit(k))).alias(f"cell{k}") for k in range(shape[1])])
     for r in rows.collect():
-        out[r.own, r.cell] = r.n
+        out[r.own] = r[1:]
     return out
 
 
