@@ -18,10 +18,12 @@ from loomspark.llm import (
     page_diff,
     parity_join,
     ring_shards,
+    runs,
+    token_files,
     toxicity,
     url_filter,
 )
-from loomspark.llm.tables import table
+from loomspark.llm.tables import fresh_folder, table
 
 #: Production parameters.
 ALLOW, BLOCK = ["com/", "www.example.com/en/"], ["example.com/en/", "net/es/", "net/fr/"]
@@ -30,6 +32,7 @@ LABELLED_ROWS = 20_000
 TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
 SHINGLE_WORDS, PERCENT = 4, 85
 SHARDS, VNODES = 40, 64
+LEAST_RUN, POWERS = 6, 4
 WEIGHTS, DEFAULT_WEIGHT = {"src0": 3.0, "src1": 2.0, "src2": 0.5}, 1.0
 
 ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -76,7 +79,17 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_source_mixing, op4_fingerprints, op5_toxicity, op6_token_counts, op7_jaccard_join, op8_ring_shards, op9_page_text, op10_class_lm)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"), LEAST_RUN, POWERS, runs.repeated_tail)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = fresh_folder(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), root, public_tokenizers.path(TOKENIZER))
+    return token_files.documents_of(spark, root)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_source_mixing, op4_fingerprints, op5_toxicity, op6_token_counts, op7_jaccard_join, op8_ring_shards, op9_page_text, op10_class_lm, op11_periodic_runs, op12_token_files)}
 
 #: The rules of op1 as (host, path, rule, verdict).
 RULE_ROWS = ", ".join(

@@ -24,10 +24,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, not yet made."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, and safe from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
