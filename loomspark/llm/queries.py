@@ -20,6 +20,7 @@ from loomspark.llm import (
     ring_shards,
     runs,
     token_files,
+    token_links,
     toxicity,
     url_filter,
 )
@@ -29,7 +30,7 @@ from loomspark.llm.tables import fresh_folder, table
 ALLOW, BLOCK = ["com/", "www.example.com/en/"], ["example.com/en/", "net/es/", "net/fr/"]
 WINDOW = 10
 LABELLED_ROWS = 20_000
-TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
+TOKENIZER, PIECES, TOKEN_LIMIT = "byte_bpe_50k.json", "piece_bpe_32k.model", 512
 SHINGLE_WORDS, PERCENT = 4, 85
 SHARDS, VNODES = 40, 64
 LEAST_RUN, POWERS = 6, 4
@@ -89,7 +90,11 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(spark, root)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_source_mixing, op4_fingerprints, op5_toxicity, op6_token_counts, op7_jaccard_join, op8_ring_shards, op9_page_text, op10_class_lm, op11_periodic_runs, op12_token_files)}
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_source_mixing, op4_fingerprints, op5_toxicity, op6_token_counts, op7_jaccard_join, op8_ring_shards, op9_page_text, op10_class_lm, op11_periodic_runs, op12_token_files, op13_token_links)}
 
 #: The rules of op1 as (host, path, rule, verdict).
 RULE_ROWS = ", ".join(
