@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from datetime import datetime, timezone
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,9 @@ from loomspark.operators.verify import boundary_rows, characterized
 TOO_FEW = "fewer than two distinct call-site examples and no inferable parameter types (§6.5)"
 ALL_THREW = "original function threw on every generated input — no return value to compare"
 UNSTABLE = "original function is non-deterministic — two runs on the same input disagree"
+#: Why a value that is not what its kind says cannot be compared, and what a number's text looks like.
+UNREADABLE = "an unreadable value"
+NUMBER = r"-?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?|-?Infinity|NaN"
 #: Kinds of values with a plain text form.
 TAGGED = ("bigint", "Date", "Error", "RegExp", "String", "Number", "Boolean", "Map", "Set")
 
@@ -59,7 +64,7 @@ def canonical_number(value: float | int) -> object:
             return {"$": "number", "v": "NaN" if math.isnan(value) else "Infinity" if value > 0 else "-Infinity"}
         if value == 0 and math.copysign(1, value) < 0:
             return {"$": "number", "v": "-0"}
-        return int(value) if value.is_integer() and abs(value) < 1e21 else value
+        return int(Decimal(repr(value))) if value.is_integer() and abs(value) < 1e21 else value
     return value
 
 
@@ -72,17 +77,29 @@ def canonical_json(value: object) -> object:
     return value if value is None or isinstance(value, (bool, str)) else canonical_number(value)
 
 
+def number_of(value: str | None) -> float:
+    """The double that a number's text stands for; raises ``ValueError`` for other texts."""
+    if value is None or not re.fullmatch(NUMBER, value):
+        raise ValueError(value)
+    return float(value.replace("Infinity", "inf"))
+
+
 def canonical_text(kind: str | None, value: str | None) -> tuple[str | None, str | None]:
-    """The canonical form of a value, or why it has none."""
+    """The canonical form of a value, or why it has none; what cannot be read has ``UNREADABLE`` for a reason."""
+    try:
+        return canonical_form(kind, value)
+    except (ValueError, RecursionError):
+        return None, UNREADABLE
+
+
+def canonical_form(kind: str | None, value: str | None) -> tuple[str | None, str | None]:
+    read = lambda text: canonical_json(json.loads(text, parse_int=float))
     if kind == "undefined":
         out: object = {"$": "undefined"}
     elif kind == "number":
-        out = canonical_number(float("-0" if value == "-0" else (value or "").replace("Infinity", "inf")))
+        out = canonical_number(number_of(value))
     elif kind == "json":
-        try:
-            out = canonical_json(json.loads(value or ""))
-        except ValueError:
-            return None, "an unreadable value"
+        out = read(value or "")
     elif kind == "Date":
         try:
             at = datetime.fromisoformat((value or "").replace("Z", "+00:00")).astimezone(timezone.utc)
@@ -90,7 +107,7 @@ def canonical_text(kind: str | None, value: str | None) -> tuple[str | None, str
         except ValueError:
             out = {"$": "Date", "v": "Invalid"}
     elif kind in ("Map", "Set", "RegExp", "Error"):
-        out = {"$": kind, "v": canonical_json(json.loads(value or "[]"))}
+        out = {"$": kind, "v": read(value or "[]")}
     elif kind in TAGGED:
         out = {"$": kind, "v": value}
     else:

@@ -126,3 +126,19 @@ def test_what_text_matching_gets_wrong_is_known(spark):
     text = "// x.filter('commented', f)\nvar s = \".service('quoted', f)\";\nm.controller(\"it's\", f);\nm.value('real', 1)"
     got = [(r.kind, r.name) for r in facts.registrations(spark.createDataFrame([("p", text)], "path string, content string")).collect()]
     assert got[0] == ("filter", "commented") and ("service", "quoted") in got and ("value", "real") in got and ("controller", "it's") not in got
+
+
+def test_values_that_are_not_what_they_say_have_a_reason(spark):
+    cases = [("Map", "[["), ("Set", "x"), ("RegExp", "/a/"), ("Error", "{"), ("number", None), ("number", "two"), ("number", "1_0"), ("json", None), ("json", "[" * 100_000), ("number", "")]
+    rows = spark.createDataFrame(cases, "kind string, value string").select("kind", evidence.canonical(F.col("kind"), F.col("value")).alias("c")).collect()
+    assert [(r.c.key, r.c.reason) for r in rows] == [(None, evidence.UNREADABLE)] * len(cases)
+
+
+def test_one_number_has_one_key(spark):
+    same = [["12345678901234567890", "12345678901234567890.0", "1.2345678901234567890e19"], ["9007199254740993", "9007199254740992"], ["1", "1.0", "1e0"], ["-0", "-0.0"], ["1e21", "1000000000000000000000"]]
+    for kind in ("json", "number", "Map"):
+        for values in same:
+            given = [(kind, f"[{v}]" if kind != "number" else v) for v in values]
+            keys = {r.c.key for r in spark.createDataFrame(given, "kind string, value string").select(evidence.canonical(F.col("kind"), F.col("value")).alias("c")).collect()}
+            assert len(keys) == 1 and None not in keys
+    assert evidence.canonical_text("json", "12345678901234567890")[0] == "12345678901234567000"

@@ -53,6 +53,20 @@ def test_scope_order_and_ignored_paths(spark):
     assert {r.kind: r.files for r in corpus.scope_counts(df).collect()} == {"template": 1, "out": 2, "vendored": 1, "script": 1}
 
 
+@pytest.mark.parametrize("root", ["app/dist/app", "my+repo", "data/myrepo/repo", "build/x y%20z", "a+b/a+b/", "é"])
+def test_the_root_is_cut_off_whatever_its_name(spark, tmp_path, root):
+    names = {"dist/no.js": None, "x.js": "x", "app/repo/a+b/y z%41.js": "y", "é/w.html": "w", "my+repo/v.js": "v", "node_modules/n.js": None}
+    for name in names:
+        file = tmp_path / root / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(name[-4:])
+    want = sorted(n for n, kept in names.items() if kept)
+    for given in (f"{tmp_path}/{root}", f"file:{tmp_path}/{root}"):
+        if "%" in root and given.startswith("file:"):
+            continue
+        assert sorted(r.path for r in corpus.read_corpus(spark, given).collect()) == want
+
+
 def test_files_are_read_whole_and_filtered(spark, tmp_path):
     for name, text in {"app/a.js": "x\r\ny", "app/b.html": "<p>", "dist/c.js": "no", "a.spec.js": "no", "d.txt": "no"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
