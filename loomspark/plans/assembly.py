@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as fx
-from loomspark.operators import assemble, evidence, facts, report, rewrite, templates
+from loomspark.operators import assemble, calls, evidence, facts, report, rewrite, templates
 from loomspark.plans.tables import read, sql
 from loomspark.streaming import live
 
@@ -117,7 +117,7 @@ def filter_pipes(spark, sf_dir):
 
 
 def component_registrations(spark, sf_dir):
-    found = facts.registrations(sql(spark, sf_dir, COMPONENTS))
+    found = calls.registrations(sql(spark, sf_dir, COMPONENTS))
     return found.select("path", "line", "kind", "name", F.array_join("dependencies", ",").alias("dependencies"))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as fx
-from loomspark.operators import facts, listing, report, rewrite, secrets, templates, verify
-from loomspark.plans import assembly, oracle
+from loomspark.operators import calls, facts, listing, report, rewrite, secrets, templates, verify
+from loomspark.plans import assembly, oracle, scripts
 from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FACT_CORPUS, FILES, LISTING, SCAN, SCOPE_CORPUS, SECRET_CORPUS, fresh_dir, read, sql
 from loomspark.sources import corpus
 from loomspark.streaming import live
@@ -55,7 +55,7 @@ def scope_counts(spark, sf_dir):
 
 
 def modules(spark, sf_dir):
-    found = facts.modules(sql(spark, sf_dir, FACT_CORPUS))
+    found = calls.modules(sql(spark, sf_dir, FACT_CORPUS))
     return found.select("path", "line", "name", F.array_join("depends_on", ",").alias("depends_on"))
 
 
@@ -64,16 +64,16 @@ def module_edges(spark, sf_dir):
 
 
 def registrations(spark, sf_dir):
-    found = facts.registrations(sql(spark, sf_dir, FACT_CORPUS))
+    found = calls.registrations(sql(spark, sf_dir, FACT_CORPUS))
     return found.select("path", "line", "kind", "name", F.array_join("dependencies", ",").alias("dependencies"))
 
 
 def routes(spark, sf_dir):
-    return facts.routes(sql(spark, sf_dir, FACT_CORPUS)).select("path", "line", "provider", "path_or_state")
+    return calls.routes(sql(spark, sf_dir, FACT_CORPUS)).select("path", "line", "provider", "path_or_state")
 
 
 def watches(spark, sf_dir):
-    return facts.watches(sql(spark, sf_dir, FACT_CORPUS)).select("path", "line", "method", "expression")
+    return calls.watches(sql(spark, sf_dir, FACT_CORPUS)).select("path", "line", "method", "expression")
 
 
 def inventory_counts(spark, sf_dir):
@@ -319,8 +319,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | assembly.QUERIES
+    return QUERIES | assembly.QUERIES | scripts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements() | assembly.SQL
+    return oracle.statements() | assembly.SQL | scripts.SQL

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
 def ready(spark: SparkSession) -> None:
     """Makes checkpoints go to the shared folder."""
     shared_dir(spark)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in a folder of its own in the shared one, read again: what several plans start from is computed once and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the table that ``written`` wrote and ``df`` reads."""
+    session = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = session._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
