@@ -95,3 +95,33 @@ def test_cutting_in_rounds_keeps_columns_and_counts(spark):
     items = spark.createDataFrame([(k, f"w{k} x y z") for k in range(40)] + [(99, "ONE two, three four")], "item_id long, text string")
     one, many = (sorted(map(tuple, dc.cut_leaks(docs, items, 10, b).collect())) for b in (1 << 20, 60))
     assert one == many == [(1, "Before it: \n! After.", 20, "x"), *rows[2:]]
+
+
+def test_many_blocks_read_the_documents_once_and_leave_only_their_files(spark, monkeypatch, tmp_path):
+    """Twenty blocks and more: one scan of the documents, nothing written but the items' blocks, same results."""
+    passages = [[f"p{k}w{n}" for n in range(24)] for k in range(60)]
+    spark.createDataFrame([(k, " ".join(["before", *p[: 8 + k % 17], "after"])) for k, p in enumerate(passages)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    items = spark.createDataFrame([(2 * k + side, " ".join(p[:12] if side == 0 else p[7:20])) for k, p in enumerate(passages) for side in (0, 1)], "item_id long, text string")
+    (tmp_path / "shared").mkdir()
+    monkeypatch.setattr(dc, "fresh_folder", lambda spark, name, n=iter("abc"): f"{tmp_path}/shared/{name}-{next(n)}")
+    monkeypatch.setattr(dc, "HELD", 3)
+    many, cut = dc.leak_report(docs, items, 10).drop("spans"), dc.cut_leaks(docs, items, 10, 300)
+    few = {tuple(r) for r in many.collect()}
+    found = dc.find_leaks(docs, items, 10, 300)
+    assert len(list((tmp_path / "shared/items-c").iterdir())) >= 20
+    for frame in (found, cut):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    assert {(r.doc_id, len(r["items"]), sum(s.stop - s.start for s in r.spans)) for r in found.collect()} == {(r[0], r[3], r[2]) for r in few}
+    assert all(not plain(r.text, [(r.doc_id, " ".join(p)) for p in (q[:20] for q in passages)], 10)[4] for r in cut.collect())
+    assert sorted(p.name for p in (tmp_path / "shared").iterdir()) == ["items-a", "items-b", "items-c"]
+
+
+def test_words_that_share_a_bit_change_nothing(tables, monkeypatch):
+    df, benchmark, docs, items = tables
+    monkeypatch.setattr(dc.TestSet, "has", lambda self, word: True)
+    tests = dc.prepared(benchmark, 3, 40)
+    hits = dc.search_shard([(d[1] or "").encode() for d in docs], tests)
+    for d, words, spans, names in zip(docs, hits.words, hits.spans, hits.items, strict=True):
+        assert (words, sum(b - a for a, b in spans), len(names)) == plain(d[1], items, 3)[:3]
