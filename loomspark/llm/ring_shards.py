@@ -72,8 +72,11 @@ def assign_shards(docs: DataFrame, shards: int = 40, vnodes: int = 64, slack: fl
 
     ``size``: UTF-8 bytes of the text plus 16. ``slot`` counts a shard's rows from 0.
     ``law`` is ``rows``: balance comes first, so one more shard may move rows between others
-    and ``grown_shard`` is null.
+    and ``grown_shard`` is null. ``keep`` may have any names but the seven; other columns are
+    dropped.
     """
+    if clash := set(keep) & {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}:
+        raise ValueError(f"columns of the result cannot be kept beside it: {sorted(clash)}")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     spot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), text))), F.lit(1 << 32))
     rows = docs.select(
@@ -81,7 +84,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, vnodes: int = 64, slack: fl
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         spot.alias("_spot"),
-        *[F.col(c) for c in keep],
+        F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("_keep"),
     ).withColumn("_place", F.floor(F.col("_spot") / F.lit(1 << 16)).cast("int"))
     places = docs.select(F.floor(spot / F.lit(1 << 16)).cast("int").alias("_place"))
     counts = {r["_place"]: r["count"] for r in places.groupBy("_place").count().collect()}  # BINS rows at most
@@ -98,5 +101,5 @@ def assign_shards(docs: DataFrame, shards: int = 40, vnodes: int = 64, slack: fl
         F.col("_run.shard").alias("shard"),
         (F.col("_run.slot") + F.col("_rank") - F.col("_run.rank")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        *keep,
+        *[F.col(f"_keep.`{c}`") for c in keep],
     )

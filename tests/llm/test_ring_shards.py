@@ -62,6 +62,16 @@ def test_few_rows_and_none(spark):
     assert rs.assign_shards(df.limit(0)).count() == 0
 
 
+def test_kept_columns_of_any_name(spark):
+    names = ["_spot", "_place", "_rank", "_run", "_runs", "_keep", "a.b", "text"]
+    df = spark.createDataFrame([(k, *[f"{c}{k}" for c in names]) for k in range(90)], ", ".join(["doc_id long", *[f"`{c}` string" for c in names]]))
+    got = rs.assign_shards(df, 7, 8, keep=tuple(names))
+    assert got.columns[7:] == names
+    assert sorted(map(tuple, got.select("doc_id", *[f"`{c}`" for c in names]).collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError, match="shard"):
+        rs.assign_shards(df.withColumn("shard", df["text"]), keep=("shard",))
+
+
 @pytest.mark.parametrize(("slack", "most"), [(0.25, 0.2), (0.0, 0.06)])
 def test_one_more_shard_moves_few_rows(slack, most):
     counts = Counter((k * 48271 * 7919) % rs.BINS for k in range(20000))
