@@ -51,13 +51,13 @@ def test_fewer_neutral_mentions_are_taken_for_toxic(spark):
     held = [(d, t) for d, t, _ in rows if zlib.crc32(str(d).encode()) % 5 == 0]
     neutral = [t for d, t in held if "muslim" in t and not truth[d]]
     wrong, right = {}, {}
-    for fair in (0.0, 10.0):
+    for fair in (0.0, 1.0, 10.0):
         model = tx.fit(docs, labels, fair=fair)
         wrong[fair] = sum(model.logit(t.encode()) >= 0 for t in neutral)
         # what can be told: whether a text insults
         right[fair] = sum((model.logit(t.encode()) >= 0) == any(w in t for w in insults) for _, t in held)
-    assert len(neutral) > 15 and wrong[10.0] < wrong[0.0]
-    assert right[10.0] >= right[0.0]
+    assert len(neutral) > 15 and wrong[10.0] <= wrong[1.0] < wrong[0.0]  # 1.0 is the value of the query
+    assert min(right[1.0], right[10.0]) >= right[0.0]
 
 
 def test_communities_are_found_without_labels_and_their_terms_even_out(spark):
