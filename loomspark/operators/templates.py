@@ -74,3 +74,22 @@ def rewrite_templates(corpus: DataFrame) -> DataFrame:
         F.when(matched, output).alias("output"),
         F.when(twice, DUPLICATE).when(~matched, "no element with a simple control-flow attribute").alias("reason"),
     )
+
+
+QUOTED = r"""(?:'[^'\\]*(?:\\[\s\S][^'\\]*)*+'|"[^"\\]*(?:\\[\s\S][^"\\]*)*+")"""
+
+
+def balanced(depth: int) -> str:
+    """What stands between two parentheses, others ``depth`` deep in it; those in quotes do not count."""
+    return rf"(?:[^()'\"]|{QUOTED}" + (rf"|\({balanced(depth - 1)}\)" if depth else "") + ")*+"
+
+
+#: Headers of blocks, with up to eight parentheses around a place; one that does not end is no header.
+HEADER = rf"@(?:for|if) \({balanced(8)}\)"
+
+
+def masked_headers(template: Column) -> Column:
+    """``<`` and ``>`` within the headers of blocks as blanks, so that comparisons are not taken for tags; same length."""
+    inside = F.transform(F.regexp_extract_all(template, F.lit(HEADER), F.lit(0)), lambda h: F.translate(h, "<>", "  "))
+    parts = F.arrays_zip(F.split(template, HEADER, -1).alias("gap"), inside.alias("header"))
+    return F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["header"], F.lit("")))), "")

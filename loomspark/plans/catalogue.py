@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as fx
 from loomspark.operators import calls, facts, listing, report, rewrite, secrets, templates, verify
-from loomspark.plans import assembly, oracle, scripts
+from loomspark.plans import assembly, markup, oracle, scripts
 from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FACT_CORPUS, FILES, LISTING, SCAN, SCOPE_CORPUS, SECRET_CORPUS, fresh_dir, read, sql
 from loomspark.sources import corpus
 from loomspark.streaming import live
@@ -319,8 +319,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | assembly.QUERIES | scripts.QUERIES
+    return QUERIES | assembly.QUERIES | scripts.QUERIES | markup.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements() | assembly.SQL | scripts.SQL
+    return oracle.statements() | assembly.SQL | scripts.SQL | markup.SQL
