@@ -114,6 +114,10 @@ class Script:
         self.corpus, self.rows = corpus, written(bracketed(tokens(corpus)), "tokens")
         self.calls, self.brackets = method_calls(self.rows), brackets(self.rows)
 
+    @classmethod
+    def of(cls, corpus: DataFrame | Script) -> Script:
+        return corpus if isinstance(corpus, Script) else cls(corpus)
+
     def with_arguments(self, calls: DataFrame) -> DataFrame:
         """Calls with ``inside``, the tokens of their arguments; empty lists have an empty array."""
         return calls.join(self.brackets, ["file", "open"], "left").withColumn("inside", F.coalesce("inside", F.array().cast(INSIDE)))
@@ -131,9 +135,9 @@ def name_of(inside: Column) -> Column:
     return literal(F.get(inside, F.lit(0))["text"])
 
 
-def modules(corpus: DataFrame) -> DataFrame:
+def modules(corpus: DataFrame | Script) -> DataFrame:
     """``path, at, line, name, depends_on`` of ``angular.module(name, list)``; with one argument it is a look-up, no declaration."""
-    script = Script(corpus)
+    script = Script.of(corpus)
     calls = script.with_arguments(script.calls.where("method = 'module' AND root = 'angular' AND plain AND link = 1"))
     declared = calls.where(named_by_string(F.col("inside")) & (F.size("inside") > 2))
     listed = F.struct(F.when(F.get("inside", F.lit(2))["text"] == "[", F.get("inside", F.lit(2))["place"]).alias("list"), F.lit(None).cast("int").alias("parameters"), F.lit(None).cast("string").alias("single"))
@@ -141,9 +145,9 @@ def modules(corpus: DataFrame) -> DataFrame:
     return named.select("path", "at", F.col("root_line").alias("line"), name_of(F.col("inside")).alias("name"), F.col("dependencies").alias("depends_on"))
 
 
-def registrations(corpus: DataFrame) -> DataFrame:
+def registrations(corpus: DataFrame | Script) -> DataFrame:
     """``path, at, line, kind, name, dependencies``; any receiver counts. A component's are those of its controller."""
-    script = Script(corpus)
+    script = Script.of(corpus)
     calls = script.with_arguments(script.calls.where(F.col("method").isin(*KINDS))).where(named_by_string(F.col("inside")))
     config = script.brackets.select(F.col("file").alias("_f"), F.col("open").alias("_o"), F.col("inside").alias("_config"))
     second = F.get("inside", F.lit(2))
@@ -176,22 +180,36 @@ def with_first_text(script: Script, calls: DataFrame) -> DataFrame:
     return found.withColumns({"receiver": text(F.col("receiver_start"), F.col("receiver_stop")), "first": F.coalesce(F.regexp_replace(text(F.col("_from_start"), F.col("_to_start")), r"\s+$", ""), F.lit(""))})
 
 
-def routes(corpus: DataFrame) -> DataFrame:
+def routes(corpus: DataFrame | Script) -> DataFrame:
     """``path, at, line, provider, path_or_state``: calls whose receiver names the provider, earlier links of the chain included."""
-    script = Script(corpus)
+    script = Script.of(corpus)
     found = with_first_text(script, script.calls.where("method IN ('when', 'state')"))
     provider = F.when((F.col("method") == "when") & F.contains("receiver", F.lit("$routeProvider")), "ngRoute").when((F.col("method") == "state") & F.contains("receiver", F.lit("$stateProvider")), "ui-router")
     state = F.when(named_by_string(F.col("inside")), name_of(F.col("inside"))).otherwise(F.col("first"))
     return found.select("path", "at", "line", provider.alias("provider"), state.alias("path_or_state")).where("provider IS NOT NULL")
 
 
-def watches(corpus: DataFrame) -> DataFrame:
+def watches(corpus: DataFrame | Script) -> DataFrame:
     """``path, at, line, method, expression``: watchers of a scope; the expression is cut at 200 characters."""
-    script = Script(corpus)
+    script = Script.of(corpus)
     found = with_first_text(script, script.calls.where(F.col("method").isin(*WATCHES))).where(F.col("receiver").rlike(r"\$scope|\$rootScope"))
     return found.select("path", "at", F.col("root_line").alias("line"), "method", F.left("first", F.lit(WATCH_TEXT)).alias("expression"))
 
 
+def module_edges(corpus: DataFrame | Script) -> DataFrame:
+    return modules(corpus).select("path", F.col("name").alias("module"), F.explode("depends_on").alias("depends_on"))
+
+
+def inventory(corpus: DataFrame) -> DataFrame:
+    """``path, modules, registrations, routes, watches``: how many of each a file has, from one table of tokens."""
+    script = Script.of(corpus)
+    found = {"modules": modules(script), "registrations": registrations(script), "routes": routes(script), "watches": watches(script)}
+    rows = script.corpus.select("path", F.lit("none").alias("_what"))
+    for what, facts in found.items():
+        rows = rows.union(facts.select("path", F.lit(what)))
+    return rows.groupBy("path").agg(*[F.count_if(F.col("_what") == what).cast("int" if what in ("modules", "registrations") else "long").alias(what) for what in found])
+
+
 #: Fixed value: the deepest chain of promise calls that is rewritten.
 DEEPEST = 2
 

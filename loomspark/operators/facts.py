@@ -1,8 +1,8 @@
-"""Structural facts of scripts: modules, registrations, routes and watchers, with line numbers.
+"""Array-style registrations and events of scripts, with line numbers.
 
-Facts are recognised in the text by their call shapes, in built-in functions, so they stay in
-the scan's own stage. What only a parser could tell is out of scope: a string or comment that
-looks like a call counts as one. Repeated facts are kept; null contents have none.
+These are recognised in the text by their call shapes, in built-in functions, so they stay in
+the scan's own stage; a string or comment that looks like such a call counts as one. Modules,
+registrations, routes and watchers come from tokens (``calls``). Null contents have none.
 """
 
 from __future__ import annotations
@@ -13,31 +13,12 @@ from pyspark.sql import functions as F
 from loomspark.functions.matching import hits
 from loomspark.functions.text import line_of
 
-#: The kinds of registrations and of watchers.
+#: The kinds of registrations and of watchers, and how much of an expression is kept.
 KINDS = ("controller", "directive", "component", "service", "factory", "provider", "value", "constant", "filter", "decorator", "animation")
 WATCHES = ("$watch", "$watchCollection", "$watchGroup")
 WATCH_TEXT = 200
 
 STRING = r"""['"]([^'"]*)['"]"""
-MODULE = rf"\bangular\s*\.\s*module\s*\(\s*{STRING}\s*,\s*(\[[^\]]*\])?"
-REGISTRATION = rf"""\.\s*({"|".join(KINDS)})\s*\(\s*{STRING}\s*,\s*(?:\[((?:\s*['"][^'"]*['"]\s*,)*)|(?:async\s+)?function\b[^(]*\(([^)]*)\)|\(([^()]*)\)\s*=>)?"""
-ROUTE = rf"""\.\s*(when|state)\s*\(\s*(?:{STRING}|([^,)]*))"""
-WATCH = r"""([\w$.]*\$(?:rootScope|scope)[\w$.]*?)\s*\.\s*(\$watch(?:Collection|Group)?)\s*\(\s*('[^']*'|"[^"]*"|\[[^\]]*\]|[^,)]*)"""
-
-
-#: A component's controller within its definition: as a method, a function, a list that ends in one, or an arrow.
-CONTROLLER = (
-    r"""^[.\s]*component\s*\(\s*['"][^'"]*['"]\s*,\s*\{(?:[^{}]|\{[^{}]*\})*?(?<![\w$.])controller\s*"""
-    r"""(?:\(([^()]*)\)\s*\{|:\s*(?:async\s+)?function\b[^(]*\(([^)]*)\)|:\s*\[((?:\s*(?:'[^']*'|"[^"]*")\s*,)*)|:\s*\(([^()]*)\)\s*=>)"""
-)
-
-
-def controller_dependencies(definition: Column) -> Column:
-    """What a component's controller asks for; nothing if it is named by a string or not there."""
-    part = lambda k: F.regexp_extract(definition, CONTROLLER, k)
-    return F.when(part(3) != "", strings_of(part(3))).otherwise(names_of(F.concat(part(1), part(2), part(4))))
-
-
 def strings_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(STRING), F.lit(1))
 
@@ -53,54 +34,10 @@ def at_line(corpus: DataFrame, found: Column) -> DataFrame:
     return rows.withColumn("line", line_of(F.col("content"), F.col("h.start") + skipped))
 
 
-def modules(corpus: DataFrame) -> DataFrame:
-    """``path, line, name, depends_on``; the one-argument form, a look-up, is no declaration."""
-    rows = at_line(corpus, hits(F.col("content"), MODULE, name=1, deps=2))
-    return rows.select("path", "line", "ordinal", F.col("h.name").alias("name"), strings_of(F.coalesce("h.deps", F.lit(""))).alias("depends_on"))
-
-
-def module_edges(corpus: DataFrame) -> DataFrame:
-    return modules(corpus).select("path", F.col("name").alias("module"), F.explode("depends_on").alias("depends_on"))
-
-
-def registrations(corpus: DataFrame) -> DataFrame:
-    """``path, line, kind, name, dependencies``; any receiver counts. A component's are those of its controller."""
-    rows = at_line(corpus, hits(F.col("content"), REGISTRATION, kind=1, name=2, listed=3, named=4, arrow=5))
-    text = lambda c: F.coalesce(F.col(f"h.{c}"), F.lit(""))
-    dependencies = F.when(text("listed") != "", strings_of(text("listed"))).otherwise(names_of(F.concat(text("named"), text("arrow"))))
-    own = F.when(F.col("h.kind") == "component", controller_dependencies(F.substr(F.col("content"), F.col("h.start") + 1))).otherwise(dependencies)
-    return rows.select("path", "line", "ordinal", F.col("h.kind").alias("kind"), F.col("h.name").alias("name"), own.alias("dependencies"))
-
-
-def provider(content: Column, h: Column) -> Column:
-    """Whose route a hit is, by the statement it stands in; null if it is none."""
-    statement = F.substring_index(F.substring(content, F.lit(1), h["start"]), ";", -1)
-    return F.when((h["method"] == "when") & F.contains(statement, F.lit("$routeProvider")), "ngRoute").when((h["method"] == "state") & F.contains(statement, F.lit("$stateProvider")), "ui-router")
-
-
-def routes(corpus: DataFrame) -> DataFrame:
-    """``path, line, provider, path_or_state``: calls whose statement names the provider."""
-    rows = at_line(corpus, hits(F.col("content"), ROUTE, method=1, quoted=2, raw=3))
-    named = F.when(F.coalesce("h.quoted", F.lit("")) != "", F.col("h.quoted")).otherwise(F.trim(F.coalesce("h.raw", F.lit(""))))
-    return rows.select("path", "line", "ordinal", provider(F.col("content"), F.col("h")).alias("provider"), named.alias("path_or_state")).where("provider IS NOT NULL")
-
-
-def watches(corpus: DataFrame) -> DataFrame:
-    """``path, line, method, expression``; the expression is cut at 200 characters."""
-    rows = at_line(corpus, hits(F.col("content"), WATCH, receiver=1, method=2, expression=3))
-    return rows.select("path", "line", "ordinal", F.col("h.method").alias("method"), F.left(F.trim(F.col("h.expression")), F.lit(WATCH_TEXT)).alias("expression"))
-
-
-def inventory(corpus: DataFrame) -> DataFrame:
-    """``path, modules, registrations, routes, watches``: how many of each a file has."""
-    text = F.col("content")
-    found = {"modules": hits(text, MODULE), "registrations": hits(text, REGISTRATION), "routes": F.filter(hits(text, ROUTE, method=1), lambda h: provider(text, h).isNotNull()), "watches": hits(text, WATCH)}
-    return corpus.select("path", *[F.when(text.isNull(), 0).otherwise(F.size(h)).cast("long" if n in ("routes", "watches") else "int").alias(n) for n, h in found.items()])
-
-
 ARRAY_STYLE = rf"""\.\s*({"|".join(KINDS)})\s*\(\s*{STRING}\s*,\s*\[((?:\s*(?:'[^']*'|"[^"]*")\s*,)+)\s*(?:async\s+)?function\b[^(]*\(([^)]*)\)"""
 #: Receivers that are taken for a scope, and what a call of each method does.
 EVENT = r"""(?<![\w$.])(\$scope|\$rootScope|scope|rootScope)\s*\.\s*\$(emit|broadcast|on)\s*\(\s*(?:'([^'\\]*)'|"([^"\\]*)")"""
+#: Fixed value: why names and parameters cannot be bound by place.
 ARITY = "dependency array has {} names but the function declares {} parameter(s) — ambiguous binding, not safely transformable"
 
 

@@ -113,7 +113,7 @@ def emitted_paths(spark, sf_dir):
 
 
 def filter_pipes(spark, sf_dir):
-    return assemble.filters_with_pipes(facts.registrations(sql(spark, sf_dir, INJECTED)), sql(spark, sf_dir, EMITTED)).select("path", "name", "emitted_path")
+    return assemble.filters_with_pipes(calls.registrations(sql(spark, sf_dir, INJECTED)).withColumnRenamed("at", "ordinal"), sql(spark, sf_dir, EMITTED)).select("path", "name", "emitted_path")
 
 
 def component_registrations(spark, sf_dir):

@@ -12,6 +12,7 @@ from loomspark.operators import calls, facts, listing, report, rewrite, secrets,
 from loomspark.plans import assembly, markup, oracle, scripts
 from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FACT_CORPUS, FILES, LISTING, SCAN, SCOPE_CORPUS, SECRET_CORPUS, fresh_dir, read, sql
 from loomspark.sources import corpus
+from loomspark.sources.files import read_files
 from loomspark.streaming import live
 
 #: A rule that the driver's documents do hold: a token of 40 hexadecimal digits.
@@ -60,7 +61,7 @@ def modules(spark, sf_dir):
 
 
 def module_edges(spark, sf_dir):
-    return facts.module_edges(sql(spark, sf_dir, FACT_CORPUS)).groupBy("depends_on").agg(F.count("*").alias("modules"))
+    return calls.module_edges(sql(spark, sf_dir, FACT_CORPUS)).groupBy("depends_on").agg(F.count("*").alias("modules"))
 
 
 def registrations(spark, sf_dir):
@@ -77,7 +78,7 @@ def watches(spark, sf_dir):
 
 
 def inventory_counts(spark, sf_dir):
-    return facts.inventory(sql(spark, sf_dir, FACT_CORPUS))
+    return calls.inventory(sql(spark, sf_dir, FACT_CORPUS))
 
 
 def event_pairs(spark, sf_dir):
@@ -136,10 +137,11 @@ def written_report(spark, sf_dir):
 
 
 def written_texts(spark, sf_dir):
-    """Redacted texts, written by directory and read again."""
+    """Redacted texts, each written to a file of its own, and the files read again."""
     root = fresh_dir(spark, "texts")
     corpus.write_texts(secret_redacted(spark, sf_dir).select("path", F.col("redacted").alias("content")), root)
-    return spark.read.parquet(root).groupBy("directory").agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("chars"))
+    found = read_files(spark, root).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("directory"), F.col("content").cast("string").alias("content"))
+    return found.groupBy("directory").agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("chars"))
 
 
 def scanned_corpus(spark, sf_dir):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.operators import secrets
+from loomspark.operators import report, secrets
 from loomspark.sources.shared import shared_dir
 
 
@@ -46,3 +46,42 @@ def replay(spark: SparkSession, path: str, schema, transform, mode: str = "appen
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/rows")).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/rows")
+
+
+def live_outcomes(files: DataFrame, artifacts: DataFrame, root: str, seen=None) -> DataFrame:
+    """The best tier of each source or template so far, kept below ``root`` while ``artifacts`` arrive; drained, then the outcomes of ``files``.
+
+    ``artifacts`` is a stream of ``artifact_id, source_file, template_source, tier``. Batch ``n`` is merged with the
+    table of batch ``n - 1`` into one of its own, so a batch that is run again writes the same table, and the
+    best of two tiers does not depend on their order: late and repeated rows change nothing else. Older
+    tables are deleted when the next but one is there. ``seen(outcomes)``, if given, is called after each batch.
+    """
+    spark, rank = files.sparkSession, report.tier_rank(F.col("tier"))
+    table = lambda n: f"{root.rstrip('/')}/best-{n}"
+
+    def best(n: int) -> DataFrame:
+        return spark.read.schema("path string, rank int").parquet(table(n))
+
+    def outcomes(n: int) -> DataFrame:
+        told = best(n).select("path", F.get(F.lit(list(report.TIERS)), F.col("rank") - 1).alias("best"))
+        joined = files.select("path", "matched").join(told, "path", "left")
+        return joined.select("path", F.coalesce("best", F.when(F.col("matched"), "NOT_EMITTED").otherwise("NO_MATCH")).alias("outcome"))
+
+    def merge(batch: DataFrame, n: int) -> None:
+        named = F.array_distinct(F.array_compact(F.array("source_file", "template_source")))
+        new = batch.select(F.explode(named).alias("path"), rank.cast("int").alias("rank"))
+        every = new.unionByName(best(n - 1)) if n else new
+        every.groupBy("path").agg(F.min("rank").alias("rank")).write.mode("overwrite").parquet(table(n))
+        if n > 1:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(table(n - 2))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if seen is not None:
+            seen(outcomes(n))
+
+    writer = artifacts.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root.rstrip('/')}/progress").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    there = spark._jvm.org.apache.hadoop.fs.Path(table(0)).getParent()
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = [s.getPath().getName() for s in system.listStatus(there)] if system.exists(there) else []
+    last = max((int(name[5:]) for name in made if name.startswith("best-")), default=None)  # of an earlier run too
+    return outcomes(last) if last is not None else report.file_outcomes(files, spark.createDataFrame([], "artifact_id string, source_file string, template_source string, tier string"))

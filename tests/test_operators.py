@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as fx
-from loomspark.operators import facts, listing, report, secrets, templates, verify
+from loomspark.operators import calls, listing, report, secrets, templates, verify
 from loomspark.sources import corpus, shared
 from loomspark.streaming import live
 
@@ -87,12 +87,12 @@ $routeProvider.when('/home', {}).when(OTHER, {}); cases.when('no');
 $stateProvider
   .state('s', {});"""
     df = corpus_of(spark, script, None)
-    assert [(r.name, r.depends_on, r.line) for r in facts.modules(df).collect()] == [("shop", ["ngRoute", "ui"], 1)]
-    assert [(r.kind, r.name, r.line, r.dependencies) for r in facts.registrations(df).orderBy("ordinal").collect()] == [
+    assert [(r.name, r.depends_on, r.line) for r in calls.modules(df).collect()] == [("shop", ["ngRoute", "ui"], 1)]
+    assert [(r.kind, r.name, r.line, r.dependencies) for r in calls.registrations(df).orderBy("at").collect()] == [
         ("controller", "Main", 2, ["$scope", "api"]), ("filter", "trim", 3, []), ("value", "limit", 4, []), ("service", "api", 5, ["$http", "$q"]),
     ]
-    assert [(r.provider, r.path_or_state, r.line) for r in facts.routes(df).orderBy("line", "ordinal").collect()] == [("ngRoute", "/home", 6), ("ngRoute", "OTHER", 6), ("ui-router", "s", 8)]
-    assert [(r.method, r.expression, r.line) for r in facts.watches(df).collect()] == [("$watchCollection", "'items'", 2)]
+    assert [(r.provider, r.path_or_state, r.line) for r in calls.routes(df).orderBy("line", "at").collect()] == [("ngRoute", "/home", 6), ("ngRoute", "OTHER", 6), ("ui-router", "s", 8)]
+    assert [(r.method, r.expression, r.line) for r in calls.watches(df).collect()] == [("$watchCollection", "'items'", 2)]
 
 
 def test_repository_facts(spark):
