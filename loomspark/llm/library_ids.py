@@ -7,7 +7,7 @@ only segments that a worker has not met are given to the library. Texts with lon
 white space are cut by the vocabulary's own rule for such runs, and texts that hold a special
 string, where that counts as one token, are given to the library whole.
 
-Workers keep the ids of segments from task to task, up to ``MEMO`` segments; the table is
+Workers keep the ids of segments from task to task, up to ``most`` segments; the table is
 emptied when it is full, which changes no id. Ids are uint32.
 """
 
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 
 from loomspark.llm.bpe_count import byte_symbols
 
-#: Segments whose ids a worker keeps.
+#: Segments whose ids a worker keeps, unless told otherwise.
 MEMO = 1 << 20
 #: Words given to the library in one string.
 TOGETHER = 512
@@ -52,8 +52,9 @@ class Encoder:
 
     lead = False
 
-    def __init__(self):
+    def __init__(self, most: int = MEMO):
         self.memo: dict[str, bytes] = {}
+        self.most = most
 
     def segments(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -63,7 +64,7 @@ class Encoder:
 
     def entries(self, segments: list[str]) -> list[bytes]:
         """The ids of each segment as bytes."""
-        if len(self.memo) + len(segments) > MEMO:
+        if len(self.memo) + len(segments) > self.most:
             self.memo.clear()
         missing = [s for s in segments if s not in self.memo]
         self.memo.update(zip(missing, self.new_ids(missing), strict=True))
@@ -120,11 +121,11 @@ class Encoder:
 class ByteLevelIds(Encoder):
     """Ids of a byte-level vocabulary of the tokenizers library, given as the bytes of its file."""
 
-    def __init__(self, data: bytes, lead: bool = False, specials_are_text: bool = False):
+    def __init__(self, data: bytes, lead: bool = False, specials_are_text: bool = False, most: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(most)
         self.tokenizer, self.lead = Tokenizer.from_str(data.decode("utf-8")), lead
         self.tokenizer.encode_special_tokens = specials_are_text
         specials = [] if specials_are_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -169,10 +170,10 @@ class PieceIds(Encoder):
 
     lead = True
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, most: int = MEMO):
         import sentencepiece
 
-        super().__init__()
+        super().__init__(most)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def segments(self, text: str) -> list[str]:

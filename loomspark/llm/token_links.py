@@ -30,7 +30,9 @@ from loomspark.llm.library_ids import ByteLevelIds, Encoder, PieceIds, once
 from loomspark.llm.tables import stored
 
 #: Bytes of text that a block holds, unless one document has more.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
+#: Segments of each vocabulary whose ids a worker keeps.
+KEPT = 1 << 18
 PAIR_BITS = 32
 
 
@@ -43,11 +45,11 @@ class Vocabulary:
 
     @classmethod
     def byte_level(cls, data: bytes) -> Vocabulary:
-        return cls(ByteLevelIds(data, lead=True, specials_are_text=True))
+        return cls(ByteLevelIds(data, lead=True, specials_are_text=True, most=KEPT))
 
     @classmethod
     def pieces(cls, data: bytes) -> Vocabulary:
-        return cls(PieceIds(data))
+        return cls(PieceIds(data, KEPT))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the texts with a blank before each, how many each text has, and whether they give its bytes back."""
