@@ -12,6 +12,7 @@ from loomspark.functions import text as fx
 from loomspark.operators import assemble, calls, evidence, facts, report, rewrite, templates
 from loomspark.plans.tables import read, sql
 from loomspark.streaming import live
+from loomspark.streaming.allowances import Allowance, decisions
 
 #: Emitted declarations: some use a symbol only as part of another identifier, or twice.
 EMITTED = """
@@ -206,6 +207,16 @@ def request_budgets(spark, sf_dir):
     return live.requests_in_window(rows, 3, "1 hour")
 
 
+#: Two providers: one request each half hour, two at once, twenty a day; one each hour, ten a day.
+ALLOWED = (Allowance("fast", 2, 1_800_000_000, 20), Allowance("slow", 1, 3_600_000_000, 10))
+
+
+def request_decisions(spark, sf_dir):
+    """Which provider serves each event of each type, or when one could."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("pool"), F.col("event_id").alias("request_id"), "ts")
+    return decisions(rows, ALLOWED).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "retry_at")})
+
+
 def streamed_counts(spark, sf_dir):
     """The same windows as ``event_windows``, from a stream that is drained into the shared folder."""
     schema = read(spark, sf_dir, "events").schema
@@ -217,7 +228,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         artifact_classes, emitted_imports, import_symbols, emitted_paths, filter_pipes, component_registrations, injections, bound_parameters, scope_events, scope_event_buses, markup_checks, combined_inserts,
-        nesting_conflicts, pattern_notes, name_claims, spliced_texts, tier_reasons, call_inputs, characterization, canonical_values, locale_order, request_budgets, streamed_counts,
+        nesting_conflicts, pattern_notes, name_claims, spliced_texts, tier_reasons, call_inputs, characterization, canonical_values, locale_order, request_budgets, request_decisions, streamed_counts,
     )
 }
 
@@ -307,5 +318,17 @@ SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN '{"$":"Object","v":[["Z","' ||
 FROM supplier""",
     "locale_order": "SELECT s_suppkey, s_name FROM supplier",
     "request_budgets": "SELECT date_trunc('hour', ts) AS start, event_type AS provider, count(*) AS n, count(*) > 3 AS over FROM events GROUP BY 1, 2",
+    "request_decisions": """
+WITH RECURSIVE e AS (
+  SELECT event_type AS pool, event_id, ts, epoch_us(ts) AS moment, epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) AS day_end,
+         row_number() OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM events),
+w AS (
+  SELECT DISTINCT pool, day_end, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, 0::BIGINT AS moment, 3600000000::BIGINT AS l1, 3600000000::BIGINT AS l2, 0 AS u1, 0 AS u2, 0 AS served, 0::BIGINT AS retry FROM e
+  UNION ALL
+  SELECT pool, day_end, n, event_id, ts, moment, f1 - CASE served WHEN 1 THEN 1800000000 ELSE 0 END, f2 - CASE served WHEN 2 THEN 3600000000 ELSE 0 END, u1 + (served = 1)::INTEGER, u2 + (served = 2)::INTEGER, served,
+         least(day_end, CASE WHEN u1 < 20 THEN moment + 1800000000 - f1 ELSE day_end END, CASE WHEN u2 < 10 THEN moment + 3600000000 - f2 ELSE day_end END)
+  FROM (SELECT *, CASE WHEN u1 < 20 AND f1 >= 1800000000 THEN 1 WHEN u2 < 10 AND f2 >= 3600000000 THEN 2 ELSE 0 END AS served
+    FROM (SELECT e.*, w.u1, w.u2, least(3600000000, w.l1 + e.moment - w.moment) AS f1, least(3600000000, w.l2 + e.moment - w.moment) AS f2 FROM w JOIN e ON e.pool = w.pool AND e.day_end = w.day_end AND e.n = w.n + 1)))
+SELECT pool, event_id AS request_id, ts, CASE served WHEN 1 THEN 'fast' WHEN 2 THEN 'slow' END AS provider, CASE WHEN served = 0 THEN make_timestamp(retry) END AS retry_at FROM w WHERE n > 0""",
     "streamed_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -30,15 +30,16 @@ def requests_in_window(requests: DataFrame, budget: int, window: str = "1 minute
     return counts.select(F.col("window.start").alias("start"), "provider", "n", (F.col("n") > budget).alias("over"))
 
 
-def replay(spark: SparkSession, path: str, schema, transform, mode: str = "append", glob: str = "*") -> DataFrame:
+def replay(spark: SparkSession, path: str, schema, transform, mode: str = "append", glob: str = "*", per_batch: int | None = None) -> DataFrame:
     """Run ``transform`` over a Parquet folder as a stream until it is drained; the rows it put out.
 
     Rows and the stream's progress are in a folder of their own below the shared one, so a
     run that is begun again goes on where it was. In ``complete`` mode each batch replaces
-    the rows of the one before.
+    the rows of the one before. ``per_batch``: how many files a batch takes, if not all.
     """
     root = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    out = transform(spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path))
+    source = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    out = transform((source.option("maxFilesPerTrigger", per_batch) if per_batch else source).parquet(path))
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").start(f"{root}/rows")
