@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.operators import calls, reach, scopes, tokens
+from loomspark.operators import calls, constants, reach, scopes, tokens
 from loomspark.plans.tables import sql
 
 #: Scripts with what text search takes for calls: comments, strings with the other quote, patterns with quotes, templates, and shadowed names.
@@ -26,6 +26,17 @@ FROM customer"""
 #: A small graph for each order: from line number to line number.
 EDGES = "SELECT l_orderkey, l_linenumber AS a, cast(l_partkey % 7 + 1 AS int) AS b FROM lineitem"
 
+#: A script for each order: a variable for each line, whose value names others, some not there, some in a circle, some written to again; a request by each.
+VALUES = """
+SELECT concat('o', cast(l_orderkey AS string), '.js') AS path,
+       array_join(array_sort(collect_list(concat(
+         'var v', cast(l_linenumber AS string), ' = ', CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('v', cast(l_partkey % 7 + 1 AS string), ' + ') ELSE concat('v', cast(l_partkey % 7 + 1 AS string), ' + v', cast(l_suppkey % 7 + 1 AS string), ' + ') END,
+         '"/p', cast(l_partkey AS string), '"', CASE WHEN l_suppkey % 2 = 0 THEN ';' ELSE '' END, chr(10),
+         CASE WHEN l_returnflag = 'R' AND l_partkey % 2 = 0 THEN concat('v', cast(l_linenumber AS string), ' += 1;') ELSE concat('if (v', cast(l_linenumber AS string), ' == 1) {}') END, chr(10),
+         CASE WHEN l_linestatus = 'O' THEN concat('$http.get(v', cast(l_linenumber AS string), ' + ''/o'', {});')
+              ELSE concat('function f', cast(l_partkey AS string), '(v', cast(l_linenumber AS string), ') { return $http.get(v', cast(l_linenumber AS string), '); }') END))), chr(10)) AS content
+FROM lineitem GROUP BY l_orderkey"""
+
 
 def script_tokens(spark, sf_dir):
     return tokens.all_tokens(sql(spark, sf_dir, SCRIPTS)).where("kind <> 'space'").select("path", "start", "line", "kind", "text")
@@ -74,7 +85,19 @@ def reachable_lines(spark, sf_dir):
     return reach.reachable(edges, edges.select("l_orderkey", F.col("a").alias("source")), ["l_orderkey"])
 
 
-QUERIES = {f.__name__: f for f in (script_tokens, script_brackets, script_registrations, script_watches, script_routes, promise_chains, name_bindings, lifted_helpers, reachable_lines)}
+def script_values(spark, sf_dir):
+    return constants.Constants(scopes.Scopes(tokens.bracketed(tokens.tokens(sql(spark, sf_dir, VALUES)))))
+
+
+def constant_values(spark, sf_dir):
+    return constants.constants(script_values(spark, sf_dir)).select("path", "name", "value", "reason")
+
+
+def request_urls(spark, sf_dir):
+    return constants.request_urls(script_values(spark, sf_dir)).select("path", "verb", "url", "reason")
+
+
+QUERIES = {f.__name__: f for f in (script_tokens, script_brackets, script_registrations, script_watches, script_routes, promise_chains, name_bindings, lifted_helpers, reachable_lines, constant_values, request_urls)}
 
 
 def quoted(text: str) -> str:
@@ -101,6 +124,18 @@ placed AS (
               WHEN regexp_matches(text, '^[A-Za-z_$\x{{80}}-\x{{10FFFF}}]') THEN 'name' ELSE 'sign' END AS kind
   FROM cut WINDOW w AS (PARTITION BY path ORDER BY n))"""
 
+#: Values by writing out the first name that is left, until none is: what goes round in a circle is never done.
+WRITTEN_OUT = r"""
+WITH RECURSIVE defs AS (
+  SELECT l_orderkey AS k, l_linenumber AS n, count(*) AS c, bool_or(l_returnflag = 'R' AND l_partkey % 2 = 0) AS again,
+         any_value(CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{' || (l_partkey % 7 + 1) || '}' ELSE '{' || (l_partkey % 7 + 1) || '}{' || (l_suppkey % 7 + 1) || '}' END || '/p' || l_partkey) AS sum
+  FROM lineitem GROUP BY 1, 2),
+usable AS (SELECT k, n, sum FROM defs WHERE c = 1 AND NOT again),
+e AS (
+  SELECT k, n, sum AS t, 0 AS i FROM usable
+  UNION ALL SELECT e.k, e.n, regexp_replace(e.t, '\{[0-9]+\}', u.sum), i + 1 FROM e JOIN usable u ON u.k = e.k AND u.n = TRY_CAST(regexp_extract(e.t, '\{([0-9]+)\}', 1) AS INTEGER) WHERE i < 130),
+v AS (SELECT k, n, t FROM e WHERE NOT contains(t, '{'))"""
+
 PATH = "'s/c' || c_custkey || '.js'"
 SQL = {
     "script_tokens": f"WITH {CUT} SELECT path, start, line, kind, text FROM placed WHERE kind <> 'space'",
@@ -123,6 +158,10 @@ FROM customer WHERE c_custkey % 4 IN (1, 2)""",
 SELECT {PATH} AS path, v.name, v.line, v.steps FROM customer, (VALUES
   (0, 'helper0', 7, 1), (0, 'helper1', 8, 2), (0, 'helper2', 9, 3), (1, 'helper1', 8, 1), (1, 'helper2', 9, 2), (2, 'helper2', 9, 1), (2, 'helper1', 8, 2), (3, 'helper3', 10, 1)) AS v(k, name, line, steps) WHERE c_custkey % 4 = v.k
 UNION ALL SELECT {PATH}, 'shared', 2, 1 FROM customer WHERE c_custkey % 3 <> 0""",
+    "constant_values": f"""{WRITTEN_OUT}
+SELECT 'o' || k || '.js' AS path, 'v' || n AS name, t AS value, CASE WHEN c > 1 THEN '{constants.MANY}' WHEN again THEN '{constants.WRITTEN}' WHEN t IS NULL THEN '{constants.NO_VALUE}' END AS reason FROM defs LEFT JOIN v USING (k, n)""",
+    "request_urls": f"""{WRITTEN_OUT}
+SELECT 'o' || l_orderkey || '.js' AS path, 'get' AS verb, t || '/o' AS url, CASE WHEN t IS NULL THEN '{constants.NO_VALUE}' END AS reason FROM lineitem LEFT JOIN v ON k = l_orderkey AND n = l_linenumber AND l_linestatus = 'O'""",
     "reachable_lines": f"""
 WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({EDGES})),
 r AS (SELECT l_orderkey, a AS source, b AS node, 1 AS steps FROM e UNION SELECT r.l_orderkey, r.source, e.b, r.steps + 1 FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.a = r.node WHERE r.steps < 8)
