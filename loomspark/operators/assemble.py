@@ -9,9 +9,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.operators.rewrite import in_order
+from loomspark.sources.shared import written
 
 #: Where the symbols come from, in the order in which they are imported.
 IMPORT_SOURCES = {
@@ -108,13 +110,23 @@ def combined_inserts(edits: DataFrame) -> DataFrame:
 def nesting_conflicts(items: DataFrame) -> DataFrame:
     """``path, item`` of which a deleted range strictly holds another item's protected place.
 
-    ``items``: ``path, item, ranges`` (``start``, ``stop``), ``places``. Files are joined to
-    themselves by path, so a file is compared within itself alone.
+    ``items``: ``path, item, ranges`` (``start``, ``stop``), ``places``; rows without path or item are left out.
+    Ranges' ends and places are swept in order. A range holds as many places as have passed at
+    its stop less those at its start; if that is more than of its own item, one is another's. No
+    range meets a place, so the work is that of sorting a file's rows.
     """
-    ranges = items.select("path", "item", F.explode("ranges").alias("r")).select("path", "item", "r.start", "r.stop")
-    places = items.select("path", F.col("item").alias("other"), F.explode("places").alias("place"))
-    inside = (F.col("item") != F.col("other")) & (F.col("place") > F.col("start")) & (F.col("place") < F.col("stop"))
-    return ranges.join(places, "path").where(inside).select("path", "item").distinct()
+    known = items.where("path IS NOT NULL AND item IS NOT NULL")
+    ranges = known.select("path", "item", F.explode("ranges").alias("r")).where("r.start < r.stop")
+    passed = lambda at, order, sign: F.struct(at.cast("long").alias("at"), F.lit(order).alias("order"), F.lit(sign).alias("sign"))
+    # at one place a range that stops comes first and one that starts last, so that neither holds it
+    ends = ranges.select("path", "item", "r.start", "r.stop", F.explode(F.array(passed(F.col("r.stop"), 0, 1), passed(F.col("r.start"), 2, -1))).alias("e"))
+    none = F.lit(None).cast("long")
+    places = known.select("path", "item", none.alias("start"), none.alias("stop"), F.explode("places").alias("p")).where("p IS NOT NULL")
+    rows = ends.union(places.select("path", "item", "start", "stop", passed(F.col("p"), 1, 0)))
+    is_place = (F.col("e.sign") == 0).cast("long")
+    so_far = lambda *keys: F.sum(is_place).over(W.partitionBy(*keys).orderBy("e.at", "e.order").rowsBetween(W.unboundedPreceding, 0))
+    others = rows.withColumn("others", (so_far("path") - so_far("path", "item")) * F.col("e.sign")).where("e.sign <> 0")
+    return others.groupBy("path", "item", "start", "stop").agg(F.sum("others").alias("others")).where("others > 0").select("path", "item").distinct()
 
 
 def two_phase_claims(claims: DataFrame) -> DataFrame:
@@ -142,3 +154,18 @@ def two_phase_claims(claims: DataFrame) -> DataFrame:
 def in_locale_order(rows: DataFrame, column: str, locale: str = "UNICODE") -> DataFrame:
     """``rows`` sorted by a text as people order it, case and accents last; a range-partitioned sort."""
     return rows.orderBy(F.collate(F.col(column), locale), column)
+
+
+def with_place(rows: DataFrame, column: str, ties: tuple[str, ...] = (), locale: str = "UNICODE") -> DataFrame:
+    """``rows`` with ``place``, their number from 0 in the locale's order of a text; equal texts in the order of ``ties``, nulls first.
+
+    Partitions hold ranges of the order. A row's place is that within its partition and the rows
+    of the partitions before, whose counts alone are summed in one task.
+    """
+    order = (F.collate(F.col(column), locale), F.col(column), *map(F.col, ties))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    numbered = written(ranged.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_part": part, "_inside": inside}), "ranged")
+    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return numbered.join(F.broadcast(before), "_part").select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_inside")).alias("place"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as fx
 from loomspark.operators import assemble, calls, evidence, facts, report, rewrite, templates
-from loomspark.plans.tables import read, sql
+from loomspark.plans import oracle
+from loomspark.plans.tables import FACT_CORPUS, SCOPE_CORPUS, SECRET_CORPUS, fresh_dir, read, sql
+from loomspark.plans.whole_run import whole_run
 from loomspark.streaming import live
 from loomspark.streaming.allowances import Allowance, decisions
 
@@ -198,8 +200,27 @@ def canonical_values(spark, sf_dir):
     return rows.select("s_suppkey", evidence.canonical(F.col("kind"), F.col("value")).alias("c")).select("s_suppkey", "c.key", "c.reason")
 
 
+#: Names that people and computers sort otherwise: accents and capitals count after all letters and digits.
+WORDS = """
+SELECT s_suppkey, concat(CASE s_suppkey % 7 WHEN 0 THEN 'ecole' WHEN 1 THEN 'École' WHEN 2 THEN 'école' WHEN 3 THEN 'Ecole' WHEN 4 THEN 'zebra' WHEN 5 THEN 'Äpfel' ELSE 'apfel' END, cast(s_nationkey AS string)) AS name
+FROM supplier"""
+
+
 def locale_order(spark, sf_dir):
-    return assemble.in_locale_order(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name")
+    return assemble.with_place(sql(spark, sf_dir, WORDS), "name", ("s_suppkey",))
+
+
+#: What has been emitted for the controllers and services of scripts, as the customers' orders have it.
+EVIDENCE = """
+SELECT concat('app/c', cast(o_custkey AS string), '.js') AS path, concat('C', cast(o_custkey AS string)) AS name, max(o_orderstatus) <> 'P' AS compiled, count(*) % 3 > 0 AS tests,
+       CASE min(o_orderkey) % 4 WHEN 1 THEN 'ineligible' WHEN 2 THEN 'mismatch' WHEN 3 THEN 'matched' END AS characterization FROM orders GROUP BY o_custkey
+UNION ALL SELECT concat('app/c', cast(o_custkey AS string), '.js'), concat('S', cast(o_custkey AS string)), true, max(o_orderkey) % 2 = 0, CAST(NULL AS string) FROM orders GROUP BY o_custkey HAVING count(*) > 8"""
+
+
+def whole_run_report(spark, sf_dir):
+    """From scripts, templates and evidence to a report of every file, all stages stored."""
+    files = sql(spark, sf_dir, FACT_CORPUS).unionByName(sql(spark, sf_dir, SCOPE_CORPUS)).unionByName(sql(spark, sf_dir, SECRET_CORPUS))
+    return whole_run(files, sql(spark, sf_dir, EVIDENCE), fresh_dir(spark, "run"))
 
 
 def request_budgets(spark, sf_dir):
@@ -228,7 +249,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         artifact_classes, emitted_imports, import_symbols, emitted_paths, filter_pipes, component_registrations, injections, bound_parameters, scope_events, scope_event_buses, markup_checks, combined_inserts,
-        nesting_conflicts, pattern_notes, name_claims, spliced_texts, tier_reasons, call_inputs, characterization, canonical_values, locale_order, request_budgets, request_decisions, streamed_counts,
+        nesting_conflicts, pattern_notes, name_claims, spliced_texts, tier_reasons, call_inputs, characterization, canonical_values, locale_order, whole_run_report, request_budgets, request_decisions, streamed_counts,
     )
 }
 
@@ -316,8 +337,18 @@ SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN '{"$":"Object","v":[["Z","' ||
     WHEN 5 THEN '{"$":"bigint","v":"' || s_suppkey || '"}' WHEN 6 THEN '{"$":"Map","v":[["b",1],["a",2]]}' WHEN 7 THEN '[1,2,"x"]' END AS key,
   CASE WHEN s_suppkey % 8 = 4 THEN 'a function' END AS reason
 FROM supplier""",
-    "locale_order": "SELECT s_suppkey, s_name FROM supplier",
+    "locale_order": f"""
+SELECT s_suppkey, name, row_number() OVER (ORDER BY lower(strip_accents(name)), strip_accents(name) <> name, lower(name) <> name, s_suppkey) - 1 AS place FROM ({WORDS})""",
     "request_budgets": "SELECT date_trunc('hour', ts) AS start, event_type AS provider, count(*) AS n, count(*) > 3 AS over FROM events GROUP BY 1, 2",
+    "whole_run_report": f"""
+WITH {oracle.SPANS}, ev AS ({EVIDENCE}),
+best AS (SELECT path, min(CASE {oracle.TIER} WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END) AS rank FROM ev GROUP BY path),
+leaks AS (SELECT path, count(*) AS n FROM found GROUP BY path),
+scoped AS (SELECT path, s_suppkey AS k FROM ({SCOPE_CORPUS}) JOIN supplier ON regexp_extract(path, '/f([0-9]+)', 1) = s_suppkey::VARCHAR WHERE s_suppkey % 9 > 1 AND s_suppkey % 5 NOT IN (1, 2)),
+kinds AS (SELECT path, CASE WHEN k % 5 = 0 THEN CASE WHEN k % 4 = 0 THEN 'template' ELSE 'out' END WHEN k % 4 = 1 THEN 'vendored' WHEN k % 4 = 2 THEN 'script' ELSE 'out' END AS kind FROM scoped)
+SELECT {PATH} AS path, 'script' AS kind, 2::BIGINT AS registrations, 0::BIGINT AS secrets, coalesce(['MEDIUM', 'LOW', 'REJECTED'][rank], 'NOT_EMITTED') AS outcome FROM customer LEFT JOIN best ON best.path = {PATH}
+UNION ALL SELECT path, kind, 0, 0, CASE WHEN kind IN ('script', 'template') THEN 'NO_MATCH' END FROM kinds
+UNION ALL SELECT corpus.path, 'out', 0, coalesce(n, 0), NULL FROM corpus LEFT JOIN leaks ON leaks.path = corpus.path""",
     "request_decisions": """
 WITH RECURSIVE e AS (
   SELECT event_type AS pool, event_id, ts, epoch_us(ts) AS moment, epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) AS day_end,

@@ -109,6 +109,28 @@ def test_people_sort_by_letters(spark):
     assert [r.n for r in assemble.in_locale_order(frame, "n").collect()] == ["a", "A", "á", "b", "B", "z", "Z"]
 
 
+def test_places_in_the_locales_order_over_many_partitions(spark):
+    words = ["b", "A", "á", "B", "a", "z", "Z", "a", None, ""]
+    frame = spark.createDataFrame([(w, k) for k, w in enumerate(words * 20)], "n string, k int").repartition(7)
+    got = assemble.with_place(frame, "n", ("k",)).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(200))
+    order = [None, "", "a", "A", "á", "b", "B", "z", "Z"]
+    assert [(r.n, r.k) for r in got] == sorted(((w, k) for k, w in enumerate(words * 20)), key=lambda r: (order.index(r[0]), r[1]))
+    assert assemble.with_place(frame.limit(0), "n").count() == 0
+
+
+def test_conflicts_equal_all_pairs(spark):
+    rng = random.Random(2)
+    rows = []
+    for p in range(60):
+        for item in range(rng.randint(1, 5)):
+            ranges = [(a, a + rng.randint(-1, 4)) for a in (rng.randint(0, 12) for _ in range(rng.randint(0, 3)))]
+            rows.append((f"f{p}", item, ranges + ranges[:1], [rng.randint(0, 14) for _ in range(rng.randint(0, 3))] + [None]))
+    want = {(p, i) for p, i, ranges, _ in rows for q, j, _, places in rows for a, b in ranges for x in places if p == q and i != j and x is not None and a < x < b}
+    frame = spark.createDataFrame([*rows, (None, 1, [(0, 9)], [5]), ("f0", None, None, None)], "path string, item int, ranges array<struct<start:int,stop:int>>, places array<int>")
+    assert {(r.path, r.item) for r in assemble.nesting_conflicts(frame).collect()} == want and 10 < len(want) < len(rows)
+
+
 def test_inserts_at_one_place_meet_in_order(spark):
     rows = [("f", 5, 5, 2, "b"), ("f", 5, 5, 1, "a"), ("f", 5, 5, 3, ""), ("f", 5, 7, 4, "c"), ("g", 5, 5, 1, "x"), ("f", 6, 6, 1, "d")]
     got = assemble.combined_inserts(spark.createDataFrame(rows, "path string, start int, stop int, ordinal int, replacement string")).collect()
