@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.operators import calls, constants, reach, scopes, tokens
+from loomspark.operators import calls, constants, fields, reach, scopes, tokens
 from loomspark.plans.tables import sql
 
 #: Scripts with what text search takes for calls: comments, strings with the other quote, patterns with quotes, templates, and shadowed names.
@@ -37,6 +37,15 @@ SELECT concat('o', cast(l_orderkey AS string), '.js') AS path,
               ELSE concat('function f', cast(l_partkey AS string), '(v', cast(l_linenumber AS string), ') { return $http.get(v', cast(l_linenumber AS string), '); }') END))), chr(10)) AS content
 FROM lineitem GROUP BY l_orderkey"""
 
+#: A controller for each order, that assigns a field for each line: by itself, by a variable that stands for it, in an arrow, or not at all.
+ASSIGNED = """
+SELECT concat('k', cast(l_orderkey AS string), '.js') AS path,
+       concat('m.controller("C', cast(l_orderkey AS string), '", function ($scope) {', chr(10), CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'var $scopeless, vm = this' END, chr(10),
+         array_join(array_sort(collect_list(concat(
+           CASE l_partkey % 6 WHEN 0 THEN 'this.f' WHEN 1 THEN 'vm.f' WHEN 2 THEN 'g(function () { this.f' WHEN 3 THEN 'g(() => { vm.h = 2; this.f' WHEN 4 THEN 'g(function (vm) { vm.f' ELSE 'if (vm.f' END, cast(l_linenumber AS string),
+           CASE l_partkey % 6 WHEN 0 THEN ' = 1' WHEN 1 THEN ' = { a: 1 }' WHEN 5 THEN ' == 1) { this.no.f = vm.no }' ELSE ' = 1; });' END))), chr(10)), chr(10), '});') AS content
+FROM lineitem GROUP BY l_orderkey"""
+
 
 def script_tokens(spark, sf_dir):
     return tokens.all_tokens(sql(spark, sf_dir, SCRIPTS)).where("kind <> 'space'").select("path", "start", "line", "kind", "text")
@@ -97,7 +106,13 @@ def request_urls(spark, sf_dir):
     return constants.request_urls(script_values(spark, sf_dir)).select("path", "verb", "url", "reason")
 
 
-QUERIES = {f.__name__: f for f in (script_tokens, script_brackets, script_registrations, script_watches, script_routes, promise_chains, name_bindings, lifted_helpers, reachable_lines, constant_values, request_urls)}
+def assigned_fields(spark, sf_dir):
+    """The fields of each function that assigns some."""
+    found = fields.assigned_fields(scopes.Scopes(tokens.bracketed(tokens.tokens(sql(spark, sf_dir, ASSIGNED)))))
+    return found.groupBy("path", "start").agg(F.array_join(F.sort_array(F.collect_list("field")), ",").alias("fields")).select("path", "fields")
+
+
+QUERIES = {f.__name__: f for f in (script_tokens, script_brackets, script_registrations, script_watches, script_routes, promise_chains, name_bindings, lifted_helpers, reachable_lines, constant_values, request_urls, assigned_fields)}
 
 
 def quoted(text: str) -> str:
@@ -162,6 +177,10 @@ UNION ALL SELECT {PATH}, 'shared', 2, 1 FROM customer WHERE c_custkey % 3 <> 0""
 SELECT 'o' || k || '.js' AS path, 'v' || n AS name, t AS value, CASE WHEN c > 1 THEN '{constants.MANY}' WHEN again THEN '{constants.WRITTEN}' WHEN t IS NULL THEN '{constants.NO_VALUE}' END AS reason FROM defs LEFT JOIN v USING (k, n)""",
     "request_urls": f"""{WRITTEN_OUT}
 SELECT 'o' || l_orderkey || '.js' AS path, 'get' AS verb, t || '/o' AS url, CASE WHEN t IS NULL THEN '{constants.NO_VALUE}' END AS reason FROM lineitem LEFT JOIN v ON k = l_orderkey AND n = l_linenumber AND l_linestatus = 'O'""",
+    "assigned_fields": """
+WITH a AS (SELECT l_orderkey AS k, l_partkey % 6 AS form, 'f' || l_linenumber AS field FROM lineitem),
+own AS (SELECT k, field FROM a WHERE form IN (0, 3) UNION SELECT k, field FROM a WHERE form = 1 AND k % 5 <> 0 UNION SELECT k, 'h' FROM a WHERE form = 3 AND k % 5 <> 0)
+SELECT 'k' || k || '.js' AS path, string_agg(field, ',' ORDER BY field) AS fields FROM own GROUP BY k UNION ALL SELECT 'k' || k || '.js', field FROM a WHERE form = 2""",
     "reachable_lines": f"""
 WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({EDGES})),
 r AS (SELECT l_orderkey, a AS source, b AS node, 1 AS steps FROM e UNION SELECT r.l_orderkey, r.source, e.b, r.steps + 1 FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.a = r.node WHERE r.steps < 8)
