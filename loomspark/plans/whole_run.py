@@ -44,9 +44,9 @@ class Stages:
         return self.spark.read.parquet(table)
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """``n, digest`` of the rows in any order: their number and the sum of their hashes."""
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("digest"))
+def digest(rows: DataFrame, name: str) -> DataFrame:
+    """``name, n, digest`` of the rows in any order: their number and the sum of their hashes."""
+    return rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("digest"))
 
 
 def whole_run(files: DataFrame, evidence: DataFrame, root: str, after: Callable[[str], None] | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def whole_run(files: DataFrame, evidence: DataFrame, root: str, after: Callable[
     A path given twice is one file, with the greatest content.
     """
     run = Stages(files.sparkSession, root, after)
-    over = digest(files.select("path", "content")).crossJoin(digest(evidence).toDF("evidence_n", "evidence_digest"))  # one row each
+    over = digest(files.select("path", "content"), "files").union(digest(evidence, "evidence"))
     kept = run.stage("inputs", lambda: over)
     if kept.exceptAll(over).count():
         raise ValueError(f"{root} holds a run over other inputs")
