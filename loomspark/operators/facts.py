@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.matching import hits
-from loomspark.functions.text import line_of
 
 #: The kinds of registrations and of watchers, and how much of an expression is kept.
 KINDS = ("controller", "directive", "component", "service", "factory", "provider", "value", "constant", "filter", "decorator", "animation")
@@ -19,6 +18,8 @@ WATCHES = ("$watch", "$watchCollection", "$watchGroup")
 WATCH_TEXT = 200
 
 STRING = r"""['"]([^'"]*)['"]"""
+
+
 def strings_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(STRING), F.lit(1))
 
@@ -27,13 +28,6 @@ def names_of(parameters: Column) -> Column:
     return F.filter(F.transform(F.split(parameters, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
-def at_line(corpus: DataFrame, found: Column) -> DataFrame:
-    """One row a hit ``h``, with its ``line`` and its place ``ordinal`` in the file."""
-    rows = corpus.select("path", "content", F.posexplode(found).alias("ordinal", "h"))
-    skipped = F.length(F.regexp_extract(F.substr(F.col("content"), F.col("h.start") + 1), r"^[.\s]*", 0))
-    return rows.withColumn("line", line_of(F.col("content"), F.col("h.start") + skipped))
-
-
 ARRAY_STYLE = rf"""\.\s*({"|".join(KINDS)})\s*\(\s*{STRING}\s*,\s*\[((?:\s*(?:'[^']*'|"[^"]*")\s*,)+)\s*(?:async\s+)?function\b[^(]*\(([^)]*)\)"""
 #: Receivers that are taken for a scope, and what a call of each method does.
 EVENT = r"""(?<![\w$.])(\$scope|\$rootScope|scope|rootScope)\s*\.\s*\$(emit|broadcast|on)\s*\(\s*(?:'([^'\\]*)'|"([^"\\]*)")"""
@@ -46,8 +40,8 @@ def array_injections(corpus: DataFrame) -> DataFrame:
 
     Names are bound to parameters by place; ``reason`` says why that is not possible.
     """
-    rows = at_line(corpus, hits(F.col("content"), ARRAY_STYLE, kind=1, name=2, listed=3, parameters=4))
-    found = rows.select("path", "ordinal", "line", F.col("h.kind").alias("kind"), F.col("h.name").alias("name"), strings_of(F.col("h.listed")).alias("dependencies"), names_of(F.col("h.parameters")).alias("parameters"))
+    rows = corpus.select("path", F.posexplode(hits(F.col("content"), ARRAY_STYLE, r"[.\s]*", kind=1, name=2, listed=3, parameters=4)).alias("ordinal", "h"))
+    found = rows.select("path", "ordinal", F.col("h.line").alias("line"), F.col("h.kind").alias("kind"), F.col("h.name").alias("name"), strings_of(F.col("h.listed")).alias("dependencies"), names_of(F.col("h.parameters")).alias("parameters"))
     n, m = F.size("dependencies"), F.size("parameters")
     before, between, after = ARITY.split("{}")
     reason = F.concat(F.lit(before), n.cast("string"), F.lit(between), m.cast("string"), F.lit(after))
@@ -62,10 +56,10 @@ def bound_parameters(injections: DataFrame) -> DataFrame:
 
 def event_usages(corpus: DataFrame) -> DataFrame:
     """``path, ordinal, start, line, receiver, event, kind`` (emit or on) of event calls of a scope with a literal name."""
-    rows = corpus.select("path", "content", F.posexplode(hits(F.col("content"), EVENT, receiver=1, method=2, single=3, double=4)).alias("ordinal", "h"))
+    rows = corpus.select("path", F.posexplode(hits(F.col("content"), EVENT, "", receiver=1, method=2, single=3, double=4)).alias("ordinal", "h"))
     event = F.concat(F.coalesce("h.single", F.lit("")), F.coalesce("h.double", F.lit("")))
     kind = F.when(F.col("h.method") == "on", "on").otherwise("emit")
-    return rows.select("path", "ordinal", F.col("h.start").alias("start"), line_of(F.col("content"), F.col("h.start")).alias("line"), F.col("h.receiver").alias("receiver"), event.alias("event"), kind.alias("kind"))
+    return rows.select("path", "ordinal", F.col("h.start").alias("start"), F.col("h.line").alias("line"), F.col("h.receiver").alias("receiver"), event.alias("event"), kind.alias("kind"))
 
 
 def paired_events(usages: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions.matching import hits
-from loomspark.functions.text import camel_words, line_of, pascal_case, route_component, router_path, routes_constant, single_quoted
+from loomspark.functions.text import camel_words, pascal_case, route_component, router_path, routes_constant, single_quoted
 
 #: Verbs with and without a body, services and members that make a function impure.
 BODY_VERBS, PLAIN_VERBS = ("post", "put", "patch"), ("get", "delete", "head")
@@ -103,11 +103,11 @@ def input_classes(corpus: DataFrame) -> DataFrame:
 
 def http_calls(corpus: DataFrame) -> DataFrame:
     """``path, line, verb, url, has_body, reason``: calls of the HTTP service; a url that is no literal is a reason to skip."""
-    rows = corpus.select("path", "content", F.explode(hits(F.col("content"), HTTP, verb=1, single=2, double=3, raw=4)).alias("h"))
+    rows = corpus.select("path", F.explode(hits(F.col("content"), HTTP, "", verb=1, single=2, double=3, raw=4)).alias("h"))
     text = lambda c: F.coalesce(F.col(f"h.{c}"), F.lit(""))
     url = F.nullif(F.concat(text("single"), text("double")), F.lit(""))
     reason = F.when(F.col("h.verb") == "jsonp", "jsonp").when(url.isNull(), "the url is not a literal")
-    return rows.select("path", line_of(F.col("content"), F.col("h.start")).alias("line"), F.col("h.verb").alias("verb"), url.alias("url"), F.col("h.verb").isin(list(BODY_VERBS)).alias("has_body"), reason.alias("reason"))
+    return rows.select("path", F.col("h.line").alias("line"), F.col("h.verb").alias("verb"), url.alias("url"), F.col("h.verb").isin(list(BODY_VERBS)).alias("has_body"), reason.alias("reason"))
 
 
 def literal_calls(corpus: DataFrame) -> DataFrame:

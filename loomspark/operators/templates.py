@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.matching import hits
-from loomspark.functions.text import line_of
 
 TAG = r"<([a-zA-Z][a-zA-Z0-9-]*)((?:\s+[^<>]*)?)/?>"
 ATTRIBUTE = r"""\s([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*"([^"]*)\""""
@@ -23,9 +22,8 @@ def tag_counts(pages: DataFrame, text: str = "html") -> DataFrame:
 
 def attributes(pages: DataFrame, key: str, text: str = "html") -> DataFrame:
     """``<key>, name, value, line``: every double-quoted attribute; a blank value is null."""
-    rows = pages.select(key, F.col(text).alias("_text"), F.explode(hits(F.col(text), ATTRIBUTE, name=1, value=2)).alias("h"))
-    line = line_of(F.col("_text"), F.col("h.start"))
-    return rows.select(key, F.lower("h.name").alias("name"), F.nullif(F.trim(F.col("h.value")), F.lit("")).alias("value"), line.alias("line"))
+    rows = pages.select(key, F.explode(hits(F.col(text), ATTRIBUTE, "", name=1, value=2)).alias("h"))
+    return rows.select(key, F.lower("h.name").alias("name"), F.nullif(F.trim(F.col("h.value")), F.lit("")).alias("value"), F.col("h.line").alias("line"))
 
 
 #: Fixed value: why a file with an attribute twice in an element is left as it is.
