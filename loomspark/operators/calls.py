@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.operators.facts import KINDS, WATCH_TEXT, WATCHES
+from loomspark.operators.facts import ARITY, KINDS, WATCH_TEXT, WATCHES
 from loomspark.operators.tokens import bracketed, files_of, literal, tokens
 from loomspark.sources.shared import written
 
@@ -196,6 +196,43 @@ def watches(corpus: DataFrame | Script) -> DataFrame:
     return found.select("path", "at", F.col("root_line").alias("line"), "method", F.left("first", F.lit(WATCH_TEXT)).alias("expression"))
 
 
+def array_injections(corpus: DataFrame | Script) -> DataFrame:
+    """``path, ordinal, line, kind, name, dependencies, parameters, reason`` of registrations by a list of names that ends in a function.
+
+    Names are bound to parameters by place; ``reason`` says why that is not possible. A list with
+    anything but strings before its function, or with none, is no such registration.
+    """
+    script = Script.of(corpus)
+    calls = script.with_arguments(script.calls.where(F.col("method").isin(*KINDS))).where(named_by_string(F.col("inside")))
+    lists = script.brackets.select(F.col("file").alias("_f"), F.col("open").alias("_o"), F.col("inside").alias("_list"))
+    second = F.get("inside", F.lit(2))
+    calls = calls.withColumn("_second", F.when(second["text"] == "[", second["place"])).join(lists, (F.col("file") == F.col("_f")) & (F.col("_second") == F.col("_o")))
+    commas = F.filter(F.sequence(F.lit(0), F.size("_list") - 1), lambda k: (F.get("_list", k)["text"] == ",") & (k < F.size("_list") - 1))
+    calls = calls.withColumns({"_names": F.size(commas), "_value": F.array_max(commas) + 1}).where("_names > 0")
+    names = string_elements(F.slice("_list", F.lit(1), F.col("_value")))
+    defined = calls.withColumns({"_strings": names, "definition": definition(F.col("_list"), F.col("_value"))}).where("size(_strings) = _names AND definition.list IS NULL AND (definition.parameters IS NOT NULL OR definition.single IS NOT NULL)")
+    found = asked_for(defined, script.brackets)
+    n, m = F.size("_strings"), F.size("dependencies")
+    before, between, after = ARITY.split("{}")
+    reason = F.when(n != m, F.concat(F.lit(before), n.cast("string"), F.lit(between), m.cast("string"), F.lit(after)))
+    ordinal = (F.row_number().over(W.partitionBy("file").orderBy("at")) - 1).cast("int")
+    return found.select("path", ordinal.alias("ordinal"), "line", F.col("method").alias("kind"), name_of(F.col("inside")).alias("name"), F.col("_strings").alias("dependencies"), F.col("dependencies").alias("parameters"), reason.alias("reason"))
+
+
+#: Receivers that are taken for a scope, and methods that send an event.
+SCOPES, SENDING = ("$scope", "$rootScope", "scope", "rootScope"), ("$emit", "$broadcast")
+
+
+def event_usages(corpus: DataFrame | Script) -> DataFrame:
+    """``path, ordinal, start, line, receiver, event, kind`` (emit or on) of event calls of a scope itself, named by a string alone."""
+    script = Script.of(corpus)
+    own = F.col("root").isin(*SCOPES) & (F.col("at") == F.col("chain") + 2)
+    calls = script.with_arguments(script.calls.where(F.col("method").isin(*SENDING, "$on") & own)).where(named_by_string(F.col("inside")))
+    ordinal = (F.row_number().over(W.partitionBy("file").orderBy("at")) - 1).cast("int")
+    kind = F.when(F.col("method") == "$on", "on").otherwise("emit")
+    return calls.select("path", ordinal.alias("ordinal"), F.col("receiver_start").alias("start"), F.col("root_line").alias("line"), F.col("root").alias("receiver"), name_of(F.col("inside")).alias("event"), kind.alias("kind"))
+
+
 def module_edges(corpus: DataFrame | Script) -> DataFrame:
     return modules(corpus).select("path", F.col("name").alias("module"), F.explode("depends_on").alias("depends_on"))
 

@@ -1,67 +1,25 @@
-"""Array-style registrations and events of scripts, with line numbers.
-
-These are recognised in the text by their call shapes, in built-in functions, so they stay in
-the scan's own stage; a string or comment that looks like such a call counts as one. Modules,
-registrations, routes and watchers come from tokens (``calls``). Null contents have none.
-"""
+"""What follows from facts of scripts: parameters bound by place, events paired in a file. The facts come from tokens (``calls``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.matching import hits
-
 #: The kinds of registrations and of watchers, and how much of an expression is kept.
 KINDS = ("controller", "directive", "component", "service", "factory", "provider", "value", "constant", "filter", "decorator", "animation")
 WATCHES = ("$watch", "$watchCollection", "$watchGroup")
 WATCH_TEXT = 200
 
-STRING = r"""['"]([^'"]*)['"]"""
-
-
-def strings_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(STRING), F.lit(1))
-
-
-def names_of(parameters: Column) -> Column:
-    return F.filter(F.transform(F.split(parameters, ","), lambda p: F.trim(p)), lambda p: p != "")
-
-
-ARRAY_STYLE = rf"""\.\s*({"|".join(KINDS)})\s*\(\s*{STRING}\s*,\s*\[((?:\s*(?:'[^']*'|"[^"]*")\s*,)+)\s*(?:async\s+)?function\b[^(]*\(([^)]*)\)"""
-#: Receivers that are taken for a scope, and what a call of each method does.
-EVENT = r"""(?<![\w$.])(\$scope|\$rootScope|scope|rootScope)\s*\.\s*\$(emit|broadcast|on)\s*\(\s*(?:'([^'\\]*)'|"([^"\\]*)")"""
 #: Fixed value: why names and parameters cannot be bound by place.
 ARITY = "dependency array has {} names but the function declares {} parameter(s) — ambiguous binding, not safely transformable"
 
 
-def array_injections(corpus: DataFrame) -> DataFrame:
-    """``path, ordinal, line, kind, name, dependencies, parameters, reason`` of array-style registrations.
-
-    Names are bound to parameters by place; ``reason`` says why that is not possible.
-    """
-    rows = corpus.select("path", F.posexplode(hits(F.col("content"), ARRAY_STYLE, r"[.\s]*", kind=1, name=2, listed=3, parameters=4)).alias("ordinal", "h"))
-    found = rows.select("path", "ordinal", F.col("h.line").alias("line"), F.col("h.kind").alias("kind"), F.col("h.name").alias("name"), strings_of(F.col("h.listed")).alias("dependencies"), names_of(F.col("h.parameters")).alias("parameters"))
-    n, m = F.size("dependencies"), F.size("parameters")
-    before, between, after = ARITY.split("{}")
-    reason = F.concat(F.lit(before), n.cast("string"), F.lit(between), m.cast("string"), F.lit(after))
-    return found.withColumn("reason", F.when(n != m, reason))
-
-
 def bound_parameters(injections: DataFrame) -> DataFrame:
     """``path, name, place, dependency, parameter`` of registrations without a ``reason`` against it."""
     pairs = F.arrays_zip(F.col("dependencies").alias("dependency"), F.col("parameters").alias("parameter"))
     return injections.where("reason IS NULL").select("path", "name", F.posexplode(pairs).alias("place", "p")).select("path", "name", "place", "p.dependency", "p.parameter")
 
 
-def event_usages(corpus: DataFrame) -> DataFrame:
-    """``path, ordinal, start, line, receiver, event, kind`` (emit or on) of event calls of a scope with a literal name."""
-    rows = corpus.select("path", F.posexplode(hits(F.col("content"), EVENT, "", receiver=1, method=2, single=3, double=4)).alias("ordinal", "h"))
-    event = F.concat(F.coalesce("h.single", F.lit("")), F.coalesce("h.double", F.lit("")))
-    kind = F.when(F.col("h.method") == "on", "on").otherwise("emit")
-    return rows.select("path", "ordinal", F.col("h.start").alias("start"), F.col("h.line").alias("line"), F.col("h.receiver").alias("receiver"), event.alias("event"), kind.alias("kind"))
-
-
 def paired_events(usages: DataFrame) -> DataFrame:
     """``path, event, first_at`` of events that a file both emits and receives (``kind`` emit or on)."""
     both = usages.groupBy("path", "event").agg(F.bool_or(F.col("kind") == "emit").alias("sent"), F.bool_or(F.col("kind") == "on").alias("got"), F.min("ordinal").alias("first_at"))

@@ -125,19 +125,19 @@ def component_registrations(spark, sf_dir):
 
 
 def injections(spark, sf_dir):
-    return facts.array_injections(sql(spark, sf_dir, INJECTED)).select("path", "name", F.size("dependencies").alias("n_names"), F.size("parameters").alias("n_parameters"), "reason")
+    return calls.array_injections(sql(spark, sf_dir, INJECTED)).select("path", "name", F.size("dependencies").alias("n_names"), F.size("parameters").alias("n_parameters"), "reason")
 
 
 def bound_parameters(spark, sf_dir):
-    return facts.bound_parameters(facts.array_injections(sql(spark, sf_dir, INJECTED))).groupBy("dependency", "parameter").agg(F.count("*").alias("n"))
+    return facts.bound_parameters(calls.array_injections(sql(spark, sf_dir, INJECTED))).groupBy("dependency", "parameter").agg(F.count("*").alias("n"))
 
 
 def scope_events(spark, sf_dir):
-    return facts.event_usages(sql(spark, sf_dir, INJECTED)).select("path", "line", "receiver", "event", "kind")
+    return calls.event_usages(sql(spark, sf_dir, INJECTED)).select("path", "line", "receiver", "event", "kind")
 
 
 def scope_event_buses(spark, sf_dir):
-    return rewrite.event_buses(facts.paired_events(facts.event_usages(sql(spark, sf_dir, INJECTED)).select("path", "event", "kind", F.col("start").alias("ordinal"))))
+    return rewrite.event_buses(facts.paired_events(calls.event_usages(sql(spark, sf_dir, INJECTED)).select("path", "event", "kind", F.col("start").alias("ordinal"))))
 
 
 def markup_checks(spark, sf_dir):

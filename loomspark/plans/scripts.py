@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.operators import calls, constants, fields, reach, scopes, tokens
+from loomspark.operators import calls, constants, declared, fields, reach, scopes, tokens
 from loomspark.plans.tables import sql
 
 #: Scripts with what text search takes for calls: comments, strings with the other quote, patterns with quotes, templates, and shadowed names.
@@ -47,6 +47,21 @@ SELECT concat('k', cast(l_orderkey AS string), '.js') AS path,
 FROM lineitem GROUP BY l_orderkey"""
 
 
+#: A file of four customers in five, with declarations at any depth and words that only look like some.
+ORIGINALS = """
+SELECT concat('s/c', cast(c_custkey AS string), '.js') AS path,
+       concat('// class B', chr(10), 'class Old {}', chr(10), 'f(function () { var inner = "class A0 {}"; if (inner) { class Deep {} } });', chr(10), 'x.class; var y = { AppRoutes: 1 };') AS content
+FROM customer WHERE c_custkey % 5 <> 0"""
+
+#: What rewrites made of them, an order each: new classes and tables, old ones, and the same again.
+OUTPUTS = """
+SELECT concat('s/c', cast(o_custkey AS string), '.js') AS path, o_orderkey AS ordinal,
+       CASE o_orderkey % 4 WHEN 0 THEN concat('/* class Ghost {} */ class A', cast(o_orderkey % 3 AS string), ' { m() { return "class Str {}"; } }')
+         WHEN 1 THEN 'class Deep {} export class B extends A0 {}' WHEN 2 THEN 'const AppRoutes: Routes = []; const other: Route = 1; let inner: Routes = [];'
+         ELSE 'var x = a.class, o = { class: Ghost }; class Old { class() {} }' END AS content
+FROM orders"""
+
+
 def script_tokens(spark, sf_dir):
     return tokens.all_tokens(sql(spark, sf_dir, SCRIPTS)).where("kind <> 'space'").select("path", "start", "line", "kind", "text")
 
@@ -112,7 +127,11 @@ def assigned_fields(spark, sf_dir):
     return found.groupBy("path", "start").agg(F.array_join(F.sort_array(F.collect_list("field")), ",").alias("fields")).select("path", "fields")
 
 
-QUERIES = {f.__name__: f for f in (script_tokens, script_brackets, script_registrations, script_watches, script_routes, promise_chains, name_bindings, lifted_helpers, reachable_lines, constant_values, request_urls, assigned_fields)}
+def added_declarations(spark, sf_dir):
+    return declared.added_declarations(sql(spark, sf_dir, OUTPUTS), sql(spark, sf_dir, ORIGINALS))
+
+
+QUERIES = {f.__name__: f for f in (added_declarations, script_tokens, script_brackets, script_registrations, script_watches, script_routes, promise_chains, name_bindings, lifted_helpers, reachable_lines, constant_values, request_urls, assigned_fields)}
 
 
 def quoted(text: str) -> str:
@@ -185,4 +204,9 @@ SELECT 'k' || k || '.js' AS path, string_agg(field, ',' ORDER BY field) AS field
 WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({EDGES})),
 r AS (SELECT l_orderkey, a AS source, b AS node, 1 AS steps FROM e UNION SELECT r.l_orderkey, r.source, e.b, r.steps + 1 FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.a = r.node WHERE r.steps < 8)
 SELECT l_orderkey, source, node, min(steps) AS steps FROM r GROUP BY 1, 2, 3""",
+    "added_declarations": f"""
+WITH d AS (SELECT o_custkey AS c, o_orderkey AS ordinal, v.place, CASE name WHEN 'A' THEN 'A' || o_orderkey % 3 ELSE name END AS name
+           FROM orders JOIN (VALUES (0, 0, 'A'), (1, 0, 'Deep'), (1, 1, 'B'), (2, 0, 'AppRoutes'), (2, 1, 'inner'), (3, 0, 'Old')) AS v(k, place, name) ON o_orderkey % 4 = v.k),
+r AS (SELECT *, row_number() OVER (PARTITION BY c, name ORDER BY ordinal, place) = 1 AS emitted FROM d WHERE c % 5 = 0 OR name NOT IN ('Deep', 'inner', 'Old'))
+SELECT 's/c' || c || '.js' AS path, ordinal, name, emitted, CASE WHEN NOT emitted THEN name || ' {declared.TAKEN}' END AS reason FROM r""",
 }

@@ -66,7 +66,7 @@ def test_identifiers_are_whole_words(spark):
 
 def test_events_of_scopes_alone(spark):
     text = "a.scope.$on('x', f); $scope.$emit(n); scope\n .$on(\"y\", f); myscope.$on('z'); $rootScope.$broadcast('w')"
-    got = facts.event_usages(spark.createDataFrame([("p", text)], "path string, content string")).collect()
+    got = calls.event_usages(spark.createDataFrame([("p", text)], "path string, content string")).collect()
     assert [(r.receiver, r.event, r.kind, r.line) for r in got] == [("scope", "y", "on", 1), ("$rootScope", "w", "emit", 2)]
 
 
