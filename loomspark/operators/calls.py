@@ -13,15 +13,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.operators.facts import ARITY, KINDS, WATCH_TEXT, WATCHES
-from loomspark.operators.tokens import bracketed, files_of, literal, tokens
-from loomspark.sources.shared import written
+from loomspark.operators.tokens import bracketed, files_of, literal, parts_of, tokens
+from loomspark.sources.shared import dealt, never_sent
 
 #: Words that no call or index goes on from.
 KEYWORDS = (
     "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "export", "extends", "finally", "for", "function", "if", "import", "in", "instanceof", "let",
     "new", "return", "switch", "throw", "try", "typeof", "var", "void", "while", "with", "yield",
 )
-INSIDE = "array<struct<place:int,text:string,kind:string,partner:int>>"
+INSIDE = "array<struct<place:int,text:string,kind:string,partner:int,start:int>>"
 
 
 def siblings(*more: str) -> W:
@@ -47,10 +47,10 @@ def method_calls(rows: DataFrame) -> DataFrame:
     ``file, path, at`` (place of the method's name), ``line`` (its line), ``method``, ``open``, ``close``, ``root`` and
     ``root_line`` (the chain's first token), ``link`` (the how-manieth call of its chain it is), ``links`` (how many
     the chain has), ``plain`` (whether the chain up to here is a name and calls of members alone), and
-    ``receiver_start``, ``receiver_stop`` (offsets of the receiver's text).
+    ``receiver_start``, ``receiver_stop`` (offsets of the receiver's text), ``close_start`` (that of the closing bracket).
     """
     back = lambda c, n: F.lag(c, n).over(siblings())
-    seen = chained(rows).withColumns({"name": back("text", 1), "at": back("place", 1), "name_line": back("line", 1), "dot": back("text", 2), "dot_start": back("start", 2)})
+    seen = chained(rows).withColumns({"name": back("text", 1), "at": back("place", 1), "name_line": back("line", 1), "dot": back("text", 2), "dot_start": back("start", 2), "next_start": F.lead("start").over(siblings())})
     chain = W.partitionBy("file", "chain").orderBy("place")
     so_far = chain.rowsBetween(W.unboundedPreceding, 0)
     call, first = (F.col("text") == "(") & F.col("_on"), F.col("place") == F.col("chain")
@@ -66,12 +66,13 @@ def method_calls(rows: DataFrame) -> DataFrame:
     return told.where(call & (F.col("dot") == ".") & (F.col("was_kind") == "name")).select(
         "file", "path", "at", F.col("name_line").alias("line"), F.col("name").alias("method"), F.col("place").alias("open"), F.col("partner").alias("close"),
         "chain", "root", "root_line", "link", "links", plain.alias("plain"), "receiver_start", F.col("dot_start").alias("receiver_stop"),
+        F.when(F.col("partner").isNotNull(), F.col("next_start")).alias("close_start"),
     )
 
 
 def brackets(rows: DataFrame) -> DataFrame:
     """``file, open, inside``: each bracket's own tokens in order (a bracket within it by its two ends)."""
-    token = F.struct("place", "text", "kind", "partner")
+    token = F.struct("place", "text", "kind", "partner", "start")
     return rows.where("parent IS NOT NULL").groupBy("file", F.col("parent").alias("open")).agg(F.array_sort(F.collect_list(token)).cast(INSIDE).alias("inside"))
 
 
@@ -108,10 +109,11 @@ def asked_for(defined: DataFrame, found: DataFrame) -> DataFrame:
 
 
 class Script:
-    """The token table of a corpus, written once, and what is taken from it."""
+    """The token table of a corpus, written once, dealt by file, and what is taken from it."""
 
     def __init__(self, corpus: DataFrame):
-        self.corpus, self.rows = corpus, written(bracketed(tokens(corpus)), "tokens")
+        self.corpus, self.parts = corpus, parts_of(corpus)
+        self.rows = dealt(bracketed(tokens(corpus, self.parts)), "tokens", "file", self.parts)
         self.calls, self.brackets = method_calls(self.rows), brackets(self.rows)
 
     @classmethod
@@ -123,7 +125,7 @@ class Script:
         return calls.join(self.brackets, ["file", "open"], "left").withColumn("inside", F.coalesce("inside", F.array().cast(INSIDE)))
 
     def with_content(self, calls: DataFrame) -> DataFrame:
-        return calls.join(files_of(self.corpus).select("file", "content"), "file")
+        return calls.join(never_sent(files_of(self.corpus, self.parts).select("file", "content")), "file")
 
 
 def named_by_string(inside: Column) -> Column:
@@ -162,22 +164,17 @@ def registrations(corpus: DataFrame | Script) -> DataFrame:
 
 
 def first_argument(inside: Column, close: Column) -> Column:
-    """Offsets are not in ``inside``: the places of the first argument's first token and of what ends it."""
-    comma = F.get(F.filter(inside, lambda t: t["text"] == ","), F.lit(0))["place"]
-    return F.struct(F.get(inside, F.lit(0))["place"].alias("from"), F.coalesce(comma, close).alias("to"))
+    """The offsets of the first argument's first token and of what ends it; ``close``: the closing bracket's."""
+    comma = F.get(F.filter(inside, lambda t: t["text"] == ","), F.lit(0))["start"]
+    return F.struct(F.get(inside, F.lit(0))["start"].alias("from"), F.coalesce(comma, close).alias("to"))
 
 
 def with_first_text(script: Script, calls: DataFrame) -> DataFrame:
     """Calls with ``receiver`` and ``first``, the texts of what is called and of its first argument ('' if there is none)."""
-    spot = first_argument(F.col("inside"), F.col("close"))
-    placed = script.with_arguments(calls).withColumn("_spot", spot)
-    starts = script.rows.select("file", F.col("place").alias("_p"), "start", F.col("text").alias("_t"))
-    for end in ("from", "to"):
-        own = starts.select("file", F.col("_p").alias(f"_{end}"), F.col("start").alias(f"_{end}_start"))
-        placed = placed.withColumn(f"_{end}", F.col(f"_spot.{end}")).join(own, ["file", f"_{end}"], "left")
+    placed = script.with_arguments(calls).withColumn("_spot", first_argument(F.col("inside"), F.col("close_start")))
     text = lambda a, b: F.substring(F.col("content"), a + 1, b - a)
     found = script.with_content(placed)
-    return found.withColumns({"receiver": text(F.col("receiver_start"), F.col("receiver_stop")), "first": F.coalesce(F.regexp_replace(text(F.col("_from_start"), F.col("_to_start")), r"\s+$", ""), F.lit(""))})
+    return found.withColumns({"receiver": text(F.col("receiver_start"), F.col("receiver_stop")), "first": F.coalesce(F.regexp_replace(text(F.col("_spot.from"), F.col("_spot.to")), r"\s+$", ""), F.lit(""))})
 
 
 def routes(corpus: DataFrame | Script) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.operators.scopes import Scopes
-from loomspark.operators.tokens import bracketed, tokens
+from loomspark.operators.tokens import tokens
 
 #: Words that declare a variable, the type whose constants are taken, and why a name is not emitted.
 VARIABLES, TABLE_TYPE = ("var", "let", "const"), "Routes"
@@ -20,7 +20,7 @@ TAKEN = "was already produced by an earlier pattern for this file — not emitte
 
 def existing_names(files: DataFrame) -> DataFrame:
     """``path, name``: every class and variable that a file declares, at any depth, once."""
-    scopes = Scopes(bracketed(tokens(files)))
+    scopes = Scopes.of(files)
     declared = scopes.declarations().where(F.col("how").isin("class", *VARIABLES)).select("file", "name").distinct()
     return declared.join(scopes.rows.select("file", "path").distinct(), "file").select("path", "name").distinct()
 

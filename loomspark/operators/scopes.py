@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from loomspark.operators.calls import KEYWORDS, chained, siblings
 from loomspark.operators.nesting import nested
-from loomspark.sources.shared import written
+from loomspark.operators.tokens import bracketed, parts_of, tokens
+from loomspark.sources.shared import dealt
 
 #: The scope of the file itself.
 FILE = -1
@@ -74,12 +75,22 @@ def prepared(rows: DataFrame) -> DataFrame:
 
 
 class Scopes:
-    """Functions, declarations and bindings of tokens of ``bracketed``; tokens, functions and what owns a token are written once."""
-
-    def __init__(self, rows: DataFrame):
-        self.rows = written(prepared(rows), "tokens")
-        self.functions = written(functions(self.rows), "functions")
-        self.owners = written(self.owned(), "owners")
+    """Functions, declarations and bindings of tokens of ``bracketed``; tokens, functions and what owns a token are written once, dealt by file into ``parts``."""
+
+    def __init__(self, rows: DataFrame, parts: int | None = None):
+        self.parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.rows = self.dealt(prepared(rows), "tokens")
+        self.functions = self.dealt(functions(self.rows), "functions")
+        self.owners = self.dealt(self.owned(), "owners")
+
+    @classmethod
+    def of(cls, corpus: DataFrame) -> Scopes:
+        """Those of the tokens of a corpus."""
+        parts = parts_of(corpus)
+        return cls(bracketed(tokens(corpus, parts)), parts)
+
+    def dealt(self, rows: DataFrame, name: str) -> DataFrame:
+        return dealt(rows, name, "file", self.parts)
 
     def owned(self, kinds: tuple[str, ...] = ("function", "declaration", "method", "arrow"), name: str = "owner") -> DataFrame:
         """Tokens with ``owner``, the start of the innermost function of these kinds around them; null outside all.

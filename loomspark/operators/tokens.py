@@ -61,24 +61,36 @@ def cut(content: Column) -> Column:
     return F.flatten(F.transform(found, lambda t: F.when(joined(t), parts(t)).otherwise(F.array(t))))
 
 
-def files_of(corpus: DataFrame) -> DataFrame:
-    """``file, path, content`` of every file, dealt by ``file``: a digest of path and content, so that it is the same wherever it is computed."""
+#: Characters of content that a task holds, unless one file has more: as tokens they are a hundred times their size.
+PART_CHARS = 1 << 20
+
+
+def parts_of(corpus: DataFrame) -> int:
+    """Into how many parts the files are dealt, by the size of their contents."""
+    return 1 + (corpus.agg(F.sum(F.length("content"))).first()[0] or 0) // PART_CHARS
+
+
+def files_of(corpus: DataFrame, parts: int | None = None) -> DataFrame:
+    """``file, path, content`` of every file, dealt by ``file``: a digest of path and content, so that it is the same wherever it is computed.
+
+    Their number of parts is set (``parts_of``, unless given): Spark would choose it by the contents, which are small beside the tokens that come of them.
+    """
     digest = F.unhex(F.md5(F.concat_ws("\0", "path", "content").cast("binary")))
-    return corpus.where("content IS NOT NULL").select(digest.alias("file"), "path", "content").dropDuplicates(["file"])
+    return corpus.where("content IS NOT NULL").select(digest.alias("file"), "path", "content").repartition(parts or parts_of(corpus), "file").dropDuplicates(["file"])
 
 
-def all_tokens(corpus: DataFrame) -> DataFrame:
+def all_tokens(corpus: DataFrame, parts: int | None = None) -> DataFrame:
     """``file, path, place, start, line, kind, text`` of every token, blanks and comments too."""
-    rows = files_of(corpus).select("file", "path", F.posexplode(cut(F.col("content"))).alias("place", "text"))
+    rows = files_of(corpus, parts).select("file", "path", F.posexplode(cut(F.col("content"))).alias("place", "text"))
     at = W.partitionBy("file").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     start = F.sum(F.length("text")).over(at) - F.length("text")
     return rows.select("file", "path", "place", start.cast("int").alias("start"), (F.sum(breaks).over(at) - breaks + 1).cast("int").alias("line"), kind_of(F.col("text")).alias("kind"), "text")
 
 
-def tokens(corpus: DataFrame) -> DataFrame:
+def tokens(corpus: DataFrame, parts: int | None = None) -> DataFrame:
     """The tokens that are neither blanks nor comments, their places counted from 0 without those."""
-    kept = all_tokens(corpus).where("kind NOT IN ('space', 'comment')")
+    kept = all_tokens(corpus, parts).where("kind NOT IN ('space', 'comment')")
     return kept.withColumn("place", (F.row_number().over(W.partitionBy("file").orderBy("place")) - 1).cast("int"))
 
 

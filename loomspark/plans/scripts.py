@@ -90,7 +90,7 @@ def promise_chains(spark, sf_dir):
 
 def name_bindings(spark, sf_dir):
     """How often each name of each file is bound to the file, to a function in it, and to nothing."""
-    found = scopes.Scopes(tokens.bracketed(tokens.tokens(sql(spark, sf_dir, SCRIPTS)))).bindings()
+    found = scopes.Scopes.of(sql(spark, sf_dir, SCRIPTS)).bindings()
     of_file = F.col("scope") == scopes.FILE
     counts = [F.count_if(c).alias(n) for n, c in (("of_file", of_file), ("of_function", ~of_file), ("free", F.col("scope").isNull()))]
     return found.groupBy("path", "name").agg(*counts)
@@ -100,7 +100,7 @@ def lifted_helpers(spark, sf_dir):
     """What each controller's definition needs of its file, directly or through other functions."""
     script = calls.Script(sql(spark, sf_dir, SCRIPTS))
     spans = script.calls.where("method = 'controller'").select("file", "path", F.col("open").alias("start"), F.col("close").alias("stop"))
-    found = reach.lifted(scopes.Scopes(script.rows), spans.drop("path"))
+    found = reach.lifted(scopes.Scopes(script.rows, script.parts), spans.drop("path"))
     return found.join(spans.select("file", "path").distinct(), "file").select("path", "name", "line", "steps")
 
 
@@ -110,7 +110,7 @@ def reachable_lines(spark, sf_dir):
 
 
 def script_values(spark, sf_dir):
-    return constants.Constants(scopes.Scopes(tokens.bracketed(tokens.tokens(sql(spark, sf_dir, VALUES)))))
+    return constants.Constants(scopes.Scopes.of(sql(spark, sf_dir, VALUES)))
 
 
 def constant_values(spark, sf_dir):
@@ -123,7 +123,7 @@ def request_urls(spark, sf_dir):
 
 def assigned_fields(spark, sf_dir):
     """The fields of each function that assigns some."""
-    found = fields.assigned_fields(scopes.Scopes(tokens.bracketed(tokens.tokens(sql(spark, sf_dir, ASSIGNED)))))
+    found = fields.assigned_fields(scopes.Scopes.of(sql(spark, sf_dir, ASSIGNED)))
     return found.groupBy("path", "start").agg(F.array_join(F.sort_array(F.collect_list("field")), ",").alias("fields")).select("path", "fields")
 
 

@@ -120,3 +120,19 @@ def test_promise_chains_up_to_two_deep(spark):
     text = "$http.get(u).then(f); $http.post(u, d).then(f).catch(g); $http.get(u).then(a).then(b).catch(c); $http.get(u); $http.get(u).success(f).then(g); q.get(u).then(f); $http.get(u).then(f).finally(g); vm.$http.get(u).then(f); $http.put(u).then(function (r) { $http.get(v).then(h); })"
     got = [(r.verb, r.depth, r.reason) for r in calls.promise_chains(corpus_of(spark, text)).orderBy("at").collect()]
     assert got == [("get", 1, None), ("post", 2, None), ("get", 3, "chain of 3 calls, more than 2"), ("get", 1, None), ("put", 1, None), ("get", 1, None)]
+
+
+def test_files_are_dealt_by_the_size_of_their_contents(spark):
+    few = spark.range(12).select(F.col("id").cast("string").alias("path"), F.repeat(F.lit("a;\n"), 200_000).alias("content"))
+    assert tokens.parts_of(few) == 7 and tokens.files_of(few).rdd.getNumPartitions() == 7
+    assert tokens.parts_of(few.limit(0)) == 1
+
+
+def test_facts_move_and_send_no_tokens(spark):
+    df = corpus_of(spark, "$scope.$watch('a', f); m.service('b', ['c', function (c) {}]); $routeProvider.when(x, {}); $scope.$watch(", "$scope.$watch('a'")
+    for query in (calls.watches, calls.registrations, calls.routes):
+        found = query(df)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.split("\n") if "Exchange" in line]
+        assert "Broadcast" not in plan and all("REPARTITION_BY_NUM" in line for line in moved), moved
+    assert [(r.path, r.expression) for r in calls.watches(df).orderBy("path", "at").collect()] == [("f0", "'a'"), ("f0", ""), ("f1", "")]
