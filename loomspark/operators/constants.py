@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomspark.operators.calls import method_calls, siblings
 from loomspark.operators.scopes import NO_VARIABLE, Scopes, innermost
 from loomspark.operators.tokens import literal
-from loomspark.sources.shared import removed, written
+from loomspark.sources.shared import removed
 
 #: A value longer than this many characters is none: sums of sums double.
 LONGEST = 10_000
@@ -65,7 +65,7 @@ def writes(found: Scopes) -> DataFrame:
     caught = (F.col("text") == "(") & (F.col("b1") == "catch")
     spans = closed.where((F.col("partner") > F.col("place")) & (pattern | caught)).select("file", F.col("place").alias("start"), F.col("partner").alias("stop"))
     direct = told.where("kind = 'name' AND _written").select("file", "place")
-    within = innermost(found.rows.where("kind = 'name'").select("file", "place"), spans, ["file"], "_pattern").where("_pattern IS NOT NULL")
+    within = innermost(found.rows.where("kind = 'name'").select("file", "place"), spans, ["file"], "_pattern", found.parts).where("_pattern IS NOT NULL")
     return direct.union(within.select("file", "place")).distinct()
 
 
@@ -100,15 +100,15 @@ class Constants:
 
     def __init__(self, found: Scopes):
         self.found = found
-        self.bound = written(found.bindings().where("scope IS NOT NULL").select("file", "place", "name", "scope"), "bound")
-        self.declared = written(found.declarations().groupBy("file", "name", "scope").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.min_by("how", "place").alias("how")), "declared")
-        self.variables = written(self.read(), "variables")
+        self.bound = found.dealt(found.bindings().where("scope IS NOT NULL").select("file", "place", "name", "scope"), "bound")
+        self.declared = found.dealt(found.declarations().groupBy("file", "name", "scope").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.min_by("how", "place").alias("how")), "declared")
+        self.variables = found.dealt(self.read(), "variables")
         self.values = self.spread()
 
     def read(self) -> DataFrame:
         """``file, path, name, scope, place, line, terms, fault``: every variable that is declared with a value."""
         rows = self.found.rows.withColumn("head", F.lead("place", 2).over(siblings())).where("kind = 'name' AND n1 = '='").select("file", "path", "place", "line", "head")
-        one = written(self.declared.where("how IN ('var', 'let', 'const')").join(rows, ["file", "place"]), "heads")
+        one = self.found.dealt(self.declared.where("how IN ('var', 'let', 'const')").join(rows, ["file", "place"]), "heads")
         again = writes(self.found).join(self.bound, ["file", "place"]).join(self.declared.select("file", "name", "scope", F.col("place").alias("_own")), ["file", "name", "scope"])
         later = again.where("place <> _own").select("file", "name", "scope").distinct().withColumn("_again", F.lit(True))
         told = one.join(later, ["file", "name", "scope"], "left").join(sums(self.found, one.where("head IS NOT NULL")), ["file", "head"], "left")
@@ -127,18 +127,18 @@ class Constants:
         """Round by round, the variables all of whose terms are known; as many rounds as the longest chain of names. Each round's tables are written, the last's deleted."""
         every = self.terms(self.variables.where("fault IS NULL").withColumn("owner", F.col("place")))
         hopeless = F.bool_or(F.col("text").isNull() & F.col("ref").isNull()).over(W.partitionBy("file", "owner"))
-        waiting = written(every.withColumn("_hopeless", hopeless).where("NOT _hopeless").drop("_hopeless"), "waiting")
-        known = written(waiting.select("file", F.col("owner").alias("place"), F.col("text").alias("value")).limit(0), "values")
+        waiting = self.found.dealt(every.withColumn("_hopeless", hopeless).where("NOT _hopeless").drop("_hopeless"), "waiting")
+        known = self.found.dealt(waiting.select("file", F.col("owner").alias("place"), F.col("text").alias("value")).limit(0), "values")
         while True:
-            new = written(added_up(waiting), "new")
+            new = self.found.dealt(added_up(waiting), "new")
             if new.isEmpty():
                 removed(new)
                 removed(waiting)
                 return known
-            more = written(known.unionByName(new), "values")
+            more = self.found.dealt(known.unionByName(new), "values")
             rest = waiting.join(new.select("file", F.col("place").alias("owner")), ["file", "owner"], "left_anti")
             filled = rest.join(new.select("file", F.col("place").alias("ref"), "value"), ["file", "ref"], "left")
-            after = written(filled.select("file", "owner", "ordinal", "total", F.coalesce("text", "value").alias("text"), "ref"), "waiting")
+            after = self.found.dealt(filled.select("file", "owner", "ordinal", "total", F.coalesce("text", "value").alias("text"), "ref"), "waiting")
             for used in (waiting, known, new):
                 removed(used)
             waiting, known = after, more
@@ -163,8 +163,8 @@ def request_urls(known: Constants, root: str = "$http") -> DataFrame:
     """``path, line, verb, url, reason`` of ``$http.verb(url, ...)``: the url as its strings and names give it, or why it is not known."""
     calls = method_calls(known.found.rows).where((F.col("root") == root) & F.col("plain") & (F.col("link") == 1) & F.col("method").isin(*VERBS))
     first = known.found.rows.where("parent IS NOT NULL AND b1 IS NULL").select("file", F.col("parent").alias("open"), F.col("place").alias("head"))
-    asked = written(calls.select("file", "path", "line", "method", "open").join(first, ["file", "open"], "left"), "calls")
-    read = written(sums(known.found, asked.where("head IS NOT NULL").select("file", "head")), "sums")
+    asked = known.found.dealt(calls.select("file", "path", "line", "method", "open").join(first, ["file", "open"], "left"), "calls")
+    read = known.found.dealt(sums(known.found, asked.where("head IS NOT NULL").select("file", "head")), "sums")
     terms = known.terms(read.withColumn("owner", F.col("head")))
     filled = terms.join(known.values.select("file", F.col("place").alias("ref"), "value"), ["file", "ref"], "left").withColumn("text", F.coalesce("text", "value"))
     told = asked.join(read, ["file", "head"], "left").join(added_up(filled).select("file", F.col("place").alias("head"), "value"), ["file", "head"], "left")

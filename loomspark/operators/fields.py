@@ -9,7 +9,6 @@ from loomspark.operators.calls import siblings
 from loomspark.operators.constants import GOING_ON, signs_after
 from loomspark.operators.rewrite import in_order
 from loomspark.operators.scopes import Scopes
-from loomspark.sources.shared import written
 
 #: The functions that have a ``this`` of their own.
 OWN_THIS = ("function", "declaration", "method")
@@ -36,7 +35,7 @@ def assigned_fields(found: Scopes) -> DataFrame:
     inner functions included, also if it is written to again; one that shadows it does not. Compound
     assignments (``+=``) and comparisons make no field.
     """
-    owned = written(found.owned(OWN_THIS, "this_of"), "this")
+    owned = found.dealt(found.owned(OWN_THIS, "this_of"), "this")
     marked = owned.withColumn("_after", signs_after()).where(F.col("_after").rlike(ASSIGNED) & (F.col("kind") == "name") & (F.col("b1") == ".") & (F.coalesce("b3", F.lit("")) != "."))
     put = marked.select("file", "path", F.col("text").alias("field"), "place", "line", F.col("b2").alias("through"), F.col("b2_at").alias("through_at"), "this_of")
     direct = put.where("through = 'this'").select("file", "path", F.col("this_of").alias("start"), "field", "place", "line")

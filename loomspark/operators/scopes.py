@@ -97,7 +97,9 @@ class Scopes:
 
         Without arrows it is the function whose ``this`` a token has.
         """
-        return innermost(self.rows, self.functions.where(F.col("kind").isin(*kinds)).select("file", "start", "stop"), ["file"], name)
+        spans = self.functions.where(F.col("kind").isin(*kinds)).select("file", "start", "stop")
+        found = innermost(self.rows.select("file", "place"), spans, ["file"], name, self.parts)  # only places move
+        return self.rows.join(found, ["file", "place"])
 
     def declarations(self) -> DataFrame:
         """``file, name, place, scope, stop, how``: each declared name, and the first and last place of what holds it."""
@@ -137,13 +139,13 @@ class Scopes:
         used = self.owners.where((F.col("kind") == "name") & ~F.col("text").isin(*NO_VARIABLE) & (F.coalesce("b1", F.lit("")) != ".") & ~F.coalesce(key, F.lit(False)))
         used = used.join(named, ["file", "place"], "left").where("_method IS NULL").select("file", "path", "place", "line", F.col("text").alias("name"), "owner")
         scopes = self.declarations().select("file", "name", F.col("scope").alias("start"), "stop").distinct()
-        return innermost(used, scopes, ["file", "name"], "scope").select("file", "path", "place", "line", "name", "scope", "owner")
+        return innermost(used, scopes, ["file", "name"], "scope", self.parts).select("file", "path", "place", "line", "name", "scope", "owner")
 
 
-def innermost(rows: DataFrame, spans: DataFrame, keys: list[str], name: str) -> DataFrame:
+def innermost(rows: DataFrame, spans: DataFrame, keys: list[str], name: str, parts: int | None = None) -> DataFrame:
     """``rows`` (with ``place``) with ``name``, the start of the innermost of the ``spans`` (``keys, start, stop``) that holds it.
 
-    Spans of one key nest or lie apart; a span holds its two ends.
+    Spans of one key nest or lie apart; a span holds its two ends. With ``parts``, the result is dealt by the first key into so many.
     """
     wide = 1 << 31  # places are below 2**30
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
@@ -151,6 +153,7 @@ def innermost(rows: DataFrame, spans: DataFrame, keys: list[str], name: str) ->
     empty = F.lit(None).cast(inside.schema["_row"].dataType)
     first = spans.select(*keys, (F.col("start").cast("long") * wide).alias("_at"), F.lit(1).alias("_end"), empty.alias("_row"))
     last = spans.select(*keys, (F.col("stop").cast("long") * wide + (1 << 30) + (1 << 30) - 1 - F.col("start")).alias("_at"), F.lit(-1).alias("_end"), empty.alias("_row"))
-    found = nested(inside.unionByName(first).unionByName(last), keys, "_at", F.col("_end") == 1, F.col("_end") == -1, "_in_")
+    every = inside.unionByName(first).unionByName(last)
+    found = nested(every.repartition(parts, keys[0]) if parts else every, keys, "_at", F.col("_end") == 1, F.col("_end") == -1, "_in_")
     held = F.floor(F.col("_in_parent") / wide).cast("int")
     return found.where("_end = 0").select("_row.*", held.alias(name))
