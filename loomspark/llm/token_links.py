@@ -7,7 +7,8 @@ a smallest stretch of tokens of both kinds that covers the same bytes.
 
 How many documents hold a pair of ids linked is counted over the corpus: a block's distinct
 pairs are summed in the block first, then by pair, then joined back to the blocks, one row for
-each distinct pair of a block, so no pair of ids has more rows than there are blocks. Only
+each distinct pair of a block, so no pair of ids has more rows than there are blocks. A task
+gathers the answers of a few blocks, however many there are. Only
 one number an id of the first vocabulary is broadcast: its highest count.
 
 Defined results: texts that are null, empty, or not given back byte for byte by both
@@ -33,6 +34,8 @@ from loomspark.llm.tables import stored
 BLOCK_BYTES = 1 << 20
 #: Segments of each vocabulary whose ids a worker keeps.
 KEPT = 1 << 18
+#: Blocks whose answers a task gathers: each is some MB on the heap.
+GATHERED = 8
 PAIR_BITS = 32
 
 
@@ -199,8 +202,9 @@ def alignment_report(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame
     highest = counts.groupBy(first.alias("a")).agg(F.max("n").alias("most"))
     judged = counts.withColumn("a", first).join(F.broadcast(highest), "a").select("pair", (F.col("n") * 2 + (F.col("n") == F.col("most")).cast("long")).alias("value"))
     asked = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
-    answers = asked.join(judged, "pair").groupBy("block").agg(F.collect_list(F.struct("place", "value")).alias("answers"))
-    return blocks.drop("pairs", "docs_with").join(answers, "block", "left").mapInArrow(told, REPORT)
+    parts = 1 + blocks.count() // GATHERED
+    answers = asked.join(judged, "pair").repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("place", "value")).alias("answers"))
+    return blocks.drop("pairs", "docs_with").repartition(parts, "block").join(answers.hint("merge"), "block", "left").mapInArrow(told, REPORT)
 
 
 def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,3 +103,17 @@ def test_query_against_bytes(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted(map(tuple, op13_token_links(spark, sf_dir).collect()), key=str)
     assert got == sorted(plain(rows)[0], key=str)
+
+
+def test_a_task_gathers_a_few_blocks_however_many_there_are(spark):
+    docs = spark.createDataFrame([(i, f"word {i} of {i % 3}") for i in range(100)], "doc_id long, text string").coalesce(1)
+    whole = {r.doc_id: r.count_sum for r in tl.alignment_report(docs, A, B).collect()}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")  # a batch is a block at least
+    try:
+        report = tl.alignment_report(docs, A, B)
+        assert report.rdd.getNumPartitions() == 1 + 50 // 8
+        assert whole == {r.doc_id: r.count_sum for r in report.collect()} and len(whole) == 100
+    finally:
+        spark.conf.set(name, before)
