@@ -70,3 +70,11 @@ def test_innermost_spans(spark):
     got = {(r.key, r.place): r["in"] for r in scopes.innermost(rows.drop("_at"), spans, ["key"], "in").collect()}
     want = {0: None, 1: 1, 2: 2, 3: 2, 4: 2, 5: 2, 6: 6, 7: 7, 8: 6, 9: 6, 10: None, 11: 11}
     assert got == {("k", p): w for p, w in want.items()} | {("other", 3): None}
+
+
+def test_owners_are_found_by_moving_places_alone(spark):
+    corpus = spark.createDataFrame([("p", "function f(a) { return a; } f(1);"), ("q", "x")], "path string, content string")
+    found = scopes.Scopes.of(corpus)
+    moved = [line for line in found.owned()._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line]
+    assert len(moved) == 1 and "REPARTITION_BY_NUM" in moved[0], moved
+    assert [r.owner for r in found.owned().where("path = 'p' AND text = 'a'").orderBy("place").collect()] == [2, 2]
