@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.operators.facts import ARITY, KINDS, WATCH_TEXT, WATCHES
-from loomspark.operators.tokens import bracketed, files_of, literal, parts_of, tokens
+from loomspark.operators.tokens import bracketed, files_of, literal, token_parts, tokens
 from loomspark.sources.shared import dealt, never_sent
 
 #: Words that no call or index goes on from.
@@ -112,7 +112,7 @@ class Script:
     """The token table of a corpus, written once, dealt by file, and what is taken from it."""
 
     def __init__(self, corpus: DataFrame):
-        self.corpus, self.parts = corpus, parts_of(corpus)
+        self.corpus, self.parts = corpus, token_parts(corpus)
         self.rows = dealt(bracketed(tokens(corpus, self.parts)), "tokens", "file", self.parts)
         self.calls, self.brackets = method_calls(self.rows), brackets(self.rows)
 

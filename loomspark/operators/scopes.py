@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators.calls import KEYWORDS, chained, siblings
 from loomspark.operators.nesting import nested
-from loomspark.operators.tokens import bracketed, parts_of, tokens
+from loomspark.operators.tokens import bracketed, token_parts, tokens
 from loomspark.sources.shared import dealt
 
 #: The scope of the file itself.
@@ -86,7 +86,7 @@ class Scopes:
     @classmethod
     def of(cls, corpus: DataFrame) -> Scopes:
         """Those of the tokens of a corpus."""
-        parts = parts_of(corpus)
+        parts = token_parts(corpus)
         return cls(bracketed(tokens(corpus, parts)), parts)
 
     def dealt(self, rows: DataFrame, name: str) -> DataFrame:

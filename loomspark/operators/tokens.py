@@ -61,13 +61,24 @@ def cut(content: Column) -> Column:
     return F.flatten(F.transform(found, lambda t: F.when(joined(t), parts(t)).otherwise(F.array(t))))
 
 
-#: Characters of content that a task holds, unless one file has more: as tokens they are a hundred times their size.
-PART_CHARS = 1 << 20
+#: Characters of content that a task holds, unless one file has more: as contents, and as tokens, whose sorts take some 400 times as many bytes; what does not fit in memory each of them would spill.
+PART_CHARS, TOKEN_CHARS = 1 << 20, 1 << 17
+#: The most parts of tokens; Spark allows 100,000 buckets. Beyond 6.5 billion characters parts grow, and spill.
+MOST_PARTS = 50_000
+
+
+def chars_of(corpus: DataFrame) -> int:
+    return corpus.agg(F.sum(F.length("content"))).first()[0] or 0
 
 
 def parts_of(corpus: DataFrame) -> int:
     """Into how many parts the files are dealt, by the size of their contents."""
-    return 1 + (corpus.agg(F.sum(F.length("content"))).first()[0] or 0) // PART_CHARS
+    return 1 + chars_of(corpus) // PART_CHARS
+
+
+def token_parts(corpus: DataFrame) -> int:
+    """Into how many parts the files are dealt whose tokens are sorted."""
+    return min(MOST_PARTS, 1 + chars_of(corpus) // TOKEN_CHARS)
 
 
 def files_of(corpus: DataFrame, parts: int | None = None) -> DataFrame:
@@ -81,7 +92,7 @@ def files_of(corpus: DataFrame, parts: int | None = None) -> DataFrame:
 
 def all_tokens(corpus: DataFrame, parts: int | None = None) -> DataFrame:
     """``file, path, place, start, line, kind, text`` of every token, blanks and comments too."""
-    rows = files_of(corpus, parts).select("file", "path", F.posexplode(cut(F.col("content"))).alias("place", "text"))
+    rows = files_of(corpus, parts or token_parts(corpus)).select("file", "path", F.posexplode(cut(F.col("content"))).alias("place", "text"))
     at = W.partitionBy("file").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     start = F.sum(F.length("text")).over(at) - F.length("text")

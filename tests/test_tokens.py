@@ -136,3 +136,13 @@ def test_facts_move_and_send_no_tokens(spark):
         moved = [line for line in plan.split("\n") if "Exchange" in line]
         assert "Broadcast" not in plan and all("REPARTITION_BY_NUM" in line for line in moved), moved
     assert [(r.path, r.expression) for r in calls.watches(df).orderBy("path", "at").collect()] == [("f0", "'a'"), ("f0", ""), ("f1", "")]
+
+
+def test_parts_of_tokens_are_smaller_than_those_of_contents_and_no_more_than_buckets(spark, monkeypatch):
+    few = spark.range(12).select(F.col("id").cast("string").alias("path"), F.repeat(F.lit("a;\n"), 200_000).alias("content"))
+    assert tokens.token_parts(few) == 55 > tokens.parts_of(few)
+    monkeypatch.setattr(tokens, "TOKEN_CHARS", 100)
+    corpus = corpus_of(spark, *("a(b);\n" * 10 for _ in range(9)))
+    assert tokens.token_parts(corpus) == tokens.all_tokens(corpus).rdd.getNumPartitions() == calls.Script.of(corpus).parts == 6
+    monkeypatch.setattr(tokens, "MOST_PARTS", 4)
+    assert tokens.token_parts(corpus) == 4 and tokens.token_parts(corpus.limit(0)) == 1
