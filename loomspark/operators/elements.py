@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from loomspark.functions.matching import hits
 from loomspark.operators.nesting import nested
 from loomspark.operators.templates import DUPLICATE, masked_interpolations
-from loomspark.operators.tokens import files_of
+from loomspark.operators.tokens import files_of, token_parts
+from loomspark.sources.shared import written
 
 #: Elements without an end tag, and those whose content is no markup.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -39,7 +40,7 @@ DIRECTIVES = ("ng-repeat", "ng-if", "ng-show")
 
 def pieces(corpus: DataFrame) -> DataFrame:
     """``file, path, place, start, line, kind, tag, text`` of every piece but text: open, close, void, comment, raw, or broken (a ``<`` that begins no whole tag)."""
-    files = files_of(corpus)
+    files = files_of(corpus, token_parts(corpus))
     shape = F.regexp_extract_all(masked_interpolations(F.col("content")), F.lit(PIECE), F.lit(0))
     rows = files.select("file", "path", "content", F.posexplode(shape).alias("place", "masked"))
     at = W.partitionBy("file").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
@@ -87,8 +88,13 @@ def elements(corpus: DataFrame) -> DataFrame:
 
 def faults(corpus: DataFrame) -> DataFrame:
     """``path, start, line, code``: what is wrong with a template, attributes given twice too."""
-    found = elements(corpus)
-    names = F.transform(attributes_of(F.col("text")), lambda a: a["name"])
+    return faults_of(elements(corpus))
+
+
+def faults_of(found: DataFrame) -> DataFrame:
+    """``faults``, from ``elements``; their ``attributes`` are cut anew if they are no column."""
+    attributes = F.col("attributes") if "attributes" in found.columns else attributes_of(F.col("text"))
+    names = F.transform(attributes, lambda a: a["name"])
     twice = F.when(F.col("kind").isin("open", "void") & (F.size(F.array_distinct(names)) < F.size(names)), "duplicate-attribute")
     codes = F.array_compact(F.array("fault", twice))
     return found.select("path", "start", "line", F.explode(codes).alias("code"))
@@ -130,7 +136,17 @@ def without(tag: Column, gone: Column) -> Column:
 
 def planned(corpus: DataFrame) -> DataFrame:
     """Elements with control-flow attributes: their ``headers``, their rewritten start tag ``opened``, and ``told`` reasons."""
-    found = elements(corpus).where(F.col("kind").isin("open", "void") & F.col("fault").isNull()).withColumn("attributes", attributes_of(F.col("text")))
+    return planned_of(with_attributes(corpus))
+
+
+def with_attributes(corpus: DataFrame) -> DataFrame:
+    """``elements`` and their ``attributes``, stored: Spark puts an expression's text wherever its column is named, and so would cut each tag some twenty times."""
+    return written(elements(corpus).withColumn("attributes", attributes_of(F.col("text"))), "elements")
+
+
+def planned_of(rows: DataFrame) -> DataFrame:
+    """``planned``, from ``with_attributes``."""
+    found = rows.where(F.col("kind").isin("open", "void") & F.col("fault").isNull())
     values = {d: value_of(F.col("attributes"), d) for d in DIRECTIVES}
     rows = found.withColumns({"_repeat": values["ng-repeat"], "_if": values["ng-if"], "_show": values["ng-show"]}).where("_repeat IS NOT NULL OR _if IS NOT NULL OR _show IS NOT NULL")
     rows = rows.withColumn("_why", repeat_fault(F.col("_repeat")))
@@ -158,7 +174,8 @@ def control_flow(corpus: DataFrame) -> DataFrame:
     A file with an attribute twice in one element is left as it is, and so is one whose elements do not nest.
     ``reason``: why nothing was done; reasons of single attributes are in ``planned``.
     """
-    plans = planned(corpus)
+    found = with_attributes(corpus)
+    plans = planned_of(found)
     blocks = F.size("headers")
     before = F.array_join(F.transform("headers", lambda h: F.concat(h, F.lit("\n"))), "")
     edits = plans.where("changed").select(
@@ -168,7 +185,7 @@ def control_flow(corpus: DataFrame) -> DataFrame:
     # a void element's end is its start tag's: what is put there comes behind the tag
     order = F.struct(F.col("e.start").alias("start"), F.col("e.stop").alias("stop"), F.col("e.replacement").alias("replacement"))
     lists = edits.groupBy("file").agg(F.array_sort(F.collect_list(order)).alias("edits"))
-    wrong = faults(corpus).groupBy("path").agg(F.bool_or(F.col("code") == "duplicate-attribute").alias("twice"), F.bool_or(F.col("code").isin("unclosed-element", "end-tag-mismatch", "stray-end-tag")).alias("open"))
+    wrong = faults_of(found).groupBy("path").agg(F.bool_or(F.col("code") == "duplicate-attribute").alias("twice"), F.bool_or(F.col("code").isin("unclosed-element", "end-tag-mismatch", "stray-end-tag")).alias("open"))
     files = files_of(corpus).join(lists, "file", "left").join(wrong, "path", "left")
     stops = F.concat(F.array(F.lit(0)), F.transform("edits", lambda e: e["stop"]))
     parts = F.transform("edits", lambda e, i: F.concat(F.substring(F.col("content"), F.get(stops, i) + 1, e["start"] - F.get(stops, i)), e["replacement"]))
