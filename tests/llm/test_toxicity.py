@@ -126,3 +126,21 @@ def test_defined_cases(spark):
     assert tx.toxicity_scores(docs, labels).count() == 401
     assert {r.doc_id for r in tx.drop_toxic(docs, labels).collect()} < {r[0] for r in rows} | {None}
     assert tx.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_lists_of_numbers_are_kept_as_arrays_in_their_order():
+    import random
+
+    import pyarrow as pa
+
+    from loomspark.llm.toxicity import Lists
+
+    rng = random.Random(5)
+    rows = [None, [], [300, 2], [2, 300], [2], [65536], [255, 256]] + [[rng.randrange(70_000) for _ in range(rng.randint(0, 4))] for _ in range(200)]
+    kept = Lists.of(pa.chunked_array([pa.array(rows[:3], pa.list_(pa.int32())), pa.array(rows[3:], pa.list_(pa.int32()))]))
+    plain = [r or [] for r in rows]
+    order = sorted(range(len(rows)), key=kept.key)
+    assert order == sorted(range(len(rows)), key=plain.__getitem__)
+    at, numbers = kept.taken(order)
+    assert list(zip(at.tolist(), numbers.tolist(), strict=True)) == [(i, v) for i, k in enumerate(order) for v in plain[k]]
+    assert [a.tolist() for a in kept.taken([])] == [[], []]
