@@ -28,7 +28,7 @@ from loomspark.llm.bpe_count import byte_symbols
 #: Segments whose ids a worker keeps, unless told otherwise.
 MEMO = 1 << 20
 #: Words given to the library in one string.
-TOGETHER = 512
+TOGETHER = 128
 #: Fixed value: white space as the vocabulary's pattern understands it.
 BLANKS = "\t-\r \x85\xa0  -     　"
 #: Texts that cannot be cut before each blank.
@@ -66,9 +66,14 @@ class Encoder:
         """The ids of each segment as bytes."""
         if len(self.memo) + len(segments) > self.most:
             self.memo.clear()
-        missing = [s for s in segments if s not in self.memo]
-        self.memo.update(zip(missing, self.new_ids(missing), strict=True))
-        return [self.memo[s] for s in segments]
+        found = list(map(self.memo.get, segments))
+        places = [k for k, ids in enumerate(found) if ids is None]
+        missing = [segments[k] for k in places]
+        new = self.new_ids(missing)
+        self.memo.update(zip(missing, new, strict=True))
+        for k, ids in zip(places, new, strict=True):
+            found[k] = ids
+        return found
 
     def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct segments, the numbers of all texts' segments in order, and how many each text has."""
@@ -142,13 +147,14 @@ class ByteLevelIds(Encoder):
     def new_ids(self, segments: list[str]) -> list[bytes]:
         """Words behind one blank are given to the library many at once, since none of them is joined to the next; other segments one by one."""
         out: list[bytes] = [b""] * len(segments)
-        plain = [k for k, s in enumerate(segments) if s[0] == " " and s[1:].split() == [s[1:]]]
+        plain = [k for k, s in enumerate(segments) if s[0] == " " and s.split() == [s[1:]]]
+        lengths = pc.binary_length(pa.array(segments, pa.large_string())).to_numpy(zero_copy_only=False)
         runs = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
         encode = self.tokenizer.encode_batch_fast
-        for k in range(0, len(runs), 8):
-            for run, found in zip(runs[k : k + 8], encode(["".join([segments[i] for i in run]) for run in runs[k : k + 8]], add_special_tokens=False), strict=True):
+        for k in range(0, len(runs), 32):
+            for run, found in zip(runs[k : k + 32], encode(["".join([segments[i] for i in run]) for run in runs[k : k + 32]], add_special_tokens=False), strict=True):
                 ids = np.array(found.ids, np.uint32)
-                ends = np.cumsum([len(segments[i].encode("utf-8")) for i in run])
+                ends = np.cumsum(lengths[run])
                 stops = (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * 4
                 data, at = ids.tobytes(), 0
                 for i, stop in zip(run, stops.tolist(), strict=True):

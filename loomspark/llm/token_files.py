@@ -31,6 +31,8 @@ from loomspark.sources.files import read_files, write_files
 
 NAME = r"^(\d+)-(\d+)-(\d+)-(\d+)\.wave$"
 FILES = "path string, content binary"
+#: Rows, and bytes of text unless one has more, that are encoded at once: few enough to hold, many enough that their words repeat.
+ROWS, TEXT_BYTES = 1024, 1 << 22
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -51,7 +53,7 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end: int = 0,
             content = packed_file(ids, [d for h in held for d in h[1]], np.concatenate([h[2] for h in held]))
             return pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{k:06d}-{before:015d}-{len(ids):012d}.wave"]), pa.array([content], pa.binary())], names=["path", "content"])
 
-        for batch in slices(batches, 256):
+        for batch in slices(batches, ROWS, TEXT_BYTES):
             ids, counts = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             held.append((np.insert(ids, np.cumsum(counts), end), batch.column("doc_id").to_pylist(), counts + 1))
             if (size := sum(len(h[0]) for h in held)) >= shard_tokens:

@@ -120,8 +120,8 @@ class WaveletMatrix:
         for level, packed in enumerate(reversed(self.packed)):
             bits = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             zeros, above = self.n - int(np.count_nonzero(bits)), np.empty_like(out)
-            above[np.flatnonzero(~bits)] = out[:zeros]
-            above[np.flatnonzero(bits)] = out[zeros:] | out.dtype.type(1 << level)
+            above[~bits] = out[:zeros]
+            above[bits] = out[zeros:] | out.dtype.type(1 << level)
             out = above
         return out
 

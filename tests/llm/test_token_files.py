@@ -104,3 +104,14 @@ def test_query_against_plain_encoding(spark, plain):
         assert got[r.doc_id] == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert len(got) == len(rows)
+
+
+def test_texts_are_cut_into_batches_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from loomspark.llm.words import slices
+
+    batch = pa.RecordBatch.from_pydict({"text": ["é" * 4, None, "", "a" * 3, "b" * 40, "c", "d" * 9, "e"]})
+    cut = [b.column("text").to_pylist() for b in slices([batch], 3, 10)]
+    assert cut == [["é" * 4, None, ""], ["a" * 3], ["b" * 40], ["c", "d" * 9], ["e"]]
+    assert [b.num_rows for b in slices([batch], 3)] == [3, 3, 2]
