@@ -84,3 +84,11 @@ def test_nesting_against_a_stack(spark):
         assert r.fault is None
         got[r.path][r.start] = (r.tag, r.depth, r.end_start)
     assert got == want
+
+
+def test_control_flow_nests_elements_once(spark, monkeypatch):
+    asked, plain = [], elements.elements
+    monkeypatch.setattr(elements, "elements", lambda corpus: asked.append(1) or plain(corpus))
+    df = spark.createDataFrame([("a.html", '<p ng-if="a">x</p>'), ("b.html", '<p ng-if="a" ng-if="b">x</p>')], "path string, content string")
+    got = {r.path: (r.matched, r.output) for r in elements.control_flow(df).collect()}
+    assert got == {"a.html": (True, "@if (a) {\n<p>x</p>\n}"), "b.html": (False, None)} and len(asked) == 1
