@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.operators.facts import ARITY, KINDS, WATCH_TEXT, WATCHES
-from loomspark.operators.tokens import bracketed, files_of, literal, token_parts, tokens
+from loomspark.operators.tokens import bracketed_tokens, files_of, literal, token_parts
 from loomspark.sources.shared import dealt, never_sent
 
 #: Words that no call or index goes on from.
@@ -113,7 +113,7 @@ class Script:
 
     def __init__(self, corpus: DataFrame):
         self.corpus, self.parts = corpus, token_parts(corpus)
-        self.rows = dealt(bracketed(tokens(corpus, self.parts)), "tokens", "file", self.parts)
+        self.rows = dealt(bracketed_tokens(corpus, self.parts), "tokens", "file", self.parts, lies=True)
         self.calls, self.brackets = method_calls(self.rows), brackets(self.rows)
 
     @classmethod
@@ -253,7 +253,7 @@ def promise_chains(corpus: DataFrame, roots: tuple[str, ...] = ("$http",)) -> Da
 
     ``depth``: how many of them; more than ``DEEPEST`` have a reason against a rewrite.
     """
-    calls = method_calls(bracketed(tokens(corpus)))
+    calls = Script.of(corpus).calls
     chain = W.partitionBy("file", "chain").orderBy("link")
     after = calls.withColumn("_breaks", F.sum((~F.col("method").isin("then", "catch") & (F.col("link") > 1)).cast("int")).over(chain)).where("_breaks = 0")
     told = after.withColumn("depth", F.max("link").over(W.partitionBy("file", "chain")) - 1)

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.operators.scopes import Scopes
-from loomspark.operators.tokens import tokens
+from loomspark.operators.tokens import token_parts, tokens
+from loomspark.sources.shared import dealt
 
 #: Words that declare a variable, the type whose constants are taken, and why a name is not emitted.
 VARIABLES, TABLE_TYPE = ("var", "let", "const"), "Routes"
@@ -29,7 +30,8 @@ def produced_names(outputs: DataFrame) -> DataFrame:
     """``path, ordinal, place, name`` of the classes and the constants of type ``Routes`` in the outputs (``path, ordinal, content``)."""
     named = outputs.where("path IS NOT NULL AND ordinal IS NOT NULL").select(F.concat(F.col("ordinal").cast("string"), F.lit(":"), F.col("path")).alias("path"), "content")
     near = W.partitionBy("file").orderBy("place")
-    rows = tokens(named).withColumns({f"b{k}": F.lag("text", k).over(near) for k in (1, 2)} | {f"n{k}": F.lead("text", k).over(near) for k in (1, 2)})
+    parts = token_parts(named)
+    rows = dealt(tokens(named, parts), "produced", "file", parts, lies=True).withColumns({f"b{k}": F.lag("text", k).over(near) for k in (1, 2)} | {f"n{k}": F.lead("text", k).over(near) for k in (1, 2)})
     is_class = (F.col("b1") == "class") & (F.coalesce("b2", F.lit("")) != ".") & ~F.col("text").isin("extends", "implements")
     is_table = F.col("b1").isin(*VARIABLES) & (F.col("n1") == ":") & (F.col("n2") == TABLE_TYPE)
     found = rows.where((F.col("kind") == "name") & (is_class | is_table))

@@ -1,7 +1,8 @@
-"""Nested intervals by windows: partner, depth and innermost container, without joining intervals to places."""
+"""Nested intervals: partner, depth and innermost container, without joining intervals to places; by windows, or by a stack where a worker has a group whole."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,3 +42,32 @@ def nested(rows: DataFrame, keys: list[str], place: str, opens: Column, closes:
     parent = F.max(F.when(F.col("_nest_row.marks"), F.col(place))).over(held)
     found = marks.withColumn("_nest_parent", F.when(F.col("_nest_row.level") > 0, parent)).where("NOT _nest_row.marks")
     return found.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_nest_row.level").alias(f"{prefix}depth"), F.col("_nest_partner").alias(f"{prefix}partner"), F.col("_nest_parent").alias(f"{prefix}parent"))
+
+
+def stacked(steps: np.ndarray, groups: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``depth``, ``partner`` and ``parent`` of ``nested``, -1 for null, of rows that lie in the order of groups and places.
+
+    ``steps``: 1 for a row that opens, -1 for one that closes, 0 for others. Only the ends are walked; what
+    holds another row is what was open after the last end before it.
+    """
+    ends = np.flatnonzero(steps)
+    partner = np.full(len(steps), -1, np.int64)
+    depths, parents, held_depths, held_parents = [], [], [0], [-1]  # of each end, and of what follows it
+    stack, group = [], -1
+    for row, step, of in zip(ends.tolist(), steps[ends].tolist(), groups[ends].tolist(), strict=True):
+        if of != group:
+            stack, group = [], of
+        if step < 0 and stack:
+            opened = stack.pop()
+            partner[opened], partner[row] = places[row], places[opened]
+        depths.append(len(stack))
+        parents.append(stack[-1] if stack else -1)
+        if step > 0:
+            stack.append(row)
+        held_depths.append(len(stack))
+        held_parents.append(stack[-1] if stack else -1)
+    last = np.cumsum(steps != 0)  # how many ends there were up to a row
+    same = np.concatenate([[-1], groups[ends]])[last] == groups
+    depth, parent = np.where(same, np.array(held_depths)[last], 0), np.where(same, np.array(held_parents)[last], -1)
+    depth[ends], parent[ends] = depths, parents
+    return depth, partner, np.where(parent < 0, -1, places[parent])

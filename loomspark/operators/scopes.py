@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators.calls import KEYWORDS, chained, siblings
 from loomspark.operators.nesting import nested
-from loomspark.operators.tokens import bracketed, token_parts, tokens
+from loomspark.operators.tokens import bracketed_tokens, token_parts
 from loomspark.sources.shared import dealt
 
 #: The scope of the file itself.
@@ -87,7 +87,7 @@ class Scopes:
     def of(cls, corpus: DataFrame) -> Scopes:
         """Those of the tokens of a corpus."""
         parts = token_parts(corpus)
-        return cls(bracketed(tokens(corpus, parts)), parts)
+        return cls(dealt(bracketed_tokens(corpus, parts), "laid", "file", parts, lies=True), parts)
 
     def dealt(self, rows: DataFrame, name: str) -> DataFrame:
         return dealt(rows, name, "file", self.parts)

@@ -1,8 +1,8 @@
 """Scripts as a table of tokens: kinds, offsets, lines, and how brackets nest.
 
 A text is cut by one regular expression whose alternatives tile it, so offsets are running
-sums of lengths. Files are dealt by row once; all windows after that work on the file's own
-rows. Nothing is parsed: what tokens and nesting cannot tell is not told.
+sums of lengths. Files are dealt by row once; a worker lays a file's tokens out from its own
+list, and all windows after that work on the file's own rows. Nothing is parsed: what tokens and nesting cannot tell is not told.
 
 Known limits: a slash after ``)`` or ``]`` divides, after other punctuation and some keywords
 it begins a regular expression; template strings hold other templates and braces two deep.
@@ -11,11 +11,14 @@ A null content has no tokens; a file given twice is one file, files of one path
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.operators.nesting import nested
+from loomspark.operators.nesting import nested, stacked
 
 COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/|/\*[\s\S]*"
 STRING = r"'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*+'|" + r'"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*+"'
@@ -38,13 +41,24 @@ def template(depth: int) -> str:
 TOKEN = "|".join([COMMENT, PATTERN, template(2), STRING, NAME, NUMBER, r"\s+", "=>", r"[\s\S]"])
 
 
-def kind_of(text: Column) -> Column:
-    """``space``, ``comment``, ``string``, ``template``, ``pattern``, ``number``, ``name`` or ``sign``."""
-    first, long = F.left(text, F.lit(1)), F.length(text) > 1
-    return (
-        F.when(text.rlike(r"^\s"), "space").when(text.startswith("//") | text.startswith("/*"), "comment").when(first.isin("'", '"') & long, "string")
-        .when((first == "`") & long, "template").when((first == "/") & long, "pattern").when(text.rlike(r"^\.?[0-9]"), "number").when(text.rlike(r"^[0-9A-Za-z_$\x{80}-\x{10FFFF}]"), "name").otherwise("sign")
-    )
+#: Blanks and comments come first.
+KINDS = ("space", "comment", "string", "template", "pattern", "number", "name", "sign")
+OPEN, CLOSE = ("(", "[", "{"), (")", "]", "}")
+TOKEN_FIELDS, NESTED_FIELDS = "place:int,start:int,line:int,kind:string,text:string", ",depth:int,partner:int,parent:int"
+
+
+def kind_of(text: str) -> str:
+    """The kind of a token, by how it begins."""
+    first, long = text[0], len(text) > 1
+    if first in " \t\n\x0b\f\r":
+        return "space"
+    if text.startswith(("//", "/*")):
+        return "comment"
+    if long and first in "'\"`/":
+        return {"`": "template", "/": "pattern"}.get(first, "string")
+    if re.match(r"\.?[0-9]", text):
+        return "number"
+    return "name" if re.match(r"[A-Za-z_$\x80-\U0010FFFF]", text) else "sign"
 
 
 def cut(content: Column) -> Column:
@@ -90,27 +104,65 @@ def files_of(corpus: DataFrame, parts: int | None = None) -> DataFrame:
     return corpus.where("content IS NOT NULL").select(digest.alias("file"), "path", "content").repartition(parts or parts_of(corpus), "file").dropDuplicates(["file"])
 
 
+def laid_out(lists: pa.ListArray, blanks: bool, nest: bool) -> pa.ListArray:
+    """Lists of ``cut`` as lists of ``TOKEN_FIELDS``, with ``NESTED_FIELDS`` if ``nest``."""
+    text, counts = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(counts)), counts)
+    coded = text.dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+    def before(sizes: list[int]) -> np.ndarray:
+        """The sum of what stands before each token in its file."""
+        summed = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64)[codes])])
+        return summed[:-1] - summed[np.cumsum(counts) - counts][of]
+
+    start, line = before([len(w) for w in words]), before([w.count("\n") for w in words]) + 1
+    kind = np.array([KINDS.index(kind_of(w)) for w in words], np.int64)[codes]
+    if not blanks:
+        kept = kind > 1
+        start, line, kind, of, text = start[kept], line[kept], kind[kept], of[kept], text.filter(pa.array(kept))
+        codes, counts = codes[kept], np.bincount(of, minlength=len(counts))
+    place = np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
+    columns = {"place": place, "start": start, "line": line, "kind": pa.array(KINDS).take(pa.array(kind)), "text": text}
+    if nest:
+        steps = np.array([1 if w in OPEN else -1 if w in CLOSE else 0 for w in words], np.int8)[codes]
+        columns |= dict(zip(("depth", "partner", "parent"), stacked(steps, of, place), strict=True))
+    arrays = [pa.array(x, pa.int32(), mask=x < 0) if isinstance(x, np.ndarray) else x for x in columns.values()]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, list(columns)))
+
+
+def rows_of(corpus: DataFrame, parts: int | None, blanks: bool, nest: bool) -> DataFrame:
+    """Tokens of each file from its own list: none is sorted, and they stay where their file was dealt to."""
+
+    @F.arrow_udf(f"array<struct<{TOKEN_FIELDS}{NESTED_FIELDS if nest else ''}>>")
+    def laid(found: pa.Array) -> pa.Array:
+        return laid_out(found, blanks, nest)
+
+    return files_of(corpus, parts or token_parts(corpus)).select("file", "path", F.inline(laid(cut(F.col("content")))))
+
+
 def all_tokens(corpus: DataFrame, parts: int | None = None) -> DataFrame:
     """``file, path, place, start, line, kind, text`` of every token, blanks and comments too."""
-    rows = files_of(corpus, parts or token_parts(corpus)).select("file", "path", F.posexplode(cut(F.col("content"))).alias("place", "text"))
-    at = W.partitionBy("file").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
-    breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
-    start = F.sum(F.length("text")).over(at) - F.length("text")
-    return rows.select("file", "path", "place", start.cast("int").alias("start"), (F.sum(breaks).over(at) - breaks + 1).cast("int").alias("line"), kind_of(F.col("text")).alias("kind"), "text")
+    return rows_of(corpus, parts, True, False)
 
 
 def tokens(corpus: DataFrame, parts: int | None = None) -> DataFrame:
     """The tokens that are neither blanks nor comments, their places counted from 0 without those."""
-    kept = all_tokens(corpus, parts).where("kind NOT IN ('space', 'comment')")
-    return kept.withColumn("place", (F.row_number().over(W.partitionBy("file").orderBy("place")) - 1).cast("int"))
+    return rows_of(corpus, parts, False, False)
+
+
+def bracketed_tokens(corpus: DataFrame, parts: int | None = None) -> DataFrame:
+    """``bracketed(tokens(corpus))``, a file's brackets paired where its tokens are laid out."""
+    return rows_of(corpus, parts, False, True)
 
 
 def is_open(text: Column) -> Column:
-    return text.isin("(", "[", "{")
+    return text.isin(*OPEN)
 
 
 def is_close(text: Column) -> Column:
-    return text.isin(")", "]", "}")
+    return text.isin(*CLOSE)
 
 
 def bracketed(rows: DataFrame) -> DataFrame:

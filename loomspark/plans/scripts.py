@@ -67,7 +67,7 @@ def script_tokens(spark, sf_dir):
 
 
 def script_brackets(spark, sf_dir):
-    rows = tokens.bracketed(tokens.tokens(sql(spark, sf_dir, SCRIPTS)))
+    rows = tokens.bracketed_tokens(sql(spark, sf_dir, SCRIPTS))
     return rows.select("path", "place", "text", "depth", "partner", "parent")
 
 

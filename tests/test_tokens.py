@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,28 @@ def test_parts_of_tokens_are_smaller_than_those_of_contents_and_no_more_than_buc
     assert tokens.token_parts(corpus) == tokens.all_tokens(corpus).rdd.getNumPartitions() == calls.Script.of(corpus).parts == 6
     monkeypatch.setattr(tokens, "MOST_PARTS", 4)
     assert tokens.token_parts(corpus) == 4 and tokens.token_parts(corpus.limit(0)) == 1
+
+
+def test_a_stack_in_the_worker_nests_as_windows_do():
+    rng = random.Random(8)
+    cases = ["", ")", "(", "x", "())(()", "x((((", "))))(x)", ""] + ["".join(rng.choice("()x" if k % 3 else "(()x") for _ in range(rng.randint(0, 60))) for k in range(60)]
+    steps = np.array([{"(": 1, ")": -1, "x": 0}[c] for signs in cases for c in signs], np.int8)
+    groups, places = (np.array(x) for x in zip(*((k, p) for k, signs in enumerate(cases) for p in range(len(signs))), strict=True))
+    got = [(d, *(None if x < 0 else x for x in rest)) for d, *rest in zip(*(x.tolist() for x in nesting.stacked(steps, groups, places)), strict=True)]
+    assert got == [row for signs in cases for row in plain_stack(signs)]
+    assert [len(x) for x in nesting.stacked(steps[:0], groups[:0], places[:0])] == [0, 0, 0]
+
+
+def test_no_token_is_sorted_to_be_laid_out_and_paired(spark):
+    texts = ("f(a, [b], { c: (d) })) // (\n}} g(", ") ] x", "", None, " \n", "((", "é = `(`; h('𝔘(') /[(]/ (")
+    df = corpus_of(spark, *texts, *(f"f({k})" for k in range(300)))
+    for rows in (tokens.all_tokens(df), tokens.tokens(df), tokens.bracketed_tokens(df)):
+        assert "Window" not in rows._jdf.queryExecution().sparkPlan().toString()
+    script = calls.Script(df)
+    plan = calls.promise_chains(script)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan, "windows of a file find its tokens where they lie"
+    assert len({f.rsplit("_", 1)[-1] for f in script.rows.inputFiles()}) == len(script.rows.inputFiles()) <= script.parts, "one file a bucket"
+    by_windows = tokens.bracketed(tokens.tokens(df))
+    found = tokens.bracketed_tokens(df)
+    assert found.columns == by_windows.columns and [f.dataType for f in found.schema] == [f.dataType for f in by_windows.schema]
+    assert sorted(map(str, found.collect())) == sorted(map(str, by_windows.collect())) and found.count() > 1000
