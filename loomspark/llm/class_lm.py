@@ -39,7 +39,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -55,7 +55,11 @@ from loomspark.llm.words import blank_words, slices, text_bytes
 #: Weight of the class frequencies in the smoothed transitions.
 PRIOR = 5.0
 #: Pairs that a task gathers before it counts them.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
+#: Cells that a task places at once: each takes a number for every class, several times over.
+HELD = 1 << 13
+#: Distinct words that a task counts before it sends them on.
+COUNTED = 1 << 17
 
 
 def left_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -77,7 +81,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             for text in text_bytes(batch.column("text")):
                 seen.update(blank_words(text))
-            if len(seen) > 1 << 19:
+            if len(seen) > COUNTED:
                 yield written()
         yield written()
 
@@ -98,7 +102,11 @@ class Vocabulary:
     @property
     def end(self) -> int:
         """The end token's number."""
-        return len(self.words)
+        return len(self.counts)
+
+    def bare(self) -> Vocabulary:
+        """Without the words, for what has their numbers."""
+        return replace(self, words={})
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
         """The numbers of words; -1: not in the head."""
@@ -372,10 +380,10 @@ def placed_items(cells: DataFrame, sums: np.ndarray, choices: int, few: bool) ->
             spots, spot = np.unique(of * width + cell, return_inverse=True)
             return here.placed(names, np.full(len(names), -1), spots // width, spots % width, np.bincount(spot, n).astype(np.int64))
 
-        for batch in slices(batches, 1 << 14):
+        for batch in slices(batches, HELD):
             new = [batch.column(c).to_numpy().astype(np.int64) for c in ("item", "cell", "n")]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if len(held[0]) < 1 << 14:
+            if len(held[0]) < HELD:
                 continue
             last = np.searchsorted(held[0], held[0][-1])  # rows are in order; the last item may go on
             if last:
@@ -423,7 +431,7 @@ def exchange_round(state: DataFrame, sums: np.ndarray, choices: int, part: int,
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Round(sums, choices)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 512, 8 * HELD, "cells"):
             cells, sizes = unpacked(batch.column("cells"), np.int64)
             items, at = batch.column("item").to_numpy(), np.repeat(np.arange(batch.num_rows), sizes)
             with np.errstate(over="ignore"):
@@ -546,14 +554,16 @@ def train(docs: DataFrame, head: int = 200_000, seeds: int = 1024, classes: int
     Returns it, the words outside its head (``hash, n, class``), and all of ``docs`` encoded.
     """
     vocab = vocabulary(docs.where(~F.col("held_out")), head)
-    code = stored(encoded(docs, docs.sparkSession.sparkContext.broadcast(vocab)), "encoded", "zstd")
-    texts, seeds = code.where(~F.col("held_out")), min(seeds, len(vocab.words))
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+    code = stored(encoded(docs, sent), "encoded", "zstd")
+    sent.destroy()
+    texts, seeds = code.where(~F.col("held_out")), min(seeds, vocab.end)
     end, rest, width = classes, classes + 1, classes + 2
     log = lambda step: None if rises is None else rises.setdefault(step, [])
 
     pairs = seed_pairs(texts, vocab.end, seeds)
     of_seeds = exchanged_seeds(pairs, classes, least_rise, log("seeds"))
-    beside = np.full(len(vocab.words) + 2, rest)
+    beside = np.full(vocab.end + 2, rest)
     beside[:seeds], beside[-2] = of_seeds, end
     one = np.eye(width)[np.append(of_seeds, [end, rest])]
     table = one.T @ pairs @ one
@@ -631,11 +641,11 @@ def class_lm_scores(docs: DataFrame, held_out: Column | None = None, **options)
 
 def scored_rows(code: DataFrame, model: ClassModel) -> DataFrame:
     """What the model says of every encoded row, and in ``hashes`` and ``around`` what is to be joined for it."""
-    sent = code.sparkSession.sparkContext.broadcast(model)
+    sent = code.sparkSession.sparkContext.broadcast(replace(model, vocab=model.vocab.bare()))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 256):
             if found := model.scores(batch):
                 own = ["row", "doc_id", "held_out"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *found.values()], names=[*own, *found])

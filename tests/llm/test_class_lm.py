@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -185,3 +186,25 @@ def test_nothing_to_train_on(spark):
     held_out = next(k for k in range(100) if held(k))
     got = lm.class_lm_scores(spark.createDataFrame([(held_out, "some words")], "doc_id long, text string"), **SMALL).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0)]
+
+
+def test_what_a_task_holds_at_once(spark, monkeypatch):
+    """An exchange places few cells at once, whatever its items have, and scoring is sent no words."""
+    seen, best = [], lm.best_classes
+    sums, items = np.ones((6, 12)), 400
+    cells = [np.arange(12) + 12 * np.arange(1, 13)] * items
+    state = pa.RecordBatch.from_arrays([pa.array(np.arange(items)), pa.array(np.zeros(items), pa.int32()), lm.packed(cells, np.int64)], names=["item", "own", "cells"])
+    monkeypatch.setattr(lm, "HELD", 100)
+    monkeypatch.setattr(lm, "best_classes", lambda own, at, *more: seen.append(len(at)) or best(own, at, *more))
+
+    class Rows:
+        def where(self, condition):
+            return self
+
+        def mapInArrow(self, moved, schema):  # noqa: N802
+            return list(moved(iter([state])))
+
+    got = lm.exchange_round(Rows(), sums, 4, 1, 1)
+    assert max(seen) <= 100 and sum(seen) == 12 * items and sum(b.num_rows for b in got if b.column("item").null_count == 0) == items
+    vocab = lm.Vocabulary({b"a": 0, b"b": 1}, np.array([3, 2]), 2, 7, 3, 0)
+    assert (vocab.bare().words, vocab.bare().end, vocab.end) == ({}, 2, 2)
