@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import text as fx
 from loomspark.operators import assemble, calls, evidence, facts, report, rewrite, templates
 from loomspark.plans import oracle
-from loomspark.plans.tables import FACT_CORPUS, SCOPE_CORPUS, SECRET_CORPUS, fresh_dir, read, sql
+from loomspark.plans.tables import FACT_CORPUS, SCOPE_CORPUS, SECRET_CORPUS, fresh_dir, read, sql, texts
 from loomspark.plans.whole_run import whole_run
 from loomspark.streaming import live
 from loomspark.streaming.allowances import Allowance, decisions
@@ -116,28 +116,28 @@ def emitted_paths(spark, sf_dir):
 
 
 def filter_pipes(spark, sf_dir):
-    return assemble.filters_with_pipes(calls.registrations(sql(spark, sf_dir, INJECTED)).withColumnRenamed("at", "ordinal"), sql(spark, sf_dir, EMITTED)).select("path", "name", "emitted_path")
+    return assemble.filters_with_pipes(calls.registrations(texts(spark, sf_dir, INJECTED)).withColumnRenamed("at", "ordinal"), sql(spark, sf_dir, EMITTED)).select("path", "name", "emitted_path")
 
 
 def component_registrations(spark, sf_dir):
-    found = calls.registrations(sql(spark, sf_dir, COMPONENTS))
+    found = calls.registrations(texts(spark, sf_dir, COMPONENTS))
     return found.select("path", "line", "kind", "name", F.array_join("dependencies", ",").alias("dependencies"))
 
 
 def injections(spark, sf_dir):
-    return calls.array_injections(sql(spark, sf_dir, INJECTED)).select("path", "name", F.size("dependencies").alias("n_names"), F.size("parameters").alias("n_parameters"), "reason")
+    return calls.array_injections(texts(spark, sf_dir, INJECTED)).select("path", "name", F.size("dependencies").alias("n_names"), F.size("parameters").alias("n_parameters"), "reason")
 
 
 def bound_parameters(spark, sf_dir):
-    return facts.bound_parameters(calls.array_injections(sql(spark, sf_dir, INJECTED))).groupBy("dependency", "parameter").agg(F.count("*").alias("n"))
+    return facts.bound_parameters(calls.array_injections(texts(spark, sf_dir, INJECTED))).groupBy("dependency", "parameter").agg(F.count("*").alias("n"))
 
 
 def scope_events(spark, sf_dir):
-    return calls.event_usages(sql(spark, sf_dir, INJECTED)).select("path", "line", "receiver", "event", "kind")
+    return calls.event_usages(texts(spark, sf_dir, INJECTED)).select("path", "line", "receiver", "event", "kind")
 
 
 def scope_event_buses(spark, sf_dir):
-    return rewrite.event_buses(facts.paired_events(calls.event_usages(sql(spark, sf_dir, INJECTED)).select("path", "event", "kind", F.col("start").alias("ordinal"))))
+    return rewrite.event_buses(facts.paired_events(calls.event_usages(texts(spark, sf_dir, INJECTED)).select("path", "event", "kind", F.col("start").alias("ordinal"))))
 
 
 def markup_checks(spark, sf_dir):
@@ -219,7 +219,7 @@ UNION ALL SELECT concat('app/c', cast(o_custkey AS string), '.js'), concat('S',
 
 def whole_run_report(spark, sf_dir):
     """From scripts, templates and evidence to a report of every file, all stages stored."""
-    files = sql(spark, sf_dir, FACT_CORPUS).unionByName(sql(spark, sf_dir, SCOPE_CORPUS)).unionByName(sql(spark, sf_dir, SECRET_CORPUS))
+    files = texts(spark, sf_dir, FACT_CORPUS).unionByName(sql(spark, sf_dir, SCOPE_CORPUS)).unionByName(sql(spark, sf_dir, SECRET_CORPUS))
     return whole_run(files, sql(spark, sf_dir, EVIDENCE), fresh_dir(spark, "run"))
 
 

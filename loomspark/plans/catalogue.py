@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import text as fx
 from loomspark.operators import calls, facts, listing, report, rewrite, secrets, templates, verify
 from loomspark.plans import assembly, markup, oracle, scripts
-from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FACT_CORPUS, FILES, LISTING, SCAN, SCOPE_CORPUS, SECRET_CORPUS, fresh_dir, read, sql
+from loomspark.plans.tables import ARTIFACTS, DECLARATIONS, FACT_CORPUS, FILES, LISTING, SCAN, SCOPE_CORPUS, SECRET_CORPUS, fresh_dir, read, sql, texts
 from loomspark.sources import corpus
 from loomspark.sources.files import read_files
 from loomspark.streaming import live
@@ -56,29 +56,29 @@ def scope_counts(spark, sf_dir):
 
 
 def modules(spark, sf_dir):
-    found = calls.modules(sql(spark, sf_dir, FACT_CORPUS))
+    found = calls.modules(texts(spark, sf_dir, FACT_CORPUS))
     return found.select("path", "line", "name", F.array_join("depends_on", ",").alias("depends_on"))
 
 
 def module_edges(spark, sf_dir):
-    return calls.module_edges(sql(spark, sf_dir, FACT_CORPUS)).groupBy("depends_on").agg(F.count("*").alias("modules"))
+    return calls.module_edges(texts(spark, sf_dir, FACT_CORPUS)).groupBy("depends_on").agg(F.count("*").alias("modules"))
 
 
 def registrations(spark, sf_dir):
-    found = calls.registrations(sql(spark, sf_dir, FACT_CORPUS))
+    found = calls.registrations(texts(spark, sf_dir, FACT_CORPUS))
     return found.select("path", "line", "kind", "name", F.array_join("dependencies", ",").alias("dependencies"))
 
 
 def routes(spark, sf_dir):
-    return calls.routes(sql(spark, sf_dir, FACT_CORPUS)).select("path", "line", "provider", "path_or_state")
+    return calls.routes(texts(spark, sf_dir, FACT_CORPUS)).select("path", "line", "provider", "path_or_state")
 
 
 def watches(spark, sf_dir):
-    return calls.watches(sql(spark, sf_dir, FACT_CORPUS)).select("path", "line", "method", "expression")
+    return calls.watches(texts(spark, sf_dir, FACT_CORPUS)).select("path", "line", "method", "expression")
 
 
 def inventory_counts(spark, sf_dir):
-    return calls.inventory(sql(spark, sf_dir, FACT_CORPUS))
+    return calls.inventory(texts(spark, sf_dir, FACT_CORPUS))
 
 
 def event_pairs(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.operators import calls, constants, declared, fields, reach, scopes, tokens
-from loomspark.plans.tables import sql
+from loomspark.plans.tables import sql, texts
 
 #: Scripts with what text search takes for calls: comments, strings with the other quote, patterns with quotes, templates, and shadowed names.
 SCRIPTS = """
@@ -63,34 +63,34 @@ FROM orders"""
 
 
 def script_tokens(spark, sf_dir):
-    return tokens.all_tokens(sql(spark, sf_dir, SCRIPTS)).where("kind <> 'space'").select("path", "start", "line", "kind", "text")
+    return tokens.all_tokens(texts(spark, sf_dir, SCRIPTS)).where("kind <> 'space'").select("path", "start", "line", "kind", "text")
 
 
 def script_brackets(spark, sf_dir):
-    rows = tokens.bracketed_tokens(sql(spark, sf_dir, SCRIPTS))
+    rows = tokens.bracketed_tokens(texts(spark, sf_dir, SCRIPTS))
     return rows.select("path", "place", "text", "depth", "partner", "parent")
 
 
 def script_registrations(spark, sf_dir):
-    found = calls.registrations(sql(spark, sf_dir, SCRIPTS))
+    found = calls.registrations(texts(spark, sf_dir, SCRIPTS))
     return found.select("path", "line", "kind", "name", F.array_join("dependencies", ",").alias("dependencies"))
 
 
 def script_watches(spark, sf_dir):
-    return calls.watches(sql(spark, sf_dir, SCRIPTS)).select("path", "line", "method", "expression")
+    return calls.watches(texts(spark, sf_dir, SCRIPTS)).select("path", "line", "method", "expression")
 
 
 def script_routes(spark, sf_dir):
-    return calls.routes(sql(spark, sf_dir, SCRIPTS)).select("path", "line", "provider", "path_or_state")
+    return calls.routes(texts(spark, sf_dir, SCRIPTS)).select("path", "line", "provider", "path_or_state")
 
 
 def promise_chains(spark, sf_dir):
-    return calls.promise_chains(sql(spark, sf_dir, SCRIPTS)).select("path", "line", "verb", "depth", "reason")
+    return calls.promise_chains(texts(spark, sf_dir, SCRIPTS)).select("path", "line", "verb", "depth", "reason")
 
 
 def name_bindings(spark, sf_dir):
     """How often each name of each file is bound to the file, to a function in it, and to nothing."""
-    found = scopes.Scopes.of(sql(spark, sf_dir, SCRIPTS)).bindings()
+    found = scopes.Scopes.of(texts(spark, sf_dir, SCRIPTS)).bindings()
     of_file = F.col("scope") == scopes.FILE
     counts = [F.count_if(c).alias(n) for n, c in (("of_file", of_file), ("of_function", ~of_file), ("free", F.col("scope").isNull()))]
     return found.groupBy("path", "name").agg(*counts)
@@ -98,7 +98,7 @@ def name_bindings(spark, sf_dir):
 
 def lifted_helpers(spark, sf_dir):
     """What each controller's definition needs of its file, directly or through other functions."""
-    script = calls.Script(sql(spark, sf_dir, SCRIPTS))
+    script = calls.Script(texts(spark, sf_dir, SCRIPTS))
     spans = script.calls.where("method = 'controller'").select("file", "path", F.col("open").alias("start"), F.col("close").alias("stop"))
     found = reach.lifted(scopes.Scopes(script.rows, script.parts), spans.drop("path"))
     return found.join(spans.select("file", "path").distinct(), "file").select("path", "name", "line", "steps")
@@ -128,7 +128,7 @@ def assigned_fields(spark, sf_dir):
 
 
 def added_declarations(spark, sf_dir):
-    return declared.added_declarations(sql(spark, sf_dir, OUTPUTS), sql(spark, sf_dir, ORIGINALS))
+    return declared.added_declarations(texts(spark, sf_dir, OUTPUTS), texts(spark, sf_dir, ORIGINALS))
 
 
 QUERIES = {f.__name__: f for f in (added_declarations, script_tokens, script_brackets, script_registrations, script_watches, script_routes, promise_chains, name_bindings, lifted_helpers, reachable_lines, constant_values, request_urls, assigned_fields)}

@@ -8,6 +8,7 @@ same rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,9 +97,24 @@ FROM supplier"""
 NAMES = "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split()
 
 
-def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """``text`` over the tables of ``sf_dir``, passed as named frames."""
-    used = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in NAMES if f" {n}" in text.replace("\n", " ")}
+#: Rows that a task makes texts of: a row of a few bytes becomes a text of a thousand and more.
+TEXT_ROWS = 1 << 14
+
+
+def spread(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
+    """``df`` dealt by its first column so that a task has about ``rows`` rows; what is one part stays as read."""
+    parts = 1 + df.count() // rows
+    return df.repartition(parts, f"`{df.columns[0]}`") if parts > 1 else df
+
+
+def texts(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """``sql`` for texts put together from keys. The rows are spread while they are small: a file of keys that one task reads may be gigabytes of texts."""
+    return sql(spark, sf_dir, text, spread)
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str, dealt: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``text`` over the tables of ``sf_dir``, each as ``dealt`` gives it, passed as named frames."""
+    used = {n: dealt(spark.read.parquet(f"{sf_dir}/{n}.parquet")) for n in NAMES if f" {n}" in text.replace("\n", " ")}
     text = text.replace("{", "{{").replace("}", "}}") if used else text
     for name in used:
         text = text.replace(f"FROM {name}", f"FROM {{{name}}} AS {name}").replace(f"JOIN {name}", f"JOIN {{{name}}} AS {name}")
