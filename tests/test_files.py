@@ -1,4 +1,6 @@
 import os
+import threading
+import time
 
 import pytest
 
@@ -70,3 +72,36 @@ def test_a_second_attempt_writes_each_file_once(spark, tmp_path):
     finally:
         files.TaskContext = old
     assert tree(tmp_path) == {"out/a": b"1", "out/b": b"2"}
+
+
+def test_files_of_a_distant_root_are_moved_at_once(tmp_path, monkeypatch):
+    """Moves wait for the file system, so many are under way; every file comes to its place, in folders of any depth."""
+    from loomspark.sources import files
+
+    at_once, most, lock, opened = [0], [0], threading.Lock(), files.opened
+
+    class Distant:
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def move(self, *args):
+            with lock:
+                at_once[0] += 1
+                most[0] = max(most[0], at_once[0])
+            time.sleep(0.005)
+            self.system.move(*args)
+            with lock:
+                at_once[0] -= 1
+
+    paths = [f"{'ab'[k % 2]}/{k % 5}/deep/{k}" for k in range(60)] + ["top"]
+    monkeypatch.setattr(files, "MOVED", 2)
+    monkeypatch.setattr(files, "opened", lambda root: (Distant(opened(root)[0]), opened(root)[1]))
+    writer = files.FilesWriter(str(tmp_path / "out"), None, True)
+    for path in paths:
+        os.makedirs(os.path.dirname(f"{writer.staging}/t/{path}"), exist_ok=True)
+        open(f"{writer.staging}/t/{path}", "w").write(path)
+    writer.commit([files.Written("t", paths), None])
+    assert tree(tmp_path) == {f"out/{p}": p.encode() for p in paths} and most[0] > 1
