@@ -34,7 +34,7 @@ from loomspark.llm.tables import stored
 BLOCK_BYTES = 1 << 20
 #: Segments of each vocabulary whose ids a worker keeps.
 KEPT = 1 << 18
-#: Blocks whose answers a task gathers: each is some MB on the heap.
+#: Blocks that a task writes or reads at once, and whose answers it gathers: each is some MB on the heap.
 GATHERED = 8
 PAIR_BITS = 32
 
@@ -196,7 +196,7 @@ def alignment_report(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame
 
     ``byte_level``, ``pieces``: paths of the two vocabularies, read on the driver and broadcast.
     """
-    blocks = stored(aligned_blocks(docs, byte_level, pieces), "aligned", "zstd")
+    blocks = stored(aligned_blocks(docs, byte_level, pieces), "aligned", "zstd", GATHERED)
     counts = stored(pair_counts(blocks), "pairs", "zstd")
     first = F.shiftright("pair", PAIR_BITS)
     highest = counts.groupBy(first.alias("a")).agg(F.max("n").alias("most"))

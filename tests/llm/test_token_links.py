@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -12,6 +13,7 @@ from loomspark.llm import token_links as tl
 from loomspark.llm.bpe_count import byte_symbols
 from loomspark.llm.library_ids import PieceIds
 from loomspark.llm.queries import op13_token_links
+from loomspark.llm.tables import stored
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -117,3 +119,20 @@ def test_a_task_gathers_a_few_blocks_however_many_there_are(spark):
         assert whole == {r.doc_id: r.count_sum for r in report.collect()} and len(whole) == 100
     finally:
         spark.conf.set(name, before)
+
+
+def test_blocks_are_read_a_few_at_once_however_many_a_task_wrote(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(tl, "stored", lambda df, name, *more: kept.setdefault(name, stored(df, name, *more)))
+    docs = spark.createDataFrame([(i, f"word {i} of {i % 3}") for i in range(100)], "doc_id long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")  # a batch is a block at least
+    try:
+        assert tl.alignment_report(docs, A, B).count() == 100
+    finally:
+        spark.conf.set(name, before)
+    (path,) = kept["aligned"].inputFiles()
+    found = pq.ParquetFile(path.removeprefix("file:")).metadata
+    sizes = [found.row_group(k).num_rows for k in range(found.num_row_groups)]
+    assert sum(sizes) == 50 and max(sizes) <= tl.GATHERED
