@@ -2,7 +2,7 @@
 
 A variable has a value if it is declared once, by ``var``, ``let`` or ``const``, with a sum of
 strings and of names that have one, and never written to again. Values spread along the edges
-``name = a + b``: a round gives the variables whose names have all got theirs, so what goes
+``name = a + b``: a variable gets its value when the last of its names has got one, so what goes
 round in a circle, or hangs on a parameter or a name from outside, never gets one.
 
 Told as written to: assignments of all kinds, ``++`` and ``--``, loops ``for (a in b)``, and names in
@@ -14,159 +14,55 @@ That a ``var`` is read before its line is reached is not told.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from functools import partial
 
-from loomspark.operators.calls import method_calls, siblings
-from loomspark.operators.scopes import NO_VARIABLE, Scopes, innermost
-from loomspark.operators.tokens import literal
-from loomspark.sources.shared import removed
+import numpy as np
+from pyspark.sql import DataFrame
 
-#: A value longer than this many characters is none: sums of sums double.
-LONGEST = 10_000
-#: Signs that write to the name before them, and words that go on with an expression.
-WRITES = r"^(?:=(?![=>])|(?:\*\*|<<|>>>?|&&|\|\||\?\?|[-+*/%&|^])=(?!=)|\+\+|--)"
-GOING_ON = ("in", "instanceof", "of")
-VERBS = ("get", "delete", "head", "post", "put", "patch", "jsonp")
+from loomspark.operators import filewise
+from loomspark.operators.filewise import MANY, NO_SUM, NO_URL, NO_VALUE, WRITTEN, Files, added_up, ints, strings
+from loomspark.operators.scopes import Scopes
 
-MANY, WRITTEN, NO_SUM, NO_VALUE = "declared more than once", "written to later", "not a sum of strings and names", "needs a name that has no value"
-NO_URL = "no url"
-
-
-def text_of(kind: Column, text: Column) -> Column:
-    """What a token says as a string; null if it is none or is not plain."""
-    plain = ~text.rlike(r"\\[^'\"\\]")
-    whole = ~text.rlike(r"[\\]|\$\{")
-    return F.when((kind == "string") & plain, literal(text)).when((kind == "template") & whole, F.substring(text, F.lit(2), F.length(text) - 2))
-
-
-def signs_after(how_many: int = 4) -> Column:
-    """The signs that follow a token without a gap, blanks before the first aside."""
-    near, found, touching = siblings(), F.coalesce(F.lead("text").over(siblings()), F.lit("")), F.lit(True)
-    for k in range(2, how_many + 1):
-        end = F.lead("start", k - 1).over(near) + F.length(F.lead("text", k - 1).over(near))
-        touching = touching & (F.lead("start", k).over(near) == end)
-        found = F.concat(found, F.when(touching, F.lead("text", k).over(near)).otherwise(""))
-    return found
-
-
-def writes(found: Scopes) -> DataFrame:
-    """``file, place`` of names that are written to after their declaration, or by it in a loop."""
-    near = siblings()
-    touching = F.lag("start", 1).over(near) == F.lag("start", 2).over(near) + 1
-    twice = touching & F.concat("b2", "b1").isin("++", "--")
-    rows = found.rows.withColumns({"_after": signs_after(), "_twice": F.coalesce(twice, F.lit(False))})
-    told = rows.withColumn("_written", F.col("_after").rlike(WRITES) | F.col("n1").isin("in", "of") | F.col("_twice"))
-    closed = told.withColumn("_shut_written", F.lead("_written").over(near))
-    listed = found.functions.where("parameters IS NOT NULL").select("file", F.col("parameters").alias("parent"), F.lit(True).alias("_listed"))
-    closed = closed.join(listed, ["file", "parent"], "left")
-    pattern = F.col("text").isin("[", "{") & ~F.col("_on") & (F.col("_shut_written") | F.col("_listed"))
-    caught = (F.col("text") == "(") & (F.col("b1") == "catch")
-    spans = closed.where((F.col("partner") > F.col("place")) & (pattern | caught)).select("file", F.col("place").alias("start"), F.col("partner").alias("stop"))
-    direct = told.where("kind = 'name' AND _written").select("file", "place")
-    within = innermost(found.rows.where("kind = 'name'").select("file", "place"), spans, ["file"], "_pattern", found.parts).where("_pattern IS NOT NULL")
-    return direct.union(within.select("file", "place")).distinct()
-
-
-def sums(found: Scopes, heads: DataFrame) -> DataFrame:
-    """``file, head, terms``: what is added up in the expression that begins at the place ``head``; null if it is no sum of strings and names.
-
-    ``terms``: ``place, text`` (null for a name), ``name``. An expression ends at a comma, a semicolon, the end of its bracket, or at a new line that
-    does not go on with it.
-    """
-    at, near = siblings().rowsBetween(W.unboundedPreceding, 0), siblings()
-    rows = found.rows.join(heads.select("file", F.col("head").alias("place"), F.lit(True).alias("_begins")), ["file", "place"], "left")
-    rows = rows.withColumns({"head": F.max(F.when(F.col("_begins"), F.col("place"))).over(at), "_was_line": F.lag("line").over(near)}).where("head IS NOT NULL")
-    own = W.partitionBy("file", "parent", "head").orderBy("place")
-    value = text_of(F.col("kind"), F.col("text"))
-    name = F.when((F.col("kind") == "name") & ~F.col("text").isin(*NO_VARIABLE), F.col("text"))
-    odd = F.row_number().over(own) % 2 == 1
-    fits = F.when(odd, value.isNotNull() | name.isNotNull()).otherwise(F.col("text") == "+")
-    new_line = (F.col("line") > F.col("_was_line")) & (F.col("kind").isin("name", "string", "number") | F.col("text").isin("{", "}")) & ~F.col("text").isin(*GOING_ON)
-    ends = F.coalesce(~odd & (F.col("text").isin(",", ";") | new_line), F.lit(False))
-    told = rows.withColumns({"_value": value, "_name": name, "_odd": odd, "_bad": ~F.coalesce(fits, F.lit(False)), "_ends": ends})
-    first = F.min(F.when(F.col("_bad"), F.struct("place", "_ends"))).over(W.partitionBy("file", "parent", "head"))
-    kept = told.withColumn("_stop", first).withColumn("_last", F.max(F.when(F.col("_stop").isNull() | (F.col("place") < F.col("_stop.place")), F.struct("place", "_odd"))).over(W.partitionBy("file", "parent", "head")))
-    term = F.struct("place", F.col("_value").alias("text"), F.col("_name").alias("name"))
-    inside = F.col("_odd") & (F.col("_stop").isNull() | (F.col("place") < F.col("_stop.place")))
-    whole = F.first(F.coalesce(F.col("_stop._ends"), F.lit(True)) & F.coalesce(F.col("_last._odd"), F.lit(False)))
-    listed = kept.groupBy("file", "head").agg(F.array_sort(F.collect_list(F.when(inside, term))).alias("terms"), whole.alias("_whole"))
-    return listed.select("file", "head", F.when(F.col("_whole"), F.col("terms")).alias("terms"))
+VERBS = ("get", "delete", "head", "post", "put", "patch", "jsonp")
+__all__ = ["MANY", "NO_SUM", "NO_URL", "NO_VALUE", "VERBS", "WRITTEN", "Constants", "constants", "request_urls"]
 
 
 class Constants:
-    """What the variables of ``found`` stand for: ``values`` has ``file, place`` (of the declaration), ``value``."""
+    """What the variables of ``found`` stand for."""
 
     def __init__(self, found: Scopes):
         self.found = found
-        self.bound = found.dealt(found.bindings().where("scope IS NOT NULL").select("file", "place", "name", "scope"), "bound")
-        self.declared = found.dealt(found.declarations().groupBy("file", "name", "scope").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.min_by("how", "place").alias("how")), "declared")
-        self.variables = found.dealt(self.read(), "variables")
-        self.values = self.spread()
-
-    def read(self) -> DataFrame:
-        """``file, path, name, scope, place, line, terms, fault``: every variable that is declared with a value."""
-        rows = self.found.rows.withColumn("head", F.lead("place", 2).over(siblings())).where("kind = 'name' AND n1 = '='").select("file", "path", "place", "line", "head")
-        one = self.found.dealt(self.declared.where("how IN ('var', 'let', 'const')").join(rows, ["file", "place"]), "heads")
-        again = writes(self.found).join(self.bound, ["file", "place"]).join(self.declared.select("file", "name", "scope", F.col("place").alias("_own")), ["file", "name", "scope"])
-        later = again.where("place <> _own").select("file", "name", "scope").distinct().withColumn("_again", F.lit(True))
-        told = one.join(later, ["file", "name", "scope"], "left").join(sums(self.found, one.where("head IS NOT NULL")), ["file", "head"], "left")
-        fault = F.when(F.col("n") > 1, MANY).when(F.col("_again"), WRITTEN).when(F.col("terms").isNull(), NO_SUM)
-        return told.select("file", "path", "name", "scope", "place", "line", "terms", fault.alias("fault"))
-
-    def terms(self, of: DataFrame) -> DataFrame:
-        """``file, owner, ordinal, total, text, ref`` of expressions (``file, owner, terms``): ``ref`` is the place of the variable that a name stands for, null if none."""
-        each = of.where("terms IS NOT NULL").select("file", "owner", F.size("terms").alias("total"), F.posexplode("terms").alias("ordinal", "t"))
-        flat = each.select("file", "owner", "ordinal", "total", F.col("t.place").alias("place"), F.col("t.text").alias("text"))
-        usable = self.variables.where("fault IS NULL").select("file", "name", "scope", F.col("place").alias("ref"))
-        refs = self.bound.join(usable, ["file", "name", "scope"]).select("file", "place", "ref")
-        return flat.join(refs, ["file", "place"], "left").drop("place")
-
-    def spread(self) -> DataFrame:
-        """Round by round, the variables all of whose terms are known; as many rounds as the longest chain of names. Each round's tables are written, the last's deleted."""
-        every = self.terms(self.variables.where("fault IS NULL").withColumn("owner", F.col("place")))
-        hopeless = F.bool_or(F.col("text").isNull() & F.col("ref").isNull()).over(W.partitionBy("file", "owner"))
-        waiting = self.found.dealt(every.withColumn("_hopeless", hopeless).where("NOT _hopeless").drop("_hopeless"), "waiting")
-        known = self.found.dealt(waiting.select("file", F.col("owner").alias("place"), F.col("text").alias("value")).limit(0), "values")
-        while True:
-            new = self.found.dealt(added_up(waiting), "new")
-            if new.isEmpty():
-                removed(new)
-                removed(waiting)
-                return known
-            more = self.found.dealt(known.unionByName(new), "values")
-            rest = waiting.join(new.select("file", F.col("place").alias("owner")), ["file", "owner"], "left_anti")
-            filled = rest.join(new.select("file", F.col("place").alias("ref"), "value"), ["file", "ref"], "left")
-            after = self.found.dealt(filled.select("file", "owner", "ordinal", "total", F.coalesce("text", "value").alias("text"), "ref"), "waiting")
-            for used in (waiting, known, new):
-                removed(used)
-            waiting, known = after, more
-
-
-def added_up(terms: DataFrame) -> DataFrame:
-    """``file, place, value`` of the expressions of which every term is known; too long ones have none."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda t: t["text"])
-    length = F.sum(F.length("text"))
-    whole = terms.groupBy("file", "owner").agg(F.when((F.count("text") == F.max("total")) & (length <= LONGEST), F.array_join(parts, "")).alias("value"))
-    return whole.where("value IS NOT NULL").select("file", F.col("owner").alias("place"), "value")
+
+
+def told_constants(files: Files) -> tuple[np.ndarray, dict]:
+    v = files.variables
+    reason = [f or (NO_VALUE if x is None else None) for f, x in zip(v["fault"], v["value"], strict=True)]
+    return files.of[v["token"]], {"name": filewise.words(files, v["token"]), "line": ints(files.line[v["token"]]), "value": strings(v["value"]), "reason": strings(reason)}
 
 
 def constants(known: Constants) -> DataFrame:
     """``path, name, line, value, reason`` of every variable that is declared with a value: the string it stands for, or why it has none."""
-    told = known.variables.join(known.values, ["file", "place"], "left")
-    reason = F.coalesce("fault", F.when(F.col("value").isNull(), NO_VALUE))
-    return told.select("path", "name", "line", "value", reason.alias("reason"))
+    return filewise.told(known.found.lists, told_constants, "name string, line int, value string, reason string").drop("file")
+
+
+def told_urls(files: Files, root: str) -> tuple[np.ndarray, dict]:
+    calls, known = files.calls(VERBS), files.variables
+    asked = np.flatnonzero((files.codes[calls["root"]] == files.code(root)) & calls["plain"] & (calls["link"] == 1))
+    opened, method = calls["open"][asked], calls["method"][asked]
+    first = np.full(files.none + 1, files.none)
+    begins = np.flatnonzero((files.before == files.none) & (files.parent < files.none))
+    first[files.parent[begins]] = begins
+    heads = first[opened]
+    there = heads < files.none
+    terms = iter(files.sums(heads[there]))
+    value, reason = [], []
+    for head in there.tolist():
+        found = next(terms) if head else None
+        value.append(added_up(known, found) if found is not None else None)
+        reason.append(NO_URL if not head else NO_SUM if found is None else NO_VALUE if value[-1] is None else None)
+    return files.of[opened], {"line": ints(files.line[method]), "verb": filewise.words(files, method), "url": strings(value), "reason": strings(reason)}
 
 
 def request_urls(known: Constants, root: str = "$http") -> DataFrame:
     """``path, line, verb, url, reason`` of ``$http.verb(url, ...)``: the url as its strings and names give it, or why it is not known."""
-    calls = method_calls(known.found.rows).where((F.col("root") == root) & F.col("plain") & (F.col("link") == 1) & F.col("method").isin(*VERBS))
-    first = known.found.rows.where("parent IS NOT NULL AND b1 IS NULL").select("file", F.col("parent").alias("open"), F.col("place").alias("head"))
-    asked = known.found.dealt(calls.select("file", "path", "line", "method", "open").join(first, ["file", "open"], "left"), "calls")
-    read = known.found.dealt(sums(known.found, asked.where("head IS NOT NULL").select("file", "head")), "sums")
-    terms = known.terms(read.withColumn("owner", F.col("head")))
-    filled = terms.join(known.values.select("file", F.col("place").alias("ref"), "value"), ["file", "ref"], "left").withColumn("text", F.coalesce("text", "value"))
-    told = asked.join(read, ["file", "head"], "left").join(added_up(filled).select("file", F.col("place").alias("head"), "value"), ["file", "head"], "left")
-    reason = F.when(F.col("head").isNull(), NO_URL).when(F.col("terms").isNull(), NO_SUM).when(F.col("value").isNull(), NO_VALUE)
-    return told.select("path", "line", F.col("method").alias("verb"), F.col("value").alias("url"), reason.alias("reason"))
+    return filewise.told(known.found.lists, partial(told_urls, root=root), "line int, verb string, url string, reason string").drop("file")

@@ -21,9 +21,7 @@ TAKEN = "was already produced by an earlier pattern for this file — not emitte
 
 def existing_names(files: DataFrame) -> DataFrame:
     """``path, name``: every class and variable that a file declares, at any depth, once."""
-    scopes = Scopes.of(files)
-    declared = scopes.declarations().where(F.col("how").isin("class", *VARIABLES)).select("file", "name").distinct()
-    return declared.join(scopes.rows.select("file", "path").distinct(), "file").select("path", "name").distinct()
+    return Scopes.of(files).declarations().where(F.col("how").isin("class", *VARIABLES)).select("path", "name").distinct()
 
 
 def produced_names(outputs: DataFrame) -> DataFrame:

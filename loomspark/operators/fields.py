@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.operators.calls import siblings
-from loomspark.operators.constants import GOING_ON, signs_after
+from loomspark.operators import filewise
+from loomspark.operators.filewise import ASSIGNS, FREE, FUNCTIONS, GOING_ON, NAMES, NUMBERS, STRINGS, VARIABLES, Files, ints, places
 from loomspark.operators.rewrite import in_order
 from loomspark.operators.scopes import Scopes
 
 #: The functions that have a ``this`` of their own.
 OWN_THIS = ("function", "declaration", "method")
-ASSIGNED = r"^=(?![=>])"
 
 
-def aliases(found: Scopes, owned: DataFrame) -> DataFrame:
-    """``file, name, scope, start``: variables declared with ``this`` and nothing else, and the function whose ``this`` it is; outside all functions ``start`` is null.
+def aliases(files: Files, this_of: np.ndarray) -> dict[int, set[int]]:
+    """By file, name and scope (``Files.scoped``): the functions whose ``this`` variables stand for that are declared with it and nothing else."""
+    at, then = files.lead(2), files.lead(3)
+    on_a_new_line = (files.line[then] > files.line[at]) & np.isin(files.kind[then], (NAMES, STRINGS, NUMBERS)) & ~files.among(then, *GOING_ON)
+    ends = (then == files.none) | files.among(then, ",", ";", "{", "}") | on_a_new_line
+    own = (files.kind == NAMES) & files.among(files.lead(1), "=") & files.among(at, "this") & ends
+    d, out = files.declarations, {}
+    told = np.flatnonzero(own[d["token"]] & np.isin(d["how"], VARIABLES))
+    token = d["token"][told]
+    for key, function in zip(files.scoped(token, d["scope"][told]).tolist(), this_of[token].tolist(), strict=True):
+        out.setdefault(key, set()).add(function)
+    return out
 
-    ``owned``: what ``Scopes.owned`` gives for ``OWN_THIS``.
-    """
-    near = siblings()
-    rows = owned.withColumns({"_at": F.lead("place", 2).over(near), "_then": F.lead("text", 3).over(near), "_then_kind": F.lead("kind", 3).over(near), "_line": F.lead("line", 2).over(near), "_then_line": F.lead("line", 3).over(near)})
-    on_a_new_line = (F.col("_then_line") > F.col("_line")) & F.col("_then_kind").isin("name", "string", "number") & ~F.col("_then").isin(*GOING_ON)
-    ends = F.col("_then").isNull() | F.col("_then").isin(",", ";", "{", "}") | on_a_new_line
-    told = rows.where((F.col("kind") == "name") & (F.col("n1") == "=") & (F.col("n2") == "this") & ends).select("file", "place", F.col("this_of").alias("start"))
-    return found.declarations().where("how IN ('var', 'let', 'const')").join(told, ["file", "place"]).select("file", "name", "scope", "start").distinct()
+
+def told_fields(files: Files) -> tuple[np.ndarray, dict]:
+    this_of, f = files.owner(OWN_THIS), files.functions
+    before, through, far = files.lag(1), files.lag(2), files.lag(3)
+    put = np.flatnonzero((files.kind == NAMES) & files.among(before, ".") & ~files.among(far, ".") & files.among(files.lead(1), "="))
+    put = put[files.signs(put, ASSIGNS)]
+    direct = put[files.among(through[put], "this")]
+    named, scope = files.bindings
+    bound = np.full(files.none + 1, FREE)
+    bound[named] = scope
+    by_name = put[bound[through[put]] != FREE]
+    known = aliases(files, this_of)
+    keys = files.scoped(through[by_name], bound[through[by_name]])
+    further = [(function, token) for token, key in zip(by_name.tolist(), keys.tolist(), strict=True) for function in known.get(key, ())]
+    pairs = np.array([*zip(this_of[direct].tolist(), direct.tolist(), strict=True), *further], np.int64).reshape(-1, 2)
+    pairs = pairs[pairs[:, 0] >= 0]
+    pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
+    _, first, n = np.unique(pairs[:, 0] * len(files.words) + files.codes[pairs[:, 1]], return_index=True, return_counts=True)
+    function, token = pairs[first, 0], pairs[first, 1]
+    columns = {"start": places(files, f["start"][function]), "name": filewise.words(files, f["name"][function]), "kind": pa.array(FUNCTIONS).take(pa.array(f["kind"][function], pa.int64()))}
+    return files.of[token], columns | {"field": filewise.words(files, token), "place": places(files, token), "line": ints(files.line[token]), "n": pa.array(n, pa.int64())}
 
 
 def assigned_fields(found: Scopes) -> DataFrame:
@@ -35,15 +59,7 @@ def assigned_fields(found: Scopes) -> DataFrame:
     inner functions included, also if it is written to again; one that shadows it does not. Compound
     assignments (``+=``) and comparisons make no field.
     """
-    owned = found.dealt(found.owned(OWN_THIS, "this_of"), "this")
-    marked = owned.withColumn("_after", signs_after()).where(F.col("_after").rlike(ASSIGNED) & (F.col("kind") == "name") & (F.col("b1") == ".") & (F.coalesce("b3", F.lit("")) != "."))
-    put = marked.select("file", "path", F.col("text").alias("field"), "place", "line", F.col("b2").alias("through"), F.col("b2_at").alias("through_at"), "this_of")
-    direct = put.where("through = 'this'").select("file", "path", F.col("this_of").alias("start"), "field", "place", "line")
-    bound = found.bindings().select("file", F.col("place").alias("through_at"), F.col("name").alias("through"), "scope")
-    by_name = put.drop("this_of").join(bound, ["file", "through_at", "through"]).join(aliases(found, owned).withColumnRenamed("name", "through"), ["file", "through", "scope"])
-    every = direct.union(by_name.select("file", "path", "start", "field", "place", "line")).where("start IS NOT NULL")
-    first = every.groupBy("file", "path", "start", "field").agg(F.min("place").alias("place"), F.min_by("line", "place").alias("line"), F.count("*").alias("n"))
-    return first.join(found.functions.select("file", "start", "name", "kind"), ["file", "start"])
+    return filewise.told(found.lists, told_fields, "start int, name string, kind string, field string, place int, line int, n long")
 
 
 def field_declarations(fields: DataFrame) -> DataFrame:

@@ -47,27 +47,58 @@ def nested(rows: DataFrame, keys: list[str], place: str, opens: Column, closes:
 def stacked(steps: np.ndarray, groups: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``depth``, ``partner`` and ``parent`` of ``nested``, -1 for null, of rows that lie in the order of groups and places.
 
-    ``steps``: 1 for a row that opens, -1 for one that closes, 0 for others. Only the ends are walked; what
+    ``steps``: 1 for a row that opens, -1 for one that closes, 0 for others. Only the ends are nested; what
     holds another row is what was open after the last end before it.
     """
     ends = np.flatnonzero(steps)
+    step, group, n = steps[ends].astype(np.int64), groups[ends], len(ends)
+    head = np.append(True, group[1:] != group[:-1])[:n]
+    number = np.cumsum(head) - 1  # of the group
+    summed = np.cumsum(step)
+    summed -= (summed - step)[np.flatnonzero(head)][number] if n else 0
+    low = np.minimum.accumulate(np.minimum(summed, 0) - number * (n + 1)) + number * (n + 1)  # each group begins below all before it
+    low_before = np.append(0, low)[:n]
+    low_before[head] = 0
+    opens, closes = step > 0, (step < 0) & (low == low_before)  # with none open, a close does nothing
+    depth_after = summed - low
+    level = depth_after + closes  # an end's depth is the one within
+    # by level, opens and closes follow each other in turn
+    real = np.flatnonzero(opens | closes)
+    turn = real[np.argsort((number * (n + 1) + level)[real], kind="stable")]
+    same = (number[turn[1:]] == number[turn[:-1]]) & (level[turn[1:]] == level[turn[:-1]])
+    pair = np.flatnonzero(same & opens[turn[:-1]] & closes[turn[1:]])
+    other = np.full(n, -1)
+    other[turn[pair]], other[turn[pair + 1]] = turn[pair + 1], turn[pair]
+    # what opens behind an open end lies in it; what opens behind a close lies where that one did
+    behind_open, behind_close = (np.append(False, x)[:n] & ~head for x in (opens, closes))
+    first = np.maximum.accumulate(np.where((opens & ~behind_close)[turn], np.arange(len(turn)), 0))
+    within = np.full(n, -1)
+    within[turn] = np.where(behind_open, np.arange(n) - 1, -1)[turn[first]]
+    within[closes] = within[other[closes]]
     partner = np.full(len(steps), -1, np.int64)
-    depths, parents, held_depths, held_parents = [], [], [0], [-1]  # of each end, and of what follows it
-    stack, group = [], -1
-    for row, step, of in zip(ends.tolist(), steps[ends].tolist(), groups[ends].tolist(), strict=True):
-        if of != group:
-            stack, group = [], of
-        if step < 0 and stack:
-            opened = stack.pop()
-            partner[opened], partner[row] = places[row], places[opened]
-        depths.append(len(stack))
-        parents.append(stack[-1] if stack else -1)
-        if step > 0:
-            stack.append(row)
-        held_depths.append(len(stack))
-        held_parents.append(stack[-1] if stack else -1)
-    last = np.cumsum(steps != 0)  # how many ends there were up to a row
-    same = np.concatenate([[-1], groups[ends]])[last] == groups
-    depth, parent = np.where(same, np.array(held_depths)[last], 0), np.where(same, np.array(held_parents)[last], -1)
-    depth[ends], parent[ends] = depths, parents
-    return depth, partner, np.where(parent < 0, -1, places[parent])
+    partner[ends] = np.where(other < 0, -1, places[ends[other]] if n else other)
+    inside = np.append(np.where(opens, np.arange(n), within), -1)  # what is open after an end
+    last = np.cumsum(steps != 0) - 1  # the last end up to a row
+    known = (last >= 0) & (np.append(group, -1)[last] == groups)
+    depth = np.where(known, np.append(depth_after, 0)[last], 0)
+    parent = np.where(known, inside[last], -1)
+    depth[ends], parent[ends] = level - (opens | closes), within
+    return depth, partner, np.where(parent < 0, -1, places[ends[parent]] if n else parent)
+
+
+def held(groups: np.ndarray, places: np.ndarray, span_groups: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """For each place, which of its group's spans is the innermost that holds it, -1 for none.
+
+    Spans of one group nest or lie apart; a span holds its two ends, and one whose stop is -1 does not end. Places are below 2**30.
+    """
+    wide, ended = 1 << 31, np.flatnonzero(stops >= 0)
+    group = np.concatenate([groups, span_groups, span_groups[ended]])
+    at = np.concatenate([places * wide + (1 << 29), starts * wide, stops[ended] * wide + wide - 1 - starts[ended]])
+    rows, spans = len(places), len(starts)
+    steps = np.repeat(np.array([0, 1, -1], np.int8), (rows, spans, len(ended)))
+    order = np.lexsort((at, group))
+    numbers = np.concatenate([np.full(rows, -1), np.arange(spans), np.full(len(ended), -1)])[order]
+    parent = stacked(steps[order], group[order], numbers)[2]
+    out, own = np.full(rows, -1, np.int64), order < rows
+    out[order[own]] = parent[own]
+    return out

@@ -2,8 +2,9 @@
 
 A function holds the places from its parameters to the end of its body. A name is bound to the
 innermost function or block around it that declares it: within one name of one file, scopes
-that declare it nest like brackets, so this is the same nesting by windows, with the scopes'
-two ends set among the name's uses. No interval is joined to the places within it.
+that declare it nest like brackets, so this is the same nesting, with the scopes' two ends set
+among the name's uses. No interval is joined to the places within it. A worker has a file's
+tokens whole (``filewise``), so that nothing but files moves.
 
 What is told: parameters, ``var`` (held by its function), ``let``, ``const`` and ``class`` (by their
 block), function declarations (by their function), names of function expressions (by
@@ -13,133 +14,92 @@ Names that nothing in the file declares have no scope; those of the file itself
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.operators.calls import KEYWORDS, chained, siblings
+from loomspark.operators import filewise
+from loomspark.operators.filewise import END, FILE, FREE, FUNCTIONS, Files, ints, places
 from loomspark.operators.nesting import nested
-from loomspark.operators.tokens import bracketed_tokens, token_parts
-from loomspark.sources.shared import dealt
+from loomspark.operators.tokens import KINDS
 
-#: The scope of the file itself.
-FILE = -1
-#: Signs and words after which a function is an expression, words that end a list of declared names, and words that are names of no variable.
-EXPRESSION = ("=", ",", ":", "?", "&", "|", "!", "+", "-", "*", "/", "%", "<", ">", "~", "=>", "return", "new", "typeof", "void", "delete", "in", "of", "instanceof", "throw", "case", "yield", "await", "async")
-STATEMENT = ("var", "let", "const", ";", "if", "for", "while", "return", "switch", "throw", "try", "do", "else", "break", "continue")
-NO_VARIABLE = (*KEYWORDS, "this", "null", "true", "false", "undefined", "super", "async", "await", "of", "static", "get", "set")
 
+def told_functions(files: Files) -> tuple[np.ndarray, dict]:
+    f = files.functions
+    columns = {c: places(files, f[c]) for c in ("start", "stop", "parameters", "outer")} | {"name_at": places(files, f["name"])}
+    return files.of[f["start"]], columns | {"kind": pa.array(FUNCTIONS).take(pa.array(f["kind"], pa.int64())), "name": filewise.words(files, f["name"])}
 
-def around(rows: DataFrame) -> DataFrame:
-    """Tokens with their siblings before (``b1`` to ``b4``) and after (``n1``), and where the stretch of their bracket ends (``over``)."""
-    near = siblings()
-    more = chained(rows).withColumns({f"b{k}": F.lag("text", k).over(near) for k in range(1, 5)} | {f"b{k}_at": F.lag("place", k).over(near) for k in range(1, 4)} | {"n1": F.lead("text").over(near), "n1_at": F.lead("place").over(near), "n2": F.lead("text", 2).over(near)})
-    stop = F.min(F.when(F.col("text").isin(",", ";"), F.col("place"))).over(near.rowsBetween(1, W.unboundedFollowing))
-    last = F.max("place").over(W.partitionBy("file", "parent"))
-    return more.withColumn("over", F.coalesce(stop, last + 1) - 1)
 
+def told_owners(files: Files, kinds: tuple[str, ...], name: str) -> tuple[np.ndarray, dict]:
+    tokens, n = files.all[:-1], files.none
+    columns = {"place": places(files, tokens), "start": ints(files.start[:n]), "line": ints(files.line[:n]), "kind": pa.array(KINDS).take(pa.array(files.kind[:n], pa.int64())), "text": filewise.words(files, tokens)}
+    return files.of[:n], columns | {name: places(files, np.append(files.functions["start"], n)[files.owner(kinds)[:n]])}
 
-def functions(rows: DataFrame) -> DataFrame:
-    """``file, path, start, stop, kind, name, name_at, parameters, outer`` of functions, from tokens of ``around``.
 
-    ``kind``: ``function`` (an expression), ``declaration``, ``method`` or ``arrow``; ``start``: the place of the parameter
-    list (or of a bare parameter), ``stop``: of the body's last token; ``parameters``: the list's place, null for a
-    bare one; ``outer``: the place of the bracket around it.
-    """
-    b = [None, *[F.col(f"b{k}") for k in range(1, 5)]]
-    word = F.col("text") == "{"
-    braced = word & (b[1] == ")") & (b[2] == "(")
-    anonymous, named = braced & (b[3] == "function"), braced & (F.coalesce(b[4], F.lit("")) == "function")
-    shorthand = braced & ~anonymous & ~named & b[3].rlike(r"^[A-Za-z_$]") & ~b[3].isin(*KEYWORDS) & ~F.coalesce(b[4], F.lit("")).isin(".", "new")
-    keyword_at = F.lag("place", 4).over(siblings())
-    before = F.lag("text", 5).over(siblings())
-    expression = before.isin(*EXPRESSION) | (before.isNull() & F.col("parent_text").isin("(", "["))
-    bodies = rows.withColumns({"_anonymous": anonymous, "_named": named, "_method": shorthand, "_expression": F.coalesce(expression, F.lit(False)), "_from": keyword_at})
-    made = bodies.where("_anonymous OR _named OR _method").select(
-        "file", "path", F.col("b2_at").alias("start"), F.col("partner").alias("stop"),
-        F.when(F.col("_method"), "method").when(F.col("_anonymous") | F.col("_expression"), "function").otherwise("declaration").alias("kind"),
-        F.when(~F.col("_anonymous"), F.col("b3")).alias("name"), F.when(~F.col("_anonymous"), F.col("b3_at")).alias("name_at"), F.col("b2_at").alias("parameters"), F.col("parent").alias("outer"),
-    )
-    arrows = rows.where("text = '=>' AND b1 IS NOT NULL").select(
-        "file", "path", F.when(b[1] == ")", F.col("b2_at")).otherwise(F.col("b1_at")).alias("start"), F.when(F.col("n1") == "{", F.col("n1_close")).otherwise(F.col("over")).alias("stop"),
-        F.lit("arrow").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("name_at"), F.when(b[1] == ")", F.col("b2_at")).alias("parameters"), F.col("parent").alias("outer"),
-    )
-    return made.union(arrows)
-
-
-def prepared(rows: DataFrame) -> DataFrame:
-    """``around`` with the text of the bracket around each token, and where the bracket after it closes."""
-    near = around(rows)
-    opens = rows.where("partner > place").select("file", F.col("place").alias("parent"), F.col("text").alias("parent_text"))
-    return near.withColumn("n1_close", F.lead("partner").over(siblings())).join(opens, ["file", "parent"], "left")
+def told_declarations(files: Files) -> tuple[np.ndarray, dict]:
+    d = files.declarations
+    token, scope, stop = d["token"], d["scope"], d["stop"]
+    own = lambda at, end: np.where(at == end, at, files.place(np.where(at == end, 0, at)))
+    columns = {"name": filewise.words(files, token), "place": places(files, token), "scope": ints(own(scope, FILE)), "stop": ints(own(stop, END), stop == files.none)}
+    return files.of[token], columns | {"how": pa.array(d["how"].tolist(), pa.string())}
+
+
+def told_bindings(files: Files) -> tuple[np.ndarray, dict]:
+    token, scope = files.bindings
+    columns = {"place": places(files, token), "line": ints(files.line[token]), "name": filewise.words(files, token), "owner": places(files, np.append(files.functions["start"], files.none)[files.owners[token]])}
+    return files.of[token], columns | {"scope": ints(np.where(scope < 0, scope, files.place(np.maximum(scope, 0))), scope == FREE)}
+
+
+def told_counts(files: Files) -> tuple[np.ndarray, dict]:
+    token, scope = files.bindings
+    _, first, which = np.unique(files.named(token), return_index=True, return_inverse=True)
+    count = lambda marks: pa.array(np.bincount(which, marks, len(first)).astype(np.int64), pa.int64())
+    columns = {"of_file": count(scope == FILE), "of_function": count(scope >= 0), "free": count(scope == FREE)}
+    return files.of[token[first]], columns | {"name": filewise.words(files, token[first])}
 
 
 class Scopes:
-    """Functions, declarations and bindings of tokens of ``bracketed``; tokens, functions and what owns a token are written once, dealt by file into ``parts``."""
+    """Functions, declarations and bindings of tokens of ``bracketed``, each told anew from the files' tokens (``lists``)."""
 
-    def __init__(self, rows: DataFrame, parts: int | None = None):
-        self.parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.rows = self.dealt(prepared(rows), "tokens")
-        self.functions = self.dealt(functions(self.rows), "functions")
-        self.owners = self.dealt(self.owned(), "owners")
+    def __init__(self, rows: DataFrame | None, lists: DataFrame | None = None):
+        self.lists = filewise.lists_of_rows(rows) if lists is None else lists
 
     @classmethod
     def of(cls, corpus: DataFrame) -> Scopes:
         """Those of the tokens of a corpus."""
-        parts = token_parts(corpus)
-        return cls(dealt(bracketed_tokens(corpus, parts), "laid", "file", parts, lies=True), parts)
+        return cls(None, filewise.lists_of(corpus))
+
+    @property
+    def functions(self) -> DataFrame:
+        """``file, path, start, stop, kind, name, name_at, parameters, outer`` of functions.
 
-    def dealt(self, rows: DataFrame, name: str) -> DataFrame:
-        return dealt(rows, name, "file", self.parts)
+        ``kind``: ``function`` (an expression), ``declaration``, ``method`` or ``arrow``; ``start``: the place of the parameter
+        list (or of a bare parameter), ``stop``: of the body's last token; ``parameters``: the list's place, null for a
+        bare one; ``outer``: the place of the bracket around it.
+        """
+        return filewise.told(self.lists, told_functions, "start int, stop int, kind string, name string, name_at int, parameters int, outer int")
 
-    def owned(self, kinds: tuple[str, ...] = ("function", "declaration", "method", "arrow"), name: str = "owner") -> DataFrame:
+    def owned(self, kinds: tuple[str, ...] = FUNCTIONS, name: str = "owner") -> DataFrame:
         """Tokens with ``owner``, the start of the innermost function of these kinds around them; null outside all.
 
         Without arrows it is the function whose ``this`` a token has.
         """
-        spans = self.functions.where(F.col("kind").isin(*kinds)).select("file", "start", "stop")
-        found = innermost(self.rows.select("file", "place"), spans, ["file"], name, self.parts)  # only places move
-        return self.rows.join(found, ["file", "place"])
+        return filewise.told(self.lists, partial(told_owners, kinds=kinds, name=name), f"place int, start int, line int, kind string, text string, {name} int")
 
     def declarations(self) -> DataFrame:
-        """``file, name, place, scope, stop, how``: each declared name, and the first and last place of what holds it."""
-        rows = self.owners.join(self.functions.select("file", F.col("parameters").alias("parent"), F.col("start").alias("_start"), F.col("stop").alias("_stop")), ["file", "parent"], "left")
-        spans = self.functions.select("file", F.col("start").alias("owner"), F.col("stop").alias("_owner_stop"))
-        rows = rows.join(spans, ["file", "owner"], "left")
-        statement = F.max(F.when(F.col("text").isin(*STATEMENT) & (F.coalesce("b1", F.lit("")) != "."), F.struct("place", "text"))).over(siblings().rowsBetween(W.unboundedPreceding, -1))["text"]
-        rows = rows.withColumn("_statement", statement)
-        is_name = (F.col("kind") == "name") & ~F.col("text").isin(*NO_VARIABLE)
-        first = F.col("b1").isNull() | F.col("b1").isin(",", ".")
-        none, end = F.lit(FILE), F.lit((1 << 30) - 1)
-        held, until = F.coalesce("owner", none), F.coalesce("_owner_stop", end)
-        in_block = (F.col("parent_text") == "{") & (F.coalesce("parent", none) > held)
-        block, block_end = F.when(in_block, F.col("parent")).otherwise(held), F.when(in_block, F.col("_close")).otherwise(until)
-        listed = F.col("b1").isin("var", "let", "const") | ((F.col("b1") == ",") & F.col("_statement").isin("var", "let", "const"))
-        which = F.when(F.col("b1").isin("var", "let", "const"), F.col("b1")).otherwise(F.col("_statement"))
-        kind = (
-            F.when(F.col("_start").isNotNull() & first, "parameter").when((F.col("n1") == "=>") & ~F.coalesce(F.col("b1") == ".", F.lit(False)), "bare")
-            .when(listed, which).when(F.col("b1") == "class", "class")
-        )
-        closes = self.rows.where("partner > place").select("file", F.col("place").alias("parent"), F.col("partner").alias("_close"))
-        told = rows.join(closes, ["file", "parent"], "left").where(is_name).withColumn("how", kind).where("how IS NOT NULL")
-        named = told.select(
-            "file", F.col("text").alias("name"), "place",
-            F.when(F.col("how") == "parameter", F.col("_start")).when(F.col("how") == "bare", F.col("place")).when(F.col("how") == "var", held).otherwise(block).alias("scope"),
-            F.when(F.col("how") == "parameter", F.col("_stop")).when(F.col("how") == "bare", F.col("over")).when(F.col("how") == "var", until).otherwise(block_end).alias("stop"), "how",
-        )
-        own = self.functions.where("name IS NOT NULL AND kind = 'function'").select("file", "name", F.col("name_at").alias("place"), F.col("start").alias("scope"), "stop", F.lit("own").alias("how"))
-        at = rows.select("file", F.col("place").alias("name_at"), held.alias("scope"), until.alias("stop"))
-        declared = self.functions.where("kind = 'declaration'").select("file", "name", "name_at").join(at, ["file", "name_at"])
-        return named.union(own).union(declared.select("file", "name", F.col("name_at").alias("place"), "scope", "stop", F.lit("function").alias("how")))
+        """``file, path, name, place, scope, stop, how``: each declared name, and the first and last place of what holds it."""
+        return filewise.told(self.lists, told_declarations, "name string, place int, scope int, stop int, how string")
 
     def bindings(self) -> DataFrame:
         """``file, path, place, line, name, scope, owner``: every name that stands for a variable, and the scope that declares it."""
-        key = (F.col("n1") == ":") & F.coalesce(F.col("b1").isin(",", "{") | F.col("b1").isNull(), F.lit(True)) & (F.col("parent_text") == "{")
-        named = self.functions.where("kind = 'method'").select("file", F.col("name_at").alias("place"), F.lit(True).alias("_method"))
-        used = self.owners.where((F.col("kind") == "name") & ~F.col("text").isin(*NO_VARIABLE) & (F.coalesce("b1", F.lit("")) != ".") & ~F.coalesce(key, F.lit(False)))
-        used = used.join(named, ["file", "place"], "left").where("_method IS NULL").select("file", "path", "place", "line", F.col("text").alias("name"), "owner")
-        scopes = self.declarations().select("file", "name", F.col("scope").alias("start"), "stop").distinct()
-        return innermost(used, scopes, ["file", "name"], "scope", self.parts).select("file", "path", "place", "line", "name", "scope", "owner")
+        return filewise.told(self.lists, told_bindings, "place int, line int, name string, scope int, owner int")
+
+    def counts(self) -> DataFrame:
+        """``file, path, name, of_file, of_function, free``: how often a name of a file is bound to the file, to a function in it, and to nothing."""
+        return filewise.told(self.lists, told_counts, "name string, of_file long, of_function long, free long")
 
 
 def innermost(rows: DataFrame, spans: DataFrame, keys: list[str], name: str, parts: int | None = None) -> DataFrame:

@@ -75,6 +75,42 @@ def cut(content: Column) -> Column:
     return F.flatten(F.transform(found, lambda t: F.when(joined(t), parts(t)).otherwise(F.array(t))))
 
 
+#: ``TOKEN`` as Python writes it; its blanks are those of Java.
+IN_PYTHON = re.compile(TOKEN.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010FFFF"), re.ASCII)
+BLANKS = " \t\n\x0b\f\r"
+
+
+def parts_of_token(t: str) -> list[str]:
+    """A pattern and what it was known by, taken apart; the token itself if it is none."""
+    at = t.find("/")
+    if at < 1 or t[0] in "'\"`":
+        return [t]
+    sign = t[:at].rstrip(BLANKS)
+    return [x for x in (sign, t[len(sign) : at], t[at:]) if x]
+
+
+def taken_apart(codes: np.ndarray, words: list[str]) -> tuple[np.ndarray, list[str], np.ndarray | None]:
+    """Tokens and words with patterns taken apart, and how many each token has become; None if none was one."""
+    found = {k: parts for k, w in enumerate(words) if "/" in w and len(parts := parts_of_token(w)) > 1}
+    if not found:
+        return codes, words, None
+    numbers = {w: k for k, w in enumerate(words)}
+    flat = [k for w in range(len(words)) for k in ([numbers.setdefault(x, len(numbers)) for x in found[w]] if w in found else (w,))]
+    sizes = np.array([len(found.get(w, "x")) for w in range(len(words))])
+    more = sizes[codes]
+    ends = np.cumsum(more)
+    return np.array(flat)[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - more), more) + np.arange(ends[-1])], list(numbers), more
+
+
+def found_in(contents: list[str]) -> pa.ListArray:
+    """The lists of ``cut`` as a worker finds them, patterns not yet taken apart: far less is sent to it than tokens are."""
+    flat, ends = [], [0]
+    for content in contents:
+        flat += IN_PYTHON.findall(content)
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
+
+
 #: Characters of content that a task holds, unless one file has more: as contents, and as tokens, whose sorts take some 400 times as many bytes; what does not fit in memory each of them would spill.
 PART_CHARS, TOKEN_CHARS = 1 << 20, 1 << 17
 #: The most parts of tokens; Spark allows 100,000 buckets. Beyond 6.5 billion characters parts grow, and spill.
@@ -104,12 +140,15 @@ def files_of(corpus: DataFrame, parts: int | None = None) -> DataFrame:
     return corpus.where("content IS NOT NULL").select(digest.alias("file"), "path", "content").repartition(parts or parts_of(corpus), "file").dropDuplicates(["file"])
 
 
-def laid_out(lists: pa.ListArray, blanks: bool, nest: bool) -> pa.ListArray:
-    """Lists of ``cut`` as lists of ``TOKEN_FIELDS``, with ``NESTED_FIELDS`` if ``nest``."""
-    text, counts = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+def numbered(lists: pa.ListArray, blanks: bool) -> tuple:
+    """Of lists of ``cut`` or ``found_in``: how many tokens each has, their offsets, lines, kinds (by ``KINDS``) and words by number, the words, and the list and the place of each."""
+    text, counts = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     of = np.repeat(np.arange(len(counts)), counts)
     coded = text.dictionary_encode()
-    codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    codes, words, more = taken_apart(coded.indices.to_numpy(), coded.dictionary.to_pylist())
+    if more is not None:
+        of = np.repeat(of, more)
+        counts = np.bincount(of, minlength=len(counts))
 
     def before(sizes: list[int]) -> np.ndarray:
         """The sum of what stands before each token in its file."""
@@ -120,13 +159,22 @@ def laid_out(lists: pa.ListArray, blanks: bool, nest: bool) -> pa.ListArray:
     kind = np.array([KINDS.index(kind_of(w)) for w in words], np.int64)[codes]
     if not blanks:
         kept = kind > 1
-        start, line, kind, of, text = start[kept], line[kept], kind[kept], of[kept], text.filter(pa.array(kept))
-        codes, counts = codes[kept], np.bincount(of, minlength=len(counts))
-    place = np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
-    columns = {"place": place, "start": start, "line": line, "kind": pa.array(KINDS).take(pa.array(kind)), "text": text}
+        start, line, kind, of, codes = start[kept], line[kept], kind[kept], of[kept], codes[kept]
+        counts = np.bincount(of, minlength=len(counts))
+    return counts, start, line, kind, codes, words, of, np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
+
+
+def stacks(codes: np.ndarray, words: list[str], of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``depth``, ``partner`` and ``parent`` of the tokens of ``numbered``."""
+    return stacked(np.array([1 if w in OPEN else -1 if w in CLOSE else 0 for w in words], np.int8)[codes], of, place)
+
+
+def laid_out(lists: pa.ListArray, blanks: bool, nest: bool) -> pa.ListArray:
+    """Lists of ``cut`` as lists of ``TOKEN_FIELDS``, with ``NESTED_FIELDS`` if ``nest``."""
+    counts, start, line, kind, codes, words, of, place = numbered(lists, blanks)
+    columns = {"place": place, "start": start, "line": line, "kind": pa.array(KINDS).take(pa.array(kind)), "text": pa.array(words, pa.string()).take(pa.array(codes))}
     if nest:
-        steps = np.array([1 if w in OPEN else -1 if w in CLOSE else 0 for w in words], np.int8)[codes]
-        columns |= dict(zip(("depth", "partner", "parent"), stacked(steps, of, place), strict=True))
+        columns |= dict(zip(("depth", "partner", "parent"), stacks(codes, words, of, place), strict=True))
     arrays = [pa.array(x, pa.int32(), mask=x < 0) if isinstance(x, np.ndarray) else x for x in columns.values()]
     ends = np.concatenate([[0], np.cumsum(counts)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, list(columns)))

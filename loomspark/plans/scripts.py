@@ -90,18 +90,13 @@ def promise_chains(spark, sf_dir):
 
 def name_bindings(spark, sf_dir):
     """How often each name of each file is bound to the file, to a function in it, and to nothing."""
-    found = scopes.Scopes.of(texts(spark, sf_dir, SCRIPTS)).bindings()
-    of_file = F.col("scope") == scopes.FILE
-    counts = [F.count_if(c).alias(n) for n, c in (("of_file", of_file), ("of_function", ~of_file), ("free", F.col("scope").isNull()))]
-    return found.groupBy("path", "name").agg(*counts)
+    found = scopes.Scopes.of(texts(spark, sf_dir, SCRIPTS)).counts()
+    return found.groupBy("path", "name").agg(*[F.sum(c).alias(c) for c in ("of_file", "of_function", "free")])
 
 
 def lifted_helpers(spark, sf_dir):
     """What each controller's definition needs of its file, directly or through other functions."""
-    script = calls.Script(texts(spark, sf_dir, SCRIPTS))
-    spans = script.calls.where("method = 'controller'").select("file", "path", F.col("open").alias("start"), F.col("close").alias("stop"))
-    found = reach.lifted(scopes.Scopes(script.rows, script.parts), spans.drop("path"))
-    return found.join(spans.select("file", "path").distinct(), "file").select("path", "name", "line", "steps")
+    return reach.lifted(scopes.Scopes.of(texts(spark, sf_dir, SCRIPTS)), "controller").select("path", "name", "line", "steps")
 
 
 def reachable_lines(spark, sf_dir):
