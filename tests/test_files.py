@@ -4,6 +4,7 @@ import time
 
 import pytest
 
+from loomspark.sources import corpus
 from loomspark.sources.files import Files, read_files, write_files
 
 
@@ -105,3 +106,20 @@ def test_files_of_a_distant_root_are_moved_at_once(tmp_path, monkeypatch):
         open(f"{writer.staging}/t/{path}", "w").write(path)
     writer.commit([files.Written("t", paths), None])
     assert tree(tmp_path) == {f"out/{p}": p.encode() for p in paths} and most[0] > 1
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(150):
+        (tmp_path / f"f{k}").mkdir()
+        (tmp_path / f"f{k}" / "a.js").write_text(f"f({k})")
+    name, context = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(name)
+    context.setJobGroup("listing", "folders are listed")
+    try:
+        found = corpus.read_corpus(spark, str(tmp_path))
+        jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("listing")]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [context.statusTracker().getStageInfo(k).numTasks for j in jobs for k in j.stageIds]
+    assert tasks and max(tasks) <= corpus.LISTERS * context.defaultParallelism < 150
+    assert found.count() == 150 and spark.conf.get(name) == before
