@@ -123,3 +123,32 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     tasks = [context.statusTracker().getStageInfo(k).numTasks for j in jobs for k in j.stageIds]
     assert tasks and max(tasks) <= corpus.LISTERS * context.defaultParallelism < 150
     assert found.count() == 150 and spark.conf.get(name) == before
+
+
+def test_the_driver_holds_few_of_the_paths_at_once(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from loomspark.sources import files
+
+    task = [0]
+    monkeypatch.setattr(files, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"taskAttemptId": lambda self: task[0]})())}))
+    monkeypatch.setattr(files, "HELD", 5)
+
+    def told(writer, *paths):
+        task[0] += 1
+        return writer.write(iter([pa.RecordBatch.from_pydict({"path": list(paths), "content": list(paths)})]))
+
+    def written(*tasks):
+        writer = files.FilesWriter(str(tmp_path / "out"), None, True)
+        messages = [told(writer, *paths) for paths in tasks]
+        assert all(m.paths is None and m.n == len(p) for m, p in zip(messages, tasks, strict=True))  # what comes to the driver
+        writer.commit(messages)
+
+    names = [f"{'ab'[k % 2]}/{k % 5}/deep/{k}" for k in range(60)] + ["top"]
+    written(names[:20], [], names[20:])
+    whole = {f"out/{p}": p.encode() for p in names}
+    assert tree(tmp_path) == whole
+    for bad in (["b/1/deep/21"], ["a/0"], ["top/x"]):
+        with pytest.raises(ValueError, match="two rows|both a file and a folder"):
+            written(names[:20], names[20:], bad)
+        assert tree(tmp_path) == whole
